@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcurate.functions import text as T
@@ -97,11 +97,15 @@ def near_firsts(nodes: DataFrame, post: DataFrame, scope: Sequence[str],
 
 
 def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_THRESHOLD,
-             near: bool = True, domain_thresholds: DataFrame | None = None,
+             near: bool = True, threshold_expr: Column | None = None,
              prepared: bool = False) -> DataFrame:
     """DUP-03 cascade over ``scope``. Adds clean_text, word_count, keep_len,
-    dup_key and dup_type (null / 'exact' / 'similar'; null for length-filtered
-    rows, which are never compared)."""
+    dup_key, is_exact, is_near (raw flags) and dup_type (null / 'exact' /
+    'similar'; null for length-filtered rows, which are never compared).
+
+    ``threshold_expr`` (DUP-07) gives a per-row threshold from row columns; a
+    pair counts when its cosine reaches the threshold of the later row.
+    """
     rows = reviews if prepared else prepare(reviews)
     rows, scope_cols = with_scope(rows, scope)
     kept = rows.where("keep_len")
@@ -109,41 +113,38 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
     is_exact = F.col("keep_len") & F.col("_first_key").isNull()
     if near:
         nodes, post = near_nodes(kept, scope_cols)
-        thr_col = None
-        min_thr = threshold
-        if domain_thresholds is not None:
-            # domain of the vector's first row decides its threshold as the later side
-            firsts_dom = kept.select(F.col("pos").alias("first_pos"), "domain")
-            nodes = nodes.join(firsts_dom, "first_pos").join(
-                F.broadcast(domain_thresholds), "domain", "left") \
-                .withColumn("thr", F.coalesce(F.col("thr"), F.lit(threshold)))
+        thr_col, min_thr = None, threshold
+        if threshold_expr is not None:
+            # the threshold of a vector as the later side is that of its first row
+            first_thr = kept.select(F.col("pos").alias("first_pos"), threshold_expr.alias("thr"))
+            nodes = nodes.join(first_thr, "first_pos")
             thr_col = "thr"
-            min_thr = min(threshold * m for m in DOMAIN_MULTIPLIER.values())
+            min_thr = min(round(threshold * m, 9) for m in DOMAIN_MULTIPLIER.values())
         firsts = nodes.select(F.col("first_pos").alias("pos"), F.lit(True).alias("_first_vec"))
         nf = near_firsts(nodes, post, scope_cols, thr_col, threshold, min_thr)
         out = out.join(firsts, "pos", "left").join(nf, "pos", "left")
-        if domain_thresholds is None:
-            later_copy = F.col("_first_vec").isNull()
-        else:
-            # an identical earlier vector has cosine 1; it counts when 1 >= threshold
-            later_copy = F.col("_first_vec").isNull() & (F.lit(1.0) >= F.col("_row_thr"))
+        later_copy = F.col("_first_vec").isNull()
+        if threshold_expr is not None:
+            # an identical earlier vector has cosine 1: it counts when 1 >= threshold
+            later_copy = later_copy & (F.lit(1.0) >= threshold_expr)
         is_near = F.col("keep_len") & (later_copy | F.col("_near_first").isNotNull())
     else:
         is_near = F.lit(False)
-    if domain_thresholds is not None and near:
-        out = out.join(F.broadcast(domain_thresholds.select(
-            "domain", F.col("thr").alias("_row_thr"))), "domain", "left") \
-            .withColumn("_row_thr", F.coalesce(F.col("_row_thr"), F.lit(threshold)))
-    verdict = F.when(is_exact, "exact").when(is_near, "similar")
-    res = out.withColumn("dup_type", verdict)
-    return res.drop("_first_key", "_first_vec", "_near_first", "_row_thr")
-
-
-def domain_threshold_table(spark, domains: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
-    """DUP-07 threshold per review domain from the three-row multiplier dimension.
-    ``domains`` maps each review domain to a detector domain name."""
-    dim = spark.createDataFrame([(k, float(v)) for k, v in DOMAIN_MULTIPLIER.items()],
-                                "det_domain string, mult double")
-    return (domains.join(F.broadcast(dim), "det_domain", "left")
-            .select("domain", F.round(F.lit(threshold) * F.coalesce(F.col("mult"), F.lit(1.0)), 9)
-                    .alias("thr")))
+    res = (out.withColumn("is_exact", is_exact).withColumn("is_near", is_near)
+           .withColumn("dup_type", F.when(F.col("is_exact"), "exact")
+                       .when(F.col("is_near"), "similar")))
+    return res.drop("_first_key", "_first_vec", "_near_first")
+
+
+def domain_threshold(domain_col: Column, threshold: float = NEAR_THRESHOLD) -> Column:
+    """DUP-07: threshold x multiplier of the detector domain; unknown -> general.
+    The three-entry dimension is a map literal, so no join is needed."""
+    m = F.create_map(*[x for k, v in DOMAIN_MULTIPLIER.items() for x in (F.lit(k), F.lit(v))])
+    return F.round(F.lit(threshold) * F.coalesce(F.element_at(m, domain_col), F.lit(1.0)), 9)
+
+
+def detector_domain(source_col: Column) -> Column:
+    """Fixture mapping of a document source 'src<k>' to a detector domain:
+    k % 3 = 0 general, 1 technology, 2 service."""
+    k = F.regexp_extract(source_col, r"(\d+)$", 1).cast("long") % 3
+    return F.when(k == 1, "technology").when(k == 2, "service").otherwise("general")
