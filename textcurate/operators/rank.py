@@ -29,13 +29,16 @@ def hex_bucket(hex_col: Column, digits: int = HEX_BUCKET_DIGITS) -> Column:
 
 
 def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096,
-                 rel_error: float = 0.001, out: str = "_bucket") -> DataFrame:
+                 rel_error: float = 0.001, out: str = "_bucket",
+                 bounds_from: DataFrame | None = None) -> DataFrame:
     """Bucket a numeric sort key by approximate quantiles (a distributed
     sketch; only the n_buckets boundaries reach the driver). Monotone in the key
     whatever the quantile error, so ranks stay exact; the error only affects
-    bucket balance."""
+    bucket balance. ``bounds_from`` may supply a cheap superset relation of the
+    key (e.g. the source id column) so a costly upstream plan is not run twice."""
     qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.approxQuantile(col, qs, rel_error) if qs else []
+    src = bounds_from if bounds_from is not None else df
+    bounds = src.approxQuantile(col, qs, rel_error) if qs else []
     splits = [float("-inf")] + sorted({float(b) for b in bounds if b is not None}) + [float("inf")]
     tmp = f"{out}_src"
     staged = df.withColumn(tmp, F.col(col).cast("double"))

@@ -87,3 +87,68 @@ sims AS (
   SELECT va, vb, round(CAST(dot AS DOUBLE) / sqrt(CAST(na.n2 * nb.n2 AS DOUBLE)), 9) AS sim
   FROM dots JOIN norms na ON na.vid = va JOIN norms nb ON nb.vid = vb),
 vnodes AS (SELECT {sc}vid, min(pos) AS first_pos FROM vrows2 GROUP BY {sc}vid)"""
+
+
+def shuffle_key(idc: str, seed: int = 42) -> str:
+    return f"md5('{seed}:' || CAST({idc} AS VARCHAR))"
+
+
+def stratified(src: str, label: str = "sentiment", idc: str = "id", validation: bool = True) -> str:
+    """CTEs ending in ``split_rows`` (all columns of src + split): test quota
+    ceil(0.15 n) = (15n+99)//100, validation ceil(0.15/0.85 m) = (3m+16)//17,
+    largest remainders with ties by label, seeded md5 order within a class."""
+    v = ("(3 * m + 16) // 17" if validation else "0")
+    return f"""cnt AS (SELECT {label}, count(*) AS n_c FROM {src} GROUP BY {label}),
+elig AS (SELECT * FROM cnt WHERE n_c >= 2),
+tq AS (SELECT *, (15 * sum(n_c) OVER () + 99) // 100 AS t, sum(n_c) OVER () AS n FROM elig),
+tf AS (SELECT *, (t * n_c) // n AS f, (t * n_c) % n AS rem FROM tq),
+tl AS (SELECT *, t - sum(f) OVER () AS l, row_number() OVER (ORDER BY rem DESC, {label}) AS rk FROM tf),
+tc AS (SELECT {label}, n_c, f + CASE WHEN rk <= l THEN 1 ELSE 0 END AS t_c FROM tl),
+vm AS (SELECT *, n_c - t_c AS m_c, sum(n_c - t_c) OVER () AS m FROM tc),
+vq AS (SELECT *, {v} AS v FROM vm),
+vf AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE (v * m_c) // m END AS f2,
+              CASE WHEN m = 0 THEN 0 ELSE (v * m_c) % m END AS rem2 FROM vq),
+vl AS (SELECT *, v - sum(f2) OVER () AS l2, row_number() OVER (ORDER BY rem2 DESC, {label}) AS rk2 FROM vf),
+quota AS (SELECT {label}, t_c, f2 + CASE WHEN rk2 <= l2 THEN 1 ELSE 0 END AS v_c FROM vl),
+sranked AS (SELECT s.*, row_number() OVER (PARTITION BY {label} ORDER BY {shuffle_key(idc)}, {idc}) AS srk FROM {src} s),
+split_rows AS (
+  SELECT r.* EXCLUDE (srk), CASE WHEN srk <= coalesce(q.t_c, 0) THEN 'test'
+       WHEN srk <= coalesce(q.t_c, 0) + coalesce(q.v_c, 0) THEN 'validation' ELSE 'train' END AS split
+  FROM sranked r LEFT JOIN quota q ON q.{label} = r.{label})"""
+
+
+VERDICTS = f"""{REVIEWS},
+{PREPARED},
+{vectors('prepared')},
+flags AS (SELECT j.*,
+  EXISTS (SELECT 1 FROM vrows2 k WHERE k.dup_key = j.dup_key AND k.pos < j.pos) AS is_exact,
+  EXISTS (SELECT 1 FROM vrows2 k JOIN sims s ON s.va = k.vid WHERE s.vb = j.vid AND k.pos < j.pos AND s.sim >= 0.92) AS is_near
+  FROM vrows2 j),
+verdict_all AS (
+  SELECT p.*, CASE WHEN f.is_exact THEN 'exact' WHEN f.is_near THEN 'similar' END AS dup_type
+  FROM prepared p LEFT JOIN flags f ON f.pos = p.pos),
+curated AS (SELECT * FROM verdict_all WHERE keep_len AND dup_type IS NULL)"""
+
+
+def summary(src: str) -> str:
+    return f"""SELECT CAST(count(*) AS BIGINT) AS total_processed,
+  CAST(count(*) FILTER (WHERE NOT keep_len) AS BIGINT) AS length_filtered,
+  CAST(count(*) FILTER (WHERE dup_type IS NOT NULL) AS BIGINT) AS duplicates_removed,
+  CAST(count(*) FILTER (WHERE dup_type = 'exact') AS BIGINT) AS exact_duplicates,
+  CAST(count(*) FILTER (WHERE dup_type = 'similar') AS BIGINT) AS near_duplicates,
+  CAST(count(*) FILTER (WHERE NOT keep_len OR dup_type IS NOT NULL) AS BIGINT) AS total_removed,
+  CAST(count(*) FILTER (WHERE keep_len AND dup_type IS NULL) AS BIGINT) AS total_accepted
+FROM {src}"""
+
+
+def research_domain(c: str) -> str:
+    return (f"['healthcare', 'finance', 'technology', 'retail']"
+            f"[(CAST(regexp_extract({c}, '(\\d+)$', 1) AS BIGINT) % 4) + 1]")
+
+
+LABEL_IDX = "CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END"
+
+MIX = """mix(domain, label_idx, expected) AS (VALUES
+  ('healthcare', 0, CAST(0.15 AS DOUBLE)), ('healthcare', 1, CAST(0.25 AS DOUBLE)), ('healthcare', 2, CAST(0.60 AS DOUBLE)),
+  ('finance', 0, CAST(0.30 AS DOUBLE)), ('finance', 1, CAST(0.40 AS DOUBLE)), ('finance', 2, CAST(0.30 AS DOUBLE)),
+  ('technology', 0, CAST(0.10 AS DOUBLE)), ('technology', 1, CAST(0.35 AS DOUBLE)), ('technology', 2, CAST(0.55 AS DOUBLE)))"""

@@ -22,6 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy text work at least one task per core. A scan of a large
+    table already yields many splits and is left alone; a scan with fewer splits
+    than the default parallelism (one small row group) is hash-partitioned on
+    its key -- deterministic, so a lost task recomputes the same rows."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, key)
+
+
+def doc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review order key alone (cheap scan: one column) -- used for
+    quantile bucket bounds of K-RANK over ``pos``."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"))
+
+
 def sentiment_of(quality, toxic):
     """labels row -> review sentiment: toxic -> negative; quality 0 -> neutral;
     else positive."""
@@ -36,7 +53,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     are keyed by doc_id; the join is a plain equi-join that AQE may turn into a
     broadcast when the labels side is small at runtime.
     """
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text",
         F.col("source").alias("domain"))
     lab = table(spark, sf_dir, "labels").select(
