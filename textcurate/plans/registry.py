@@ -49,6 +49,6 @@ def load_all() -> None:
         importlib.import_module(f"textcurate.plans.{mod}")
 
 
-CATALOGUES = ["catalog_curate", "catalog_text", "catalog_dedup", "catalog_splits", "catalog_profile",
+CATALOGUES = ["catalog_curate", "catalog_text", "catalog_dedup", "catalog_splits", "catalog_leakage", "catalog_profile",
               "catalog_metrics", "catalog_leaderboard", "catalog_augment", "catalog_io",
               "catalog_models", "catalog_stream"]
