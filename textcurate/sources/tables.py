@@ -97,19 +97,24 @@ def predictions(spark: SparkSession, sf_dir: str, source: str = "embeddings") ->
             F.element_at("embedding", 2).cast("double").alias("e1"),
             F.element_at("embedding", 3).cast("double").alias("e2"))
     elif source == "events":
+        # Scores are ratios of small integers (no exp): correctly rounded in any
+        # engine, and with many exact ties -- the hard case for AUROC.
         ev = table(spark, sf_dir, "events")
+        w = [(((F.col("event_id") * (2 * k + 3) + F.col("user_id")) % 89) + 1).cast("double")
+             for k in range(3)]
+        tot = w[0] + w[1] + w[2]
         base = ev.select(
             F.col("event_id").alias("row_id"),
             F.col("event_type").alias("domain"),
             (F.col("event_id") % 3).cast("long").alias("y_true"),
             (F.col("event_id") % 3).cast("long").alias("raw"),
-            *[(((F.col("event_id") * (2 * k + 3) + F.col("user_id")) % 89).cast("double")
-               / F.lit(89.0)).alias(f"e{k}") for k in range(3)])
+            *[(w[k] / tot).alias(f"p{k}") for k in range(3)])
     else:
         raise ValueError(f"unknown prediction source {source!r}")
-    p0, p1, p2 = _softmax3(F.col("e0"), F.col("e1"), F.col("e2"))
-    base = base.select("row_id", "domain", "y_true", "raw",
-                       p0.alias("p0"), p1.alias("p1"), p2.alias("p2"))
+    if source == "embeddings":
+        p0, p1, p2 = _softmax3(F.col("e0"), F.col("e1"), F.col("e2"))
+        base = base.select("row_id", "domain", "y_true", "raw",
+                           p0.alias("p0"), p1.alias("p1"), p2.alias("p2"))
     # One row per (model, input row): a narrow explode, no shuffle.
     models = F.explode(F.array(*[F.lit(m) for m in MODEL_MODULI])).alias("modulus")
     out = base.select("*", models)
