@@ -13,7 +13,7 @@ from textcurate.sources.tables import predictions
 
 _SOFTMAX = ", ".join(
     f"exp(e{k}) / (exp(e0) + exp(e1) + exp(e2)) AS p{k}" for k in range(3))
-_MODELS = "(VALUES (3), (5), (7), (11)) mm(modulus)"
+_MODELS = "(VALUES ('m3', 3), ('m5', 5), ('m7', 7), ('m11', 11), ('c0', 0)) mm(model, modulus)"
 
 
 def pred_sql(source: str = "embeddings") -> str:
@@ -31,13 +31,13 @@ def pred_sql(source: str = "embeddings") -> str:
         return f"""pbase AS ({base}),
 pb2 AS (SELECT row_id, domain, y_true, raw, w0 / (w0 + w1 + w2) AS p0, w1 / (w0 + w1 + w2) AS p1,
         w2 / (w0 + w1 + w2) AS p2 FROM pbase),
-pred AS (SELECT 'm' || CAST(modulus AS VARCHAR) AS model, domain, row_id, y_true,
-         CAST((raw + CASE WHEN row_id % modulus = 0 THEN 1 ELSE 0 END) % 3 AS BIGINT) AS y_pred,
+pred AS (SELECT model, domain, row_id, y_true,
+         CAST(CASE WHEN modulus = 0 THEN 0 ELSE (raw + CASE WHEN row_id % modulus = 0 THEN 1 ELSE 0 END) % 3 END AS BIGINT) AS y_pred,
          p0, p1, p2 FROM pb2, {_MODELS})"""
     return f"""pbase AS ({base}),
 pb2 AS (SELECT row_id, domain, y_true, raw, {_SOFTMAX} FROM pbase),
-pred AS (SELECT 'm' || CAST(modulus AS VARCHAR) AS model, domain, row_id, y_true,
-         CAST((raw + CASE WHEN row_id % modulus = 0 THEN 1 ELSE 0 END) % 3 AS BIGINT) AS y_pred,
+pred AS (SELECT model, domain, row_id, y_true,
+         CAST(CASE WHEN modulus = 0 THEN 0 ELSE (raw + CASE WHEN row_id % modulus = 0 THEN 1 ELSE 0 END) % 3 END AS BIGINT) AS y_pred,
          p0, p1, p2 FROM pb2, {_MODELS})"""
 
 

@@ -13,8 +13,10 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
 
-# The four simulated models, by the modulus of their error rule.
+# The simulated models -- m<k> errs on every k-th row; c0 always
+# predicts class 0 (a degenerate model that the anomaly rules must catch).
 MODEL_MODULI = [3, 5, 7, 11]
+CONSTANT_MODEL = "c0"
 NUM_CLASSES = 3
 
 
@@ -116,18 +118,16 @@ def predictions(spark: SparkSession, sf_dir: str, source: str = "embeddings") ->
         base = base.select("row_id", "domain", "y_true", "raw",
                            p0.alias("p0"), p1.alias("p1"), p2.alias("p2"))
     # One row per (model, input row): a narrow explode, no shuffle.
-    models = F.explode(F.array(*[F.lit(m) for m in MODEL_MODULI])).alias("modulus")
-    out = base.select("*", models)
-    return out.select(
-        F.concat(F.lit("m"), F.col("modulus").cast("string")).alias("model"),
-        "domain", "row_id", "y_true",
-        ((F.col("raw") + F.when(F.col("row_id") % F.col("modulus") == 0, 1).otherwise(0))
-         % 3).cast("long").alias("y_pred"),
-        "p0", "p1", "p2")
+    specs = [F.struct(F.lit(f"m{m}").alias("model"), F.lit(m).alias("modulus")) for m in MODEL_MODULI]
+    specs.append(F.struct(F.lit(CONSTANT_MODEL).alias("model"), F.lit(0).alias("modulus")))
+    out = base.select("*", F.explode(F.array(*specs)).alias("_m"))
+    err = F.when(F.col("row_id") % F.col("_m.modulus") == 0, 1).otherwise(0)
+    y_pred = F.when(F.col("_m.modulus") == 0, F.lit(0)).otherwise((F.col("raw") + err) % 3)
+    return out.select(F.col("_m.model").alias("model"), "domain", "row_id", "y_true",
+                      y_pred.cast("long").alias("y_pred"), "p0", "p1", "p2")
 
 
 # How events are read as training-log entries.
-LOG_STEP_ORIGIN = 473352  # hours from the epoch to 2024-01-01T00:00Z
 TRAIN_EVENT = "view"
 EVAL_EVENT = "purchase"
 METRIC_EVENT = "signup"
@@ -140,7 +140,8 @@ def training_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss, a 'purchase' an eval loss, a 'signup' a combined metric (value/500).
     """
     ev = table(spark, sf_dir, "events")
-    step = (F.floor(F.unix_seconds(F.col("ts")) / 3600) - LOG_STEP_ORIGIN).cast("long")
+    # whole hours since the origin; timezone-free for TIMESTAMP_NTZ columns
+    step = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("long")
     v = F.col("value").cast("double")
     return ev.select(
         F.col("user_id").alias("run"), step.alias("step"), "event_id",
