@@ -1 +1,95 @@
-"""Placeholder."""
+"""Augmentation queries (AUG-01..04, MET-18) over the labelled reviews."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textcurate.operators import augment as A
+from textcurate.plans import sqlparts as S
+from textcurate.plans.registry import register
+from textcurate.sources.tables import labelled_reviews
+
+_STRIP = "[,.!?]"
+
+
+def _h(key_sql: str, salt: str) -> str:
+    return f"('0x' || substr(md5('42:' || {key_sql} || ':{salt}'), 1, 8))::UBIGINT"
+
+
+def _syn_sql(text: str, idc: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in A.SYNONYMS.items())
+    opts = f"(CASE regexp_replace(lower(t), '^{_STRIP}+|{_STRIP}+$', '', 'g') {cases} END)"
+    pick = _h(f"CAST({idc} AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)", "syn")
+    return (f"array_to_string(list_transform({S.words(text)}, lambda t, i: "
+            f"CASE WHEN {opts} IS NULL THEN t ELSE {opts}[CAST({pick} % len({opts}) AS BIGINT) + 1] END), ' ')")
+
+
+def _inject_sql(text: str, idc: str) -> str:
+    w = S.words(text)
+    phrases = "[" + ", ".join(repr(p) for p in A.FALLBACK_PHRASES) + "]"
+    pos = f"CAST({_h(f'CAST({idc} AS VARCHAR)', 'pos')} % (len(ws) + 1) AS BIGINT)"
+    ph = f"{phrases}[CAST({_h(f'CAST({idc} AS VARCHAR)', 'phrase')} % {len(A.FALLBACK_PHRASES)} AS BIGINT) + 1]"
+    return (f"(SELECT array_to_string(list_concat(list_concat(ws[1:{pos}], [{ph}]), ws[{pos} + 1:]), ' ') "
+            f"FROM (SELECT {w} AS ws))")
+
+
+def _aug_sql(text: str, idc: str) -> str:
+    return _inject_sql(f"({_syn_sql(text, idc)})", idc)
+
+
+_LAB = f"WITH {S.LABELLED}"
+
+
+@register("aug_synonym", f"""{_LAB}
+SELECT id, {_syn_sql('text', 'id')} AS text FROM labelled""")
+def aug_synonym(spark, sf):
+    """AUG-01: seeded synonym replacement of whole tokens (five keys)."""
+    lab = labelled_reviews(spark, sf)
+    return lab.select("id", A.replace_synonyms(F.col("text"), F.col("id")).alias("text"))
+
+
+@register("aug_inject", f"""{_LAB}
+SELECT id, {_inject_sql('text', 'id')} AS text FROM labelled""")
+def aug_inject(spark, sf):
+    """AUG-02: one hedging phrase inserted at a seeded position 0..len."""
+    lab = labelled_reviews(spark, sf)
+    phrases = A.load_phrases(spark)
+    return lab.select("id", A.inject_phrase(F.col("text"), F.col("id"), phrases).alias("text"))
+
+
+@register("aug_full", f"""{_LAB}
+SELECT id, {_aug_sql('text', 'id')} AS text FROM labelled""")
+def aug_full(spark, sf):
+    """AUG-03: synonyms, then phrase injection."""
+    lab = labelled_reviews(spark, sf)
+    return lab.select("id", A.augment_text(F.col("text"), F.col("id"), A.load_phrases(spark)).alias("text"))
+
+
+_ROWS_SQL = f"""{_LAB},
+aug AS (
+  SELECT CAST(id AS VARCHAR) || '_orig' AS id, text, id AS source_id, sentiment FROM labelled
+  UNION ALL
+  SELECT CAST(id AS VARCHAR) || '_aug', {_aug_sql('text', 'id')}, id, sentiment FROM labelled)"""
+
+
+@register("aug_rows", f"""{_ROWS_SQL}
+SELECT * FROM aug""")
+def aug_rows(spark, sf):
+    """AUG-04: every labelled row as '<id>_orig' plus its '<id>_aug' variant."""
+    lab = labelled_reviews(spark, sf)
+    return A.augmented_rows(lab, "id", "text", "sentiment", A.load_phrases(spark))
+
+
+@register("mixed_ratio", f"""{_ROWS_SQL},
+n AS (SELECT count(*) * 3 // 7 AS target FROM labelled),
+syn AS (SELECT id, text, sentiment, row_number() OVER (ORDER BY md5('42:' || id), id) AS rk FROM aug WHERE id LIKE '%_aug')
+SELECT CAST(id AS VARCHAR) AS id, text, sentiment, 'real' AS origin FROM labelled
+UNION ALL
+SELECT id, text, sentiment, 'synthetic' FROM syn, n WHERE rk <= target""")
+def mixed_ratio(spark, sf):
+    """MET-18: real reviews plus seeded synthetic variants making up 30 %."""
+    lab = labelled_reviews(spark, sf)
+    rows = A.augmented_rows(lab, "id", "text", "sentiment", A.load_phrases(spark))
+    syn = rows.where(F.col("id").endswith(A.AUG_SUFFIX)).select("id", "text", "sentiment")
+    real = lab.select(F.col("id").cast("string").alias("id"), "text", "sentiment")
+    return A.mixed_ratio(real, syn, "id")
