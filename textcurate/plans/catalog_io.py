@@ -1 +1,215 @@
-"""Placeholder."""
+"""Sources, sinks and contract checks (SRC-*, SNK-*, VAL-01..03, TXT-12).
+
+Round-trip queries write data derived from the driver tables below the shared
+folder (``spark.checkpoint.dir``), read it back through the source under
+test, and return what was read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textcurate.operators import leaderboard as LB
+from textcurate.operators import splits
+from textcurate.plans import sqlparts as S
+from textcurate.plans.registry import register
+from textcurate.session import scratch_path
+from textcurate.sources import envelope as E
+from textcurate.sources import sinks
+from textcurate.sources.tables import (doc_positions, labelled_reviews, predictions, reviews,
+                                       table, training_logs)
+
+# Fixed value: envelopes hold at most this many reviews (bounded groups).
+ENVELOPE_ROWS = 1000
+
+
+def _count_label(arr: str, label: str):
+    return F.size(F.filter(arr, lambda r: r["sentiment"] == F.lit(label))).cast("long")
+
+
+def write_envelopes(spark, sf, path):
+    """Reviews of each domain as JSON-lines envelopes of <= 1000 reviews each
+    (grouped by domain and id block, so no group is unbounded)."""
+    rv = reviews(spark, sf).withColumn("_blk", F.floor(F.col("pos") / ENVELOPE_ROWS))
+    env = rv.groupBy("domain", "_blk").agg(
+        F.array_sort(F.collect_list(F.struct("id", "text", "sentiment"))).alias("generated_data"))
+    env = env.select("domain", "generated_data", F.struct(
+        F.size("generated_data").cast("long").alias("total_generated"),
+        F.struct(*[_count_label("generated_data", s).alias(s)
+                   for s in ["positive", "neutral", "negative"]])
+        .alias("sentiment_distribution")).alias("summary"))
+    env.write.mode("overwrite").json(path)
+    return path
+
+
+@register("src_envelope")
+def src_envelope(spark, sf):
+    """SRC-01: review envelopes (written from the documents) read back one row
+    per review, order kept by (file, position in envelope)."""
+    path = write_envelopes(spark, sf, scratch_path(spark, "envelopes"))
+    return E.read_envelopes(spark, path)
+
+
+@register("val_envelope", """
+SELECT true AS has_domain, true AS has_generated_data, CAST(count(*) AS BIGINT) AS n_reviews,
+       count(*) > 0 AS valid FROM documents""")
+def val_envelope(spark, sf):
+    """VAL-01: an envelope needs 'domain' and 'generated_data' and at least one
+    review (schema check + existence)."""
+    rv = reviews(spark, sf)
+    cols = set(rv.columns)
+    n = rv.agg(F.count(F.lit(1)).cast("long").alias("n_reviews"))
+    return n.select(F.lit("domain" in cols).alias("has_domain"),
+                    F.lit("text" in cols and "sentiment" in cols).alias("has_generated_data"),
+                    "n_reviews", ((F.col("n_reviews") > 0) & F.lit("domain" in cols)).alias("valid"))
+
+
+@register("src_eval_rows", f"""WITH {S.REVIEWS}
+SELECT text, CAST(coalesce(CASE lower(trim(sentiment)) WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
+  WHEN 'positive' THEN 2 END, 1) AS BIGINT) AS label, id FROM reviews""")
+def src_eval_rows(spark, sf):
+    """SRC-02: evaluation rows -- text and integer label (unknown -> neutral)."""
+    return E.eval_rows(reviews(spark, sf).select("id", "text", "sentiment"))
+
+
+@register("dataset_id", """
+WITH c AS (SELECT source AS domain, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source), ()))
+SELECT coalesce(domain, 'all') AS domain, CAST(n AS BIGINT) AS n,
+  coalesce(domain, 'all') || '_' || CASE WHEN n >= 1000000 THEN CAST(n // 1000000 AS VARCHAR) || 'm'
+    WHEN n >= 1000 THEN CAST(n // 1000 AS VARCHAR) || 'k' ELSE CAST(n AS VARCHAR) END || '_20250101_000000_synthetic' AS dataset_id
+FROM c""")
+def dataset_id(spark, sf):
+    """SNK-04: dataset id per domain (and overall), fixed stamp and tag."""
+    d = table(spark, sf, "documents")
+    c = d.groupingSets([["source"], []], "source").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    dom = F.coalesce(F.col("source"), F.lit("all"))
+    return c.select(dom.alias("domain"), "n",
+                    sinks.dataset_id(dom, F.col("n"), sinks.DEFAULT_STAMP, "synthetic").alias("dataset_id"))
+
+
+def _split_frame(spark, sf):
+    """Labelled reviews split 70/15/15, in dataset layout: text, labels, id
+    (local 0..N-1 in input order), original_id (document id), split."""
+    lab = labelled_reviews(spark, sf).select("id", "pos", "text", "sentiment")
+    lab = splits.renumber(lab, "pos", out="_lid", bounds_from=doc_positions(spark, sf))
+    lab = lab.select((F.col("_lid") - 1).alias("lid"), F.col("id").alias("original_id"),
+                     "text", "sentiment")
+    sp = splits.stratified_split(lab, "sentiment", "lid")
+    return sp.select(F.col("text"), F.col("sentiment").alias("labels"), F.col("lid").alias("id"),
+                     "original_id", "split")
+
+
+_SPLIT_FRAME_SQL = f"""WITH {S.LABELLED},
+lab2 AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS lid, id AS original_id, text, sentiment FROM labelled),
+{S.stratified('lab2', idc='lid')},
+frame AS (SELECT text, sentiment AS labels, lid AS id, original_id, split FROM split_rows)"""
+
+# Columns each split must carry, and the consumer formats.
+REQUIRED = ["text", "labels", "id", "original_id"]
+FORMATS = {"sentiment_classification": {}, "sequence_classification": {"labels": "label"},
+           "roberta": {"text": "input_text"}, "bert": {}}
+
+
+@register("reformat", f"""{_SPLIT_FRAME_SQL}
+SELECT split, text AS input_text, labels, id, original_id FROM frame""")
+def reformat(spark, sf):
+    """TXT-12: project splits for a consumer ('roberta': text -> input_text;
+    'sequence_classification': labels -> label); unknown type is an error."""
+    return reformat_for(_split_frame(spark, sf), "roberta")
+
+
+def reformat_for(frame, fmt: str):
+    if fmt not in FORMATS:
+        raise ValueError(f"Unsupported model type: {fmt}")
+    return frame.withColumnsRenamed(FORMATS[fmt]).select(
+        "split", *[FORMATS[fmt].get(c, c) for c in REQUIRED])
+
+
+@register("val_splits", f"""{_SPLIT_FRAME_SQL},
+want(split) AS (VALUES ('train'), ('validation'), ('test')),
+have AS (SELECT split, count(*) AS n FROM frame GROUP BY split)
+SELECT w.split, coalesce(h.n, 0) > 0 AS present, '' AS missing_columns, coalesce(h.n, 0) > 0 AS ok
+FROM want w LEFT JOIN have h ON h.split = w.split""")
+def val_splits(spark, sf):
+    """VAL-02: each of the three splits exists and carries text, labels, id,
+    original_id; one status row per split."""
+    frame = _split_frame(spark, sf)
+    missing = ",".join(c for c in REQUIRED if c not in frame.columns)
+    have = frame.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    want = spark.createDataFrame([(s,) for s in ["train", "validation", "test"]], "split string")
+    j = F.broadcast(want).join(have, "split", "left")
+    present = F.coalesce(F.col("n"), F.lit(0)) > 0
+    return j.select("split", present.alias("present"), F.lit(missing).alias("missing_columns"),
+                    (present & F.lit(missing == "")).alias("ok"))
+
+
+@register("inspect_splits", f"""{_SPLIT_FRAME_SQL}
+SELECT split, CAST(count(*) AS BIGINT) AS n, min(id) AS sample_id, arg_min(text, id) AS sample_text,
+       arg_min(labels, id) AS sample_labels FROM frame GROUP BY split""")
+def inspect_splits(spark, sf):
+    """VAL-03: per split its size and one sample row (the lowest id)."""
+    frame = _split_frame(spark, sf)
+    g = frame.groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("n"),
+                                   F.min_by(F.struct("id", "text", "labels"), "id").alias("s"))
+    return g.select("split", "n", F.col("s.id").alias("sample_id"),
+                    F.col("s.text").alias("sample_text"), F.col("s.labels").alias("sample_labels"))
+
+
+@register("snk_splits")
+def snk_splits(spark, sf):
+    """SNK-02: splits written one folder per split, read back."""
+    path = sinks.write_splits(_split_frame(spark, sf), scratch_path(spark, "splits"))
+    return spark.read.parquet(path)
+
+
+@register("snk_curated")
+def snk_curated(spark, sf):
+    """SNK-01 + AGG-10: full curation run writing rows under (domain,
+    dataset_id) and a metrics document per domain; returns the rows read back."""
+    from textcurate.plans.curate import run_curation
+
+    base = scratch_path(spark, "curated")
+    res = run_curation(spark, sf, sink_dir=base, dataset_tag="synthetic")
+    if res["status"] != "success":
+        raise RuntimeError(res.get("message"))
+    return spark.read.parquet(res["storage"]["data_path"])
+
+
+@register("src_dataset")
+def src_dataset(spark, sf):
+    """SRC-03: write curated data, then load one dataset id with partition pruning."""
+    base = scratch_path(spark, "curated")
+    rows = reviews(spark, sf).select("id", "text", "sentiment", "domain")
+    sinks.write_curated(rows, base, {"total_processed": 0})
+    ids = spark.read.parquet(f"{base}/metrics").orderBy("dataset_id").limit(1).collect()
+    return E.load_dataset(spark, f"{base}/processed", ids[0]["dataset_id"])
+
+
+@register("metrics_history")
+def metrics_history(spark, sf):
+    """SRC-04: metrics documents of one domain, oldest first (two runs written)."""
+    base = scratch_path(spark, "curated")
+    rows = reviews(spark, sf).select("id", "text", "sentiment", "domain")
+    for stamp in ["20250101_000000", "20250102_000000"]:
+        sinks.write_curated(rows, base, {"total_processed": 1}, stamp=stamp)
+    return E.metrics_history(spark, f"{base}/metrics", "src1")
+
+
+@register("snk_eval")
+def snk_eval(spark, sf):
+    """SNK-03: per-model metrics appended as (model, dataset, metric, value)."""
+    mm = LB.model_metrics(predictions(spark, sf))
+    path = sinks.append_evaluations(mm, scratch_path(spark, "evaluations"), ["model"], "embeddings")
+    return spark.read.parquet(path)
+
+
+@register("src_training_logs")
+def src_training_logs(spark, sf):
+    """SRC-07 + LDB-04: training logs written as one folder per run, read back
+    by glob (run id from the folder), best checkpoint selected."""
+    path = scratch_path(spark, "runs")
+    logs = training_logs(spark, sf).select("run", "step", F.col("event_id").alias("entry"),
+                                           "loss", "eval_loss", "eval_combined_metric")
+    logs.write.mode("overwrite").partitionBy("run").json(path)
+    back = E.read_training_logs(spark, f"{path}/run=*/*.json")
+    return LB.best_checkpoint(back.withColumnRenamed("entry", "event_id"))
