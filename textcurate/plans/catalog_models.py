@@ -1 +1,93 @@
-"""Placeholder."""
+"""Model-backed queries (UDF-01/02, ML-01, AUG-05/06). Rows-only checks: the
+scores come from models trained on the data, not from SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textcurate.functions import labels as L
+from textcurate.functions import text as T
+from textcurate.operators import augment as A
+from textcurate.operators import profile, scoring, splits
+from textcurate.plans.registry import register
+from textcurate.sources.tables import labelled_reviews, table
+
+
+def _partitioned(spark, sf):
+    lab = labelled_reviews(spark, sf).select("id", T.clean_strict("text").alias("text"), "sentiment")
+    part = splits.partition_labeled(lab, "id", "sentiment")
+    return part.withColumn("label_idx", L.encode_label("sentiment"))
+
+
+def _nb_factory(spark, sf):
+    part = _partitioned(spark, sf)
+    nb = scoring.train_naive_bayes(part.where("is_labeled"), "text", "label_idx")
+    return lambda: nb
+
+
+@register("embed")
+def embed(spark, sf):
+    """UDF-01: every document -> unit vector (hashed bag of words, Arrow batches)."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
+                                             T.clean_strict("text").alias("text"))
+    return scoring.embed(d, "text").select("id", "embedding")
+
+
+@register("score")
+def score(spark, sf):
+    """UDF-02: every document -> class scores from the naive Bayes scorer
+    trained on the labelled partition, plus the argmax label."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
+                                             T.clean_strict("text").alias("text"))
+    s = scoring.score(d, "text", _nb_factory(spark, sf))
+    return s.select("id", "scores", L.argmax("scores").alias("label"))
+
+
+@register("train_score")
+def train_score(spark, sf):
+    """ML-01: class-weighted logistic regression (weights from the healthcare
+    mix, AGG-07) trained on the labelled partition; scores every labelled review."""
+    part = _partitioned(spark, sf)
+    dom = spark.createDataFrame([("healthcare",)], "domain string")
+    w = profile.class_weights(spark, dom, "domain").select(
+        F.col("label_idx").cast("int").alias("label_idx"), "weight")
+    train = part.where("is_labeled").join(F.broadcast(w), "label_idx")
+    model = scoring.train_classifier(train.withColumn("label_idx", F.col("label_idx").cast("double")),
+                                     "text", "label_idx", "weight")
+    return scoring.apply_classifier(model, part.select("id", "text", "label_idx")) \
+                  .select("id", "label_idx", "pred", "probs")
+
+
+@register("relabel")
+def relabel(spark, sf):
+    """AUG-05: re-label the unlabelled partition with the batch scorer."""
+    part = _partitioned(spark, sf)
+    return scoring.relabel(part.where(~F.col("is_labeled")).select("id", "text"), "text",
+                           _nb_factory(spark, sf))
+
+
+@register("augment_e2e")
+def augment_e2e(spark, sf):
+    """AUG-06: partition -> re-label -> original + augmented rows -> 80/10/10
+    split -> label codes. (Splitting after duplication can separate a row from
+    its variant, as in the reference; ``group_by_source`` below keeps them
+    together.)"""
+    return augment_pipeline(spark, sf)
+
+
+def augment_pipeline(spark, sf, group_by_source: bool = False):
+    part = _partitioned(spark, sf)
+    labelled = part.where("is_labeled").select("id", "text", "sentiment")
+    relabelled = scoring.relabel(part.where(~F.col("is_labeled")).select("id", "text"), "text",
+                                 _nb_factory(spark, sf))
+    combined = labelled.unionByName(relabelled)
+    rows = A.augmented_rows(combined, "id", "text", "sentiment", A.load_phrases(spark))
+    key = "source_id" if group_by_source else "id"
+    if group_by_source:
+        sp = splits.sequential_split(rows.select("source_id").distinct(), "source_id")
+        rows = rows.join(sp, "source_id")
+    else:
+        rows = splits.sequential_split(rows, key)
+    code = L.encode_label("sentiment")
+    return rows.withColumn("label", F.when(code.isNull(), F.raise_error(F.lit("unknown label")))
+                           .otherwise(code).cast("long"))
