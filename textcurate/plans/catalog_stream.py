@@ -1 +1,28 @@
-"""Placeholder."""
+"""Streaming queries (STR-*): run to completion with availableNow, then read
+the sink back. Rows-only checks (the batch equivalents are tested in tests/)."""
+
+from __future__ import annotations
+
+from textcurate.streaming import stream as ST
+from textcurate.plans.registry import register
+
+
+@register("stream_clean")
+def stream_clean(spark, sf):
+    """STR-01: continuous strict clean + length filter of the document stream."""
+    s = ST.clean_stream(ST.review_stream(spark, sf)).select("id", "clean_text", "word_count")
+    return spark.read.parquet(ST.run_available(s, "stream-clean"))
+
+
+@register("stream_dedup")
+def stream_dedup(spark, sf):
+    """STR-02: continuous exact dedup (watermarked dropDuplicates on the key)."""
+    s = ST.dedup_stream(ST.review_stream(spark, sf)).select("id", "dup_key")
+    return spark.read.parquet(ST.run_available(s, "stream-dedup"))
+
+
+@register("stream_summary")
+def stream_summary(spark, sf):
+    """STR-03: per-domain counters in tumbling windows of the stream."""
+    s = ST.summary_stream(ST.review_stream(spark, sf))
+    return spark.read.parquet(ST.run_available(s, "stream-summary"))
