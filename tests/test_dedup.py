@@ -73,14 +73,10 @@ def test_ksim_equals_brute_force(spark, threshold):
         vecs[" ".join(toks)] = _bow(r["k"])
     keys = sorted(vecs)
     brute = {(a, b) for a, b in itertools.combinations(keys, 2) if _cos(vecs[a], vecs[b]) >= threshold}
-    v = docs.withColumn("_tok", T.words("k")).withColumn("vid", simjoin.vector_id(F.col("_tok"))) \
-            .withColumn("canon", simjoin.canonical_tokens(F.col("_tok")))
-    vectors = v.groupBy("vid").agg(F.first("canon").alias("canon"), F.first("k").alias("k"))
-    post = simjoin.postings(vectors)
-    nodes = vectors.select("vid", F.array_join("canon", " ").alias("c"))
-    a = nodes.select(F.col("vid").alias("vid_a"), F.col("c").alias("c_a"))
-    b = nodes.select(F.col("vid").alias("vid_b"), F.col("c").alias("c_b"))
-    got = simjoin.similar_pairs(a, b, post, threshold, condition=F.col("c_a") < F.col("c_b"))
+    v = simjoin.vector_columns(docs, T.words("k"))
+    nodes = v.groupBy("vid").agg(F.first("canon").alias("canon")) \
+             .withColumn("c", F.array_join("canon", " "))
+    got = simjoin.similar_pairs(nodes, ["c"], threshold, condition=F.col("c_a") < F.col("c_b"))
     ours = {(r["c_a"], r["c_b"]) for r in got.collect()}
     assert ours == brute
     assert len(brute) > 0

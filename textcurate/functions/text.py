@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 # Characters kept by the strict clean (whitespace is a single space by then).
-STRICT_KEEP = r"[^a-zA-Z0-9 .,!?-]"
+STRICT_KEEP = r"[^a-zA-Z0-9 .,!?-]+"
 # Characters kept by the permissive clean: Python's Unicode \w, whitespace, .,!?'"-
 PERMISSIVE_DROP = r"[^\p{L}\p{N}_" + WS[1:-1] + r".,!?'" + '"' + r"-]"
 # Length bounds of the curation filter, inclusive.
@@ -74,6 +74,18 @@ def words(c) -> Column:
     return F.filter(F.split(collapse_ws(c), " ", -1), lambda w: w != F.lit(""))
 
 
+def clean_words(c) -> Column:
+    """Tokens of strict-cleaned text, whose only whitespace is the plain space:
+    the same result as ``words`` with one cheap split instead of a regex pass
+    over the full whitespace class."""
+    return F.filter(F.split(_col(c), " ", -1), lambda w: w != F.lit(""))
+
+
+def clean_dup_key(c) -> Column:
+    """TXT-03 on strict-cleaned text (plain spaces only): lower, collapse, trim."""
+    return F.trim(F.regexp_replace(F.lower(_col(c)), " {2,}", " "))
+
+
 def word_count(c) -> Column:
     """TXT-04. Null text counts 0 words (and is length-filtered)."""
     return F.coalesce(F.size(words(c)).cast("long"), F.lit(0).cast("long"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from textcurate.functions import text as T
 from textcurate.operators import rank, simjoin
+from textcurate.session import cut_lineage
 
 # Fixed values of the duplicate detector.
 NEAR_THRESHOLD = 0.92          # cosine, inclusive
@@ -34,9 +35,10 @@ DOMAIN_MULTIPLIER = {"general": 1.0, "technology": 0.9, "service": 1.1}
 def prepare(reviews: DataFrame) -> DataFrame:
     """Clean (TXT-01), count words (TXT-04), length flag (FLT-01), key (TXT-03)."""
     out = reviews.withColumn("clean_text", T.clean_strict("text"))
-    out = out.withColumn("word_count", T.word_count("clean_text"))
+    out = out.withColumn("word_count", F.coalesce(F.size(T.clean_words("clean_text")).cast("long"),
+                                                  F.lit(0).cast("long")))
     out = out.withColumn("keep_len", F.coalesce(T.in_length_range("word_count"), F.lit(False)))
-    return out.withColumn("dup_key", T.dup_key("clean_text"))
+    return out.withColumn("dup_key", T.clean_dup_key("clean_text"))
 
 
 def with_scope(rows: DataFrame, scope: str) -> tuple[DataFrame, list[str]]:
@@ -63,42 +65,31 @@ def exact_firsts(kept: DataFrame, scope: Sequence[str], key: str = "dup_key") ->
             .select("pos", F.lit(True).alias("_first_key")))
 
 
-def near_nodes(kept: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors per scope with their first position, and the postings."""
-    v = kept.withColumn("_tok", T.words("dup_key")) \
-            .withColumn("vid", simjoin.vector_id(F.col("_tok"))) \
-            .withColumn("canon", simjoin.canonical_tokens(F.col("_tok")))
-    nodes = v.groupBy(*scope, "vid").agg(F.min("pos").alias("first_pos"))
-    vectors = v.groupBy("vid").agg(F.first("canon").alias("canon"))
-    return nodes, simjoin.postings(vectors)
+def near_nodes(kept: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Distinct vectors per scope with their first position and token list."""
+    v = simjoin.vector_columns(kept, T.clean_words("dup_key"))
+    return v.groupBy(*scope, "vid").agg(F.min("pos").alias("first_pos"),
+                                        F.first("canon").alias("canon"))
 
 
-def near_firsts(nodes: DataFrame, post: DataFrame, scope: Sequence[str],
+def near_firsts(nodes: DataFrame, scope: Sequence[str],
                 threshold_col: str | None = None, threshold: float = NEAR_THRESHOLD,
                 min_threshold: float | None = None) -> DataFrame:
     """First positions of vectors that have an earlier similar vector in scope."""
-    def side(s):
-        cols = [F.col("vid").alias(f"vid_{s}"), F.col("first_pos").alias(f"first_pos_{s}")]
-        cols += [F.col(c).alias(f"{c}_{s}") for c in scope]
-        if threshold_col:
-            cols.append(F.col(threshold_col).alias(f"thr_{s}"))
-        return nodes.select(*cols)
-
+    cols = ["first_pos"] + ([threshold_col] if threshold_col else [])
     cond = F.col("first_pos_a") < F.col("first_pos_b")
     if threshold_col is None:
-        pairs = simjoin.similar_pairs(side("a"), side("b"), post, threshold, on=scope,
-                                      condition=cond)
+        pairs = simjoin.similar_pairs(nodes, cols, threshold, on=scope, condition=cond)
     else:
-        pairs = simjoin.similar_pairs(side("a"), side("b"), post, min_threshold, on=scope,
-                                      condition=cond)
-        pairs = pairs.where(F.col("sim") >= F.col("thr_b"))
+        pairs = simjoin.similar_pairs(nodes, cols, min_threshold, on=scope, condition=cond)
+        pairs = pairs.where(F.col("sim") >= F.col(f"{threshold_col}_b"))
     return pairs.select(F.col("first_pos_b").alias("pos")).distinct() \
                 .select("pos", F.lit(True).alias("_near_first"))
 
 
 def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_THRESHOLD,
              near: bool = True, threshold_expr: Column | None = None,
-             prepared: bool = False) -> DataFrame:
+             prepared: bool = False, checkpoint: bool = True) -> DataFrame:
     """DUP-03 cascade over ``scope``. Adds clean_text, word_count, keep_len,
     dup_key, is_exact, is_near (raw flags) and dup_type (null / 'exact' /
     'similar'; null for length-filtered rows, which are never compared).
@@ -107,12 +98,16 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
     pair counts when its cosine reaches the threshold of the later row.
     """
     rows = reviews if prepared else prepare(reviews)
+    if checkpoint and not prepared:
+        # the cleaned rows feed four branches (output, key firsts, vector
+        # nodes, postings): cut lineage once instead of re-running the regexes
+        rows = cut_lineage(rows)
     rows, scope_cols = with_scope(rows, scope)
     kept = rows.where("keep_len")
     out = rows.join(exact_firsts(kept, scope_cols), "pos", "left")
     is_exact = F.col("keep_len") & F.col("_first_key").isNull()
     if near:
-        nodes, post = near_nodes(kept, scope_cols)
+        nodes = near_nodes(kept, scope_cols)
         thr_col, min_thr = None, threshold
         if threshold_expr is not None:
             # the threshold of a vector as the later side is that of its first row
@@ -121,7 +116,7 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
             thr_col = "thr"
             min_thr = min(round(threshold * m, 9) for m in DOMAIN_MULTIPLIER.values())
         firsts = nodes.select(F.col("first_pos").alias("pos"), F.lit(True).alias("_first_vec"))
-        nf = near_firsts(nodes, post, scope_cols, thr_col, threshold, min_thr)
+        nf = near_firsts(nodes, scope_cols, thr_col, threshold, min_thr)
         out = out.join(firsts, "pos", "left").join(nf, "pos", "left")
         later_copy = F.col("_first_vec").isNull()
         if threshold_expr is not None:

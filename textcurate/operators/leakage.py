@@ -91,17 +91,11 @@ def cross_split_similar(df: DataFrame, text: str = "clean_text", split: str = "s
     """DUP-08: vector pairs between splits with cosine > threshold (strict).
     Copies collapse: a node is (split, vector) with its row count, and the
     result lists each similar vector pair once with n_pairs = n_a * n_b."""
-    v = df.withColumn("_tok", T.words(T.dup_key(text))).withColumn(
-        "vid", simjoin.vector_id(F.col("_tok"))).withColumn(
-        "canon", simjoin.canonical_tokens(F.col("_tok")))
-    nodes = v.groupBy(split, "vid").agg(F.count(F.lit(1)).alias("n"))
-    post = simjoin.postings(v.groupBy("vid").agg(F.first("canon").alias("canon")))
-
-    def side(s):
-        return nodes.select(F.col("vid").alias(f"vid_{s}"), F.col(split).alias(f"split_{s}"),
-                            F.col("n").alias(f"n_{s}"))
-
-    pairs = simjoin.similar_pairs(side("a"), side("b"), post, threshold, strict=True,
+    v = simjoin.vector_columns(df, T.words(T.dup_key(text)))
+    nodes = v.groupBy(split, "vid").agg(F.count(F.lit(1)).alias("n"), F.first("canon").alias("canon"))
+    if split != "split":
+        nodes = nodes.withColumnRenamed(split, "split")
+    pairs = simjoin.similar_pairs(nodes, ["split", "n"], threshold, strict=True,
                                   condition=split_rank(F.col("split_a")) < split_rank(F.col("split_b")))
     return pairs.select(F.concat_ws("-", "split_a", "split_b").alias("pair"), "vid_a", "vid_b",
                         "sim", (F.col("n_a") * F.col("n_b")).cast("long").alias("n_pairs"))

@@ -10,16 +10,18 @@ ascending global document frequency, then token. Keep a token in the vector's
 least the threshold t. If cos(x, y) >= t the two prefixes share a token
 (Cauchy-Schwarz on the suffix after the earlier prefix end), so joining prefix
 postings on token finds every qualifying pair. Candidates are verified with an
-exact integer dot product from the token postings.
+exact integer dot product of the two token-sorted (token, tf) lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textcurate.session import cut_lineage
+
 # Similarities are rounded to this many decimals before any threshold test, in
 # every engine, so that threshold decisions do not depend on summation order.
 SIM_DECIMALS = 9
@@ -38,89 +40,106 @@ def vector_id(tokens: Column) -> Column:
     return F.md5(F.array_join(canonical_tokens(tokens), " "))
 
 
-def postings(vectors: DataFrame) -> DataFrame:
-    """(vid, canon) distinct vectors -> (vid, token, tf)."""
-    ex = vectors.select("vid", F.explode("canon").alias("token"))
-    return ex.groupBy("vid", "token").agg(F.count(F.lit(1)).cast("long").alias("tf"))
+def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
+    """One row per distinct vector: (vid, bag, n2, prefix).
+
+    ``bag`` is the (token, tf) list sorted by token, ``n2`` the squared norm and
+    ``prefix`` the vector's prefix tokens for cosine >= threshold. Term
+    frequencies and document frequencies are partial aggregates (a hot token
+    or a hot vector combines on the map side); everything else is per-vector
+    array work on one document's vocabulary.
+    """
+    vec = nodes.select("vid", "canon").dropDuplicates(["vid"])
+    post = (vec.select("vid", F.explode("canon").alias("token"))
+            .groupBy("vid", "token").agg(F.count(F.lit(1)).cast("long").alias("tf")))
+    dfreq = post.groupBy("token").agg(F.count(F.lit(1)).cast("long").alias("dfreq"))
+    per = post.join(dfreq, "token").groupBy("vid").agg(
+        F.collect_list(F.struct("dfreq", "token", "tf")).alias("items"))
+    t = max(threshold - PREFIX_SLACK, 0.0)
+    n2 = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["tf"] * x["tf"])
+    per = per.select("vid", F.array_sort("items").alias("ordered"), n2.alias("n2"))
 
+    # prefix = the first k tokens in (dfreq, token) order, k = number of
+    # tokens whose suffix norm (this token included) is still >= t
+    init = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("k"))
 
-def norms(post: DataFrame) -> DataFrame:
-    return post.groupBy("vid").agg(F.sum(F.col("tf") * F.col("tf")).cast("long").alias("n2"))
+    def step(acc, x):
+        keep = (F.col("n2") - acc["used"]).cast("double") >= F.lit(t * t) * F.col("n2").cast("double")
+        return F.struct((acc["used"] + x["tf"] * x["tf"]).alias("used"),
+                        (acc["k"] + F.when(keep, 1).otherwise(0)).alias("k"))
 
+    k = F.aggregate("ordered", init, step)["k"]
+    return per.select(
+        "vid", "n2",
+        F.array_sort(F.transform("ordered", lambda x: F.struct(x["token"].alias("token"),
+                                                                x["tf"].alias("tf")))).alias("bag"),
+        F.transform(F.slice("ordered", F.lit(1), F.greatest(k, F.lit(1))),
+                    lambda x: x["token"]).alias("prefix"),
+        k.alias("_k")).select(
+        "vid", "n2", "bag", F.when(F.col("_k") > 0, F.col("prefix"))
+        .otherwise(F.array().cast("array<string>")).alias("prefix"))
 
-def prefixes(post: DataFrame, threshold: float) -> DataFrame:
-    """(vid, token) kept in each vector's prefix for cosine >= threshold.
 
-    Document frequency is a partial aggregate per token (hot tokens combine on
-    the map side); the per-vector window holds one document's distinct tokens.
-    """
-    dfreq = post.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
-    ranked = post.join(dfreq, "token")
-    w_vec = Window.partitionBy("vid")
-    w_suffix = (Window.partitionBy("vid").orderBy("dfreq", "token")
-                .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    t = max(threshold - PREFIX_SLACK, 0.0)
-    staged = ranked.select(
-        "vid", "token",
-        F.sum(F.col("tf") * F.col("tf")).over(w_suffix).alias("suffix2"),
-        F.sum(F.col("tf") * F.col("tf")).over(w_vec).alias("n2"))
-    return staged.where(F.col("suffix2").cast("double") >= F.lit(t * t) * F.col("n2")) \
-                 .select("vid", "token")
-
-
-def cosine(post: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact cosine for distinct (vid_a, vid_b) pairs -> (vid_a, vid_b, sim)."""
-    pa = post.select(F.col("vid").alias("vid_a"), "token", F.col("tf").alias("tf_a"))
-    pb = post.select(F.col("vid").alias("vid_b"), "token", F.col("tf").alias("tf_b"))
-    dots = (pairs.join(pa, "vid_a").join(pb, ["vid_b", "token"])
-            .groupBy("vid_a", "vid_b")
-            .agg(F.sum(F.col("tf_a") * F.col("tf_b")).cast("long").alias("dot")))
-    nrm = norms(post)
-    na = nrm.select(F.col("vid").alias("vid_a"), F.col("n2").alias("n2_a"))
-    nb = nrm.select(F.col("vid").alias("vid_b"), F.col("n2").alias("n2_b"))
-    return (dots.join(na, "vid_a").join(nb, "vid_b")
-            .select("vid_a", "vid_b", sim_expr(F.col("dot"), F.col("n2_a"), F.col("n2_b"))
-                    .alias("sim")))
+def bag_dot(bag_a: Column, bag_b: Column) -> Column:
+    """Exact integer dot product of two token-sorted bags: merge-sort the two
+    lists and multiply adjacent equal tokens (each side has a token once)."""
+    merged = F.array_sort(F.concat(bag_a, bag_b))
+    init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("c"),
+                    F.lit(0).cast("long").alias("s"))
+
+    def step(acc, x):
+        add = F.when(acc["p"] == x["token"], acc["c"] * x["tf"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(x["token"].alias("p"), x["tf"].alias("c"), (acc["s"] + add).alias("s"))
+
+    return F.aggregate(merged, init, step)["s"]
 
 
 def sim_expr(dot: Column, n2_a: Column, n2_b: Column) -> Column:
     return F.round(dot.cast("double") / F.sqrt((n2_a * n2_b).cast("double")), SIM_DECIMALS)
 
 
-def candidate_pairs(nodes_a: DataFrame, nodes_b: DataFrame, prefix: DataFrame,
-                    on: Sequence[str] = (), condition=None) -> DataFrame:
-    """Node pairs whose vectors share a prefix token.
+def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
+                  strict: bool = False, on: Sequence[str] = (), condition=None,
+                  prefix_threshold: float | None = None, materialise: bool = True) -> DataFrame:
+    """All node pairs with cosine >= threshold (> if strict).
+
+    ``nodes`` has ``vid``, ``canon`` (sorted token list) and ``node_cols``;
+    several nodes may share a vector. ``on`` lists node columns that must be
+    equal on both sides (a dedup scope); ``condition`` filters pairs and is
+    written on suffixed names (``first_pos_a < first_pos_b``). Returns
+    ``<col>_a``, ``vid_a``, ``<col>_b``, ``vid_b``, ``sim``.
 
-    ``nodes_a``/``nodes_b`` carry a ``vid`` plus node attributes, already
-    suffixed ``_a``/``_b`` (``vid_a``/``vid_b``). ``on`` lists attribute names
-    (without suffix) that must also be equal (e.g. a dedup scope).
-    ``condition(a_cols, b_cols)`` restricts pairs (e.g. a earlier than b).
-    Returns distinct node pairs.
+    Candidates come from a self-join of prefix postings on token (no cross
+    join), then each distinct vector pair is verified exactly.
     """
-    pa = prefix.select(F.col("vid").alias("vid_a"), "token")
-    pb = prefix.select(F.col("vid").alias("vid_b"), "token")
-    a = nodes_a.join(pa, "vid_a")
-    b = nodes_b.join(pb, "vid_b")
-    keys = ["token"] + [f"{k}" for k in on]
-    a = a.withColumnsRenamed({f"{k}_a": k for k in on})
-    b = b.withColumnsRenamed({f"{k}_b": k for k in on})
-    j = a.join(b, keys)
+    cols = list(dict.fromkeys(list(on) + list(node_cols)))
+    if materialise:
+        nodes = cut_lineage(nodes.select(*cols, "vid", "canon"))
+    vecs = vector_table(nodes, prefix_threshold if prefix_threshold is not None else threshold)
+    if materialise:
+        vecs = cut_lineage(vecs)
+    np_ = nodes.select(*cols, "vid").join(
+        vecs.select("vid", F.explode("prefix").alias("token")), "vid")
+    a, b = np_.alias("a"), np_.alias("b")
+    cond = F.col("a.token") == F.col("b.token")
+    for c in on:
+        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    j = a.join(b, cond).select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in cols + ["vid"]],
+                               *[F.col(f"b.{c}").alias(f"{c}_b") for c in cols + ["vid"]])
     if condition is not None:
         j = j.where(condition)
-    out = j.drop("token")
-    for k in on:
-        out = out.withColumn(f"{k}_a", F.col(k)).withColumn(f"{k}_b", F.col(k)).drop(k)
-    return out.dropDuplicates()
-
-
-def similar_pairs(nodes_a: DataFrame, nodes_b: DataFrame, post: DataFrame,
-                  threshold: float, strict: bool = False, on: Sequence[str] = (),
-                  condition=None, prefix_threshold: float | None = None) -> DataFrame:
-    """All node pairs with cosine >= threshold (> if strict): candidates from the
-    prefix join, then exact verification on the distinct vector pairs."""
-    prefix = prefixes(post, prefix_threshold if prefix_threshold is not None else threshold)
-    cand = candidate_pairs(nodes_a, nodes_b, prefix, on, condition)
-    vpairs = cand.select("vid_a", "vid_b").dropDuplicates()
-    sims = cosine(post, vpairs)
+    cand = j.dropDuplicates()
+    vp = cand.select("vid_a", "vid_b").dropDuplicates()
+    va = vecs.select(F.col("vid").alias("vid_a"), F.col("bag").alias("bag_a"), F.col("n2").alias("n2_a"))
+    vb = vecs.select(F.col("vid").alias("vid_b"), F.col("bag").alias("bag_b"), F.col("n2").alias("n2_b"))
+    sims = vp.join(va, "vid_a").join(vb, "vid_b").select(
+        "vid_a", "vid_b", sim_expr(bag_dot(F.col("bag_a"), F.col("bag_b")),
+                                   F.col("n2_a"), F.col("n2_b")).alias("sim"))
     keep = F.col("sim") > threshold if strict else F.col("sim") >= threshold
     return cand.join(sims.where(keep), ["vid_a", "vid_b"])
+
+
+def vector_columns(df: DataFrame, tokens: Column) -> DataFrame:
+    """Add ``vid`` and ``canon`` for a token-list expression."""
+    return (df.withColumn("canon", canonical_tokens(tokens))
+              .withColumn("vid", F.md5(F.array_join(F.col("canon"), " "))))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcurate.operators import dedup, profile, splits
+from textcurate.session import cut_lineage
 from textcurate.sources.tables import doc_positions, reviews
 
 UNLABELLED = "unlabelled"
@@ -35,7 +36,9 @@ def split_curated(cur: DataFrame) -> DataFrame:
 
 def curate(spark: SparkSession, sf_dir: str, scope: str = "global") -> DataFrame:
     v = dedup.verdicts(reviews(spark, sf_dir), scope=scope)
-    cur = curated_rows(v, doc_positions(spark, sf_dir))
+    # the survivors are read by the quota count, the rank counts and the rank
+    # itself: materialise them once in the shared checkpoint folder
+    cur = cut_lineage(curated_rows(v, doc_positions(spark, sf_dir)))
     out = split_curated(cur)
     return out.select(F.col("lid").alias("id"), F.col("pid").alias("original_id"),
                       F.col("pos").alias("doc_id"), "clean_text", "sentiment", "domain", "split")

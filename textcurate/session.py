@@ -64,6 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared folder; survives executor loss."""
+    """Reliable checkpoint to the shared folder; survives executor loss.
+
+    The rows are persisted while the checkpoint is written, so the plan runs
+    once (writing an unpersisted checkpoint recomputes it)."""
+    from pyspark import StorageLevel
+
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return staged.checkpoint(eager=True)
+    finally:
+        staged.unpersist()
