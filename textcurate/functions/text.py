@@ -96,23 +96,27 @@ def in_length_range(wc, lo: int = MIN_WORDS, hi: int = MAX_WORDS) -> Column:
     return _col(wc).between(lo, hi)
 
 
-def vocab_richness(c) -> Column:
+def vocab_richness(c, clean: bool = False) -> Column:
     """TXT-05: distinct lower-cased words / words, 0 for no words."""
-    w = words(F.lower(_col(c)))
+    w = (clean_words if clean else words)(F.lower(_col(c)))
     n = F.size(w)
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0.0)).otherwise(
         F.size(F.array_distinct(w)).cast("double") / n.cast("double"))
 
 
-def sentence_lengths(c) -> Column:
-    """Words per sentence; sentences split on '.', blank ones dropped."""
+def sentence_lengths(c, clean: bool = False) -> Column:
+    """Words per sentence; sentences split on '.', blank ones dropped.
+    ``clean=True`` for strict-cleaned text (plain spaces only): no regex."""
+    if clean:
+        sents = F.filter(F.split(_col(c), r"\.", -1), lambda s: F.trim(s) != F.lit(""))
+        return F.transform(sents, lambda s: F.size(clean_words(s)))
     sents = F.filter(F.split(_col(c), r"\.", -1), lambda s: collapse_ws(s) != F.lit(""))
     return F.transform(sents, lambda s: F.size(words(s)))
 
 
-def text_complexity(c) -> tuple[Column, Column, Column]:
+def text_complexity(c, clean: bool = False) -> tuple[Column, Column, Column]:
     """TXT-06: (richness, mean sentence length, population std of it)."""
-    lens = sentence_lengths(c)
+    lens = sentence_lengths(c, clean)
     n = F.size(lens).cast("double")
     total = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x)
     mean = total.cast("double") / n
@@ -122,7 +126,7 @@ def text_complexity(c) -> tuple[Column, Column, Column]:
     empty = F.coalesce(F.size(lens), F.lit(0)) == 0
     avg = F.when(empty, F.lit(0.0)).otherwise(mean)
     std = F.when(empty, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))
-    return vocab_richness(c), avg, std
+    return vocab_richness(c, clean), avg, std
 
 
 def syllables(word: Column) -> Column:
@@ -131,11 +135,11 @@ def syllables(word: Column) -> Column:
     return F.greatest(n, F.lit(1))
 
 
-def flesch_reading_ease(c) -> Column:
+def flesch_reading_ease(c, clean: bool = False) -> Column:
     """206.835 - 1.015 * words/sentences - 84.6 * syllables/words."""
-    w = words(c)
+    w = (clean_words if clean else words)(c)
     nw = F.size(w).cast("double")
-    ns = F.greatest(F.size(sentence_lengths(c)), F.lit(1)).cast("double")
+    ns = F.greatest(F.size(sentence_lengths(c, clean)), F.lit(1)).cast("double")
     nsyl = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x).cast("double")
     return F.when(nw == 0, F.lit(0.0)).otherwise(
         F.lit(206.835) - F.lit(1.015) * (nw / ns) - F.lit(84.6) * (nsyl / nw))

@@ -56,40 +56,49 @@ def choice(seed, key: Column, salt: str, n) -> Column:
 
 
 def synonym_key(tok: Column) -> Column:
-    strip = "[" + "".join("\\" + c for c in SYN_STRIP) + "]"
-    return F.regexp_replace(F.lower(tok), f"^{strip}+|{strip}+$", "")
+    """Lower-cased token with ,.!? stripped from both ends (Python strip)."""
+    return F.btrim(F.lower(tok), F.lit(SYN_STRIP))
 
 
-def replace_synonyms(text: Column, key: Column, seed: int = SEED) -> Column:
-    """AUG-01: whole tokens whose lower-cased, ,.!?-stripped form is a key are
-    replaced by a seeded choice of its synonyms (punctuation and case lost)."""
+def _synonym_words(words: Column, key: Column, seed: int) -> Column:
+    """Token list after synonym replacement, re-split into words (a synonym
+    may have two words)."""
     m = F.create_map(*[x for k, v in SYNONYMS.items()
                        for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-    w = T.words(text)
 
     def sub(t, i):
         options = F.element_at(m, synonym_key(t))
         pick = choice(seed, F.concat(key.cast("string"), F.lit(":"), i.cast("string")), "syn",
                       F.size(options))
-        return F.when(options.isNull(), t).otherwise(F.element_at(options, (pick + 1).cast("int")))
+        return F.when(options.isNull(), F.array(t)).otherwise(
+            F.split(F.element_at(options, (pick + 1).cast("int")), " "))
 
-    return F.array_join(F.transform(w, sub), " ")
+    return F.flatten(F.transform(words, sub))
 
 
-def inject_phrase(text: Column, key: Column, phrases: list[str], seed: int = SEED) -> Column:
-    """AUG-02: insert one phrase at a seeded position 0..len (inclusive)."""
-    w = T.words(text)
-    n = F.size(w)
-    pos = choice(seed, key, "pos", n + 1).cast("int")
+def _inject_words(words: Column, key: Column, phrases: list[str], seed: int) -> Column:
+    """Insert one phrase at a seeded position 0..len of the word list."""
+    pos = choice(seed, key, "pos", F.size(words) + 1).cast("int")
     ph = F.element_at(F.array(*[F.lit(p) for p in phrases]),
                       (choice(seed, key, "phrase", F.lit(len(phrases))) + 1).cast("int"))
-    out = F.concat(F.slice(w, 1, pos), F.array(ph), F.slice(w, pos + 1, F.greatest(n - pos, F.lit(0))))
-    return F.array_join(out, " ")
+    return F.array_insert(words, pos + 1, ph)
+
+
+def replace_synonyms(text: Column, key: Column, seed: int = SEED) -> Column:
+    """AUG-01: whole tokens whose lower-cased, ,.!?-stripped form is a key are
+    replaced by a seeded choice of its synonyms (punctuation and case lost)."""
+    return F.array_join(_synonym_words(T.words(text), key, seed), " ")
+
+
+def inject_phrase(text: Column, key: Column, phrases: list[str], seed: int = SEED) -> Column:
+    """AUG-02: insert one phrase at a seeded position 0..len (inclusive)."""
+    return F.array_join(_inject_words(T.words(text), key, phrases, seed), " ")
 
 
 def augment_text(text: Column, key: Column, phrases: list[str], seed: int = SEED) -> Column:
-    """AUG-03: synonyms, then one injected phrase."""
-    return inject_phrase(replace_synonyms(text, key, seed), key, phrases, seed)
+    """AUG-03: synonyms, then one injected phrase (one word split in total)."""
+    return F.array_join(_inject_words(_synonym_words(T.words(text), key, seed), key, phrases, seed),
+                        " ")
 
 
 def augmented_rows(df: DataFrame, id_col: str, text: str, label: str,

@@ -51,7 +51,8 @@ def dup_key(spark, sf):
 WITH c AS (SELECT doc_id AS id, {S.clean_strict('text')} AS clean_text FROM documents)
 SELECT id, {S.word_count('clean_text')} AS word_count FROM c""")
 def word_count(spark, sf):
-    return _clean_docs(spark, sf).select("id", T.word_count("clean_text").alias("word_count"))
+    return _clean_docs(spark, sf).select(
+        "id", F.size(T.clean_words("clean_text")).cast("long").alias("word_count"))
 
 
 @register("length_filter", f"""
@@ -84,7 +85,7 @@ w AS (SELECT id, {S.words('lower(clean_text)')} AS ws FROM c)
 SELECT id, {S.r("CASE WHEN len(ws) = 0 THEN 0.0 ELSE CAST(len(list_distinct(ws)) AS DOUBLE) / len(ws) END")} AS vocab_richness FROM w""")
 def vocab_richness(spark, sf):
     return normalise(_clean_docs(spark, sf).select(
-        "id", T.vocab_richness("clean_text").alias("vocab_richness")))
+        "id", T.vocab_richness("clean_text", clean=True).alias("vocab_richness")))
 
 
 @register("text_complexity", f"""
@@ -99,7 +100,7 @@ SELECT id,
   {S.r("CASE WHEN n = 0 THEN 0.0 ELSE sqrt(greatest((n * sq - tot * tot) / (n * n), 0.0)) END")} AS sentence_length_variation
 FROM m""")
 def text_complexity(spark, sf):
-    rich, avg, std = T.text_complexity(F.col("clean_text"))
+    rich, avg, std = T.text_complexity(F.col("clean_text"), clean=True)
     return normalise(_clean_docs(spark, sf).select(
         "id", rich.alias("vocab_richness"), avg.alias("avg_sentence_length"),
         std.alias("sentence_length_variation")))
@@ -129,11 +130,11 @@ FROM m""")
 def quality_gate(spark, sf):
     """TXT-13 (declared gate, finished): words 10-200, sentences 2-20, Flesch >= 60,
     unique-word ratio >= 0.7, no word 3-gram more than twice."""
-    c = _clean_docs(spark, sf).withColumn("_lw", T.words(F.lower(F.col("clean_text"))))
-    n_words = F.size(T.words("clean_text"))
-    n_sent = F.size(T.sentence_lengths(F.col("clean_text")))
-    flesch = T.flesch_reading_ease(F.col("clean_text"))
-    uniq = T.vocab_richness("clean_text")
+    c = _clean_docs(spark, sf).withColumn("_lw", T.clean_words(F.lower(F.col("clean_text"))))
+    n_words = F.size("_lw")
+    n_sent = F.size(T.sentence_lengths(F.col("clean_text"), clean=True))
+    flesch = T.flesch_reading_ease(F.col("clean_text"), clean=True)
+    uniq = T.vocab_richness("clean_text", clean=True)
     rep = T.max_trigram_repeat(F.col("_lw"))
     out = c.select("id", n_words.cast("long").alias("n_words"), n_sent.cast("long").alias("n_sentences"),
                    flesch.alias("flesch"), uniq.alias("unique_ratio"), rep.cast("long").alias("max_repeat"))
