@@ -43,7 +43,7 @@ def vector_id(tokens: Column) -> Column:
 def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
     """One row per distinct vector: (vid, bag, n2, prefix).
 
-    ``bag`` is the (token, tf) list sorted by token, ``n2`` the squared norm and
+    ``bag`` is the (token, tf) list, ``n2`` the squared norm and
     ``prefix`` the vector's prefix tokens for cosine >= threshold. Term
     frequencies and document frequencies are partial aggregates (a hot token
     or a hot vector combines on the map side); everything else is per-vector
@@ -54,10 +54,9 @@ def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
             .groupBy("vid", "token").agg(F.count(F.lit(1)).cast("long").alias("tf")))
     dfreq = post.groupBy("token").agg(F.count(F.lit(1)).cast("long").alias("dfreq"))
     per = post.join(dfreq, "token").groupBy("vid").agg(
-        F.collect_list(F.struct("dfreq", "token", "tf")).alias("items"))
+        F.array_sort(F.collect_list(F.struct("dfreq", "token", "tf"))).alias("ordered"),
+        F.sum(F.col("tf") * F.col("tf")).cast("long").alias("n2"))
     t = max(threshold - PREFIX_SLACK, 0.0)
-    n2 = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["tf"] * x["tf"])
-    per = per.select("vid", F.array_sort("items").alias("ordered"), n2.alias("n2"))
 
     # prefix = the first k tokens in (dfreq, token) order, k = number of
     # tokens whose suffix norm (this token included) is still >= t
@@ -71,8 +70,9 @@ def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
     k = F.aggregate("ordered", init, step)["k"]
     return per.select(
         "vid", "n2",
-        F.array_sort(F.transform("ordered", lambda x: F.struct(x["token"].alias("token"),
-                                                                x["tf"].alias("tf")))).alias("bag"),
+        # bag_dot sorts the concatenation itself, so the bag needs no order
+        F.transform("ordered", lambda x: F.struct(x["token"].alias("token"),
+                                                  x["tf"].alias("tf"))).alias("bag"),
         F.transform(F.slice("ordered", F.lit(1), F.greatest(k, F.lit(1))),
                     lambda x: x["token"]).alias("prefix"),
         k.alias("_k")).select(
@@ -81,8 +81,8 @@ def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def bag_dot(bag_a: Column, bag_b: Column) -> Column:
-    """Exact integer dot product of two token-sorted bags: merge-sort the two
-    lists and multiply adjacent equal tokens (each side has a token once)."""
+    """Exact integer dot product of two bags: sort the concatenated lists and
+    multiply adjacent equal tokens (each side has a token once)."""
     merged = F.array_sort(F.concat(bag_a, bag_b))
     init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("c"),
                     F.lit(0).cast("long").alias("s"))

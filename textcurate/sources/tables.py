@@ -29,10 +29,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     table already yields many splits and is left alone; a scan with fewer splits
     than the default parallelism (one small row group) is hash-partitioned on
     its key -- deterministic, so a lost task recomputes the same rows."""
-    par = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df
-    return df.repartition(par, key)
+    # as many partitions as a shuffle on the same key would use, so a later
+    # join or aggregation on the id reuses this partitioning
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def doc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews that carry a label (inner join)."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text",
         F.col("source").alias("domain"))
     lab = table(spark, sf_dir, "labels").select(
