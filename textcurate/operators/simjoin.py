@@ -10,15 +10,19 @@ ascending global document frequency, then token. Keep a token in the vector's
 least the threshold t. If cos(x, y) >= t the two prefixes share a token
 (Cauchy-Schwarz on the suffix after the earlier prefix end), so joining prefix
 postings on token finds every qualifying pair. Candidates are verified with an
-exact integer dot product of the two token-sorted (token, tf) lists.
+exact integer dot product of the two sparse term-frequency vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textcurate.session import cut_lineage
 
@@ -41,9 +45,10 @@ def vector_id(tokens: Column) -> Column:
 
 
 def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
-    """One row per distinct vector: (vid, bag, n2, prefix).
+    """One row per distinct vector: (vid, toks, tfs, n2, l1, mx, prefix).
 
-    ``bag`` is the (token, tf) list, ``n2`` the squared norm and
+    ``toks``/``tfs`` the term-frequency vector, ``n2`` the squared norm,
+    ``l1``/``mx`` the sum and largest term frequency (for the length bound) and
     ``prefix`` the vector's prefix tokens for cosine >= threshold. Term
     frequencies and document frequencies are partial aggregates (a hot token
     or a hot vector combines on the map side); everything else is per-vector
@@ -53,45 +58,34 @@ def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
     post = (vec.select("vid", F.explode("canon").alias("token"))
             .groupBy("vid", "token").agg(F.count(F.lit(1)).cast("long").alias("tf")))
     dfreq = post.groupBy("token").agg(F.count(F.lit(1)).cast("long").alias("dfreq"))
-    per = post.join(dfreq, "token").groupBy("vid").agg(
-        F.array_sort(F.collect_list(F.struct("dfreq", "token", "tf"))).alias("ordered"),
-        F.sum(F.col("tf") * F.col("tf")).cast("long").alias("n2"))
+    # suffix norm of each token in (dfreq, token) order: a window over one
+    # vector's distinct tokens (bounded by one document's vocabulary)
     t = max(threshold - PREFIX_SLACK, 0.0)
-
-    # prefix = the first k tokens in (dfreq, token) order, k = number of
-    # tokens whose suffix norm (this token included) is still >= t
-    init = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("k"))
-
-    def step(acc, x):
-        keep = (F.col("n2") - acc["used"]).cast("double") >= F.lit(t * t) * F.col("n2").cast("double")
-        return F.struct((acc["used"] + x["tf"] * x["tf"]).alias("used"),
-                        (acc["k"] + F.when(keep, 1).otherwise(0)).alias("k"))
-
-    k = F.aggregate("ordered", init, step)["k"]
-    return per.select(
-        "vid", "n2",
-        # bag_dot sorts the concatenation itself, so the bag needs no order
-        F.transform("ordered", lambda x: F.struct(x["token"].alias("token"),
-                                                  x["tf"].alias("tf"))).alias("bag"),
-        F.transform(F.slice("ordered", F.lit(1), F.greatest(k, F.lit(1))),
-                    lambda x: x["token"]).alias("prefix"),
-        k.alias("_k")).select(
-        "vid", "n2", "bag", F.when(F.col("_k") > 0, F.col("prefix"))
-        .otherwise(F.array().cast("array<string>")).alias("prefix"))
-
-
-def bag_dot(bag_a: Column, bag_b: Column) -> Column:
-    """Exact integer dot product of two bags: sort the concatenated lists and
-    multiply adjacent equal tokens (each side has a token once)."""
-    merged = F.array_sort(F.concat(bag_a, bag_b))
-    init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("c"),
-                    F.lit(0).cast("long").alias("s"))
-
-    def step(acc, x):
-        add = F.when(acc["p"] == x["token"], acc["c"] * x["tf"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(x["token"].alias("p"), x["tf"].alias("c"), (acc["s"] + add).alias("s"))
-
-    return F.aggregate(merged, init, step)["s"]
+    w_suffix = (Window.partitionBy("vid").orderBy("dfreq", "token")
+                .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    w_vec = Window.partitionBy("vid")
+    sq = F.col("tf") * F.col("tf")
+    staged = post.join(dfreq, "token").select(
+        "vid", "token", "tf", F.sum(sq).over(w_suffix).alias("suffix2"),
+        F.sum(sq).over(w_vec).alias("n2"))
+    in_prefix = F.col("suffix2").cast("double") >= F.lit(t * t) * F.col("n2").cast("double")
+    return staged.groupBy("vid").agg(
+        F.first("n2").cast("long").alias("n2"), F.sum("tf").cast("long").alias("l1"),
+        F.max("tf").cast("long").alias("mx"), F.collect_list("token").alias("toks"),
+        F.collect_list("tf").alias("tfs"),
+        F.collect_list(F.when(in_prefix, F.col("token"))).alias("prefix"))
+
+
+@F.pandas_udf(T.LongType())
+def sparse_dot(toks_a: pd.Series, tfs_a: pd.Series, toks_b: pd.Series, tfs_b: pd.Series) -> pd.Series:
+    """Exact integer dot product of two sparse term-frequency vectors, one
+    Arrow batch of pairs at a time (a hash lookup per token of one side).
+    Interpreted array lambdas cost far more per element on long documents."""
+    out = np.empty(len(toks_a), dtype=np.int64)
+    for i in range(len(toks_a)):
+        a = dict(zip(toks_a.iat[i], tfs_a.iat[i]))
+        out[i] = sum(a.get(t, 0) * int(f) for t, f in zip(toks_b.iat[i], tfs_b.iat[i]))
+    return pd.Series(out)
 
 
 def sim_expr(dot: Column, n2_a: Column, n2_b: Column) -> Column:
@@ -119,22 +113,29 @@ def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
     if materialise:
         vecs = cut_lineage(vecs)
     np_ = nodes.select(*cols, "vid").join(
-        vecs.select("vid", F.explode("prefix").alias("token")), "vid")
+        vecs.select("vid", "n2", "l1", "mx", F.explode("prefix").alias("token")), "vid")
     a, b = np_.alias("a"), np_.alias("b")
     cond = F.col("a.token") == F.col("b.token")
     for c in on:
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    # length bound: x.y <= min(|x|_1 max(y), |y|_1 max(x)), so a pair whose
+    # bound is below the threshold cannot qualify (exact pruning)
+    bound = (F.least(F.col("a.l1") * F.col("b.mx"), F.col("b.l1") * F.col("a.mx")).cast("double")
+             / F.sqrt((F.col("a.n2") * F.col("b.n2")).cast("double")))
+    cond = cond & (bound >= F.lit(max(threshold - PREFIX_SLACK, 0.0)))
     j = a.join(b, cond).select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in cols + ["vid"]],
                                *[F.col(f"b.{c}").alias(f"{c}_b") for c in cols + ["vid"]])
     if condition is not None:
         j = j.where(condition)
     cand = j.dropDuplicates()
     vp = cand.select("vid_a", "vid_b").dropDuplicates()
-    va = vecs.select(F.col("vid").alias("vid_a"), F.col("bag").alias("bag_a"), F.col("n2").alias("n2_a"))
-    vb = vecs.select(F.col("vid").alias("vid_b"), F.col("bag").alias("bag_b"), F.col("n2").alias("n2_b"))
+    va = vecs.select(F.col("vid").alias("vid_a"), F.col("toks").alias("toks_a"),
+                     F.col("tfs").alias("tfs_a"), F.col("n2").alias("n2_a"))
+    vb = vecs.select(F.col("vid").alias("vid_b"), F.col("toks").alias("toks_b"),
+                     F.col("tfs").alias("tfs_b"), F.col("n2").alias("n2_b"))
+    dot = sparse_dot("toks_a", "tfs_a", "toks_b", "tfs_b")
     sims = vp.join(va, "vid_a").join(vb, "vid_b").select(
-        "vid_a", "vid_b", sim_expr(bag_dot(F.col("bag_a"), F.col("bag_b")),
-                                   F.col("n2_a"), F.col("n2_b")).alias("sim"))
+        "vid_a", "vid_b", sim_expr(dot, F.col("n2_a"), F.col("n2_b")).alias("sim"))
     keep = F.col("sim") > threshold if strict else F.col("sim") >= threshold
     return cand.join(sims.where(keep), ["vid_a", "vid_b"])
 
