@@ -90,14 +90,15 @@ def near_firsts(nodes: DataFrame, scope: Sequence[str],
 def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_THRESHOLD,
              near: bool = True, threshold_expr: Column | None = None,
              prepared: bool = False, checkpoint: bool = True) -> DataFrame:
-    """DUP-03 cascade over ``scope``. Adds clean_text, word_count, keep_len,
-    dup_key, is_exact, is_near (raw flags) and dup_type (null / 'exact' /
-    'similar'; null for length-filtered rows, which are never compared).
+    """DUP-03 cascade over ``scope``. Replaces the raw text by clean_text and
+    adds word_count, keep_len, dup_key, is_exact, is_near (raw flags) and
+    dup_type (null / 'exact' / 'similar'; null for length-filtered rows, which
+    are never compared).
 
     ``threshold_expr`` (DUP-07) gives a per-row threshold from row columns; a
     pair counts when its cosine reaches the threshold of the later row.
     """
-    rows = reviews if prepared else prepare(reviews)
+    rows = reviews if prepared else prepare(reviews).drop("text")
     if checkpoint and not prepared:
         # the cleaned rows feed four branches (output, key firsts, vector
         # nodes, postings): cut lineage once instead of re-running the regexes
