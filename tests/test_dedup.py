@@ -93,3 +93,23 @@ def test_domain_thresholds(spark):
     thr = dedup.domain_threshold(F.col("d"))
     df = spark.createDataFrame([("general",), ("technology",), ("service",), ("other",)], "d string")
     assert [r[0] for r in df.select(thr).collect()] == [0.92, 0.828, 1.012, 0.92]
+
+
+def test_dense_near_copy_cluster(spark):
+    """Many distinct near-copies sharing every prefix token: all but the first
+    are similar, found without listing all pairs of the cluster."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{base} extra{i}" for i in range(300)]
+    got = _verdicts(spark, texts)
+    assert got[0] is None and all(g == "similar" for g in got[1:])
+
+
+def test_existence_search_matches_pairs(spark):
+    docs = reviews(spark, SF001)
+    v = dedup.verdicts(docs)
+    kept = v.where("keep_len")
+    nodes = dedup.near_nodes(kept, [])
+    found = {r["first_pos"] for r in simjoin.earlier_similar(nodes, [], 0.92).collect()}
+    pairs = simjoin.similar_pairs(nodes, ["first_pos"], 0.92,
+                                  condition=F.col("first_pos_a") < F.col("first_pos_b"))
+    assert found == {r["first_pos_b"] for r in pairs.collect()}

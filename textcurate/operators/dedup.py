@@ -76,15 +76,9 @@ def near_firsts(nodes: DataFrame, scope: Sequence[str],
                 threshold_col: str | None = None, threshold: float = NEAR_THRESHOLD,
                 min_threshold: float | None = None) -> DataFrame:
     """First positions of vectors that have an earlier similar vector in scope."""
-    cols = ["first_pos"] + ([threshold_col] if threshold_col else [])
-    cond = F.col("first_pos_a") < F.col("first_pos_b")
-    if threshold_col is None:
-        pairs = simjoin.similar_pairs(nodes, cols, threshold, on=scope, condition=cond)
-    else:
-        pairs = simjoin.similar_pairs(nodes, cols, min_threshold, on=scope, condition=cond)
-        pairs = pairs.where(F.col("sim") >= F.col(f"{threshold_col}_b"))
-    return pairs.select(F.col("first_pos_b").alias("pos")).distinct() \
-                .select("pos", F.lit(True).alias("_near_first"))
+    thr = min_threshold if threshold_col else threshold
+    found = simjoin.earlier_similar(nodes, scope, thr, threshold_col)
+    return found.select(F.col("first_pos").alias("pos"), F.lit(True).alias("_near_first"))
 
 
 def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_THRESHOLD,

@@ -92,6 +92,29 @@ def sim_expr(dot: Column, n2_a: Column, n2_b: Column) -> Column:
     return F.round(dot.cast("double") / F.sqrt((n2_a * n2_b).cast("double")), SIM_DECIMALS)
 
 
+def _prefix_postings(nodes: DataFrame, vecs: DataFrame, cols: list[str]) -> DataFrame:
+    return nodes.select(*cols, "vid").join(
+        vecs.select("vid", "n2", "l1", "mx", F.explode("prefix").alias("token")), "vid")
+
+
+def _length_bound(a: str, b: str) -> Column:
+    """x.y <= min(|x|_1 max(y), |y|_1 max(x)): an exact upper bound of the
+    cosine, used to drop candidate pairs that cannot qualify."""
+    return (F.least(F.col(f"{a}l1") * F.col(f"{b}mx"), F.col(f"{b}l1") * F.col(f"{a}mx")).cast("double")
+            / F.sqrt((F.col(f"{a}n2") * F.col(f"{b}n2")).cast("double")))
+
+
+def verify(vecs: DataFrame, vp: DataFrame) -> DataFrame:
+    """Exact cosine of distinct (vid_a, vid_b) pairs."""
+    va = vecs.select(F.col("vid").alias("vid_a"), F.col("toks").alias("toks_a"),
+                     F.col("tfs").alias("tfs_a"), F.col("n2").alias("n2_a"))
+    vb = vecs.select(F.col("vid").alias("vid_b"), F.col("toks").alias("toks_b"),
+                     F.col("tfs").alias("tfs_b"), F.col("n2").alias("n2_b"))
+    dot = sparse_dot("toks_a", "tfs_a", "toks_b", "tfs_b")
+    return vp.join(va, "vid_a").join(vb, "vid_b").select(
+        "vid_a", "vid_b", sim_expr(dot, F.col("n2_a"), F.col("n2_b")).alias("sim"))
+
+
 def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
                   strict: bool = False, on: Sequence[str] = (), condition=None,
                   prefix_threshold: float | None = None, materialise: bool = True) -> DataFrame:
@@ -104,7 +127,10 @@ def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
     ``<col>_a``, ``vid_a``, ``<col>_b``, ``vid_b``, ``sim``.
 
     Candidates come from a self-join of prefix postings on token (no cross
-    join), then each distinct vector pair is verified exactly.
+    join), then each distinct vector pair is verified exactly. This lists
+    every qualifying pair, which is the output itself; for "does an earlier
+    similar node exist" use ``earlier_similar``, which bounds the work on
+    dense clusters.
     """
     cols = list(dict.fromkeys(list(on) + list(node_cols)))
     if materialise:
@@ -112,34 +138,84 @@ def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
     vecs = vector_table(nodes, prefix_threshold if prefix_threshold is not None else threshold)
     if materialise:
         vecs = cut_lineage(vecs)
-    np_ = nodes.select(*cols, "vid").join(
-        vecs.select("vid", "n2", "l1", "mx", F.explode("prefix").alias("token")), "vid")
+    np_ = _prefix_postings(nodes, vecs, cols)
     a, b = np_.alias("a"), np_.alias("b")
     cond = F.col("a.token") == F.col("b.token")
     for c in on:
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    # length bound: x.y <= min(|x|_1 max(y), |y|_1 max(x)), so a pair whose
-    # bound is below the threshold cannot qualify (exact pruning)
-    bound = (F.least(F.col("a.l1") * F.col("b.mx"), F.col("b.l1") * F.col("a.mx")).cast("double")
-             / F.sqrt((F.col("a.n2") * F.col("b.n2")).cast("double")))
-    cond = cond & (bound >= F.lit(max(threshold - PREFIX_SLACK, 0.0)))
+    cond = cond & (_length_bound("a.", "b.") >= F.lit(max(threshold - PREFIX_SLACK, 0.0)))
     j = a.join(b, cond).select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in cols + ["vid"]],
                                *[F.col(f"b.{c}").alias(f"{c}_b") for c in cols + ["vid"]])
     if condition is not None:
         j = j.where(condition)
     cand = j.dropDuplicates()
-    vp = cand.select("vid_a", "vid_b").dropDuplicates()
-    va = vecs.select(F.col("vid").alias("vid_a"), F.col("toks").alias("toks_a"),
-                     F.col("tfs").alias("tfs_a"), F.col("n2").alias("n2_a"))
-    vb = vecs.select(F.col("vid").alias("vid_b"), F.col("toks").alias("toks_b"),
-                     F.col("tfs").alias("tfs_b"), F.col("n2").alias("n2_b"))
-    dot = sparse_dot("toks_a", "tfs_a", "toks_b", "tfs_b")
-    sims = vp.join(va, "vid_a").join(vb, "vid_b").select(
-        "vid_a", "vid_b", sim_expr(dot, F.col("n2_a"), F.col("n2_b")).alias("sim"))
+    sims = verify(vecs, cand.select("vid_a", "vid_b").dropDuplicates())
     keep = F.col("sim") > threshold if strict else F.col("sim") >= threshold
     return cand.join(sims.where(keep), ["vid_a", "vid_b"])
 
 
+# Work bounds of the existence search (exact either way; these only decide
+# how much is settled by the cheap first pass).
+NEIGHBOURS = 8          # earlier entries checked per posting in the first pass
+POSITION_BLOCK = 4096   # first-pass windows cover this many positions
+
+
+def earlier_similar(nodes: DataFrame, scope: Sequence[str], threshold: float,
+                    thr_col: str | None = None, order_col: str = "first_pos",
+                    neighbours: int = NEIGHBOURS, block: int = POSITION_BLOCK) -> DataFrame:
+    """Positions (``order_col``) of nodes that have an earlier node in the same
+    scope with cosine >= threshold (``thr_col``: the later node's own one).
+
+    Exact, without listing all pairs of a dense cluster:
+    1. each prefix posting is compared with the ``neighbours`` entries just
+       before it in its (scope, token, position block) window -- inside a
+       cluster of near-copies the previous copy usually settles it;
+    2. only nodes still undecided are compared with every earlier entry of
+       their prefix tokens (the complete candidate set for them).
+    """
+    cols = list(dict.fromkeys(list(scope) + [order_col] + ([thr_col] if thr_col else [])))
+    nodes = cut_lineage(nodes.select(*cols, "vid", "canon"))
+    vecs = cut_lineage(vector_table(nodes, threshold))
+    np_ = cut_lineage(_prefix_postings(nodes, vecs, cols))
+    thr = F.col(f"{thr_col}_b") if thr_col else F.lit(threshold)
+    slack = F.lit(max(threshold - PREFIX_SLACK, 0.0))
+
+    def flagged(pairs: DataFrame) -> DataFrame:
+        sims = verify(vecs, pairs.select("vid_a", "vid_b").dropDuplicates())
+        ok = pairs.join(sims, ["vid_a", "vid_b"]).where(F.col("sim") >= thr)
+        return ok.select(F.col(f"{order_col}_b").alias(order_col)).distinct()
+
+    # pass 1: bounded neighbours in position blocks
+    w = (Window.partitionBy(*scope, "token", F.floor(F.col(order_col) / block))
+         .orderBy(order_col).rowsBetween(-neighbours, -1))
+    prev = F.collect_list(F.struct(F.col("vid").alias("vid"), F.col("n2").alias("n2"),
+                                   F.col("l1").alias("l1"), F.col("mx").alias("mx"))).over(w)
+    near1 = np_.select(*[F.col(c).alias(f"{c}_b") for c in cols + ["vid", "n2", "l1", "mx"]],
+                       prev.alias("_prev"))
+    near1 = near1.select(*[f"{c}_b" for c in cols + ["vid", "n2", "l1", "mx"]],
+                         F.explode("_prev").alias("a"))
+    near1 = near1.select("*", F.col("a.vid").alias("vid_a"), F.col("a.n2").alias("a_n2"),
+                         F.col("a.l1").alias("a_l1"), F.col("a.mx").alias("a_mx"))
+    near1 = near1.withColumnsRenamed({"n2_b": "b_n2", "l1_b": "b_l1", "mx_b": "b_mx"})
+    near1 = near1.where(_length_bound("a_", "b_") >= slack)
+    first = cut_lineage(flagged(near1))
+
+    # pass 2: every earlier entry, for the undecided nodes only
+    undecided = np_.join(first, order_col, "left_anti")
+    a = np_.select(*[F.col(c).alias(f"{c}_a") for c in cols + ["vid"]], "token",
+                   F.col("n2").alias("a_n2"), F.col("l1").alias("a_l1"), F.col("mx").alias("a_mx"))
+    b = undecided.select(*[F.col(c).alias(f"{c}_b") for c in cols + ["vid"]], "token",
+                         F.col("n2").alias("b_n2"), F.col("l1").alias("b_l1"), F.col("mx").alias("b_mx"))
+    keys = ["token"]
+    for c in scope:
+        a = a.withColumnRenamed(f"{c}_a", c)
+        b = b.withColumnRenamed(f"{c}_b", c)
+        keys.append(c)
+    rest = a.join(b, keys).where((F.col(f"{order_col}_a") < F.col(f"{order_col}_b"))
+                                 & (_length_bound("a_", "b_") >= slack))
+    return first.unionByName(flagged(rest)).distinct()
+
+
 def vector_columns(df: DataFrame, tokens: Column) -> DataFrame:
     """Add ``vid`` and ``canon`` for a token-list expression."""
     return (df.withColumn("canon", canonical_tokens(tokens))
