@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from textcurate.operators import leaderboard as LB
 from textcurate.operators import splits
 from textcurate.plans import sqlparts as S
-from textcurate.plans.registry import register
+from textcurate.plans.catalog_leaderboard import _LOGS_SQL, _MM_SQL
+from textcurate.plans.registry import normalise, register
 from textcurate.session import scratch_path
 from textcurate.sources import envelope as E
 from textcurate.sources import sinks
@@ -21,6 +22,8 @@ from textcurate.sources.tables import (doc_positions, labelled_reviews, predicti
 
 # Fixed value: envelopes hold at most this many reviews (bounded groups).
 ENVELOPE_ROWS = 1000
+_SIZE_SQL = ("CASE WHEN n >= 1000000 THEN CAST(n // 1000000 AS VARCHAR) || 'm' "
+             "WHEN n >= 1000 THEN CAST(n // 1000 AS VARCHAR) || 'k' ELSE CAST(n AS VARCHAR) END")
 
 
 def _count_label(arr: str, label: str):
@@ -42,12 +45,14 @@ def write_envelopes(spark, sf, path):
     return path
 
 
-@register("src_envelope")
+@register("src_envelope", f"""WITH {S.REVIEWS}
+SELECT domain, id, text, sentiment,
+       row_number() OVER (PARTITION BY domain, pos // {ENVELOPE_ROWS} ORDER BY id) - 1 AS pos FROM reviews""")
 def src_envelope(spark, sf):
     """SRC-01: review envelopes (written from the documents) read back one row
-    per review, order kept by (file, position in envelope)."""
+    per review with its position in the envelope."""
     path = write_envelopes(spark, sf, scratch_path(spark, "envelopes"))
-    return E.read_envelopes(spark, path)
+    return E.read_envelopes(spark, path).drop("file")
 
 
 @register("val_envelope", """
@@ -155,14 +160,22 @@ def inspect_splits(spark, sf):
                     F.col("s.text").alias("sample_text"), F.col("s.labels").alias("sample_labels"))
 
 
-@register("snk_splits")
+@register("snk_splits", f"""{_SPLIT_FRAME_SQL}
+SELECT * FROM frame""")
 def snk_splits(spark, sf):
     """SNK-02: splits written one folder per split, read back."""
     path = sinks.write_splits(_split_frame(spark, sf), scratch_path(spark, "splits"))
     return spark.read.parquet(path)
 
 
-@register("snk_curated")
+@register("snk_curated", f"""WITH {S.VERDICTS},
+cur AS (SELECT *, row_number() OVER (ORDER BY pos) AS pid FROM curated),
+cur2 AS (SELECT *, pid - 1 AS lid, coalesce(sentiment, 'unlabelled') AS stratum FROM cur),
+{S.stratified('cur2', label='stratum', idc='lid')},
+ids AS (SELECT domain, domain || '_' || {_SIZE_SQL} || '_20250101_000000_synthetic' AS dataset_id
+        FROM (SELECT domain, count(*) AS n FROM split_rows GROUP BY domain))
+SELECT lid AS id, pid AS original_id, pos AS doc_id, clean_text, sentiment, split, r.domain, ids.dataset_id
+FROM split_rows r JOIN ids ON ids.domain = r.domain""")
 def snk_curated(spark, sf):
     """SNK-01 + AGG-10: full curation run writing rows under (domain,
     dataset_id) and a metrics document per domain; returns the rows read back."""
@@ -175,7 +188,12 @@ def snk_curated(spark, sf):
     return spark.read.parquet(res["storage"]["data_path"])
 
 
-@register("src_dataset")
+@register("src_dataset", f"""WITH {S.REVIEWS},
+ids AS (SELECT domain, domain || '_' || {_SIZE_SQL} || '_20250101_000000' AS dataset_id
+        FROM (SELECT domain, count(*) AS n FROM reviews GROUP BY domain)),
+pick AS (SELECT min(dataset_id) AS dataset_id FROM ids)
+SELECT r.id, r.text, r.sentiment, r.domain, ids.dataset_id
+FROM reviews r JOIN ids ON ids.domain = r.domain JOIN pick ON pick.dataset_id = ids.dataset_id""")
 def src_dataset(spark, sf):
     """SRC-03: write curated data, then load one dataset id with partition pruning."""
     base = scratch_path(spark, "curated")
@@ -185,25 +203,36 @@ def src_dataset(spark, sf):
     return E.load_dataset(spark, f"{base}/processed", ids[0]["dataset_id"])
 
 
-@register("metrics_history")
+@register("metrics_history", f"""WITH {S.REVIEWS},
+n AS (SELECT count(*) AS n FROM reviews WHERE domain = 'src1'),
+st(stamp) AS (VALUES ('20250101_000000'), ('20250102_000000'))
+SELECT 'src1_' || {_SIZE_SQL} || '_' || stamp AS dataset_id, 'src1' AS domain, stamp AS timestamp,
+       CAST(1 AS BIGINT) AS total_processed FROM n, st""")
 def metrics_history(spark, sf):
     """SRC-04: metrics documents of one domain, oldest first (two runs written)."""
     base = scratch_path(spark, "curated")
     rows = reviews(spark, sf).select("id", "text", "sentiment", "domain")
     for stamp in ["20250101_000000", "20250102_000000"]:
         sinks.write_curated(rows, base, {"total_processed": 1}, stamp=stamp)
-    return E.metrics_history(spark, f"{base}/metrics", "src1")
+    h = E.metrics_history(spark, f"{base}/metrics", "src1")
+    return h.select("dataset_id", "domain", "timestamp",
+                    F.col("summary.total_processed").cast("long").alias("total_processed"))
 
 
-@register("snk_eval")
+@register("snk_eval", f"""{_MM_SQL}
+SELECT model, metric, round(CAST(value AS DOUBLE), 6) AS value, 'embeddings' AS dataset
+FROM (UNPIVOT mm ON accuracy, precision, recall, f1, mcc, balanced_accuracy, combined
+      INTO NAME metric VALUE value)""")
 def snk_eval(spark, sf):
     """SNK-03: per-model metrics appended as (model, dataset, metric, value)."""
     mm = LB.model_metrics(predictions(spark, sf))
     path = sinks.append_evaluations(mm, scratch_path(spark, "evaluations"), ["model"], "embeddings")
-    return spark.read.parquet(path)
+    return normalise(spark.read.parquet(path))
 
 
-@register("src_training_logs")
+@register("src_training_logs", f"""WITH {_LOGS_SQL}
+SELECT run, step, round(eval_combined_metric, 6) AS best_metric FROM logs WHERE eval_combined_metric IS NOT NULL
+ORDER BY eval_combined_metric DESC, run, step, event_id LIMIT 1""")
 def src_training_logs(spark, sf):
     """SRC-07 + LDB-04: training logs written as one folder per run, read back
     by glob (run id from the folder), best checkpoint selected."""
@@ -212,4 +241,4 @@ def src_training_logs(spark, sf):
                                            "loss", "eval_loss", "eval_combined_metric")
     logs.write.mode("overwrite").partitionBy("run").json(path)
     back = E.read_training_logs(spark, f"{path}/run=*/*.json")
-    return LB.best_checkpoint(back.withColumnRenamed("entry", "event_id"))
+    return normalise(LB.best_checkpoint(back.withColumnRenamed("entry", "event_id")))

@@ -3,26 +3,48 @@ the sink back. Rows-only checks (the batch equivalents are tested in tests/)."""
 
 from __future__ import annotations
 
-from textcurate.streaming import stream as ST
+from pyspark.sql import functions as F
+
+from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import register
+from textcurate.streaming import stream as ST
 
 
-@register("stream_clean")
+@register("stream_clean", f"""
+WITH c AS (SELECT doc_id AS id, {S.clean_strict('text')} AS clean_text FROM documents),
+w AS (SELECT id, clean_text, {S.word_count('clean_text')} AS word_count FROM c)
+SELECT id, clean_text, word_count FROM w WHERE word_count BETWEEN 5 AND 150""")
 def stream_clean(spark, sf):
     """STR-01: continuous strict clean + length filter of the document stream."""
     s = ST.clean_stream(ST.review_stream(spark, sf)).select("id", "clean_text", "word_count")
     return spark.read.parquet(ST.run_available(s, "stream-clean"))
 
 
-@register("stream_dedup")
+@register("stream_dedup", f"""
+WITH c AS (SELECT doc_id AS id, {S.clean_strict('text')} AS clean_text FROM documents),
+w AS (SELECT clean_text, {S.word_count('clean_text')} AS word_count FROM c)
+SELECT DISTINCT {S.dup_key('clean_text')} AS dup_key FROM w WHERE word_count BETWEEN 5 AND 150""")
 def stream_dedup(spark, sf):
-    """STR-02: continuous exact dedup (watermarked dropDuplicates on the key)."""
-    s = ST.dedup_stream(ST.review_stream(spark, sf)).select("id", "dup_key")
+    """STR-02: continuous exact dedup (watermarked dropDuplicates on the key).
+    Which copy a micro-batch keeps is not ordered, so the result is the set of
+    surviving keys."""
+    s = ST.dedup_stream(ST.review_stream(spark, sf)).select("dup_key")
     return spark.read.parquet(ST.run_available(s, "stream-dedup"))
 
 
-@register("stream_summary")
+@register("stream_summary", f"""
+WITH c AS (SELECT doc_id, source AS domain, {S.word_count(S.clean_strict('text'))} AS wc FROM documents),
+m AS (SELECT max(doc_id) AS mx FROM documents),
+g AS (SELECT domain, (doc_id // 100) * 100 AS window_start, count(*) AS processed,
+             count(*) FILTER (WHERE NOT (wc BETWEEN 5 AND 150)) AS length_filtered,
+             count(*) FILTER (WHERE wc BETWEEN 5 AND 150) AS accepted FROM c GROUP BY ALL)
+SELECT domain, CAST(window_start AS BIGINT) AS window_start, CAST(processed AS BIGINT) AS processed,
+       CAST(length_filtered AS BIGINT) AS length_filtered, CAST(accepted AS BIGINT) AS accepted
+FROM g, m WHERE window_start + 100 <= mx""")
 def stream_summary(spark, sf):
-    """STR-03: per-domain counters in tumbling windows of the stream."""
+    """STR-03: per-domain counters in tumbling windows of the stream; a window
+    is emitted once the watermark passes its end (window start in seconds)."""
     s = ST.summary_stream(ST.review_stream(spark, sf))
-    return spark.read.parquet(ST.run_available(s, "stream-summary"))
+    out = spark.read.parquet(ST.run_available(s, "stream-summary"))
+    return out.select("domain", F.unix_seconds("window_start").alias("window_start"),
+                      "processed", "length_filtered", "accepted")
