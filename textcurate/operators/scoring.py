@@ -11,14 +11,15 @@ The offline defaults are small and honest:
 * ``train_classifier`` -- class-weighted logistic regression with
   pyspark.ml (ML-01).
 
-Term hashing is CRC-32 of the UTF-8 token, identical in Spark (``crc32``) and
-Python (``zlib.crc32``), so trained buckets and scored buckets agree.
+Term hashing takes the first 32 bits of the token's md5, identical in Spark
+(``md5``), Python (``hashlib``) and SQL engines, so trained and scored buckets
+agree everywhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,24 +45,27 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN_RE.findall(text.lower()) if text else []
 
 
+def term_hash(t: str) -> int:
+    return int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
+
+
 def bucket_ids(toks: list[str], dim: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(t.encode("utf-8")) % dim for t in toks), dtype=np.int64,
-                       count=len(toks))
+    return np.fromiter((term_hash(t) % dim for t in toks), dtype=np.int64, count=len(toks))
 
 
 class HashedBagOfWords:
-    """Default encoder: hashed term counts, L2-normalised (float32)."""
+    """Default encoder: hashed term counts, L2-normalised."""
 
     def __init__(self, dim: int = EMBED_DIM):
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        out = np.zeros((len(texts), self.dim), dtype=np.float64)
         for i, t in enumerate(texts):
             b = bucket_ids(tokens(t), self.dim)
             if b.size:
                 out[i] = np.bincount(b, minlength=self.dim)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
@@ -98,16 +102,18 @@ def batch_udf(factory: Callable[[], Callable[[list[str]], np.ndarray]], element:
     return run
 
 
-def embed(df: DataFrame, text: str, factory=None, out: str = "embedding") -> DataFrame:
+def embed(df: DataFrame, text: str, factory=None, out: str = "embedding",
+          element: T.DataType = T.DoubleType()) -> DataFrame:
     """UDF-01: text -> unit vector, in Arrow batches; encoder is pluggable."""
     factory = factory or (lambda: HashedBagOfWords())
-    return df.withColumn(out, batch_udf(factory, T.FloatType())(F.col(text)))
+    return df.withColumn(out, batch_udf(factory, element)(F.col(text)))
 
 
 def spark_buckets(text: Column, dim: int) -> Column:
     """The same hashed tokens as ``tokens``/``bucket_ids``, as a Column."""
     toks = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    return F.transform(toks, lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dim)))
+    return F.transform(toks, lambda t: F.pmod(
+        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)))
 
 
 def train_naive_bayes(df: DataFrame, text: str, label_idx: str, dim: int = SCORER_DIM,

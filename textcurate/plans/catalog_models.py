@@ -1,5 +1,7 @@
-"""Model-backed queries (UDF-01/02, ML-01, AUG-05/06). Rows-only checks: the
-scores come from models trained on the data, not from SQL."""
+"""Model-backed queries (UDF-01/02, ML-01, AUG-05/06). The hashed encoder and
+the naive Bayes scorer are restated in SQL (same md5 term buckets, same
+smoothing); only the iteratively trained logistic regression (ML-01) is
+rows-only."""
 
 from __future__ import annotations
 
@@ -9,10 +11,58 @@ from textcurate.functions import labels as L
 from textcurate.functions import text as T
 from textcurate.operators import augment as A
 from textcurate.operators import profile, scoring, splits
-from textcurate.plans.registry import register
+from textcurate.plans import sqlparts as S
+from textcurate.plans.catalog_augment import _aug_sql as AUG_SQL
+from textcurate.plans.registry import normalise, register
 from textcurate.sources.tables import labelled_reviews, table
 
 
+def _bucket(t: str, dim: int) -> str:
+    return f"CAST(('0x' || substr(md5({t}), 1, 8))::UBIGINT % {dim} AS BIGINT)"
+
+
+_TOKS = "unnest(regexp_extract_all(lower(ct), '[a-z0-9]+'))"
+
+_EMBED_SQL = f"""
+WITH c AS (SELECT doc_id AS id, {S.clean_strict('text')} AS ct FROM documents),
+t AS (SELECT id, {_TOKS} AS tok FROM c),
+b AS (SELECT id, {_bucket('tok', scoring.EMBED_DIM)} AS dim, count(*) AS n FROM t GROUP BY ALL),
+nrm AS (SELECT id, sqrt(sum(CAST(n AS DOUBLE) * CAST(n AS DOUBLE))) AS z FROM b GROUP BY id)
+SELECT b.id, b.dim, round(CAST(n AS DOUBLE) / z, 6) AS value FROM b JOIN nrm ON nrm.id = b.id"""
+
+
+def _nb_sql(docs: str, docs_cte: str = "") -> str:
+    """CTEs ending in ``probs(id, p0, p1, p2, label)``: naive Bayes trained on
+    the labelled partition, scoring the rows of ``docs(id, ct)``."""
+    dim = scoring.SCORER_DIM
+    return f"""{docs_cte}{S.LABELLED},
+lab AS (SELECT id, {S.clean_strict('text')} AS ct, {S.LABEL_IDX} AS y FROM labelled),
+n AS (SELECT count(*) AS n FROM lab),
+part AS (SELECT lab.*, row_number() OVER (ORDER BY {S.shuffle_key('id')}, id) AS rk FROM lab),
+train AS (SELECT part.* FROM part, n WHERE rk <= CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)),
+rest AS (SELECT part.* FROM part, n WHERE rk > CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)),
+tt AS (SELECT y, {_bucket('tok', dim)} AS b FROM (SELECT y, {_TOKS} AS tok FROM train)),
+cnt AS (SELECT y, b, count(*) AS c FROM tt GROUP BY y, b),
+cls(y) AS (VALUES (0), (1), (2)),
+tot AS (SELECT cls.y, coalesce(sum(cnt.c), 0) AS tc FROM cls LEFT JOIN cnt ON cnt.y = cls.y GROUP BY cls.y),
+pri AS (SELECT cls.y, count(train.id) AS pc FROM cls LEFT JOIN train ON train.y = cls.y GROUP BY cls.y),
+nt AS (SELECT count(*) AS nt FROM train),
+lp AS (SELECT pri.y, ln((CAST(pc AS DOUBLE) + 1.0) / (CAST(nt AS DOUBLE) + 3.0)) AS lp FROM pri, nt),
+dt AS (SELECT id, {_bucket('tok', dim)} AS b FROM (SELECT id, {_TOKS} AS tok FROM {docs})),
+ll AS (SELECT dt.id, cls.y, sum(ln((CAST(coalesce(cnt.c, 0) AS DOUBLE) + 1.0) / (CAST(tot.tc AS DOUBLE) + {dim}.0))) AS s
+       FROM dt, cls JOIN tot ON tot.y = cls.y LEFT JOIN cnt ON cnt.y = cls.y AND cnt.b = dt.b
+       GROUP BY dt.id, cls.y),
+sc AS (SELECT d.id, cls.y, lp.lp + coalesce(ll.s, 0.0) AS s FROM {docs} d, cls
+       JOIN lp ON lp.y = cls.y LEFT JOIN ll ON ll.id = d.id AND ll.y = cls.y),
+mx AS (SELECT id, max(s) AS m FROM sc GROUP BY id),
+ex AS (SELECT sc.id, sc.y, exp(sc.s - mx.m) AS e FROM sc JOIN mx ON mx.id = sc.id),
+z AS (SELECT id, sum(e) AS zs FROM ex GROUP BY id),
+pp AS (SELECT ex.id, max(CASE WHEN y = 0 THEN e / zs END) AS p0, max(CASE WHEN y = 1 THEN e / zs END) AS p1,
+              max(CASE WHEN y = 2 THEN e / zs END) AS p2 FROM ex JOIN z ON z.id = ex.id GROUP BY ex.id),
+probs AS (SELECT id, p0, p1, p2,
+          CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS BIGINT) AS label FROM pp)"""
+
+
 def _partitioned(spark, sf):
     lab = labelled_reviews(spark, sf).select("id", T.clean_strict("text").alias("text"), "sentiment")
     part = splits.partition_labeled(lab, "id", "sentiment")
@@ -25,22 +75,29 @@ def _nb_factory(spark, sf):
     return lambda: nb
 
 
-@register("embed")
+@register("embed", _EMBED_SQL)
 def embed(spark, sf):
-    """UDF-01: every document -> unit vector (hashed bag of words, Arrow batches)."""
+    """UDF-01: every document -> unit vector (hashed bag of words, Arrow
+    batches), reported sparse: (id, dim, value) for the non-zero components."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
                                              T.clean_strict("text").alias("text"))
-    return scoring.embed(d, "text").select("id", "embedding")
+    e = scoring.embed(d, "text").select("id", F.posexplode("embedding").alias("dim", "value"))
+    return normalise(e.where(F.col("value") != 0))
+
+
+_DOCS_CTE = f"docs AS (SELECT doc_id AS id, {S.clean_strict('text')} AS ct FROM documents),\n"
 
 
-@register("score")
+@register("score", f"""WITH {_nb_sql('docs', _DOCS_CTE)}
+SELECT id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, label FROM probs""")
 def score(spark, sf):
     """UDF-02: every document -> class scores from the naive Bayes scorer
     trained on the labelled partition, plus the argmax label."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
                                              T.clean_strict("text").alias("text"))
     s = scoring.score(d, "text", _nb_factory(spark, sf))
-    return s.select("id", "scores", L.argmax("scores").alias("label"))
+    return normalise(s.select("id", *[F.element_at("scores", k + 1).alias(f"p{k}") for k in range(3)],
+                              L.argmax("scores").alias("label")))
 
 
 @register("train_score")
@@ -58,7 +115,9 @@ def train_score(spark, sf):
                   .select("id", "label_idx", "pred", "probs")
 
 
-@register("relabel")
+@register("relabel", f"""WITH {_nb_sql('rest')}
+SELECT r.id, r.ct AS text, ['negative', 'neutral', 'positive'][p.label + 1] AS sentiment
+FROM rest r JOIN probs p ON p.id = r.id""")
 def relabel(spark, sf):
     """AUG-05: re-label the unlabelled partition with the batch scorer."""
     part = _partitioned(spark, sf)
@@ -66,7 +125,21 @@ def relabel(spark, sf):
                            _nb_factory(spark, sf))
 
 
-@register("augment_e2e")
+@register("augment_e2e", f"""WITH {_nb_sql('rest')},
+comb AS (SELECT id, ct, ['negative', 'neutral', 'positive'][y + 1] AS sentiment FROM train
+         UNION ALL
+         SELECT r.id, r.ct, ['negative', 'neutral', 'positive'][p.label + 1] FROM rest r JOIN probs p ON p.id = r.id),
+aug AS (SELECT CAST(id AS VARCHAR) || '_orig' AS id, ct AS text, id AS source_id, sentiment FROM comb
+        UNION ALL
+        SELECT CAST(id AS VARCHAR) || '_aug', {AUG_SQL('ct', 'id')}, id, sentiment FROM comb),
+na AS (SELECT count(*) AS n FROM aug),
+rk AS (SELECT aug.*, row_number() OVER (ORDER BY {S.shuffle_key('id')}, id) AS r FROM aug)
+SELECT id, text, source_id, sentiment,
+  CASE WHEN r <= CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) THEN 'train'
+       WHEN r <= CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) + CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT) THEN 'validation'
+       ELSE 'test' END AS split,
+  CAST(CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END AS BIGINT) AS label
+FROM rk, na""")
 def augment_e2e(spark, sf):
     """AUG-06: partition -> re-label -> original + augmented rows -> 80/10/10
     split -> label codes. (Splitting after duplication can separate a row from
