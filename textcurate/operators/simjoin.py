@@ -174,7 +174,9 @@ def earlier_similar(nodes: DataFrame, scope: Sequence[str], threshold: float,
        their prefix tokens (the complete candidate set for them).
     """
     cols = list(dict.fromkeys(list(scope) + [order_col] + ([thr_col] if thr_col else [])))
-    nodes = cut_lineage(nodes.select(*cols, "vid", "canon"))
+    # nodes are one aggregation over already materialised rows: recomputing
+    # them is cheaper than writing them; the vector table is materialised
+    nodes = nodes.select(*cols, "vid", "canon")
     vecs = cut_lineage(vector_table(nodes, threshold))
     np_ = _prefix_postings(nodes, vecs, cols)
     thr = F.col(f"{thr_col}_b") if thr_col else F.lit(threshold)
