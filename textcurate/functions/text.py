@@ -136,11 +136,20 @@ def syllables(word: Column) -> Column:
 
 
 def flesch_reading_ease(c, clean: bool = False) -> Column:
-    """206.835 - 1.015 * words/sentences - 84.6 * syllables/words."""
+    """206.835 - 1.015 * words/sentences - 84.6 * syllables/words, where a word
+    has max(1, vowel groups) syllables."""
     w = (clean_words if clean else words)(c)
     nw = F.size(w).cast("double")
     ns = F.greatest(F.size(sentence_lengths(c, clean)), F.lit(1)).cast("double")
-    nsyl = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x).cast("double")
+    if clean:
+        # plain-space text: vowel groups never cross a word boundary, so the
+        # per-word sum is the text's group count plus one per vowel-less word
+        low = F.lower(_col(c))
+        groups = F.size(F.regexp_extract_all(low, F.lit(r"([aeiouy]+)"), 1))
+        bare = F.size(F.regexp_extract_all(low, F.lit(r"(?<![^ ])([^aeiouy ]+)(?![^ ])"), 1))
+        nsyl = (groups + bare).cast("double")
+    else:
+        nsyl = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x).cast("double")
     return F.when(nw == 0, F.lit(0.0)).otherwise(
         F.lit(206.835) - F.lit(1.015) * (nw / ns) - F.lit(84.6) * (nsyl / nw))
 
