@@ -99,8 +99,10 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
         rows = cut_lineage(rows)
     rows, scope_cols = with_scope(rows, scope)
     kept = rows.where("keep_len")
-    out = rows.join(exact_firsts(kept, scope_cols), "pos", "left")
-    is_exact = F.col("keep_len") & F.col("_first_key").isNull()
+    # every per-position flag is gathered into one table first, so the wide
+    # rows (with their text) are shuffled for a single join on the position
+    flags = exact_firsts(kept, scope_cols).select(
+        "pos", F.lit(1).alias("_k"), F.lit(0).alias("_v"), F.lit(0).alias("_n"))
     if near:
         nodes = near_nodes(kept, scope_cols)
         thr_col, min_thr = None, threshold
@@ -110,14 +112,21 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
             nodes = nodes.join(first_thr, "first_pos")
             thr_col = "thr"
             min_thr = min(round(threshold * m, 9) for m in DOMAIN_MULTIPLIER.values())
-        firsts = nodes.select(F.col("first_pos").alias("pos"), F.lit(True).alias("_first_vec"))
-        nf = near_firsts(nodes, scope_cols, thr_col, threshold, min_thr)
-        out = out.join(firsts, "pos", "left").join(nf, "pos", "left")
-        later_copy = F.col("_first_vec").isNull()
+        firsts = nodes.select(F.col("first_pos").alias("pos"), F.lit(0).alias("_k"),
+                              F.lit(1).alias("_v"), F.lit(0).alias("_n"))
+        nf = near_firsts(nodes, scope_cols, thr_col, threshold, min_thr).select(
+            "pos", F.lit(0).alias("_k"), F.lit(0).alias("_v"), F.lit(1).alias("_n"))
+        flags = flags.unionByName(firsts).unionByName(nf)
+    flags = flags.groupBy("pos").agg(F.max("_k").alias("_first_key"), F.max("_v").alias("_first_vec"),
+                                     F.max("_n").alias("_near_first"))
+    out = rows.join(flags, "pos", "left")
+    is_exact = F.col("keep_len") & (F.coalesce(F.col("_first_key"), F.lit(0)) == 0)
+    if near:
+        later_copy = F.coalesce(F.col("_first_vec"), F.lit(0)) == 0
         if threshold_expr is not None:
             # an identical earlier vector has cosine 1: it counts when 1 >= threshold
             later_copy = later_copy & (F.lit(1.0) >= threshold_expr)
-        is_near = F.col("keep_len") & (later_copy | F.col("_near_first").isNotNull())
+        is_near = F.col("keep_len") & (later_copy | (F.coalesce(F.col("_near_first"), F.lit(0)) == 1))
     else:
         is_near = F.lit(False)
     res = (out.withColumn("is_exact", is_exact).withColumn("is_near", is_near)
