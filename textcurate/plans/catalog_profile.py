@@ -9,11 +9,11 @@ from textcurate.operators import dedup, profile, splits
 from textcurate.plans import curate as C
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import normalise, register
-from textcurate.sources.tables import doc_positions, labelled_reviews, reviews
+from textcurate.sources.tables import attach_sentiment, doc_positions, documents, labelled_reviews
 
 
 def _verdicts(spark, sf):
-    return dedup.verdicts(reviews(spark, sf))
+    return dedup.verdicts(documents(spark, sf))
 
 
 @register("filter_summary", f"""WITH {S.VERDICTS}
@@ -41,7 +41,7 @@ def empty_summary(spark, sf):
     """AGG-11: the batch where nothing survives -- the reviews whose cleaned text
     is under five words all fail the length filter; counters stay consistent
     (removed = processed, accepted = 0)."""
-    rows = dedup.prepare(reviews(spark, sf)).where(F.col("word_count") < 5)
+    rows = dedup.prepare(documents(spark, sf)).where(F.col("word_count") < 5)
     return profile.filter_summary(dedup.verdicts(rows, prepared=True))
 
 
@@ -63,8 +63,8 @@ SELECT d.sentiment, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM dim d LEFT JOIN c
 def sentiment_dist(spark, sf):
     """AGG-02: final label distribution of the curated rows, three classes always."""
     v = _verdicts(spark, sf)
-    cur = v.where(F.col("keep_len") & F.col("dup_type").isNull())
-    return profile.sentiment_dist(spark, cur)
+    cur = v.where(F.col("keep_len") & F.col("dup_type").isNull()).select("id")
+    return profile.sentiment_dist(spark, attach_sentiment(cur, spark, sf))
 
 
 @register("label_dist", f"""WITH {S.LABELLED},

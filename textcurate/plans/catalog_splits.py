@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textcurate.operators import dedup, splits
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import register
-from textcurate.sources.tables import labelled_reviews, reviews, table
+from textcurate.sources.tables import doc_positions, documents, labelled_reviews, table
 
 _CURATED_SQL = f"""WITH {S.REVIEWS},
 {S.PREPARED},
@@ -21,7 +21,7 @@ curated AS (SELECT * FROM flags WHERE NOT is_exact AND NOT is_near)"""
 
 def curated(spark, sf):
     """Rows that survive cleaning, the length filter and global dedup."""
-    v = dedup.verdicts(reviews(spark, sf))
+    v = dedup.verdicts(documents(spark, sf))
     return v.where(F.col("keep_len") & F.col("dup_type").isNull())
 
 
@@ -29,7 +29,7 @@ def curated(spark, sf):
 SELECT row_number() OVER (ORDER BY pos) AS new_id, id AS original_id FROM curated""")
 def renumber(spark, sf):
     """IDX-01: surviving rows renumbered 1..N in input order."""
-    return splits.renumber(curated(spark, sf), "pos").select(
+    return splits.renumber(curated(spark, sf), "pos", bounds_from=doc_positions(spark, sf)).select(
         "new_id", F.col("id").alias("original_id"))
 
 
@@ -38,8 +38,9 @@ pipe AS (SELECT row_number() OVER (ORDER BY pos) AS pid, pos FROM curated)
 SELECT pid - 1 AS id, pid AS original_id FROM pipe""")
 def local_id(spark, sf):
     """IDX-02: local id 0..N-1, previous (pipeline) id kept as original_id."""
-    pipe = splits.renumber(curated(spark, sf), "pos", out="pid")
-    again = splits.renumber(pipe, "pos", out="lid")
+    bounds = doc_positions(spark, sf)
+    pipe = splits.renumber(curated(spark, sf), "pos", out="pid", bounds_from=bounds)
+    again = splits.renumber(pipe, "pos", out="lid", bounds_from=bounds)
     return again.select((F.col("lid") - 1).alias("id"), F.col("pid").alias("original_id"))
 
 

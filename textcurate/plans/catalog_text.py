@@ -8,11 +8,11 @@ from textcurate.functions import labels as L
 from textcurate.functions import text as T
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import normalise, register
-from textcurate.sources.tables import reviews, sentiment_of, table
+from textcurate.sources.tables import documents, sentiment_of, table
 
 
 def _clean_docs(spark, sf):
-    return reviews(spark, sf).select("id", T.clean_strict("text").alias("clean_text"))
+    return documents(spark, sf).select("id", T.clean_strict("text").alias("clean_text"))
 
 
 @register("clean_strict", f"""

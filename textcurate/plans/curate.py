@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textcurate.operators import dedup, profile, splits
 from textcurate.session import cut_lineage
-from textcurate.sources.tables import doc_positions, reviews
+from textcurate.sources.tables import attach_sentiment, doc_positions, documents
 
 UNLABELLED = "unlabelled"
 
@@ -35,10 +35,12 @@ def split_curated(cur: DataFrame) -> DataFrame:
 
 
 def curate(spark: SparkSession, sf_dir: str, scope: str = "global") -> DataFrame:
-    v = dedup.verdicts(reviews(spark, sf_dir), scope=scope)
-    # the survivors are read by the quota count, the rank counts and the rank
+    v = dedup.verdicts(documents(spark, sf_dir), scope=scope)
+    # labels join the survivors only (narrow rows, after the filters); the
+    # survivors are read by the quota count, the rank counts and the rank
     # itself: materialise them once in the shared checkpoint folder
-    cur = cut_lineage(curated_rows(v, doc_positions(spark, sf_dir)))
+    cur = curated_rows(v, doc_positions(spark, sf_dir))
+    cur = cut_lineage(attach_sentiment(cur, spark, sf_dir))
     out = split_curated(cur)
     return out.select(F.col("lid").alias("id"), F.col("pid").alias("original_id"),
                       F.col("pos").alias("doc_id"), "clean_text", "sentiment", "domain", "split")
@@ -52,10 +54,10 @@ def run_curation(spark: SparkSession, sf_dir: str, scope: str = "global",
     from textcurate.sources import sinks
 
     t0 = time.time()
-    v = dedup.verdicts(reviews(spark, sf_dir), scope=scope).persist(StorageLevel.MEMORY_AND_DISK)
+    v = dedup.verdicts(documents(spark, sf_dir), scope=scope).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         summary = profile.filter_summary(v).first().asDict()
-        cur = curated_rows(v, doc_positions(spark, sf_dir))
+        cur = attach_sentiment(curated_rows(v, doc_positions(spark, sf_dir)), spark, sf_dir)
         out = split_curated(cur).select(
             F.col("lid").alias("id"), F.col("pid").alias("original_id"),
             F.col("pos").alias("doc_id"), "clean_text", "sentiment", "domain", "split")

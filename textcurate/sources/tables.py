@@ -51,20 +51,32 @@ def sentiment_of(quality, toxic):
             .otherwise("positive"))
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review rows: id, pos (input order key), text, domain, sentiment (nullable).
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows without labels: id, pos (input order key), text, domain.
 
-    ``pos`` is the document id: the input order of the review stream. Labels
-    are keyed by doc_id; the join is a plain equi-join that AQE may turn into a
-    broadcast when the labels side is small at runtime.
-    """
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    ``pos`` is the document id: the input order of the review stream. Plans
+    that do not need the label (cleaning, duplicates) start here, so the raw
+    text is never shuffled for the label join."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text",
         F.col("source").alias("domain"))
-    lab = table(spark, sf_dir, "labels").select(
+
+
+def sentiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"),
         sentiment_of(F.col("quality"), F.col("toxic")).alias("sentiment"))
-    return docs.join(lab, "id", "left")
+
+
+def attach_sentiment(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left-join the label of each row by id (late, on narrow relations).
+    AQE turns it into a broadcast when the labels are small at runtime."""
+    return df.join(sentiments(spark, sf_dir), "id", "left")
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows: id, pos (input order key), text, domain, sentiment (nullable)."""
+    return attach_sentiment(documents(spark, sf_dir), spark, sf_dir)
 
 
 def labelled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
