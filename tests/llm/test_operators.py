@@ -1,0 +1,353 @@
+"""Operators against plain Python versions, and their edge cases."""
+
+import random
+
+import pytest
+
+from textcurate.llm import catalog, credentials, lbl, licenses, line_dedup, lsh_forest, mixing, quality, suffix_dedup, token_counts, winnow
+
+from . import brute
+from .conftest import SCHEMA, with_clashes
+
+MODEL = "piece_bpe_32k.model"
+
+
+def model_file():
+    import public_tokenizers
+
+    return str(public_tokenizers.path(MODEL))
+
+
+def edge_rows(prose):
+    base = prose(1, 160)
+    long = prose(2, 30_000)
+    words = base.split(" ")
+    near = " ".join([*words[:70], "changed", *words[71:]])
+    rows = [(1, base), (2, base), (3, near), (4, None), (5, ""), (6, "   \n\t "), (7, "two words"), (8, "two  words"), (9, long),
+            (10, long[:5000] + " tail " + long[9000:]), (11, "ééé ÀB ﬁne ½² token = \"abcdef123456\" x"), (12, "A" * 700), (13, "A" * 300),
+            (14, "x y " * 300), (15, base + "\n" + base + "\n" + prose(3, 40)), (16, prose(4, 12)), (16, prose(4, 12)), (None, prose(5, 90)),
+            (18, "tab\tseparated\x0bwords\x0chere\rnow \x1f\x1c　  end"), (19, "nul\x00byte ▁ ▁▁ <s> <0x0A>")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows(prose):
+    return edge_rows(prose)
+
+
+@pytest.fixture(scope="module")
+def docs(make_docs, rows):
+    return with_clashes(make_docs(rows)).cache()
+
+
+def by_key(found, rows, *fields):
+    """Results and rows sorted alike: by id, then the first field."""
+    return sorted((tuple(str(r[f]) for f in ("doc_id", *fields)) for r in found))
+
+
+def expected(rows, fn, *fields):
+    return sorted((str(r[0]), *(str(fn(r[1])[f]) for f in fields)) for r in rows)
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def test_quality_base(docs, rows):
+    found = quality.line_frequency_rules(docs).collect()
+    assert by_key(found, rows, *BASE) == expected(rows, brute.quality_base, *BASE)
+
+
+def test_frequent_lines_removed(make_docs, prose):
+    banner = "Subscribe To Our  Newsletter now"
+    # 30 documents of one host hold the banner, 30 of another do not; one is little else
+    rows = [(i, f"{prose(i, 80)}\n{banner.lower() if i % 2 else banner}", "en", "a") for i in range(30)]
+    rows += [(100 + i, prose(100 + i, 80), "en", "b") for i in range(30)]
+    rows += [(200, "\n".join([banner] * 30), "en", "a"), (201, banner, "en", "b"), (202, None, None, None)]
+    # copies of one text count once: their lines stay
+    rows += [(300 + i, prose(999, 80), "en", "b") for i in range(60)]
+    got = {r["doc_id"]: r for r in quality.line_frequency_rules(make_docs(rows)).collect()}
+    assert all(got[i]["n_removed_words"] == 5 and got[i]["kept"] for i in range(30))
+    assert all(got[i]["n_removed_words"] == 0 and got[i]["kept"] for i in [*range(100, 130), *range(300, 360)])
+    assert got[200]["depleted"] and not got[200]["kept"] and got[200]["n_removed_words"] == 150
+    assert got[201]["n_removed_words"] == 0
+
+
+def test_token_counts(docs, rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_file())
+    found = token_counts.token_counts(docs, model_file(), memo_size=50).collect()
+    assert by_key(found, rows, "n_bytes", "n_tokens") == expected(
+        rows, lambda t: {"n_bytes": len((t or "").encode()), "n_tokens": len(sp.encode(t or ""))}, "n_bytes", "n_tokens")
+
+
+def test_token_counts_of_random_strings():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_file())
+    ranks = token_counts.load_ranks(model_file())
+    pattern = token_counts.chunk_pattern(ranks)
+    assert pattern is token_counts.CHUNK
+    memo = token_counts.ChunkCounts(ranks, 100)
+    rng = random.Random(3)
+    alphabet = "aabcdeestion the  \n\t.,;:'\"!?()<>/\\_-=+*&^%$#@0123456789éßñç漢字かな한국😀‍́▁²½"
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60)))
+        assert token_counts.count_text(t, memo, pattern) == len(sp.encode(t)), t
+
+
+def test_near_duplicates(make_docs, rows):
+    named = [r for r in rows if r[0] is not None and r[0] != 16] + [(16, rows[15][1])]
+    found = lsh_forest.near_duplicates(with_clashes(make_docs([*named, (None, "a b c d e")]))).collect()
+    truth = brute.near_components(named)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] is not None} == truth
+    (null,) = [r for r in found if r["doc_id"] is None]
+    assert null["component_id"] is None and null["kept"]
+
+
+def test_near_duplicates_of_a_star(make_docs, prose):
+    """Many copies of one text, each a few words away from it and farther from each
+    other: all are linked through the text they were made from."""
+    words = prose(50, 150).split(" ")
+    rng = random.Random(7)
+    rows = [(500, " ".join(words))]
+    for i in range(400):
+        w = list(words)
+        for at in rng.sample(range(4, 146), 3):
+            w[at] = f"edit{i}x{at}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, prose(2000 + i, 100)) for i in range(100)]
+    found = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(make_docs(rows)).collect()}
+    truth = brute.near_components(rows)
+    assert found == {i: c for i, (_, c) in truth.items()}
+
+
+def test_credentials_base(docs, rows):
+    fields = ("n_assign", "n_access", "n_hex", "base_sha256")
+    found = credentials.credential_digest(docs).collect()
+    assert by_key(found, rows, *fields) == expected(rows, brute.base_secrets, *fields)
+
+
+SECRETS = [
+    (1, 'password = "hunter22" and Api_Key: abcdef token=abc secret=token=abcdefgh'),
+    (2, "AKIA" + "A1" * 8 + " deadbeef" * 4 + " " + "0123456789abcdef" * 2 + " AKIA1"),
+    (3, "api_key=token:abcdefg passwd :  ' zzzzzzz' SECRET='a/b+c.d=e_f-g'"),
+    (4, "é" * 30 + "😀 token=😀 password=éabcdefgh TOKEN = abcdefgh"),
+    (5, "AKIA" + "Z" * 16 + "\nstuff aB3dE6gH9jK2mN5pQ8sT1vW4 more https://host.example/x"),
+    (6, "aB3dE6gH9jK2mN5pQ8sT1vW4 alone"),
+    (7, "https://host.example/x alone"),
+    (8, "user = someone\n\n" + "aB3dE6gH9jK2mN5pQ8sT1vW4 in another section"),
+    (9, "user = someone " + "pad " * 100 + "aB3dE6gH9jK2mN5pQ8sT1vW4 too far"),
+    (10, "user = someone has aB3dE6gH9jK2mN5pQ8sT1vW4"),
+    (11, " ".join(f"token=abcdef{i}" for i in range(500))),
+]
+
+
+def test_credentials_of_made_up_secrets(make_docs):
+    found = {r["doc_id"]: r for r in credentials.credential_digest(make_docs([*SECRETS, SECRETS[4]])).collect()}
+    for i, t in SECRETS:
+        want = brute.base_secrets(t)
+        assert {k: found[i][k] for k in want} == want, i
+    linked = {i: found[i]["n_linked"] for i in found}
+    assert linked[5] == 2  # the weak secret and the endpoint, next to an access identifier
+    assert linked[6] == linked[7] == linked[8] == linked[9] == 0
+    assert linked[10] == 2
+    text = dict(SECRETS)[10]
+    spans = [s.split(":") for s in found[10]["spans"].split(",")]
+    assert [text[int(a):int(b)] for _, a, b in spans] == ["user = someone", "aB3dE6gH9jK2mN5pQ8sT1vW4"]
+
+
+def test_language_model(spark, make_docs, prose):
+    rows = [(i, prose(i, 120, 60)) for i in range(150)] + [(1000, None), (1001, ""), (None, "w1 w2 unseen"), (1003, "w1 w1"), (1003, "w1 w1")]
+    docs = with_clashes(make_docs(rows))
+    found = lbl.score_corpus(docs, symbols=20, groups=7, dim=8, frequent=40, rounds=1).collect()
+    key = lambda r: (str(r[0]), r[2], round(r[5], 6))
+    got = sorted([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found], key=key)
+    want = sorted(brute.lm_base(rows), key=key)
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6
+    assert all(r["score"] < 0 for r in found)
+
+
+def test_language_model_sums_to_one(spark, make_docs, prose):
+    """The symbols of every context, and the words of every group, have probability 1."""
+    import numpy as np
+
+    docs = make_docs([(i, prose(i, 60, 50)) for i in range(40)])
+    counts = lbl.word_counts(docs, 5).cache()
+    m = lbl.train(docs, counts, symbols=10, groups=5, dim=6, rounds=1)
+    logits = m.first[:, None, :] + m.second[None, :, :] - m.normal[:, :, None]
+    assert np.allclose(np.exp(logits).sum(axis=2), 1, atol=1e-4)
+    rest = {}
+    for r in counts.collect():
+        if r["word"] not in set(m.vocabulary.words):
+            rest[r["grp"]] = rest.get(r["grp"], 0.5) + r["c"] + 0.5
+    assert all(abs(m.group_mass[g] - v) < 1e-9 for g, v in rest.items())
+
+
+def test_language_model_beats_unigrams_held_out(spark):
+    found = catalog.op8_log_bilinear(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr(
+        "sum(base_score) b", "sum(score) s").first()
+    assert found["s"] > found["b"]
+
+
+def test_suffix_dedup(docs, rows):
+    found = suffix_dedup.remove_repeats(docs).collect()
+    fields = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    truth = brute.repeats([t for _, t in rows])
+    want = sorted((str(r[0]), *map(str, x)) for r, x in zip(rows, truth, strict=True))
+    assert by_key(found, rows, *fields) == want
+
+
+@pytest.mark.parametrize("crowd", [1000, 3])
+def test_suffix_dedup_of_planted_passages(spark, make_docs, crowd):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = []
+    for i in range(60):
+        t = "".join(rng.choice("klmnopqrst é") for _ in range(rng.randrange(0, 700)))
+        at = rng.randrange(0, len(t) + 1)
+        cut = passage[rng.randrange(0, 40):len(passage) - rng.randrange(0, 40)]
+        rows.append((i, t[:at] + cut + t[at:]))
+    rows += [(100 + i, "ab" * rng.randrange(80, 150)) for i in range(4)]
+    from pyspark.sql import functions as F
+
+    docs = make_docs(rows)
+    spans = suffix_dedup.repeated_spans(docs, crowd=crowd).groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    named = docs.select("doc_id", suffix_dedup.row_name(F.col("doc_id"), F.col("text")).alias("row")).join(spans, "row", "left").collect()
+    truth = dict(zip([i for i, _ in rows], brute.repeats([t for _, t in rows]), strict=True))
+    for r in named:
+        gone = set()
+        for x in r["spans"] or ():
+            gone.update(range(x["s"], x["e"]))
+        assert len(gone) == truth[r["doc_id"]][1], r["doc_id"]
+
+
+def test_contamination(spark, make_docs, prose, rows):
+    items = [(1, prose(1, 160)[100:400]), (2, "two words"), (3, None), (4, ""), (5, "end"), (6, prose(77, 12)), (7, prose(2, 300)), (7, prose(2, 300)),
+             (8, prose(1, 160)), (10, "one two three four five six seven")]
+    more = [(100, prose(8, 40) + " " + prose(77, 12) + " " + prose(9, 40)), (101, "One, TWO three-four five; six seven!"), (102, "six seven one two")]
+    benchmark = with_clashes(spark.createDataFrame(items, "item_id long, text string"))
+    every = [*rows, *more]
+    found = winnow.contamination_digest(with_clashes(make_docs(every)), benchmark).collect()
+    fields = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = sorted(tuple(map(str, x)) for x in brute.contamination(every, items))
+    assert by_key(found, every, *fields) == want
+    # the way without the filter, and without broadcasts, gives the same
+    again = winnow.find_contamination(make_docs(every), benchmark, filter_size=0, broadcast_rows=0).collect()
+    assert by_key(again, every, "n_words", "n_hit") == sorted(x[:3] for x in want)
+
+
+def test_line_dedup(make_docs, prose):
+    a, b = prose(1, 400), prose(2, 30)
+    near = " ".join([*a.split(" ")[:399], "changed"])
+    rows = [(1, f"{a}\n{b}\nshort line"), (2, f"{prose(3, 30)}\n{near}"), (3, f"  {b.upper()} \nshort line"), (4, None), (5, ""), (6, f"{a}\n{a}"),
+            (None, a), (8, prose(9, 30))]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(with_clashes(make_docs(rows))).collect()}
+    # null sorts first, so it holds the first occurrence of a
+    assert got == {1: [0], 2: [1], 3: [0], 4: [], 5: [], 6: [0, 1], None: [], 8: []}
+
+
+def test_line_groups_lose_no_candidate_link(make_docs, prose):
+    """Components equal those of all pairs that agree in a block and are similar."""
+    rng = random.Random(5)
+    lines = []
+    for g in range(12):
+        base = prose(g, 40).replace(".", "").split(" ")
+        for _ in range(15):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(99)}"
+            lines.append(" ".join(w))
+    docs = make_docs([(i, x) for i, x in enumerate(lines)])
+    classes = line_dedup.line_classes(line_dedup.line_occurrences(docs)).cache()
+    blocks = {r["h1"]: [r[f"b{k}"] for k in range(4)] for r in line_dedup.simhash(classes).collect()}
+    text = {r["h1"]: r["norm"] for r in classes.collect()}
+    parent = {h: h for h in text}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(text)
+    for i, x in enumerate(ids):
+        for y in ids[:i]:
+            if any(p == q for p, q in zip(blocks[x], blocks[y], strict=True)) and edit_similarity(text[x], text[y]) >= 0.85:
+                p, q = find(x), find(y)
+                parent[max(p, q)] = min(p, q)
+    truth = {h: find(h) for h in ids}
+    found = {r["node"]: r["component"] for r in line_dedup.fuzzy_groups(classes).collect()}
+    assert {h: found.get(h, h) for h in ids} == truth
+    assert len(set(truth.values())) < len(ids)
+
+
+def edit_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+def test_simhash_bits(make_docs):
+    """The packed votes equal a plain count of each bit."""
+    docs = make_docs([(1, " ".join(f"a{i % 7} b{i % 3}" for i in range(40)))])
+    classes = line_dedup.line_classes(line_dedup.line_occurrences(docs))
+    one = line_dedup.simhash(classes).first()
+    from pyspark.sql import functions as F
+
+    words = classes.select(F.explode(F.split("norm", " ")).alias("w")).select(F.xxhash64("w").alias("x0"), F.xxhash64("w", F.lit(1)).alias("x1")).collect()
+    for block in range(4):
+        x, half = ("x0", "x1")[block // 2], block % 2
+        want = 0
+        for bit in range(32):
+            votes = sum((w[x] >> (32 * half + bit)) & 1 for w in words)
+            if 2 * votes > len(words):
+                want |= 1 << bit
+        assert one[f"b{block}"] == want
+
+
+def test_mixing_reaches_targets(make_docs, prose):
+    rows = [(i, prose(i, 60 + i % 70), ("en", "de", None)[i % 3], f"s{0 if i % 3 else i % 5}") for i in range(300)] + [(900, None, "en", "s0"), (901, "", None, None)]
+    docs = mixing.measured(make_docs(rows))
+    mixed = mixing.mix_to_targets(docs, {"source": 0.5, "lang": 0.0, "topic": 1.0}, rounds=30).collect()
+    assert len(mixed) == len(rows)
+    total = sum(r["n_tokens"] for r in mixed)
+    for lang in ("en", "de", None):
+        share = sum(r["n_tokens"] * r["ratio"] for r in mixed if r["lang"] == lang) / total
+        assert abs(share - 1 / 3) < 1e-6
+    kept = sum(r["n_tokens"] * r["weight"] for r in mixed if r["kept"])
+    assert abs(kept / (0.5 * total) - 1) < 0.2
+    plain = mixing.mix_to_targets(docs, {"source": 0.5, "lang": 0.0, "topic": 1.0}, rounds=30, broadcast_cells=0).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in plain) == sorted((r["doc_id"], r["kept"]) for r in mixed)
+
+
+def test_licenses(make_docs, prose):
+    mit = licenses.TEMPLATES[("MIT", "permission")]
+    rows = [(1, f"{prose(1, 50)}\nReleased under the MIT License.\n{prose(2, 50)}"), (2, "licensed under the apache license version 2.0"),
+            (3, mit.replace("charge", "cost").upper()), (4, None), (5, ""), (6, prose(3, 200)), (7, "Released under the MIT License.\n\n" + mit)]
+    got = {r["doc_id"]: (r["license"], r["licenses"]) for r in licenses.scan_licenses(with_clashes(make_docs(rows))).collect()}
+    assert got == {1: ("MIT", "MIT"), 2: ("Apache-2.0", "Apache-2.0"), 3: ("MIT", "MIT"), 4: (None, ""), 5: (None, ""), 6: (None, ""), 7: ("MIT", "MIT")}
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert quality.line_frequency_rules(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
+    assert token_counts.token_counts(empty, model_file()).count() == 0
+    assert lsh_forest.near_duplicates(empty).count() == 0
+    assert credentials.credential_digest(empty).count() == 0
+    assert mixing.mix_to_targets(mixing.measured(empty)).count() == 0
+    assert licenses.scan_licenses(empty).count() == 0
+    assert lbl.score_corpus(empty).count() == 0
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+    assert winnow.contamination_digest(empty, items).count() == 0
+
+
+def test_no_benchmark_items(spark, make_docs):
+    items = spark.createDataFrame([], "item_id long, text string")
+    (r,) = winnow.contamination_digest(make_docs([(1, "some words")]), items).collect()
+    assert (r["n_words"], r["n_hit"], r["contaminated"]) == (2, 0, False)

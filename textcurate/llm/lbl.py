@@ -320,13 +320,12 @@ def train(docs: DataFrame, counts: DataFrame, symbols: int = SYMBOLS, groups: in
     spark = docs.sparkSession
     sc = spark.sparkContext
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).select("word", "c").toPandas()  # the bound is a parameter
+    # the end counts as the most frequent, so it is a symbol and in the broadcast table
+    # as all symbols are; the bound is a parameter
+    top = counts.orderBy(F.col("word") != F.lit(int(END_HASH)), F.desc("c"), "word").limit(max(frequent, symbols)).select("word", "c").toPandas()
     order = np.argsort(top["word"].to_numpy(np.int64))
     hashes, c = top["word"].to_numpy(np.int64)[order], top["c"].to_numpy(np.int64)[order]
-    chosen = top["word"].to_numpy(np.int64)[:symbols]
-    if totals[0] and END_HASH not in chosen:
-        chosen = np.append(chosen, END_HASH)
-    chosen = np.sort(chosen)
+    chosen = np.sort(top["word"].to_numpy(np.int64)[:symbols])
     # the words that are no symbols, by group
     names = spark.createDataFrame([(int(x),) for x in chosen], "o_word long")
     rest = counts.join(F.broadcast(names), F.col("word") == F.col("o_word"), "left_anti").groupBy("grp").agg(

@@ -112,10 +112,9 @@ def sketch(docs: DataFrame, size: int = 4, trees: int = TREES, depth: int = DEPT
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], depth: int, least: int, near: int) -> Iterator[pa.RecordBatch]:
-    """Walks one partition of the sorted order: per entry the length of its run of
-    equal signatures so far, and its neighbours (-1: none)."""
+    """Walks one partition of the sorted order: the neighbours of every entry (-1:
+    none)."""
     tail = np.empty((0, depth + 2), np.int64)
-    run = 0
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         every = np.concatenate([tail, rows])
@@ -127,18 +126,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch], depth: int, least: int, near:
             if len(at):
                 close = (keys[at, :least + 1] == keys[at - step, :least + 1]).all(axis=1)
                 partners[at[close] - off, step - 1] = ids[at[close] - step]
-        same = np.zeros(n, bool)
-        if off + n > 1:
-            at = np.arange(max(off, 1), off + n)
-            same[at - off] = (keys[at] == keys[at - 1]).all(axis=1)
-        begin = np.maximum.accumulate(np.where(same, -1, np.arange(n)))
-        runs = np.where(begin >= 0, np.arange(n) - begin, run + 1 + np.arange(n))
-        if n:
-            run = int(runs[-1])
         tail = every[-near:]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[off:]), pa.array(runs), pa.ListArray.from_arrays(
-                pa.array(np.arange(n + 1, dtype=np.int32) * near), pa.array(partners.ravel()))], ["id", "shared", "partners"])
+            [pa.array(ids[off:]), pa.ListArray.from_arrays(
+                pa.array(np.arange(n + 1, dtype=np.int32) * near), pa.array(partners.ravel()))], ["id", "partners"])
 
 
 def forest(classes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -192,9 +183,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: in
     entries = cut_lineage(entries.join(crowded, region, "left_semi"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     walked = cut_lineage(entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(order).mapInArrow(
-        partial(_neighbours, depth=depth, least=least, near=near), "id long, shared long, partners array<long>"))
-    # hub: the class with the longest runs of equal signatures over all trees
-    score = walked.groupBy("id").agg(F.sum("shared").alias("score"))
+        partial(_neighbours, depth=depth, least=least, near=near), "id long, partners array<long>"))
+    # hub: the class whose whole signatures are shared most often over all trees
+    shared = entries.groupBy(order[:-1]).agg(F.count(F.lit(1)).alias("n"))
+    score = entries.join(shared, order[:-1]).groupBy("id").agg(F.sum("n").alias("score"))
     hubs = entries.join(score, "id").groupBy(region).agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("hub"))
     star = entries.select(*region, "id").join(hubs, region).select(
         (-F.col("hub.minus")).alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
