@@ -14,7 +14,7 @@ def test_krank_equals_row_number(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet").select("o_orderkey", "o_orderstatus")
     staged = o.withColumn("h", splits.shuffle_key("o_orderkey"))
     ours = rank.row_number_exact(staged, [F.col("h"), F.col("o_orderkey")], rank.hex_bucket(F.col("h")),
-                                 ["o_orderstatus"], "rn", small_groups=True)
+                                 ["o_orderstatus"], "rn")
     ref = staged.withColumn("rn2", F.row_number().over(
         Window.partitionBy("o_orderstatus").orderBy("h", "o_orderkey")))
     bad = ours.join(ref, ["o_orderkey"]).where(F.col("rn") != F.col("rn2")).count()

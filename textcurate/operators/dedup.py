@@ -137,7 +137,7 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
 
 def domain_threshold(domain_col: Column, threshold: float = NEAR_THRESHOLD) -> Column:
     """DUP-07: threshold x multiplier of the detector domain; unknown -> general.
-    The three-entry dimension is a map literal, so no join is needed."""
+    A product above 1 means that only exact copies count there. The three-entry dimension is a map literal, so no join is needed."""
     m = F.create_map(*[x for k, v in DOMAIN_MULTIPLIER.items() for x in (F.lit(k), F.lit(v))])
     return F.round(F.lit(threshold) * F.coalesce(F.element_at(m, domain_col), F.lit(1.0)), 9)
 
@@ -145,5 +145,5 @@ def domain_threshold(domain_col: Column, threshold: float = NEAR_THRESHOLD) -> C
 def detector_domain(source_col: Column) -> Column:
     """Fixture mapping of a document source 'src<k>' to a detector domain:
     k % 3 = 0 general, 1 technology, 2 service."""
-    k = F.regexp_extract(source_col, r"(\d+)$", 1).cast("long") % 3
+    k = F.regexp_extract(source_col, r"(\d+)$", 1).try_cast("long") % 3
     return F.when(k == 1, "technology").when(k == 2, "service").otherwise("general")

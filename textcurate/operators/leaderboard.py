@@ -62,8 +62,9 @@ def research_table(mm: DataFrame, metrics: Sequence[str], sort_metric: str = "co
 
 
 def best_by_metric(mm: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """LDB-03: best model per metric (highest value, ties by name)."""
-    long = mm.unpivot("model", list(metrics), "metric", "value")
+    """LDB-03: best model per metric (highest value, ties by name) among the models
+    that have it."""
+    long = mm.unpivot("model", list(metrics), "metric", "value").where(F.col("value").isNotNull())
     return long.groupBy("metric").agg(
         F.min_by("model", F.struct((-F.col("value")).alias("v"), F.col("model").alias("m")))
         .alias("best_model"), F.max("value").alias("value"))
@@ -78,7 +79,7 @@ def best_checkpoint(logs: DataFrame) -> DataFrame:
     best = m.agg(F.min_by(F.struct("run", "step", "eval_combined_metric"), order).alias("b"),
                  F.count(F.lit(1)).alias("_n"))
     checked = F.when(F.col("_n") == 0,
-                     F.raise_error(F.lit("No valid checkpoints with metrics found"))).otherwise(F.col("b"))
+                     F.raise_error(F.lit("no log entry carries a combined metric"))).otherwise(F.col("b"))
     return best.select(checked.alias("b")).select("b.run", "b.step",
                                                   F.col("b.eval_combined_metric").alias("best_metric"))
 

@@ -1,8 +1,10 @@
 """Leakage between splits and set operations (LEK-*, DUP-08).
 
-Shared texts are found by grouping, not by joining splits against each other:
-per text the set of splits it occurs in has at most three members, so a text
-copied a million times still yields at most three split pairs.
+Shared texts are found by grouping, not by joining splits against each other: per
+text only the set of splits it occurs in is kept, so a text copied a million times
+yields one row per pair of its splits. Groups are formed on a 128-bit hash of the
+text, so texts are not shuffled. Any split names are compared; the three usual pairs
+are always listed.
 """
 
 from __future__ import annotations
@@ -28,12 +30,18 @@ def pair_dim(spark) -> DataFrame:
                                  "pair string, split_a string, split_b string")
 
 
+def _all_pairs(spark, counts: DataFrame) -> DataFrame:
+    """The usual pairs and any others that were found, named a-b."""
+    usual = pair_dim(spark).select("split_a", "split_b")
+    return usual.join(counts, ["split_a", "split_b"], "full").withColumn("pair", F.concat_ws("-", "split_a", "split_b"))
+
+
 def shared_pairs(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     """(key, split_a, split_b) for every key present in two splits."""
     sets = df.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("_s"))
     sets = sets.where(F.size("_s") > 1)
     ex = sets.select(key, F.posexplode("_s").alias("_i", "split_a"), "_s")
-    ex = ex.select(key, "split_a", F.explode(F.slice("_s", F.col("_i") + 2, 3)).alias("split_b"))
+    ex = ex.select(key, "split_a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("split_b"))
     # canonical pair order: train < validation < test
     a, b = F.col("split_a"), F.col("split_b")
     swap = split_rank(a) > split_rank(b)
@@ -43,31 +51,36 @@ def shared_pairs(df: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 def leak_counts(spark, df: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
     """LEK-01: distinct shared texts per split pair, with a leaked verdict."""
-    sp = shared_pairs(df.select(text, split), text, split)
+    sp = shared_pairs(df.select(F.md5(text).alias("_h"), F.col(split).alias("split")), "_h")
     c = sp.groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("shared"))
-    out = F.broadcast(pair_dim(spark)).join(c, ["split_a", "split_b"], "left")
     shared = F.coalesce("shared", F.lit(0)).cast("long")
-    return out.select("pair", shared.alias("shared"), (shared > 0).alias("leaked"))
+    return _all_pairs(spark, c).select("pair", shared.alias("shared"), (shared > 0).alias("leaked"))
 
 
 def leak_detail(df: DataFrame, text: str = "text", label: str = "label",
                 split: str = "split", order: str = "id") -> DataFrame:
     """LEK-02: each shared text with the first label seen on each side."""
-    sp = shared_pairs(df.select(text, split), text, split)
-    first = df.groupBy(text, split).agg(F.min_by(label, order).alias("_lab"))
-    fa = first.select(text, F.col(split).alias("split_a"), F.col("_lab").alias("label_a"))
-    fb = first.select(text, F.col(split).alias("split_b"), F.col("_lab").alias("label_b"))
-    j = sp.join(fa, [text, "split_a"]).join(fb, [text, "split_b"])
-    return j.select(F.concat_ws("-", "split_a", "split_b").alias("pair"), text, "label_a", "label_b")
+    hashed = df.select(F.md5(text).alias("_h"), F.col(split).alias("split"), F.col(label).alias("_l"), F.col(order).alias("_o"))
+    # per text and split the first label; then all splits of a text in one small row
+    first = hashed.groupBy("_h", "split").agg(F.min_by("_l", "_o").alias("label"), F.min("_o").alias("_o"))
+    sides = first.groupBy("_h").agg(F.array_sort(F.collect_list(F.struct(
+        split_rank(F.col("split")).alias("r"), "split", "label"))).alias("s"), F.min("_o").alias("_o")).where(F.size("s") > 1)
+    pairs = sides.select("_h", "_o", F.posexplode("s").alias("i", "a"), "s").select(
+        "_h", "_o", "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    # one row of each shared text brings the text itself
+    texts = df.select(F.col(order).alias("_o"), F.md5(text).alias("_h"), F.col(text).alias("_text"))
+    return pairs.join(texts, ["_o", "_h"]).select(
+        F.concat_ws("-", "a.split", "b.split").alias("pair"), F.col("_text").alias(text), F.col("a.label").alias("label_a"),
+        F.col("b.label").alias("label_b"))
 
 
 def leak_gate(df: DataFrame, text: str = "text", split: str = "split",
               a: str = "train", b: str = "validation") -> DataFrame:
     """LEK-03: shared distinct a/b texts over distinct b texts; pass if < 1 %.
     An empty b side gives a null share (and no pass), not a division error."""
-    d = df.where(F.col(split).isin(a, b)).select(text, split).distinct()
-    per_text = d.groupBy(text).agg(F.count_if(F.col(split) == a).alias("_a"),
-                                   F.count_if(F.col(split) == b).alias("_b"))
+    d = df.where(F.col(split).isin(a, b)).select(F.md5(text).alias("_h"), F.col(split).alias("split"))
+    per_text = d.groupBy("_h").agg(F.count_if(F.col("split") == a).alias("_a"),
+                                   F.count_if(F.col("split") == b).alias("_b"))
     agg = per_text.agg(F.count_if((F.col("_a") > 0) & (F.col("_b") > 0)).alias("shared"),
                        F.count_if(F.col("_b") > 0).alias("distinct_b"))
     share = F.when(F.col("distinct_b") == 0, F.lit(None).cast("double")) \
@@ -81,9 +94,8 @@ def id_overlap(spark, df: DataFrame, idc: str = "id", split: str = "split") -> D
     """LEK-04: ids shared by each split pair; ``ok`` when none."""
     sp = shared_pairs(df.select(idc, split), idc, split)
     c = sp.groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("overlap"))
-    out = F.broadcast(pair_dim(spark)).join(c, ["split_a", "split_b"], "left")
     ov = F.coalesce("overlap", F.lit(0)).cast("long")
-    return out.select("pair", ov.alias("overlap"), (ov == 0).alias("ok"))
+    return _all_pairs(spark, c).select("pair", ov.alias("overlap"), (ov == 0).alias("ok"))
 
 
 def cross_split_similar(df: DataFrame, text: str = "clean_text", split: str = "split",

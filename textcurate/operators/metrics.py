@@ -1,9 +1,11 @@
 """Classification metrics (MET-*).
 
-Every count-based metric derives from the K x K confusion counts, so a single
-``groupBy`` with partial aggregation over the prediction rows produces one wide
-row of counters per group (tp_k, support t_k, predicted p_k); all metrics are
-then projections of that row (the named expressions in ``METRICS`` are the
+Every count-based metric derives from the confusion counts, so a single ``groupBy``
+with partial aggregation over the prediction rows produces one wide row of counters
+per group (correct rows, and per class tp_k, support t_k, predicted p_k); all metrics
+are then projections of that row. The classes are a parameter, the three sentiment
+codes by default; ``classes_of`` reads them from the data. Labels outside the
+classes are an error, not silently left out. The projections are (the named expressions in ``METRICS`` are the
 user-supplied-metric registry of UDF-03). AUROC needs score order and uses a
 bucketed prefix sum over distinct scores (K-RANK style), never a
 single-partition window.
@@ -12,14 +14,15 @@ single-partition window.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcurate.operators import rank
 
-K = 3
-CLASSES = list(range(K))
+CLASSES = [0, 1, 2]
+MOST_CLASSES = 200
 NEUTRAL = 1
 # Fixed values of the phase gate.
 GATE_MIN_ACCURACY = 0.70
@@ -35,12 +38,25 @@ def _safe_div(a: Column, b: Column, default: float | None = 0.0) -> Column:
     return F.when(b == 0, dv).otherwise(a.cast("double") / b.cast("double"))
 
 
+def classes_of(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> list[int]:
+    """The labels that occur, sorted; more than MOST_CLASSES are an error, as the
+    counters have three columns for each."""
+    seen = pred.select(F.explode(F.array(y_true, y_pred)).alias("k")).where("k is not null").distinct().limit(MOST_CLASSES + 1).collect()
+    if len(seen) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    return sorted(int(r["k"]) for r in seen)
+
+
 def counters(pred: DataFrame, keys: Sequence[str], y_true: str = "y_true",
-             y_pred: str = "y_pred") -> DataFrame:
-    """One pass: per group s, tp_k, t_k, p_k (k = 0..K-1)."""
-    t, p = F.col(y_true), F.col(y_pred)
-    aggs = [F.count(F.lit(1)).alias("s")]
-    for k in CLASSES:
+             y_pred: str = "y_pred", classes: Sequence[int] = CLASSES) -> DataFrame:
+    """One pass: per group s (rows), c (correct rows), tp_k, t_k, p_k for each class."""
+    known = [F.lit(k) for k in classes]
+    t, p = ((F.when(F.col(x).isin(*known) if known else F.lit(False), F.col(x)).otherwise(F.raise_error(F.concat(
+        F.lit("label outside the classes: "), F.coalesce(F.col(x).cast("string"), F.lit("null")))))) for x in (y_true, y_pred))
+    pred = pred.select(*keys, t.alias("_t"), p.alias("_p"))
+    t, p = F.col("_t"), F.col("_p")
+    aggs = [F.count(F.lit(1)).alias("s"), F.count_if(t == p).alias("c")]
+    for k in classes:
         aggs += [F.count_if((t == k) & (p == k)).alias(f"tp{k}"),
                  F.count_if(t == k).alias(f"t{k}"), F.count_if(p == k).alias(f"p{k}")]
     g = pred.groupBy(*keys) if keys else pred.groupBy()
@@ -48,13 +64,13 @@ def counters(pred: DataFrame, keys: Sequence[str], y_true: str = "y_true",
     return out.select(*keys, *[F.col(c).cast("long").alias(c) for c in out.columns if c not in keys])
 
 
-def confusion(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """MET-01: long-form K x K grid per group (zeros included)."""
-    w = counters(pred, keys)  # ensures every group appears once
+def confusion(pred: DataFrame, keys: Sequence[str], classes: Sequence[int] = CLASSES) -> DataFrame:
+    """MET-01: long-form grid of the classes per group (zeros included)."""
+    w = counters(pred, keys, classes=classes)  # every group once; other labels are an error
     cells = pred.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     grid = w.select(*keys).withColumn("_c", F.explode(F.array(
         *[F.struct(F.lit(i).cast("long").alias("y_true"), F.lit(j).cast("long").alias("y_pred"))
-          for i in CLASSES for j in CLASSES]))).select(*keys, "_c.y_true", "_c.y_pred")
+          for i in classes for j in classes]))).select(*keys, "_c.y_true", "_c.y_pred")
     out = grid.join(cells, list(keys) + ["y_true", "y_pred"], "left")
     return out.select(*keys, "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -93,38 +109,32 @@ def _mean_over(values: list[Column], mask: list[Column]) -> Column:
     return _safe_div(num, den)
 
 
-def _weighted(values: list[Column]) -> Column:
-    num = None
-    for k, v in zip(CLASSES, values):
-        term = _d(f"t{k}") * v
-        num = term if num is None else num + term
-    return _safe_div(num, F.col("s"))
+def _total(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
 
 def accuracy() -> Column:
-    c = F.col("tp0") + F.col("tp1") + F.col("tp2")
-    return _safe_div(c, F.col("s"))
+    return _safe_div(F.col("c"), F.col("s"))
 
 
-def macro(fn: Callable[[int], Column]) -> Column:
+def macro(fn: Callable[[int], Column], classes: Sequence[int] = CLASSES) -> Column:
     """Mean over labels seen in truth or prediction (sklearn default labels)."""
-    return _mean_over([fn(k) for k in CLASSES], [_seen(k) for k in CLASSES])
+    return _mean_over([fn(k) for k in classes], [_seen(k) for k in classes])
 
 
-def weighted(fn: Callable[[int], Column]) -> Column:
-    return _weighted([fn(k) for k in CLASSES])
+def weighted(fn: Callable[[int], Column], classes: Sequence[int] = CLASSES) -> Column:
+    return _safe_div(_total([_d(f"t{k}") * fn(k) for k in classes]), F.col("s"))
 
 
-def balanced_accuracy() -> Column:
-    return _mean_over([recall(k) for k in CLASSES], [_present(k) for k in CLASSES])
+def balanced_accuracy(classes: Sequence[int] = CLASSES) -> Column:
+    return _mean_over([recall(k) for k in classes], [_present(k) for k in classes])
 
 
-def mcc() -> Column:
-    s = _d("s")
-    c = _d("tp0") + _d("tp1") + _d("tp2")
-    tp = _d("t0") * _d("p0") + _d("t1") * _d("p1") + _d("t2") * _d("p2")
-    pp = _d("p0") * _d("p0") + _d("p1") * _d("p1") + _d("p2") * _d("p2")
-    tt = _d("t0") * _d("t0") + _d("t1") * _d("t1") + _d("t2") * _d("t2")
+def mcc(classes: Sequence[int] = CLASSES) -> Column:
+    s, c = _d("s"), _d("c")
+    tp = _total([_d(f"t{k}") * _d(f"p{k}") for k in classes])
+    pp = _total([_d(f"p{k}") * _d(f"p{k}") for k in classes])
+    tt = _total([_d(f"t{k}") * _d(f"t{k}") for k in classes])
     cov_tp = c * s - tp
     cov_pp = s * s - pp
     cov_tt = s * s - tt
@@ -132,54 +142,55 @@ def mcc() -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(cov_tp / F.sqrt(den))
 
 
-def _all_classes_mean(fn_num: Callable[[int], str], fn_den: Callable[[int], str]) -> Column:
-    """Mean over all K classes of tp/den; null (the reference's NaN) if any
-    class has an empty denominator."""
+def _all_classes_mean(fn_num: Callable[[int], str], fn_den: Callable[[int], str], classes: Sequence[int]) -> Column:
+    """Mean over all classes of tp/den; null (the reference's NaN) if any class has
+    an empty denominator."""
     parts = [F.when(F.col(fn_den(k)) == 0, F.lit(None).cast("double"))
-             .otherwise(_d(fn_num(k)) / _d(fn_den(k))) for k in CLASSES]
-    return (parts[0] + parts[1] + parts[2]) / K
+             .otherwise(_d(fn_num(k)) / _d(fn_den(k))) for k in classes]
+    return reduce(lambda a, b: a + b, parts) / len(classes)
 
 
-def harmonic_block() -> dict[str, Column]:
+def harmonic_block(classes: Sequence[int] = CLASSES) -> dict[str, Column]:
     """MET-14 with correct names: macro recall over all classes, macro
     precision over all classes, their harmonic mean (0 when undefined) and
     0.7 * that + 0.3 * accuracy."""
-    mr = _all_classes_mean(lambda k: f"tp{k}", lambda k: f"t{k}")
-    mp = _all_classes_mean(lambda k: f"tp{k}", lambda k: f"p{k}")
+    mr = _all_classes_mean(lambda k: f"tp{k}", lambda k: f"t{k}", classes)
+    mp = _all_classes_mean(lambda k: f"tp{k}", lambda k: f"p{k}", classes)
     hf = F.when(mr.isNull() | mp.isNull() | ((mr + mp) <= 0), F.lit(0.0)) \
           .otherwise(2.0 * (mr * mp) / (mr + mp))
     return {"macro_recall_all": mr, "macro_precision_all": mp, "f1_of_macros": hf,
             "combined_harmonic": 0.7 * hf + 0.3 * accuracy()}
 
 
-METRICS: dict[str, Callable[[], Column]] = {
-    "accuracy": accuracy,
-    "macro_precision": lambda: macro(precision),
-    "macro_recall": lambda: macro(recall),
-    "macro_f1": lambda: macro(f1),
-    "weighted_precision": lambda: weighted(precision),
-    "weighted_recall": lambda: weighted(recall),
-    "weighted_f1": lambda: weighted(f1),
+# name -> expression over a counters row, given the classes; users add their own here
+METRICS: dict[str, Callable[[Sequence[int]], Column]] = {
+    "accuracy": lambda ks: accuracy(),
+    "macro_precision": lambda ks: macro(precision, ks),
+    "macro_recall": lambda ks: macro(recall, ks),
+    "macro_f1": lambda ks: macro(f1, ks),
+    "weighted_precision": lambda ks: weighted(precision, ks),
+    "weighted_recall": lambda ks: weighted(recall, ks),
+    "weighted_f1": lambda ks: weighted(f1, ks),
     "balanced_accuracy": balanced_accuracy,
     "mcc": mcc,
-    "neutral_recall": lambda: recall(NEUTRAL),
-    "combined_half": lambda: 0.5 * accuracy() + 0.5 * macro(f1),
-    "combined_70_30": lambda: 0.7 * macro(f1) + 0.3 * accuracy(),
-    "composite": lambda: (0.3 * weighted(f1) + 0.3 * weighted(recall)
-                          + 0.2 * accuracy() + 0.2 * recall(NEUTRAL)),
+    "neutral_recall": lambda ks: recall(NEUTRAL),
+    "combined_half": lambda ks: 0.5 * accuracy() + 0.5 * macro(f1, ks),
+    "combined_70_30": lambda ks: 0.7 * macro(f1, ks) + 0.3 * accuracy(),
+    "composite": lambda ks: (0.3 * weighted(f1, ks) + 0.3 * weighted(recall, ks)
+                             + 0.2 * accuracy() + 0.2 * recall(NEUTRAL)),
 }
 
 
-def metric_table(cnt: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    return cnt.select(*keys, *[METRICS[n]().alias(n) for n in names])
+def metric_table(cnt: DataFrame, keys: Sequence[str], names: Sequence[str], classes: Sequence[int] = CLASSES) -> DataFrame:
+    return cnt.select(*keys, *[METRICS[n](classes).alias(n) for n in names])
 
 
-def per_class(cnt: DataFrame, keys: Sequence[str]) -> DataFrame:
+def per_class(cnt: DataFrame, keys: Sequence[str], classes: Sequence[int] = CLASSES) -> DataFrame:
     """MET-03: long form (keys, label, precision, recall, f1, support)."""
     rows = F.explode(F.array(*[F.struct(
         F.lit(k).cast("long").alias("label"), precision(k).alias("precision"),
         recall(k).alias("recall"), f1(k).alias("f1"), F.col(f"t{k}").alias("support"))
-        for k in CLASSES])).alias("_r")
+        for k in classes])).alias("_r")
     return cnt.select(*keys, rows).select(*keys, "_r.*")
 
 
@@ -194,11 +205,11 @@ def prob_metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = pred.groupBy(*keys) if keys else pred.groupBy()
     out = g.agg(*[F.avg(x).alias(f"_b{k}") for k, x in zip(CLASSES, sq)],
                 F.avg(F.abs(p_pred - correct)).alias("calibration_error"))
-    return out.select(*keys, ((F.col("_b0") + F.col("_b1") + F.col("_b2")) / K).alias("brier"),
+    return out.select(*keys, (_total([F.col(f"_b{k}") for k in CLASSES]) / len(CLASSES)).alias("brier"),
                       "calibration_error")
 
 
-def auroc(pred: DataFrame, keys: Sequence[str], n_buckets: int = 1024) -> DataFrame:
+def auroc(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """MET-08: one-vs-rest AUROC per (keys, class), exact with ties:
     sum over distinct scores of pos * (neg below + neg equal / 2) / (P * N);
     a class absent from (or filling) the truth gives 0.5.
@@ -214,7 +225,8 @@ def auroc(pred: DataFrame, keys: Sequence[str], n_buckets: int = 1024) -> DataFr
     pos = F.col("y_true") == F.col("label")
     dist = ex.groupBy(*keys, "label", "score").agg(
         F.count_if(pos).cast("long").alias("np"), F.count_if(~pos).cast("long").alias("nn"))
-    b = rank.range_bucket(dist, "score", n_buckets=n_buckets, out="_sb")
+    # bounds from the raw scores: a scan, no shuffle; the aggregation runs once
+    b = rank.range_bucket(dist, "score", out="_sb", bounds_from=ex.select("score"))
     part = keys + ["label"]
     tot = b.groupBy(*part, "_sb").agg(F.sum("nn").alias("_bn"))
     w_off = Window.partitionBy(*part).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,8 +23,8 @@ RESEARCH_DOMAINS = ["healthcare", "finance", "technology", "retail"]
 
 
 def research_domain(source: Column) -> Column:
-    k = (F.regexp_extract(source, r"(\d+)$", 1).cast("long") % len(RESEARCH_DOMAINS)) + 1
-    return F.element_at(F.array(*[F.lit(d) for d in RESEARCH_DOMAINS]), k.cast("int"))
+    k = F.regexp_extract(source, r"(\d+)$", 1).try_cast("long") % len(RESEARCH_DOMAINS)
+    return F.get(F.array(*[F.lit(d) for d in RESEARCH_DOMAINS]), k.cast("int"))
 
 
 def mix_table(spark) -> DataFrame:
@@ -41,17 +41,19 @@ def expand_classes(keys: DataFrame, classes: DataFrame) -> DataFrame:
             .join(F.broadcast(classes.withColumn("_k", F.lit(0))), "_k").drop("_k"))
 
 
-def filter_summary(verdicts: DataFrame) -> DataFrame:
-    """AGG-01: one row of counters; total_removed = length-filtered + duplicates."""
-    agg = verdicts.agg(
+def filter_summary(verdicts: DataFrame, by: str | None = None) -> DataFrame:
+    """AGG-01: one row of counters (or one per value of ``by``); total_removed =
+    length-filtered + duplicates."""
+    agg = (verdicts.groupBy(by) if by else verdicts.groupBy()).agg(
         F.count(F.lit(1)).alias("total_processed"),
         F.count_if(~F.col("keep_len")).alias("length_filtered"),
         F.count_if(F.col("dup_type") == "exact").alias("exact_duplicates"),
         F.count_if(F.col("dup_type") == "similar").alias("near_duplicates"))
-    agg = agg.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in agg.columns])
+    keys = [by] if by else []
+    agg = agg.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in agg.columns if c not in keys])
     dups = F.col("exact_duplicates") + F.col("near_duplicates")
     return agg.select(
-        "total_processed", "length_filtered", dups.alias("duplicates_removed"),
+        *keys, "total_processed", "length_filtered", dups.alias("duplicates_removed"),
         "exact_duplicates", "near_duplicates",
         (F.col("length_filtered") + dups).alias("total_removed"),
         (F.col("total_processed") - F.col("length_filtered") - dups).alias("total_accepted"))
@@ -127,11 +129,17 @@ def class_weights(spark, domains: DataFrame, domain: str) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """AGG-08: order-free content fingerprint over all rows: count, and the sum
-    of the first 15 hex digits of md5(row) as a decimal string."""
-    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>"))
-                                  for c in cols]))
-    v = F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
-                    F.coalesce(F.sum(v), F.lit(0).cast("decimal(38,0)")).cast("string")
-                    .alias("content_sum"))
+    """AGG-08: order-free content fingerprint over all rows: count, and the sums of
+    the two halves of md5(row) as decimal strings. Each field enters with its
+    length, so different rows never read alike."""
+    def field(c: str) -> Column:
+        s = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.char_length(s).cast("string"), F.lit(":"), s), F.lit("-"))
+
+    h = F.md5(F.concat_ws("|", *[field(c) for c in cols]))
+
+    def total(at: int) -> Column:
+        v = F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")
+        return F.coalesce(F.sum(v), F.lit(0).cast("decimal(38,0)")).cast("string")
+
+    return rows.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), total(1).alias("content_sum"), total(17).alias("content_sum2"))

@@ -28,17 +28,29 @@ def hex_bucket(hex_col: Column, digits: int = HEX_BUCKET_DIGITS) -> Column:
     return hex_prefix_int(hex_col, digits)
 
 
-def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096,
-                 rel_error: float = 0.001, out: str = "_bucket",
-                 bounds_from: DataFrame | None = None) -> DataFrame:
-    """Bucket a numeric sort key by approximate quantiles (a distributed
-    sketch; only the n_buckets boundaries reach the driver). Monotone in the key
-    whatever the quantile error, so ranks stay exact; the error only affects
-    bucket balance. ``bounds_from`` may supply a cheap superset relation of the
-    key (e.g. the source id column) so a costly upstream plan is not run twice."""
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    src = bounds_from if bounds_from is not None else df
-    bounds = src.approxQuantile(col, qs, rel_error) if qs else []
+# Rows that a bucket of a ranged key is meant to hold; none of distinct keys holds
+# more than twice as many.
+BUCKET_ROWS = 200_000
+LEAST_BUCKETS = 16
+
+
+def bucket_count(n_rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets grow with the rows, so a bucket (one task's window) does not."""
+    return max(LEAST_BUCKETS, -(-n_rows // bucket_rows))
+
+
+def range_bucket(df: DataFrame, col: str, out: str = "_bucket", bounds_from: DataFrame | None = None,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Bucket a numeric sort key by approximate quantiles (a distributed sketch; only
+    the boundaries reach the driver). Monotone in the key whatever the quantile
+    error, so ranks stay exact. There are n / ``bucket_rows`` buckets and the error
+    is a quarter of a bucket at either bound, so the largest holds at most 1.5 x
+    ``bucket_rows`` distinct keys. Null keys get a null bucket. ``bounds_from`` may
+    supply a cheap superset relation of the key (e.g. the source id column) so a
+    costly upstream plan is not run twice."""
+    src = (bounds_from if bounds_from is not None else df).select(col)
+    n_buckets = bucket_count(src.count(), bucket_rows)
+    bounds = src.approxQuantile(col, [i / n_buckets for i in range(1, n_buckets)], 1 / (4 * n_buckets))
     splits = [float("-inf")] + sorted({float(b) for b in bounds if b is not None}) + [float("inf")]
     tmp = f"{out}_src"
     staged = df.withColumn(tmp, F.col(col).cast("double"))
@@ -47,16 +59,24 @@ def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096,
     return bucketed.withColumn(out, F.col(out).cast("long")).drop(tmp)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the keys appear once."""
+    named = right.withColumnsRenamed({k: f"_ns_{k}" for k in keys})
+    on = None
+    for k in keys:
+        c = left[k].eqNullSafe(named[f"_ns_{k}"])
+        on = c if on is None else on & c
+    return left.join(named, on, how).drop(*[f"_ns_{k}" for k in keys])
+
+
 def row_number_exact(df: DataFrame, order: Sequence[Column], bucket: Column,
-                     partition: Sequence[str] = (), out: str = "rn",
-                     small_groups: bool = False) -> DataFrame:
+                     partition: Sequence[str] = (), out: str = "rn") -> DataFrame:
     """1-based row number over ``partition`` ordered by ``order``.
 
-    ``bucket`` must be non-decreasing along ``order`` within a partition.
-    ``small_groups=True`` declares the partition columns have a fixed, small
-    domain (e.g. three labels): the offset table then has at most
-    groups x buckets rows and is broadcast; otherwise AQE decides from its
-    runtime size.
+    ``bucket`` must be non-decreasing along ``order`` within a partition, nulls
+    first. Null partition values form a group and null keys rank first: no row is
+    lost. The offset table has a row per group and bucket; whether it is broadcast
+    is left to its runtime size.
     """
     part = list(partition)
     b = "_rk_bucket"
@@ -66,9 +86,7 @@ def row_number_exact(df: DataFrame, order: Sequence[Column], bucket: Column,
     w_off = w_off.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, b, F.coalesce(F.sum("_rk_n").over(w_off), F.lit(0))
                             .cast("long").alias("_rk_off"))
-    if small_groups:
-        offsets = F.broadcast(offsets)
-    joined = staged.join(offsets, part + [b], "inner")
+    joined = join_null_safe(staged, offsets, part + [b])
     w = Window.partitionBy(*[F.col(c) for c in part], F.col(b)).orderBy(*order)
     return (joined.withColumn(out, (F.col("_rk_off") + F.row_number().over(w)).cast("long"))
             .drop(b, "_rk_off"))

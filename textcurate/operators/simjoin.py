@@ -89,7 +89,8 @@ def sparse_dot(toks_a: pd.Series, tfs_a: pd.Series, toks_b: pd.Series, tfs_b: pd
 
 
 def sim_expr(dot: Column, n2_a: Column, n2_b: Column) -> Column:
-    return F.round(dot.cast("double") / F.sqrt((n2_a * n2_b).cast("double")), SIM_DECIMALS)
+    # as doubles: the product of two squared norms can exceed 64 bits
+    return F.round(dot.cast("double") / F.sqrt(n2_a.cast("double") * n2_b.cast("double")), SIM_DECIMALS)
 
 
 def _prefix_postings(nodes: DataFrame, vecs: DataFrame, cols: list[str]) -> DataFrame:
@@ -100,8 +101,8 @@ def _prefix_postings(nodes: DataFrame, vecs: DataFrame, cols: list[str]) -> Data
 def _length_bound(a: str, b: str) -> Column:
     """x.y <= min(|x|_1 max(y), |y|_1 max(x)): an exact upper bound of the
     cosine, used to drop candidate pairs that cannot qualify."""
-    return (F.least(F.col(f"{a}l1") * F.col(f"{b}mx"), F.col(f"{b}l1") * F.col(f"{a}mx")).cast("double")
-            / F.sqrt((F.col(f"{a}n2") * F.col(f"{b}n2")).cast("double")))
+    d = lambda c: F.col(c).cast("double")
+    return F.least(d(f"{a}l1") * d(f"{b}mx"), d(f"{b}l1") * d(f"{a}mx")) / F.sqrt(d(f"{a}n2") * d(f"{b}n2"))
 
 
 def verify(vecs: DataFrame, vp: DataFrame) -> DataFrame:

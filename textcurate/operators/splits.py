@@ -29,13 +29,11 @@ def shuffle_key(id_col: str, seed: int = SEED) -> Column:
 
 
 def shuffle_rank(df: DataFrame, id_col: str, out: str = "shuffle_rank",
-                 partition: list[str] | None = None, small_groups: bool = False,
-                 seed: int = SEED) -> DataFrame:
+                 partition: list[str] | None = None, seed: int = SEED) -> DataFrame:
     """SMP-01: 1-based position in the seeded shuffle (per partition if given)."""
     staged = df.withColumn("_shk", shuffle_key(id_col, seed))
     out_df = rank.row_number_exact(staged, [F.col("_shk"), F.col(id_col)],
-                                   rank.hex_bucket(F.col("_shk")), partition or [], out,
-                                   small_groups=small_groups)
+                                   rank.hex_bucket(F.col("_shk")), partition or [], out)
     return out_df.drop("_shk")
 
 
@@ -54,8 +52,9 @@ def sample_n(df: DataFrame, id_col: str, n: int = SAMPLE_CAP, seed: int = SEED)
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row: a broadcast
-    equi-join on a constant key (size bound: one row)."""
+    """Attach the columns of a one-row aggregate to every row. Catalyst drops the
+    constant key and plans a broadcast nested-loop join with one row, which adds
+    columns and no rows."""
     return (df.withColumn("_one", F.lit(0))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(0))), "_one").drop("_one"))
 
@@ -123,23 +122,21 @@ def stratified_quotas(df: DataFrame, label: str, test: Fraction = TEST_SHARE,
     else:
         q = q.withColumn("v_c", F.lit(0).cast("long"))
     q = q.select(label, "t_c", "v_c")
-    return counts.join(q, label, "left").select(
+    return rank.join_null_safe(counts, q, [label], "left").select(
         label, "n_c", F.coalesce("t_c", F.lit(0)).cast("long").alias("t_c"),
         F.coalesce("v_c", F.lit(0)).cast("long").alias("v_c"))
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str,
                      test: Fraction = TEST_SHARE, validation: Fraction = VALIDATION_SHARE,
-                     seed: int = SEED, small_label_domain: bool = True) -> DataFrame:
+                     seed: int = SEED) -> DataFrame:
     """SPL-01/02: adds ``split``. Within each class rows are taken in seeded
-    shuffle order: the first t_c go to test, the next v_c to validation.
-    The quota table has one row per class; with a fixed label set it is
-    broadcast (size bound = number of labels)."""
+    shuffle order: the first t_c go to test, the next v_c to validation. Rows
+    without a label form a class. The quota table has one row per class; whether
+    it is broadcast is left to its runtime size."""
     quotas = stratified_quotas(df, label, test, validation).drop("n_c")
-    ranked = shuffle_rank(df, id_col, "_srk", [label], small_groups=small_label_domain, seed=seed)
-    if small_label_domain:
-        quotas = F.broadcast(quotas)
-    j = ranked.join(quotas, label, "left")
+    ranked = shuffle_rank(df, id_col, "_srk", [label], seed=seed)
+    j = rank.join_null_safe(ranked, quotas, [label], "left")
     split = (F.when(F.col("_srk") <= F.col("t_c"), "test")
              .when(F.col("_srk") <= F.col("t_c") + F.col("v_c"), "validation")
              .otherwise("train"))

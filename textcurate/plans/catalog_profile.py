@@ -125,8 +125,10 @@ def class_weights(spark, sf):
 
 
 @register("dataset_fingerprint", f"""WITH {S.LABELLED},
-h AS (SELECT md5(concat_ws('|', coalesce(CAST(id AS VARCHAR), '<null>'), coalesce(text, '<null>'), coalesce(sentiment, '<null>'))) AS h FROM labelled)
-SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(coalesce(sum(('0x' || substr(h, 1, 15))::UBIGINT), 0) AS VARCHAR) AS content_sum FROM h""")
+f AS (SELECT CAST(id AS VARCHAR) AS a, text AS b, sentiment AS c FROM labelled),
+h AS (SELECT md5(coalesce(len(a) || ':' || a, '-') || '|' || coalesce(len(b) || ':' || b, '-') || '|' || coalesce(len(c) || ':' || c, '-')) AS h FROM f)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(coalesce(sum(('0x' || substr(h, 1, 16))::UBIGINT), 0) AS VARCHAR) AS content_sum,
+  CAST(coalesce(sum(('0x' || substr(h, 17, 16))::UBIGINT), 0) AS VARCHAR) AS content_sum2 FROM h""")
 def dataset_fingerprint(spark, sf):
     """AGG-08: order-free fingerprint of the labelled dataset (all rows)."""
     return profile.fingerprint(labelled_reviews(spark, sf), ["id", "text", "sentiment"])

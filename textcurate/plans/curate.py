@@ -1,4 +1,5 @@
-"""PIP-01: curate end to end as one lazy plan.
+"""PIP-01: curate end to end. Building the plan runs the jobs that cut lineage and
+bound the ranks; what is returned is lazy again.
 
 clean -> length filter -> exact + near duplicates -> renumber -> local id ->
 stratified split. ``run_curation`` adds the summary, sinks and run timing,
@@ -64,7 +65,7 @@ def run_curation(spark: SparkSession, sf_dir: str, scope: str = "global",
         dist = {r["sentiment"]: r["n"] for r in profile.sentiment_dist(spark, cur).collect()}
         storage = None
         if sink_dir is not None:
-            storage = sinks.write_curated(out, sink_dir, summary, dataset_tag, stamp)
+            storage = sinks.write_curated(out, sink_dir, profile.filter_summary(v, "domain"), dataset_tag, stamp)
         elapsed = time.time() - t0
         n = summary["total_processed"]
         return {"status": "success", "filtering_summary": summary,

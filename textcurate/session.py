@@ -28,7 +28,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -38,18 +37,24 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def is_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator to shared storage; we only read it.
-    When it is unset (local tests) we create our own folder once and register it
-    as the checkpoint directory so ``DataFrame.checkpoint()`` works.
+    On a cluster this is set by the operator to shared storage; we only read it,
+    and it is an error if it is unset: executors would write to their own disks.
+    A local session (one machine) without it gets a folder of its own.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not is_one_machine(sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             d = tempfile.mkdtemp(prefix="textcurate-ckpt-")
             spark.conf.set("spark.checkpoint.dir", d)
         sc.setCheckpointDir(d)

@@ -2,9 +2,9 @@
 (SRC-01..04, SRC-07).
 
 An envelope is {"domain": ..., "generated_data": [{id, text, sentiment}, ...],
-"summary": {...}}. A pretty-printed single-object file must be read with
-``multiLine=True`` (one task per file); JSON-lines envelopes split across
-tasks, which is what large inputs should use.
+"summary": {...}}. Files hold either one pretty-printed envelope (one task per file)
+or one envelope per line (split across tasks, which is what large inputs should use).
+Records that are not JSON, or lack the two required fields, are an error.
 """
 
 from __future__ import annotations
@@ -39,13 +39,43 @@ LOG_ENTRY = T.StructType([
 ])
 
 
-def read_envelopes(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """SRC-01: one row per review, keeping order: (file, envelope position
-    within a JSON-lines file is not observable, so envelopes carry their own
-    review order) -> columns domain, id, text, sentiment, file, pos."""
-    env = spark.read.schema(ENVELOPE).json(path, multiLine=multi_line)
-    rows = env.select("domain", F.col("_metadata.file_path").alias("file"),
-                      F.posexplode("generated_data").alias("pos", "r"))
+BAD = "_bad_record"
+
+
+def envelope_records(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """The envelopes as stored: domain, generated_data, summary, file, and the raw
+    text of a record that does not parse (else null). The layout is found by
+    reading lines first: if a line is no JSON, files are read whole."""
+    schema = T.StructType([*ENVELOPE.fields, T.StructField(BAD, T.StringType())])
+
+    def read(whole: bool) -> DataFrame:
+        return spark.read.schema(schema).json(path, multiLine=whole, columnNameOfCorruptRecord=BAD).withColumn(
+            "file", F.col("_metadata.file_path"))
+
+    if multi_line is None:
+        multi_line = bool(read(False).select("domain", BAD).where(F.col(BAD).isNotNull()).limit(1).collect())
+    return read(multi_line)
+
+
+def envelope_checks(records: DataFrame) -> DataFrame:
+    """VAL-01, one row per stored envelope: has_domain, has_generated_data,
+    n_reviews, valid (parsed, both fields there, at least one review)."""
+    n = F.coalesce(F.size("generated_data"), F.lit(0))
+    has_domain, has_data = F.col("domain").isNotNull(), F.col("generated_data").isNotNull()
+    return records.select("domain", "file", has_domain.alias("has_domain"), has_data.alias("has_generated_data"),
+                          F.greatest(n, F.lit(0)).cast("long").alias("n_reviews"),
+                          (F.col(BAD).isNull() & has_domain & has_data & (n > 0)).alias("valid"))
+
+
+def read_envelopes(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """SRC-01: one row per review with its position in its envelope -> columns
+    domain, id, text, sentiment, file, pos. A record that is no envelope raises."""
+    env = envelope_records(spark, path, multi_line)
+    missing = F.col("domain").isNull() | F.col("generated_data").isNull() | F.col(BAD).isNotNull()
+    told = F.concat(F.lit("not an envelope: "), F.col("file"), F.lit(": "), F.substring(F.coalesce(F.col(BAD), F.lit("a field is missing")), 1, 200))
+    env = env.withColumn("domain", F.when(missing, F.raise_error(told)).otherwise(F.col("domain")))
+    env = env.where(F.col("domain").isNotNull())  # evaluated for envelopes without reviews too
+    rows = env.select("domain", "file", F.posexplode("generated_data").alias("pos", "r"))
     return rows.select("domain", "r.id", "r.text", "r.sentiment", "file",
                        F.col("pos").cast("long").alias("pos"))
 
@@ -61,7 +91,7 @@ def load_dataset(spark: SparkSession, base: str, dataset_id: str) -> DataFrame:
     dataset_id directory); a missing id is an error."""
     df = spark.read.parquet(base).where(F.col("dataset_id") == dataset_id)
     if df.limit(1).count() == 0:
-        raise FileNotFoundError(f"No dataset found with ID: {dataset_id}")
+        raise FileNotFoundError(f"dataset {dataset_id!r} is not stored below {base}")
     return df
 
 
@@ -71,9 +101,28 @@ def metrics_history(spark: SparkSession, base: str, domain: str) -> DataFrame:
     return spark.read.parquet(base).where(F.col("domain") == domain).orderBy("dataset_id")
 
 
+def dataset_metrics(spark: SparkSession, base: str, dataset_id: str) -> DataFrame:
+    """SRC-04: the metrics document of one dataset, its domain among its columns."""
+    return spark.read.parquet(base).where(F.col("dataset_id") == dataset_id)
+
+
 def read_training_logs(spark: SparkSession, glob: str) -> DataFrame:
-    """SRC-07: log entries of many run folders (run=<id>/...json), one row per
-    entry; the run id comes from the folder name."""
-    df = spark.read.schema(LOG_ENTRY).json(glob)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)/", 1)
-    return df.select(run.cast("long").alias("run"), "*")
+    """SRC-07: log entries kept as one entry per line, with their run (a name)."""
+    return spark.read.schema(T.StructType([T.StructField("run", T.StringType()), *LOG_ENTRY.fields])).json(glob)
+
+
+TRAINER_STATE = T.StructType([T.StructField("best_metric", T.DoubleType()), T.StructField("global_step", T.LongType()),
+                              T.StructField("log_history", T.ArrayType(LOG_ENTRY))])
+
+
+def read_trainer_states(spark: SparkSession, glob: str) -> DataFrame:
+    """SRC-07: trainer state files ``<run>/checkpoint-<n>/trainer_state.json``, one
+    JSON document each, as log entries: run and checkpoint (folder names), entry
+    (position in the history), step, loss, eval_loss, eval_combined_metric. A file
+    that does not parse raises."""
+    df = spark.read.schema(TRAINER_STATE).json(glob, multiLine=True, mode="FAILFAST")
+    path = F.split(F.col("_metadata.file_path"), "/")
+    named = df.select(F.element_at(path, -3).alias("run"), F.element_at(path, -2).alias("checkpoint"),
+                      F.posexplode("log_history").alias("entry", "e"))
+    return named.select("run", "checkpoint", F.col("entry").cast("long").alias("entry"), "e.step", "e.loss", "e.eval_loss",
+                        "e.eval_combined_metric")

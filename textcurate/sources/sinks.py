@@ -30,21 +30,28 @@ def dataset_id(domain: Column, n: Column, stamp: str = DEFAULT_STAMP,
     return F.concat_ws("_", *parts)
 
 
-def write_curated(rows: DataFrame, base: str, summary: dict, tag: str | None = None,
+def write_curated(rows: DataFrame, base: str, summaries: DataFrame, tag: str | None = None,
                   stamp: str | None = None) -> dict:
-    """SNK-01: curated rows under (domain, dataset_id) partitions, and one
-    metrics document per domain appended to the metrics table."""
+    """SNK-01: curated rows under (domain, dataset_id) partitions, and one metrics
+    document per domain. ``summaries`` has a row per domain with its own counters.
+
+    A dataset is written under its own partition, which a second run with the same
+    stamp replaces, so it never doubles rows."""
     stamp = stamp or DEFAULT_STAMP
     counts = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     ids = counts.select("domain", dataset_id(F.col("domain"), F.col("n"), stamp, tag)
                         .alias("dataset_id"))
     out = rows.join(ids, "domain")
     data_path = os.path.join(base, "processed")
-    out.write.mode("append").partitionBy("domain", "dataset_id").parquet(data_path)
-    metrics = ids.select("dataset_id", "domain", F.lit(stamp).alias("timestamp"),
-                         F.struct(*[F.lit(v).alias(k) for k, v in summary.items()]).alias("summary"))
+    replace = {"partitionOverwriteMode": "dynamic"}
+    out.write.mode("overwrite").options(**replace).partitionBy("domain", "dataset_id").parquet(data_path)
+    counters = [c for c in summaries.columns if c != "domain"]
+    # domains of which no row was accepted have counters too, and a dataset of size 0
+    metrics = summaries.join(ids, "domain", "left").select(
+        F.coalesce("dataset_id", dataset_id(F.col("domain"), F.lit(0), stamp, tag)).alias("dataset_id"), "domain",
+        F.lit(stamp).alias("timestamp"), F.struct(*counters).alias("summary"))
     metrics_path = os.path.join(base, "metrics")
-    metrics.write.mode("append").parquet(metrics_path)
+    metrics.withColumn("run", F.col("dataset_id")).write.mode("overwrite").options(**replace).partitionBy("run").parquet(metrics_path)
     return {"data_path": data_path, "metrics_path": metrics_path, "stamp": stamp}
 
 

@@ -24,18 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Session setting: partitions that the text tables are dealt into after the scan.
+# Unset, the scan's own splits are used, at every size.
+INPUT_PARTITIONS = "spark.textcurate.inputPartitions"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy text work at least one task per core. A scan of a large
-    table already yields many splits and is left alone; a scan with fewer splits
-    than the default parallelism (one small row group) is hash-partitioned on
-    its key -- deterministic, so a lost task recomputes the same rows."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    # as many partitions as a shuffle on the same key would use, so a later
-    # join or aggregation on the id reuses this partitioning
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    """Deals the rows of a scan by ``key`` into as many partitions as the session asks
+    for: for tables stored in fewer splits than there are cores."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def doc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
