@@ -73,8 +73,9 @@ def read_envelopes(spark: SparkSession, path: str, multi_line: bool | None = Non
     env = envelope_records(spark, path, multi_line)
     missing = F.col("domain").isNull() | F.col("generated_data").isNull() | F.col(BAD).isNotNull()
     told = F.concat(F.lit("not an envelope: "), F.col("file"), F.lit(": "), F.substring(F.coalesce(F.col(BAD), F.lit("a field is missing")), 1, 200))
-    env = env.withColumn("domain", F.when(missing, F.raise_error(told)).otherwise(F.col("domain")))
-    env = env.where(F.col("domain").isNotNull())  # evaluated for envelopes without reviews too
+    # in the exploded column itself: the plan may drop null arrays before the explode,
+    # but not without computing this
+    env = env.withColumn("generated_data", F.when(missing, F.raise_error(told)).otherwise(F.col("generated_data")))
     rows = env.select("domain", "file", F.posexplode("generated_data").alias("pos", "r"))
     return rows.select("domain", "r.id", "r.text", "r.sentiment", "file",
                        F.col("pos").cast("long").alias("pos"))
