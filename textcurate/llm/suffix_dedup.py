@@ -146,6 +146,8 @@ def repeated_prefixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, n
 
 def _spans(rows: np.ndarray, starts: np.ndarray, length: int) -> pa.RecordBatch:
     """Strings at the given starts as joined spans per row."""
+    if len(rows) == 0:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], ["row", "s", "e"])
     order = np.lexsort((starts, rows))
     rows, starts = rows[order], starts[order]
     new = np.ones(len(rows), bool)
