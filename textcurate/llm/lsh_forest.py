@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from textcurate.session import cut_lineage
 
 from . import wordhash as W
-from .common import whole_text
+from .common import whole_text, written
 from .components import connected_components
 
 TREES, DEPTH, LEAST, NEAR = 16, 6, 3, 4
@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: in
     # hub: the class whose whole signatures are shared most often over all trees
     shared = entries.groupBy(order[:-1]).agg(F.count(F.lit(1)).alias("n"))
     score = entries.join(shared, order[:-1]).groupBy("id").agg(F.sum("n").alias("score"))
-    hubs = entries.join(score, "id").groupBy(region).agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("hub"))
+    # (as a table, so the join below is one of two plain exchanges, which can be split)
+    hubs = written(entries.join(score, "id").groupBy(region).agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("hub")), "hubs")
     star = entries.select(*region, "id").join(hubs, region).select(
         (-F.col("hub.minus")).alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
     links = cut_lineage(confirm(star, docs, size, percent))
