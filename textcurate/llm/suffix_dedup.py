@@ -194,23 +194,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, crow
     rows = docs.select(row_name(F.col("doc_id"), whole_text()).alias("row"), whole_text().alias("text"))
     samples = written(rows.mapInArrow(partial(_sample_batches, length=length, core=core),
                                       "row long, at int, lo int, hi int, name long, triple long"), "samples")
-    triples = samples.groupBy("name", "triple").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one"))
-    names = triples.groupBy(F.col("name").alias("o_name")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
-    flagged = written(triples.join(names, F.col("name") == F.col("o_name")).select(
-        "name", "triple", "n", "kinds", F.col("one.row").alias("row"), F.col("one.at").alias("at")), "names")
+    # names that occur once, nearly all of them, leave here
+    names = samples.groupBy(F.col("name").alias("o_name")).agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
+    flagged = written(samples.join(names.select("o_name"), F.col("name") == F.col("o_name"), "left_semi"), "names")
+    # first() of several columns takes them from one row
+    triples = written(flagged.groupBy("name", "triple").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"),
+                                                            F.first("at").alias("at")), "triples")
+    kinds = triples.groupBy(F.col("name").alias("o_name")).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # step 3: equal triples
-    equal = flagged.filter("n > 1").select(F.col("name").alias("o_name"), F.col("triple").alias("o_triple"))
-    settled = samples.join(equal, (F.col("name") == F.col("o_name")) & (F.col("triple") == F.col("o_triple")), "left_semi").filter(
+    equal = triples.filter("n > 1").select(F.col("name").alias("o_name"), F.col("triple").alias("o_triple"))
+    settled = flagged.join(equal, (F.col("name") == F.col("o_name")) & (F.col("triple") == F.col("o_triple")), "left_semi").filter(
         F.col("hi") - F.col("lo") >= length).select("row", F.col("lo").alias("s"), F.col("hi").alias("e"))
     # step 4: one sample of every triple of a core that has several
-    open_ = flagged.filter("kinds > 1").groupBy(F.col("row").alias("o_row")).agg(
-        F.collect_list(F.struct("name", "at")).alias("samples"))
-    if flagged.filter("kinds > 1").select("row").distinct().count() <= broadcast_rows:
+    open_ = written(triples.join(kinds, F.col("name") == F.col("o_name")).groupBy(F.col("row").alias("o_row")).agg(
+        F.collect_list(F.struct("name", "at")).alias("samples")), "open")
+    if open_.count() <= broadcast_rows:
         open_ = F.broadcast(open_)
     around = rows.join(open_, F.col("row") == F.col("o_row"))
     contexts = around.select("row", "text", "samples").mapInArrow(
         partial(_cut_contexts, length=length, core=core), "name long, row long, lo int, bytes binary")
-    crowded = names.filter(F.col("kinds") > crowd).select(F.col("o_name").alias("c_name"))
+    crowded = kinds.filter(F.col("kinds") > crowd).select(F.col("o_name").alias("c_name"))
     contexts = written(contexts.join(crowded, F.col("name") == F.col("c_name"), "left").select(
         "name", "row", "lo", "bytes", F.col("c_name").isNotNull().alias("hot")), "contexts")
     few = contexts.filter("not hot").select("name", "row", "lo", "bytes").repartition("name").sortWithinPartitions(
