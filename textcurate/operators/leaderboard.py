@@ -106,6 +106,15 @@ def archive_plan(runs: DataFrame, keep_best: int = KEEP_BEST,
                       F.when(~keep, name).alias("archive_name"))
 
 
+def archive_list(plan: DataFrame) -> DataFrame:
+    """LDB-06: the archived runs of an archive table, read from their names
+    <stamp>__<metric>_<value>: stamp, metric, metric_value, newest first by stamp."""
+    name = F.col("archive_name")
+    return plan.where(name.isNotNull()).select(
+        "run", F.regexp_extract(name, r"^(.*?)__", 1).alias("stamp"), F.regexp_extract(name, r"__(.*)_[^_]*$", 1).alias("metric"),
+        F.regexp_extract(name, r"_([^_]*)$", 1).cast("double").alias("metric_value"))
+
+
 def loss_gap(logs: DataFrame) -> DataFrame:
     """LDB-07: train and eval loss per (run, step) and their absolute gap."""
     g = logs.groupBy("run", "step").agg(F.avg("loss").alias("train_loss"),

@@ -162,6 +162,11 @@ def harmonic_block(classes: Sequence[int] = CLASSES) -> dict[str, Column]:
             "combined_harmonic": 0.7 * hf + 0.3 * accuracy()}
 
 
+def efficiency(samples_per_second: Column, p: Column, r: Column, classes: Sequence[int] = CLASSES) -> Column:
+    """MET-15: throughput x balanced accuracy x (1 - |precision - recall|)."""
+    return samples_per_second * balanced_accuracy(classes) * (1 - F.abs(p - r))
+
+
 # name -> expression over a counters row, given the classes; users add their own here
 METRICS: dict[str, Callable[[Sequence[int]], Column]] = {
     "accuracy": lambda ks: accuracy(),

@@ -68,6 +68,44 @@ def filter_pct(summary: DataFrame) -> DataFrame:
                                .otherwise(F.col(c) * 100.0 / n).alias(f"{c}_pct") for c in cols])
 
 
+def reconcile(processed: DataFrame, removed: DataFrame, accepted: dict[str, DataFrame], by: str = "domain") -> DataFrame:
+    """VAL-04: per accepted relation and ``by``: total_processed (from ``processed``: by,
+    n), total_accepted and total_removed (rows counted), reconciled."""
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias(name))
+
+    out = None
+    for name, rows in accepted.items():
+        one = processed
+        for frame, column in ((rows, "a"), (removed, "r")):
+            c = counted(frame, f"_{column}")
+            one = one.join(c, one[by].eqNullSafe(c["_by"]), "left").drop("_by")
+        one = one.select(F.lit(name).alias("relation"), by, F.col("n").cast("long").alias("total_processed"),
+                         F.coalesce("_a", F.lit(0)).cast("long").alias("total_accepted"),
+                         F.coalesce("_r", F.lit(0)).cast("long").alias("total_removed"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("reconciled", F.col("total_accepted") + F.col("total_removed") == F.col("total_processed"))
+
+
+def read_mix(spark, path: str) -> DataFrame:
+    """SRC-06: published mixes from a JSON file {domain: {"distribution": [...]}}, as
+    the rows of ``mix_table``; a missing file gives no rows, so every domain gets
+    balanced weights."""
+    from pyspark.errors import AnalysisException
+
+    schema = "map<string, struct<distribution: array<double>>>"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
+    rows = text.select(F.explode(F.from_json("value", schema)).alias("domain", "m")).select(
+        "domain", F.posexplode("m.distribution").alias("label_idx", "expected"))
+    return rows.select("domain", F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.col("label_idx") + 1).alias("label"),
+                       F.col("label_idx").cast("int").alias("label_idx"), "expected")
+
+
 def sentiment_dist(spark, rows: DataFrame, label: str = "sentiment") -> DataFrame:
     """AGG-02: the three classes always present (0 if none); others ignored."""
     dim = spark.createDataFrame([(x,) for x in LABELS], f"{label} string")
@@ -115,9 +153,10 @@ def domain_drift(spark, rows: DataFrame, domain: str, label_idx: str) -> DataFra
                       .alias("warning"))
 
 
-def class_weights(spark, domains: DataFrame, domain: str) -> DataFrame:
-    """AGG-07: w = 1 / (p + 1e-5) scaled to sum 3 per domain; unknown -> ones."""
-    mix = mix_table(spark)
+def class_weights(spark, domains: DataFrame, domain: str, mix: DataFrame | None = None) -> DataFrame:
+    """AGG-07: w = 1 / (p + 1e-5) scaled to sum 3 per domain; unknown -> ones. ``mix``:
+    other published mixes than the built-in ones, see ``read_mix``."""
+    mix = mix if mix is not None else mix_table(spark)
     w = mix.withColumn("raw", 1.0 / (F.col("expected") + WEIGHT_EPS))
     w = w.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy("domain")) * 3.0)
     w = F.broadcast(w.select(F.col("domain").alias(domain), "label_idx", "weight"))

@@ -14,7 +14,7 @@ from textcurate.operators import splits
 from textcurate.plans import sqlparts as S
 from textcurate.plans.catalog_leaderboard import _LOGS_SQL, _MM_SQL
 from textcurate.plans.registry import normalise, register
-from textcurate.session import scratch_path
+from textcurate.session import cut_lineage, scratch_path
 from textcurate.sources import envelope as E
 from textcurate.sources import sinks
 from textcurate.sources.tables import (doc_positions, labelled_reviews, predictions, reviews,
@@ -141,20 +141,25 @@ def reformat_for(frame, fmt: str):
 
 @register("val_splits", f"""{_SPLIT_FRAME_SQL},
 want(split) AS (VALUES ('train'), ('validation'), ('test')),
-have AS (SELECT split, count(*) AS n FROM frame GROUP BY split)
-SELECT w.split, coalesce(h.n, 0) > 0 AS present, '' AS missing_columns, coalesce(h.n, 0) > 0 AS ok
-FROM want w LEFT JOIN have h ON h.split = w.split""")
+have AS (SELECT split, count(*) AS n FROM frame GROUP BY split),
+data(dataset, missing) AS (VALUES ('whole', ''), ('broken', 'labels,original_id'))
+SELECT d.dataset, w.split, coalesce(h.n, 0) > 0 AND NOT (d.dataset = 'broken' AND w.split = 'test') AS present,
+  CASE WHEN d.dataset = 'broken' AND w.split = 'test' THEN 'text,labels,id,original_id'
+       WHEN w.split = 'validation' THEN d.missing ELSE '' END AS missing_columns,
+  d.dataset = 'whole' AND coalesce(h.n, 0) > 0 OR d.dataset = 'broken' AND w.split = 'train' AS ok
+FROM data d CROSS JOIN want w LEFT JOIN have h ON h.split = w.split""")
 def val_splits(spark, sf):
-    """VAL-02: each of the three splits exists and carries text, labels, id,
-    original_id; one status row per split."""
-    frame = _split_frame(spark, sf)
-    missing = ",".join(c for c in REQUIRED if c not in frame.columns)
-    have = frame.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    want = spark.createDataFrame([(s,) for s in ["train", "validation", "test"]], "split string")
-    j = want.join(have, "split", "left")
-    present = F.coalesce(F.col("n"), F.lit(0)) > 0
-    return j.select("split", present.alias("present"), F.lit(missing).alias("missing_columns"),
-                    (present & F.lit(missing == "")).alias("ok"))
+    """VAL-02: each of the three splits is stored, has rows and carries text, labels,
+    id, original_id; one status row per split. Checked on a whole dataset and on one
+    stored without a test split and with a narrower validation split."""
+    frame = cut_lineage(_split_frame(spark, sf))
+    whole, broken = scratch_path(spark, "splits"), scratch_path(spark, "broken-splits")
+    sinks.write_splits(frame, whole)
+    frame.where("split = 'train'").drop("split").write.parquet(f"{broken}/split=train")
+    frame.where("split = 'validation'").select("text", "id").write.parquet(f"{broken}/split=validation")
+    parts = [E.check_splits(spark, p, REQUIRED).select(F.lit(name).alias("dataset"), "*")
+             for name, p in (("whole", whole), ("broken", broken))]
+    return parts[0].unionByName(parts[1])
 
 
 @register("inspect_splits", f"""{_SPLIT_FRAME_SQL}

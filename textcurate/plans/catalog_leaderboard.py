@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textcurate.operators import leaderboard as LB
 from textcurate.plans.catalog_metrics import SACC, SBAL, SMCC, cnt_sql, pred_sql, r6, smacro, sf1, sprec, srec
 from textcurate.plans.registry import normalise, register
+from textcurate.session import scratch_path
 from textcurate.sources.tables import predictions, training_logs
 
 _MM_SQL = f"""WITH {pred_sql()},
@@ -73,6 +74,19 @@ def archive_plan(spark, sf):
     return normalise(LB.archive_plan(LB.run_table(training_logs(spark, sf))))
 
 
+@register("archive_list", f"""WITH {_LOGS_SQL},
+runs AS (SELECT run, strftime(min(ts), '%Y%m%d_%H%M%S') AS stamp,
+         coalesce(max(eval_combined_metric), 0.0) AS metric_value FROM logs GROUP BY run),
+top AS (SELECT run FROM runs ORDER BY metric_value DESC, run LIMIT 3)
+SELECT run, stamp, 'combined_metric' AS metric, CAST(printf('%.4f', metric_value) AS DOUBLE) AS metric_value
+FROM runs WHERE run NOT IN (SELECT run FROM top)""")
+def archive_list(spark, sf):
+    """LDB-06: the archive table written and its archived runs listed."""
+    path = scratch_path(spark, "archive")
+    LB.archive_plan(LB.run_table(training_logs(spark, sf))).write.parquet(path)
+    return normalise(LB.archive_list(spark.read.parquet(path)))
+
+
 @register("loss_gap", f"""WITH {_LOGS_SQL},
 g AS (SELECT run, step, avg(loss) AS train_loss, avg(eval_loss) AS eval_loss FROM logs GROUP BY run, step)
 SELECT run, step, {r6('train_loss')} AS train_loss, {r6('eval_loss')} AS eval_loss,

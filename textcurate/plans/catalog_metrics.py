@@ -232,17 +232,20 @@ def harmonic_f1(spark, sf):
 {cnt_sql('model')}
 SELECT model, {r6(f'(1 + {SMCC}) / 2')} AS reliability_score,
   {r6(f'CASE WHEN ({_MP}) + ({_MR}) > 0 THEN 2 * (({_MP}) * ({_MR})) / (({_MP}) + ({_MR})) ELSE 0.0 END')} AS balanced_score,
+  {r6(f's / 60.0 * ({SBAL}) * (1 - abs(({_MP}) - ({_MR})))')} AS efficiency_score,
   {r6(SBAL)} AS balanced_accuracy FROM cnt""")
 def derived_scores(spark, sf):
-    """MET-15: reliability (1 + MCC) / 2 and balanced = 2PR / (P + R) of the
-    reported precision and recall. Efficiency needs a measured throughput
-    (samples per second); it is computed by the leaderboard run, not here."""
-    cnt = M.counters(_pred(spark, sf), ["model"])
+    """MET-15: reliability (1 + MCC) / 2, balanced = 2PR / (P + R) of the reported
+    precision and recall, and efficiency = samples per second x balanced accuracy x
+    (1 - |P - R|). The throughput is an input column; here it is the rows of a model
+    over one minute."""
+    cnt = M.counters(_pred(spark, sf), ["model"]).withColumn("samples_per_second", F.col("s") / 60.0)
     h = M.harmonic_block()
     p, r = h["macro_precision_all"], h["macro_recall_all"]
     bal = F.when(F.coalesce(p + r, F.lit(0.0)) > 0, 2 * (p * r) / (p + r)).otherwise(F.lit(0.0))
     return normalise(cnt.select("model", ((1 + M.mcc()) / 2).alias("reliability_score"),
                                 bal.alias("balanced_score"),
+                                M.efficiency(F.col("samples_per_second"), p, r).alias("efficiency_score"),
                                 M.balanced_accuracy().alias("balanced_accuracy")))
 
 

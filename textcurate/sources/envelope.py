@@ -96,6 +96,28 @@ def load_dataset(spark: SparkSession, base: str, dataset_id: str) -> DataFrame:
     return df
 
 
+def check_splits(spark: SparkSession, path: str, required: list[str],
+                 wanted: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """VAL-02 on a dataset as stored, one folder per split: split, present (there and
+    not empty), missing_columns (comma-joined, from the stored schema), ok."""
+    from pyspark.errors import AnalysisException
+
+    out = None
+    for name in wanted:
+        try:
+            rows = spark.read.parquet(f"{path}/split={name}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            rows = spark.createDataFrame([], T.StructType([]))
+        missing = ",".join(c for c in required if c not in rows.columns)
+        one = rows.limit(1).agg((F.count(F.lit(1)) > 0).alias("present")).select(
+            F.lit(name).alias("split"), "present", F.lit(missing).alias("missing_columns"),
+            (F.col("present") & F.lit(not missing)).alias("ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def metrics_history(spark: SparkSession, base: str, domain: str) -> DataFrame:
     """SRC-04: metrics documents of one domain, oldest first. Filtering the
     domain column (not a file-name prefix) keeps 'a' from matching 'a_b'."""
