@@ -244,8 +244,23 @@ def test_line_dedup(make_docs, prose):
     rows = [(1, f"{a}\n{b}\nshort line"), (2, f"{prose(3, 30)}\n{near}"), (3, f"  {b.upper()} \nshort line"), (4, None), (5, ""), (6, f"{a}\n{a}"),
             (None, a), (8, prose(9, 30))]
     got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(with_clashes(make_docs(rows))).collect()}
-    # null sorts first, so it holds the first occurrence of a
-    assert got == {1: [0], 2: [1], 3: [0], 4: [], 5: [], 6: [0, 1], None: [], 8: []}
+    assert got == {1: [], 2: [1], 3: [0], 4: [], 5: [], 6: [0, 1], None: [0], 8: []}
+
+
+def test_line_repeated_in_its_first_document(make_docs, prose):
+    a = prose(1, 400)
+    near = " ".join([*a.split(" ")[:399], "changed"])
+    rows = [(1, f"{a}\nx\n{near}\n{a}"), (1, f"{a}\nx\n{near}\n{a}"), (2, near)]
+    got = [(r["doc_id"], r["removed"]) for r in line_dedup.dedup_lines(make_docs(rows)).collect()]
+    assert sorted(got) == [(1, [2, 3]), (1, [2, 3]), (2, [0])]
+
+
+def test_line_of_several_chunks(make_docs, prose, monkeypatch):
+    """A line taken in chunks has the SimHash that it has whole."""
+    docs = make_docs([(i, prose(i, 50 + 40 * i)) for i in range(6)])
+    whole = sorted((r["h1"], r["simhash"]) for r in line_dedup.line_hashes(docs).collect())
+    monkeypatch.setattr(line_dedup, "CHUNK", 64)
+    assert sorted((r["h1"], r["simhash"]) for r in line_dedup.line_hashes(docs).collect()) == whole
 
 
 def test_line_groups_lose_no_candidate_link(make_docs, prose):
@@ -260,9 +275,12 @@ def test_line_groups_lose_no_candidate_link(make_docs, prose):
                 w[rng.randrange(len(w))] = f"z{rng.randrange(99)}"
             lines.append(" ".join(w))
     docs = make_docs([(i, x) for i, x in enumerate(lines)])
-    classes = line_dedup.line_classes(line_dedup.line_occurrences(docs)).cache()
-    blocks = {r["h1"]: [r[f"b{k}"] for k in range(4)] for r in line_dedup.simhash(classes).collect()}
-    text = {r["h1"]: r["norm"] for r in classes.collect()}
+    hashes = line_dedup.line_hashes(docs)
+    classes = line_dedup.line_classes(hashes).cache()
+    blocks = {}
+    for r in line_dedup.block_pairs(classes).collect():
+        blocks.setdefault(r["id"], {})[r["pair"]] = r["value"]
+    text = {r["h1"]: lines[r["first_doc"]] for r in classes.collect()}
     parent = {h: h for h in text}
 
     def find(x):
@@ -273,11 +291,13 @@ def test_line_groups_lose_no_candidate_link(make_docs, prose):
     ids = sorted(text)
     for i, x in enumerate(ids):
         for y in ids[:i]:
-            if any(p == q for p, q in zip(blocks[x], blocks[y], strict=True)) and edit_similarity(text[x], text[y]) >= 0.85:
+            if any(blocks[x][p] == blocks[y][p] for p in range(6)) and edit_similarity(text[x], text[y]) >= 0.85:
                 p, q = find(x), find(y)
                 parent[max(p, q)] = min(p, q)
     truth = {h: find(h) for h in ids}
-    found = {r["node"]: r["component"] for r in line_dedup.fuzzy_groups(classes).collect()}
+    found = {r["node"]: r["component"] for r in line_dedup.fuzzy_groups(docs, hashes, classes).collect()}
+    plain = {r["node"]: r["component"] for r in line_dedup.fuzzy_groups(docs, hashes, classes, broadcast_rows=0).collect()}
+    assert plain == found
     assert {h: found.get(h, h) for h in ids} == truth
     assert len(set(truth.values())) < len(ids)
 
@@ -294,19 +314,12 @@ def edit_similarity(a, b):
 def test_simhash_bits(make_docs):
     """The packed votes equal a plain count of each bit."""
     docs = make_docs([(1, " ".join(f"a{i % 7} b{i % 3}" for i in range(40)))])
-    classes = line_dedup.line_classes(line_dedup.line_occurrences(docs))
-    one = line_dedup.simhash(classes).first()
+    one = line_dedup.line_hashes(docs).first()
     from pyspark.sql import functions as F
 
-    words = classes.select(F.explode(F.split("norm", " ")).alias("w")).select(F.xxhash64("w").alias("x0"), F.xxhash64("w", F.lit(1)).alias("x1")).collect()
-    for block in range(4):
-        x, half = ("x0", "x1")[block // 2], block % 2
-        want = 0
-        for bit in range(32):
-            votes = sum((w[x] >> (32 * half + bit)) & 1 for w in words)
-            if 2 * votes > len(words):
-                want |= 1 << bit
-        assert one[f"b{block}"] == want
+    words = [r["x"] for r in line_dedup.line_words(docs, 1).select(F.explode("w").alias("w")).select(F.xxhash64("w").alias("x")).collect()]
+    want = sum(1 << bit for bit in range(64) if 2 * sum((x >> bit) & 1 for x in words) > len(words))
+    assert one["simhash"] % (1 << 64) == want
 
 
 def test_mixing_reaches_targets(make_docs, prose):

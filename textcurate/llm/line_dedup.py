@@ -1,35 +1,37 @@
 """Fuzzy line deduplication (native).
 
-Lines are normalised (lower case, letters and digits, single spaces). Equal
-normalised lines form one class, named by a 96-bit hash; the rest works on classes,
-so a line that fills a third of the corpus is one row. Of each class:
-
-* a 128-bit SimHash of its words: every word's two 64-bit hashes vote for the bits.
-  The votes of 8 bits share one long in fields of 16 bits (a line is taken in chunks
-  of 32 000 words so that a field cannot overflow), so 16 sums per hash count them;
-* four blocks of 32 bits. Lines whose SimHashes differ in 3 bits or fewer agree in a
-  block (pigeonhole), so an equi-join on (block, value) finds all those pairs, and
-  many that differ more.
+Lines are normalised (lower case, runs of letters and digits, single spaces). One
+pass over the documents gives every line occurrence two hashes (96 bits) that name
+its class of equal lines and a 64-bit SimHash of its words; no text is shuffled:
+
+* every word's 64-bit hash votes for the bits. The votes of four bits share one long
+  in fields of 16 bits, so 16 sums per line count them all, and the majorities are
+  taken with one addition and mask per sum. Words are counted in chunks of 16 000
+  so that a field cannot overflow; the few lines of more chunks are added up apart;
+* four blocks of 16 bits. Lines whose SimHashes differ in 2 bits or fewer agree in
+  two blocks (pigeonhole), so an equi-join on the six pairs of blocks (32 bits)
+  finds all those, and many that differ more.
 
 Candidates are verified by edit similarity, 1 - distance / longer length, with
-Spark's bounded Levenshtein distance. Within a block value every line is compared
-with one leader; lines that are then not yet connected are compared with all others
-of the value that lie in another component, so no link between candidates is lost
-while a large group of variants costs comparisons in proportion to its size.
+Spark's bounded Levenshtein distance; only their texts are read again. Within a
+value of a pair of blocks every line is compared with one leader; lines that are then
+not connected with it are compared with all others of the value that lie in another
+component, so no link between candidates is lost while a large group of variants
+costs comparisons in proportion to its size.
 
-Of each connected group the first occurrence, by (doc_id, line number), is kept
+Of each connected group the first occurrence, by doc_id and then line number, is kept
 and all others are removed from their documents.
 
 Defined cases: a null or empty text has no lines; lines of fewer than
-``least_words`` words are never removed; within equal positions (repeated rows)
-every row keeps the same lines, as a repeated row is the same occurrence; a null
-doc_id sorts first; an empty table gives an empty result; other columns are
-ignored whatever their names.
+``least_words`` words are never removed; rows of equal doc_id are one document, and
+repeated rows get equal results; a null doc_id comes last; an empty table gives an
+empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,55 +39,67 @@ from pyspark.sql import functions as F
 from .common import text_key, whole_text, written
 from .components import connected_components
 
-SIMILARITY, LEAST_WORDS, BITS = 0.85, 5, 4
-FIELD = 0x0001000100010001
-CHUNK = 32_000
+SIMILARITY, LEAST_WORDS = 0.85, 5
+# 16-bit fields; a chunk's votes and the threshold's offset together stay below 2**15
+FIELD, TOP, CHUNK = 0x0001000100010001, 0x4000, 16_000
+OCCURRENCE = ["doc_id", "text_key", "pos", "h1", "h2"]
 
 
-def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def normal_lines(text: Column) -> Column:
+    """The text with each line normalised but for spaces at its ends."""
+    return F.regexp_replace(F.lower(text), r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
 
 
-def line_occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text_key, pos, norm, h1, h2 of every line of enough words."""
+def line_words(docs: DataFrame, least_words: int) -> DataFrame:
+    """OCCURRENCE, w (the words) and row_id (tells repeated rows apart) of every line of
+    enough words."""
     t = docs.select("doc_id", whole_text().alias("text"))
-    lines = t.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = lines.select("doc_id", "text_key", "pos", normal_line(F.col("line")).alias("norm"))
-    spaces = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit("")))
-    return n.filter(spaces >= least_words - 1).select(
-        "doc_id", "text_key", "pos", "norm", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"))
-
-
-def line_classes(occurrences: DataFrame) -> DataFrame:
-    """One row per distinct line: h1, h2, norm and its first occurrence."""
-    return occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("norm").alias("norm"))
-
-
-def simhash(classes: DataFrame) -> DataFrame:
-    """h1, h2, four 32-bit blocks b0 .. b3 of the lines' SimHash."""
-    w = classes.select("h1", "h2", F.posexplode(F.split("norm", " ")).alias("i", "w")).select(
-        "h1", "h2", F.floor(F.col("i") / CHUNK).cast("int").alias("chunk"), F.xxhash64("w").alias("x0"),
-        F.xxhash64("w", F.lit(1)).alias("x1"))
-    votes = [F.sum(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(FIELD))).alias(f"{x}_{s}") for x in ("x0", "x1") for s in range(16)]
-    per_chunk = w.groupBy("h1", "h2", "chunk").agg(F.count(F.lit(1)).alias("n"), *votes)
-
-    def fields(v: str) -> list[Column]:
-        return [F.shiftrightunsigned(v, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-
-    # a line of one chunk, as nearly all are, needs no second aggregation of fields:
-    # its fields are summed as they are
-    wide = per_chunk.select("h1", "h2", "n", *[f.alias(f"{x}_{s}_{k}") for x in ("x0", "x1") for s in range(16)
-                                               for k, f in enumerate(fields(f"{x}_{s}"))])
-    total = wide.groupBy("h1", "h2").agg(*[F.sum(c).alias(c) for c in wide.columns[2:]])
-
-    def block(x: str, half: int) -> Column:
-        # bit s + 16 k of the hash is field k of vote s; a block takes two fields
-        terms = [F.when(2 * F.col(f"{x}_{s}_{k}") > F.col("n"), F.lit(1 << (s + 16 * (k - 2 * half)))).otherwise(F.lit(0))
-                 for k in (2 * half, 2 * half + 1) for s in range(16)]
-        return reduce(lambda a, b: a.bitwiseOR(b), terms)
-
-    return total.select("h1", "h2", block("x0", 0).alias("b0"), block("x0", 1).alias("b1"), block("x1", 0).alias("b2"),
-                        block("x1", 1).alias("b3"))
+    lines = t.select("doc_id", text_key(F.col("text")).alias("text_key"), F.monotonically_increasing_id().alias("row_id"),
+                     F.posexplode(F.split(normal_lines(F.col("text")), "\n")).alias("pos", "line"))
+    n = lines.select("doc_id", "text_key", "row_id", "pos", F.trim("line").alias("norm"))
+    return n.select("doc_id", "text_key", "row_id", "pos", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"),
+                    F.split("norm", " ").alias("w")).filter(F.size("w") >= least_words)
+
+
+def majority(votes: list[Column], n: Column) -> Column:
+    """The SimHash from 16 sums of four fields: bit s + 16 k is set if field k of sum s
+    is more than half of n."""
+    offset = (F.lit(TOP) - F.floor(n / 2) - 1).cast("long") * F.lit(FIELD)
+    bits = [F.shiftrightunsigned((v + offset).bitwiseAND(F.lit(TOP * FIELD)), 14 - s) if s < 15
+            else F.shiftleft((v + offset).bitwiseAND(F.lit(TOP * FIELD)), 1) for s, v in enumerate(votes)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def line_hashes(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """OCCURRENCE and simhash of every line of enough words."""
+    names = [f"v{s}" for s in range(16)]
+    key = [*OCCURRENCE, "row_id", "n"]
+    w = line_words(docs, least_words).select(*OCCURRENCE, "row_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).select(
+        *key, F.floor(F.col("i") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("x"))
+    votes = w.groupBy(*key, "chunk").agg(
+        *[F.sum(F.shiftrightunsigned("x", s).bitwiseAND(F.lit(FIELD))).alias(v) for s, v in enumerate(names)])
+    table = written(votes.select(
+        *key, F.when(F.col("n") <= CHUNK, majority([F.col(v) for v in names], F.col("n"))).alias("simhash"),
+        F.when(F.col("n") > CHUNK, F.array(*names)).alias("votes")), "lines")
+    # lines of several chunks: the fields as numbers of their own
+    parts = table.filter("votes is not null").select(*key, F.posexplode("votes").alias("s", "v")).select(
+        *key, "s", F.posexplode(F.array(*[F.shiftrightunsigned("v", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias(
+            "k", "c"))
+    bits = parts.groupBy(*key, "s", "k").agg(F.sum("c").alias("c")).filter(2 * F.col("c") > F.col("n"))
+    long = bits.groupBy(*OCCURRENCE, "row_id").agg(F.bit_or(F.expr("shiftleft(1L, s + 16 * k)")).alias("simhash")).drop("row_id")
+    return table.filter("votes is null").select(*OCCURRENCE, "simhash").unionByName(long)
+
+
+def line_classes(hashes: DataFrame) -> DataFrame:
+    """One row per distinct line: h1, h2, first_doc, and its simhash."""
+    return hashes.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.first("simhash").alias("simhash"))
+
+
+def block_pairs(classes: DataFrame) -> DataFrame:
+    """id (h1), pair and value: the six pairs of 16-bit blocks of each class."""
+    block = [F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
+    values = [F.shiftleft(block[i], 16).bitwiseOR(block[j]) for i, j in combinations(range(4), 2)]
+    return classes.select(F.col("h1").alias("id"), F.posexplode(F.array(*values)).alias("pair", "value"))
 
 
 def similar(a: Column, b: Column, similarity: float) -> Column:
@@ -102,52 +116,81 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").filter(similar(F.col("a_norm"), F.col("b_norm"), similarity)).select("a", "b")
 
 
-def fuzzy_groups(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the lines that are linked with another; nodes are h1."""
-    hashed = simhash(classes)
-    blocks = hashed.select(F.col("h1").alias("id"), F.posexplode(F.array("b0", "b1", "b2", "b3")).alias("block", "value"))
-    shared = blocks.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).filter("n > 1")
-    members = written(blocks.join(shared, ["block", "value"]), "blocks")
+def texts_of(docs: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(id, norm) of the chosen (doc_id, text_key, pos, id): only their documents are
+    read again; the places are broadcast if they are few (counted), else joined."""
+    places = chosen.groupBy(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key")).agg(
+        F.collect_list(F.struct("pos", "id")).alias("places"))
+    places = written(places, "places")
+    if places.count() <= broadcast_rows:
+        places = F.broadcast(places)
+    rows = docs.select("doc_id", text_key(whole_text()).alias("text_key"), whole_text().alias("text"))
+    found = rows.join(places, rows["doc_id"].eqNullSafe(F.col("o_id")) & (rows["text_key"] == F.col("o_key"))).select(
+        "places", F.split(normal_lines(F.col("text")), "\n").alias("lines"))
+    return found.select(F.explode(F.transform("places", lambda p: F.struct(
+        p["id"].alias("id"), F.trim(F.get("lines", p["pos"])).alias("norm")))).alias("x")).select("x.*").dropDuplicates(["id"])
+
+
+def fuzzy_groups(docs: DataFrame, hashes: DataFrame, classes: DataFrame, similarity: float = SIMILARITY,
+                 broadcast_rows: int = 200_000) -> DataFrame:
+    """(node, component) of the classes, named by h1, that are linked with another."""
+    blocks = block_pairs(classes)
+    shared = blocks.groupBy("pair", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).filter("n > 1").drop("n")
+    members = written(blocks.join(shared, ["pair", "value"]), "blocks")
     ids = members.select("id").distinct()
-    lines = written(classes.join(ids, F.col("h1") == F.col("id"), "left_semi").select(F.col("h1").alias("id"), "norm"), "lines")
+    # one occurrence of each candidate class, the smallest place of its first document
+    first = classes.join(ids, F.col("h1") == F.col("id"), "left_semi").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first_doc")
+    chosen = hashes.join(first, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy(
+        "doc_id", F.col("h1").alias("id")).agg(F.min("text_key").alias("text_key"))
+    places = hashes.join(chosen.select(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key"), "id"),
+                         F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_key") == F.col("o_key")) & (F.col("h1") == F.col("id"))).groupBy(
+                             "doc_id", "text_key", "id").agg(F.min("pos").alias("pos"))
+    lines = written(texts_of(docs, places, broadcast_rows), "texts")
     star = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified(star, lines, similarity), "links")
     formed = connected_components(links)
     named = members.join(formed, F.col("id") == F.col("node"), "left").select(
-        "block", "value", "id", "leader", F.coalesce("component", "id").alias("component"))
-    of_leader = named.filter("id = leader").select(F.col("block").alias("o_block"), F.col("value").alias("o_value"),
+        "pair", "value", "id", "leader", F.coalesce("component", "id").alias("component"))
+    of_leader = named.filter("id = leader").select(F.col("pair").alias("o_pair"), F.col("value").alias("o_value"),
                                                    F.col("component").alias("o_component"))
     # lines apart from their leader's component meet all others of the value
-    away = named.join(of_leader, (F.col("block") == F.col("o_block")) & (F.col("value") == F.col("o_value"))).filter(
-        F.col("component") != F.col("o_component")).select("block", "value", F.col("id").alias("a"), F.col("component").alias("ca"))
-    rest = away.join(named.select("block", "value", F.col("id").alias("b"), F.col("component").alias("cb")), ["block", "value"]).filter(
+    away = named.join(of_leader, (F.col("pair") == F.col("o_pair")) & (F.col("value") == F.col("o_value"))).filter(
+        F.col("component") != F.col("o_component")).select("pair", "value", F.col("id").alias("a"), F.col("component").alias("ca"))
+    rest = away.join(named.select("pair", "value", F.col("id").alias("b"), F.col("component").alias("cb")), ["pair", "value"]).filter(
         F.col("ca") != F.col("cb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # pairs with a leader were compared before
+    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(verified(rest, lines, similarity), "more")
     return connected_components(links.unionByName(more))
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text_key, pos, h1 of every line occurrence that goes."""
-    occurrences = line_occurrences(docs, least_words)
-    classes = written(line_classes(occurrences), "classes")
-    groups = fuzzy_groups(classes, similarity)
-    of_class = classes.join(groups, F.col("h1") == F.col("node"), "left").select(
-        "h1", "h2", "first", F.coalesce("component", "h1").alias("component"))
-    keep = of_class.groupBy("component").agg(F.min("first").alias("keep"))
-    target = of_class.join(keep, "component").select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "keep")
-    o = occurrences.select("doc_id", "text_key", "pos", "h1", "h2")
-    return o.join(target, (o["h1"] == target["o1"]) & (o["h2"] == target["o2"])).filter(
-        ~(F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.pos") == F.col("pos")))).select(
-            "doc_id", "text_key", "pos", "h1")
+    """doc_id, text_key, pos of every line occurrence that goes."""
+    hashes = line_hashes(docs, least_words)
+    classes = written(line_classes(hashes), "classes")
+    groups = fuzzy_groups(docs, hashes, classes, similarity)
+    named = classes.join(groups, F.col("h1") == F.col("node"), "left").select(
+        F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first_doc", F.coalesce("component", "h1").alias("component"))
+    # the first document of a group of several classes
+    keep = named.groupBy(F.col("component").alias("g")).agg(F.min("first_doc").alias("keep_doc"))
+    target = named.join(keep, F.col("component") == F.col("g")).select("c1", "c2", "component", "keep_doc")
+    rows = hashes.select(*OCCURRENCE).join(target, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
+    rows = rows.select("doc_id", "text_key", "pos", "component", F.col("doc_id").eqNullSafe(F.col("keep_doc")).alias("here"))
+    # in that document the first place of the group stays
+    stays = rows.filter("here").groupBy(F.col("component").alias("g"), F.col("text_key").alias("k")).agg(F.min("pos").alias("first_pos"))
+    again = rows.filter("here").join(stays, (F.col("component") == F.col("g")) & (F.col("text_key") == F.col("k"))).filter(
+        F.col("pos") != F.col("first_pos"))
+    return rows.filter("not here").select("doc_id", "text_key", "pos").unionByName(again.select("doc_id", "text_key", "pos"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_key, n_removed and removed (line numbers
-    from 0, sorted). ``without_positions`` applies it."""
+    """Per row of ``docs``: doc_id, text_key, n_lines, n_removed and removed (line
+    numbers from 0, sorted). ``without_positions`` applies it."""
     gone = duplicate_lines(docs, similarity, least_words).groupBy(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key")).agg(
         F.array_sort(F.collect_set("pos")).alias("removed"))
-    rows = docs.select("doc_id", text_key(whole_text()).alias("text_key"), (F.char_length(F.regexp_replace(
-        whole_text(), "[^\n]+", "")) + 1).cast("long").alias("n_lines"))
+    text = whole_text()
+    rows = docs.select("doc_id", text_key(text).alias("text_key"), (
+        F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     return rows.join(gone, rows["doc_id"].eqNullSafe(gone["o_id"]) & (rows["text_key"] == gone["o_key"]), "left").select(
         rows["doc_id"], rows["text_key"], "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
