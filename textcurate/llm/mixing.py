@@ -9,8 +9,8 @@ documents count more than once.
 
 The cell table has one row per combination that occurs, built with map-side
 partial sums, so a source with a third of all rows costs nothing. Raking is
-grouping and joining on that table, cut by checkpoint() after each round. It is
-broadcast to the documents only if its counted rows are below ``broadcast_cells``;
+grouping and joining on that table, in a number of partitions that follows its counted
+rows, cut by checkpoint() after each round. It is broadcast to the documents only if its counted rows are below ``broadcast_cells``;
 beyond that the join is left to Spark.
 
 Topic: the tables have none; ``topic_of`` derives a coarse one from the form of a
@@ -61,16 +61,16 @@ def measured(docs: DataFrame) -> DataFrame:
 def target_marginal(cells: DataFrame, dim: str, temperature: float) -> DataFrame:
     """(value, target): shares of the categories that have tokens, flattened by
     raising the observed shares to ``temperature`` (1: as observed, 0: equal)."""
-    seen = cells.groupBy(dim).agg(F.sum("tokens").alias("t"))
-    total = seen.agg(F.sum(F.pow("t", F.lit(temperature))).alias("total"))
-    return seen.join(F.broadcast(total)).select(
-        F.col(dim).alias("value"), (F.pow("t", F.lit(temperature)) / F.col("total")).alias("target"))
+    seen = cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(temperature)).alias("t"))
+    total = seen.agg(F.sum("t")).first()[0]
+    return seen.select(F.col(dim).alias("value"), (F.col("t") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, parts: int = 1) -> DataFrame:
     """Iterative proportional fitting of ``share`` to the target marginals.
 
-    Each round scales every dimension once; lineage is cut after each round."""
+    Each round scales every dimension once; lineage is cut after each round. The
+    cells stay in ``parts`` partitions, so few cells need no exchange."""
     dims = list(targets)
     fitted = cells.withColumn("fit", F.col("share"))
     for _ in range(rounds):
@@ -81,7 +81,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12) -> D
                 F.col("value"), (F.col("target") / F.col("now")).alias("factor"))
             fitted = fitted.join(factor, fitted[dim].eqNullSafe(factor["value"])).select(
                 *[c for c in fitted.columns if c != "fit"], (F.col("fit") * F.col("factor")).alias("fit"))
-        fitted = cut_lineage(fitted)
+        fitted = cut_lineage(fitted).coalesce(parts)
     return fitted
 
 
@@ -91,21 +91,21 @@ def uniform(doc_id: Column) -> Column:
 
 
 def mix_to_targets(docs: DataFrame, temperatures: dict[str, float] | None = None, budget: float = 0.5,
-                   rounds: int = 12, broadcast_cells: int = 200_000,
+                   rounds: int = 12, broadcast_cells: int = 200_000, cells_per_task: int = 50_000,
                    dims: Sequence[str] = DIMENSIONS) -> DataFrame:
     """Per row of ``docs`` (doc_id, the dimensions and n_tokens, see ``measured``):
     ratio (calibrated over observed), probability, weight and kept."""
     temperatures = temperatures or {"source": 0.5, "lang": 0.7, "topic": 0.7}
     # the narrow rows are read twice (cells, decisions): cut so texts are split once
     rows = cut_lineage(docs)
-    cells = rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"))
-    total = cells.agg(F.sum("tokens").alias("total"))
-    cells = cut_lineage(cells.filter("tokens > 0").join(F.broadcast(total)).withColumn(
-        "share", F.col("tokens") / F.col("total")).select(*dims, "tokens", "share"))
-    targets = {d: cut_lineage(target_marginal(cells, d, temperatures[d])) for d in dims}
-    fitted = rake(cells, targets, rounds).select(*[F.col(d).alias(f"c_{d}") for d in dims],
-                                                 (F.col("fit") / F.col("share")).alias("c_ratio"))
-    if fitted.count() <= broadcast_cells:
+    cells = cut_lineage(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
+    n_cells, total = cells.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    parts = max(1, -(-n_cells // cells_per_task))
+    cells = cells.select(*dims, "tokens", (F.col("tokens") / F.lit(total or 1)).alias("share")).coalesce(parts)
+    targets = {d: cut_lineage(target_marginal(cells, d, temperatures[d])).coalesce(parts) for d in dims}
+    fitted = rake(cells, targets, rounds, parts).select(*[F.col(d).alias(f"c_{d}") for d in dims],
+                                                        (F.col("fit") / F.col("share")).alias("c_ratio"))
+    if n_cells <= broadcast_cells:
         fitted = F.broadcast(fitted)
     on = None
     for d in dims:
