@@ -4,7 +4,7 @@ Lines are normalised (lower case, runs of letters and digits, single spaces). On
 pass over the documents gives every line occurrence two hashes (96 bits) that name
 its class of equal lines and a 64-bit SimHash of its words; no text is shuffled:
 
-* every word's 64-bit hash votes for the bits. The votes of four bits share one long
+* the 64-bit hash of every distinct longer word votes for the bits. The votes of four bits share one long
   in fields of 16 bits, so 16 sums per line count them all, and the majorities are
   taken with one addition and mask per sum. Words are counted in chunks of 16 000
   so that a field cannot overflow; the few lines of more chunks are added up apart;
@@ -51,14 +51,22 @@ def normal_lines(text: Column) -> Column:
 
 
 def line_words(docs: DataFrame, least_words: int) -> DataFrame:
-    """OCCURRENCE, w (the words) and row_id (tells repeated rows apart) of every line of
-    enough words."""
+    """OCCURRENCE, w (the words that vote) and row_id (tells repeated rows apart) of
+    every line of enough words."""
     t = docs.select("doc_id", whole_text().alias("text"))
     lines = t.select("doc_id", text_key(F.col("text")).alias("text_key"), F.monotonically_increasing_id().alias("row_id"),
                      F.posexplode(F.split(normal_lines(F.col("text")), "\n")).alias("pos", "line"))
     n = lines.select("doc_id", "text_key", "row_id", "pos", F.trim("line").alias("norm"))
     return n.select("doc_id", "text_key", "row_id", "pos", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"),
-                    F.split("norm", " ").alias("w")).filter(F.size("w") >= least_words)
+                    F.split("norm", " ").alias("w")).filter(F.size("w") >= least_words).withColumn("w", voters(F.col("w")))
+
+
+def voters(w: Column) -> Column:
+    """The distinct words of four characters or more, or all distinct words if fewer
+    than five are as long: the short words that every line of a language has would make
+    unrelated lines alike."""
+    return F.get(F.transform(F.array(F.array_distinct(w)), lambda d: F.get(F.transform(
+        F.array(F.filter(d, lambda x: F.char_length(x) >= 4)), lambda long: F.when(F.size(long) >= 5, long).otherwise(d)), F.lit(0))), F.lit(0))
 
 
 def majority(votes: list[Column], n: Column) -> Column:
