@@ -187,8 +187,33 @@ def _single_prefixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator
                                          ["prefix", "row", "start"])
 
 
+def _only(rows: DataFrame, found: DataFrame, how: str, broadcast_rows: int) -> DataFrame:
+    """The rows whose name is (left_semi) or is not (left_anti) among ``found``. Only the
+    names, 8 bytes each, are broadcast, and only if they are few (counted); so the texts
+    that a later join shuffles are those it needs."""
+    names = found.select(F.col("o_row").alias("n_row"))
+    if found.count() <= broadcast_rows:
+        names = F.broadcast(names)
+    return rows.join(names, F.col("row") == F.col("n_row"), how)
+
+
+def joined_spans(spans):
+    """Sorted (s, e) spans with those that meet joined."""
+    start = F.struct(F.array().cast(SPAN_TYPE).alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+
+    def closed(a):
+        return F.when(a["e"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))))
+
+    def add(a, x):
+        meets = (a["e"] >= 0) & (x["s"] <= a["e"])
+        return F.when(meets, F.struct(a["done"].alias("done"), a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"))).otherwise(
+            F.struct(closed(a).alias("done"), x["s"].alias("s"), x["e"].alias("e")))
+
+    return F.aggregate(F.array_sort(spans), start, add, closed)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, crowd: int = 1000,
-                   broadcast_rows: int = 200_000) -> DataFrame:
+                   broadcast_rows: int = 500_000) -> DataFrame:
     """(row, s, e): byte spans of repeated strings, not yet joined; ``row`` is
     row_name(doc_id, text)."""
     rows = docs.select(row_name(F.col("doc_id"), whole_text()).alias("row"), whole_text().alias("text"))
@@ -208,9 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, crow
     # step 4: one sample of every triple of a core that has several
     open_ = written(triples.join(kinds, F.col("name") == F.col("o_name")).groupBy(F.col("row").alias("o_row")).agg(
         F.collect_list(F.struct("name", "at")).alias("samples")), "open")
-    if open_.count() <= broadcast_rows:
-        open_ = F.broadcast(open_)
-    around = rows.join(open_, F.col("row") == F.col("o_row"))
+    around = _only(rows, open_, "left_semi", broadcast_rows).join(open_, F.col("row") == F.col("o_row"))
     contexts = around.select("row", "text", "samples").mapInArrow(
         partial(_cut_contexts, length=length, core=core), "name long, row long, lo int, bytes binary")
     crowded = kinds.filter(F.col("kinds") > crowd).select(F.col("o_name").alias("c_name"))
@@ -253,17 +276,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, broadcast_rows: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, broadcast_rows: int = 500_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (joined removed
     runs) and kept_sha256 of the bytes that are left."""
     text = whole_text()
     rows = docs.select("doc_id", row_name(F.col("doc_id"), text).alias("row"), text.alias("text"))
-    # spans that meet are joined per row where they were found before they travel
-    spans = written(repeated_spans(docs, length, core, broadcast_rows=broadcast_rows).groupBy("row").agg(
-        F.collect_set(F.struct("s", "e")).alias("spans")).withColumnRenamed("row", "o_row"), "spans")
-    if spans.count() <= broadcast_rows:
-        spans = F.broadcast(spans)
+    spans = written(repeated_spans(docs, length, core, broadcast_rows=broadcast_rows).groupBy(F.col("row").alias("o_row")).agg(
+        joined_spans(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(spans, F.col("row") == F.col("o_row"), "left").select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
-    return joined.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    touched = _only(rows, spans, "left_semi", broadcast_rows).join(spans, F.col("row") == F.col("o_row")).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans").mapInArrow(
+            _remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = _only(rows, spans, "left_anti", broadcast_rows).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return whole.unionByName(touched)
