@@ -4,7 +4,9 @@ Lines are normalised (lower case, runs of letters and digits, single spaces). On
 pass over the documents gives every line occurrence two hashes (96 bits) that name
 its class of equal lines and a 64-bit SimHash of its words; no text is shuffled:
 
-* the 64-bit hash of every distinct longer word votes for the bits. The votes of four bits share one long
+* the 64-bit hash of every word of four characters or more votes for the bits (of
+  every word, in lines whose words average less): the short words that every line of
+  a language has would make unrelated lines alike. The votes of four bits share one long
   in fields of 16 bits, so 16 sums per line count them all, and the majorities are
   taken with one addition and mask per sum. Words are counted in chunks of 16 000
   so that a field cannot overflow; the few lines of more chunks are added up apart;
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import text_key, whole_text, written
 from .components import connected_components
 
-SIMILARITY, LEAST_WORDS = 0.85, 5
+SIMILARITY, LEAST_WORDS, SHORT = 0.85, 5, 4
 # 16-bit fields; a chunk's votes and the threshold's offset together stay below 2**15
 FIELD, TOP, CHUNK = 0x0001000100010001, 0x4000, 16_000
 OCCURRENCE = ["doc_id", "text_key", "pos", "h1", "h2"]
@@ -51,22 +53,14 @@ def normal_lines(text: Column) -> Column:
 
 
 def line_words(docs: DataFrame, least_words: int) -> DataFrame:
-    """OCCURRENCE, w (the words that vote) and row_id (tells repeated rows apart) of
-    every line of enough words."""
+    """OCCURRENCE, w (the words), chars (their length with spaces) and row_id (tells
+    repeated rows apart) of every line of enough words."""
     t = docs.select("doc_id", whole_text().alias("text"))
     lines = t.select("doc_id", text_key(F.col("text")).alias("text_key"), F.monotonically_increasing_id().alias("row_id"),
                      F.posexplode(F.split(normal_lines(F.col("text")), "\n")).alias("pos", "line"))
     n = lines.select("doc_id", "text_key", "row_id", "pos", F.trim("line").alias("norm"))
     return n.select("doc_id", "text_key", "row_id", "pos", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"),
-                    F.split("norm", " ").alias("w")).filter(F.size("w") >= least_words).withColumn("w", voters(F.col("w")))
-
-
-def voters(w: Column) -> Column:
-    """The distinct words of four characters or more, or all distinct words if fewer
-    than five are as long: the short words that every line of a language has would make
-    unrelated lines alike."""
-    return F.get(F.transform(F.array(F.array_distinct(w)), lambda d: F.get(F.transform(
-        F.array(F.filter(d, lambda x: F.char_length(x) >= 4)), lambda long: F.when(F.size(long) >= 5, long).otherwise(d)), F.lit(0))), F.lit(0))
+                    F.split("norm", " ").alias("w"), F.char_length("norm").alias("chars")).filter(F.size("w") >= least_words)
 
 
 def majority(votes: list[Column], n: Column) -> Column:
@@ -81,20 +75,22 @@ def majority(votes: list[Column], n: Column) -> Column:
 def line_hashes(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """OCCURRENCE and simhash of every line of enough words."""
     names = [f"v{s}" for s in range(16)]
-    key = [*OCCURRENCE, "row_id", "n"]
-    w = line_words(docs, least_words).select(*OCCURRENCE, "row_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")).select(
-        *key, F.floor(F.col("i") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("x"))
+    key = [*OCCURRENCE, "row_id", "size"]
+    words = line_words(docs, least_words).select(*OCCURRENCE, "row_id", F.size("w").alias("size"), "chars", F.posexplode("w").alias("i", "word"))
+    voting = words.filter((F.char_length("word") >= SHORT) | (F.col("chars") + 1 < (SHORT + 1) * F.col("size")))
+    w = voting.select(*key, F.floor(F.col("i") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("x"))
     votes = w.groupBy(*key, "chunk").agg(
-        *[F.sum(F.shiftrightunsigned("x", s).bitwiseAND(F.lit(FIELD))).alias(v) for s, v in enumerate(names)])
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("x", s).bitwiseAND(F.lit(FIELD))).alias(v) for s, v in enumerate(names)])
     table = written(votes.select(
-        *key, F.when(F.col("n") <= CHUNK, majority([F.col(v) for v in names], F.col("n"))).alias("simhash"),
-        F.when(F.col("n") > CHUNK, F.array(*names)).alias("votes")), "lines")
+        *key, "n", F.when(F.col("size") <= CHUNK, majority([F.col(v) for v in names], F.col("n"))).alias("simhash"),
+        F.when(F.col("size") > CHUNK, F.array(*names)).alias("votes")), "lines")
     # lines of several chunks: the fields as numbers of their own
-    parts = table.filter("votes is not null").select(*key, F.posexplode("votes").alias("s", "v")).select(
-        *key, "s", F.posexplode(F.array(*[F.shiftrightunsigned("v", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias(
-            "k", "c"))
-    bits = parts.groupBy(*key, "s", "k").agg(F.sum("c").alias("c")).filter(2 * F.col("c") > F.col("n"))
-    long = bits.groupBy(*OCCURRENCE, "row_id").agg(F.bit_or(F.expr("shiftleft(1L, s + 16 * k)")).alias("simhash")).drop("row_id")
+    line = [*OCCURRENCE, "row_id"]
+    chunks = table.filter("votes is not null")
+    parts = chunks.select(*line, "n", F.posexplode("votes").alias("s", "v")).select(
+        *line, "n", "s", F.posexplode(F.array(*[F.shiftrightunsigned("v", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("k", "c"))
+    bits = parts.groupBy(*line, "s", "k").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    long = bits.groupBy(*line).agg(F.bit_or(F.expr("if(2 * c > n, shiftleft(1L, s + 16 * k), 0L)")).alias("simhash")).drop("row_id")
     return table.filter("votes is null").select(*OCCURRENCE, "simhash").unionByName(long)
 
 
@@ -114,7 +110,7 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     """Edit similarity of two lines reaches the threshold."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
     most = F.floor((1 - F.lit(similarity)) * longer + 1e-9).cast("int")
-    return (F.abs(F.char_length(a) - F.char_length(b)) <= most) & (F.levenshtein(a, b) <= most)
+    return (F.abs(F.char_length(a) - F.char_length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
