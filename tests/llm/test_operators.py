@@ -365,3 +365,17 @@ def test_no_benchmark_items(spark, make_docs):
     items = spark.createDataFrame([], "item_id long, text string")
     (r,) = winnow.contamination_digest(make_docs([(1, "some words")]), items).collect()
     assert (r["n_words"], r["n_hit"], r["contaminated"]) == (2, 0, False)
+
+
+def test_components_of_chains(spark):
+    """A long chain in random order, a star, a ring: all found, in few rounds."""
+    from textcurate.llm.components import connected_components
+
+    rng = random.Random(2)
+    ids = list(range(1000))
+    rng.shuffle(ids)
+    links = list(zip(ids[:400], ids[1:400], strict=False)) + [(ids[400], x) for x in ids[401:700]]
+    links += [(ids[700 + i], ids[700 + (i + 1) % 100]) for i in range(100)] + [(ids[800], ids[801]), (ids[801], ids[800])]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    groups = [ids[:400], ids[400:700], ids[700:800], ids[800:802]]
+    assert got == {x: min(g) for g in groups for x in g}

@@ -1,4 +1,4 @@
-"""Connected components of a link table by label propagation with pointer jumps."""
+"""Connected components of a link table by hooking and pointer jumps."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from textcurate.session import cut_lineage
 
+from .common import written
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component), the smallest node reachable.
 
-    Each round takes the smallest label among a node and its neighbours (a partial
-    aggregation, so a hub costs no more than its links) and then follows labels of
-    labels. Labels only fall, and rounds end when none changes; their number grows
-    with the logarithm of the longest path for the usual shapes. Every round's
-    labels are written to the checkpoint folder."""
+    In each round every component takes the smallest label that any neighbour of any
+    of its nodes has, for all its nodes at once, and then that label's own new label.
+    So components at least merge in pairs, and the number of rounds grows with the
+    logarithm of the nodes, on long chains too. All are partial aggregations and
+    equi-joins, so a hub costs no more than its links. Labels only fall; rounds end
+    when none changes. Every round's labels go to the checkpoint folder."""
     both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                        .filter("a <> b").distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
@@ -26,8 +29,11 @@ def connected_components(links: DataFrame) -> DataFrame:
             F.min("o_component").alias("low"))
         moved = labels.join(lowest, F.col("node") == F.col("l_node")).select(
             "node", "component", F.least("component", "low").alias("next"))
-        jump = moved.join(of, F.col("next") == F.col("o_node"), "left").select(
-            "node", F.col("component").alias("was"), F.least("next", F.coalesce("o_component", "next")).alias("component"))
+        roots = written(moved.groupBy(F.col("component").alias("root")).agg(F.min("next").alias("to")), "roots")
+        twice = roots.select(F.col("root").alias("r_root"), F.col("to").alias("r_to"))
+        target = roots.join(twice, F.col("to") == F.col("r_root"), "left").select("root", F.coalesce("r_to", "to").alias("to"))
+        jump = labels.join(target, F.col("component") == F.col("root")).select(
+            "node", F.col("component").alias("was"), F.col("to").alias("component"))
         jump = cut_lineage(jump)
         changed = jump.filter("component <> was").limit(1).count()
         labels = jump.select("node", "component")
