@@ -219,9 +219,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, crow
     rows = docs.select(row_name(F.col("doc_id"), whole_text()).alias("row"), whole_text().alias("text"))
     samples = written(rows.mapInArrow(partial(_sample_batches, length=length, core=core),
                                       "row long, at int, lo int, hi int, name long, triple long"), "samples")
-    # names that occur once, nearly all of them, leave here
-    names = samples.groupBy(F.col("name").alias("o_name")).agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
-    flagged = written(samples.join(names.select("o_name"), F.col("name") == F.col("o_name"), "left_semi"), "names")
+    # names that occur once, nearly all of them, leave here; the others are a table, so
+    # the join is one of two plain exchanges, which can be split at a common name
+    names = written(samples.groupBy(F.col("name").alias("o_name")).agg(F.count(F.lit(1)).alias("total")).filter(
+        "total > 1").select("o_name"), "repeated-names")
+    flagged = written(samples.join(names, F.col("name") == F.col("o_name"), "left_semi"), "names")
     # first() of several columns takes them from one row
     triples = written(flagged.groupBy("name", "triple").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"),
                                                             F.first("at").alias("at")), "triples")
