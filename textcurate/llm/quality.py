@@ -27,15 +27,21 @@ from .common import NON_SEPARATOR, SEPARATORS, same_row, text_key, whole_text, w
 SYMBOLS = "[^#*$%&|<>]+"
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value bound to a lambda's variable: it is computed once, even
+    if the plan moves the expression, where a column's expression would be copied into
+    every inner loop."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def repeat_words(w: Column) -> Column:
     """Words covered by a 3-word window that occurs twice or more in the array.
 
     Windows are 64-bit hashes. If all are distinct, as in most texts, the answer
     is 0; otherwise the (hash, position) pairs are sorted, equal neighbours marked,
     and the positions that they cover counted."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(
-        F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def windows(a):
+        return F.transform(F.sequence(F.lit(0), F.size(a) - 3), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + 1), F.get(a, i + 2)))
 
     def covered(p):
         marked = F.filter(p, lambda x, k: F.coalesce(F.get(p, k - 1)["h"] == x["h"], F.lit(False))
@@ -43,9 +49,11 @@ def repeat_words(w: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(
             marked, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    # the one-element array binds the sorted pairs, which are then computed once
-    slow = F.get(F.transform(F.array(pairs), covered), F.lit(0))
-    return F.when(F.size(w) < 3, 0).when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(slow).cast("long")
+    def count(h):
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(once(pairs, covered))
+
+    return once(w, lambda a: F.when(F.size(a) < 3, 0).otherwise(once(windows(a), count))).cast("long")
 
 
 def text_lines(text: Column) -> Column:
