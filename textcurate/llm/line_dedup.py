@@ -131,8 +131,10 @@ def texts_of(docs: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFra
     rows = docs.select("doc_id", text_key(whole_text()).alias("text_key"), whole_text().alias("text"))
     found = rows.join(places, rows["doc_id"].eqNullSafe(F.col("o_id")) & (rows["text_key"] == F.col("o_key"))).select(
         "places", F.split(normal_lines(F.col("text")), "\n").alias("lines"))
-    return found.select(F.explode(F.transform("places", lambda p: F.struct(
-        p["id"].alias("id"), F.trim(F.get("lines", p["pos"])).alias("norm")))).alias("x")).select("x.*").dropDuplicates(["id"])
+    # the lines are bound to a lambda's variable, so a text is split once, not per place
+    picked = F.flatten(F.transform(F.array("lines"), lambda a: F.transform("places", lambda p: F.struct(
+        p["id"].alias("id"), F.trim(F.get(a, p["pos"])).alias("norm")))))
+    return found.select(F.explode(picked).alias("x")).select("x.*").dropDuplicates(["id"])
 
 
 def fuzzy_groups(docs: DataFrame, hashes: DataFrame, classes: DataFrame, similarity: float = SIMILARITY,
