@@ -122,6 +122,22 @@ def test_near_duplicates_of_a_star(make_docs, prose):
     assert found == {i: c for i, (_, c) in truth.items()}
 
 
+def test_near_duplicates_without_their_origin(make_docs, prose):
+    """Variants of a text that is not in the table: no one of them is linked with all,
+    so hubs and neighbours alone leave links out."""
+    words = prose(60, 150).split(" ")
+    rng = random.Random(8)
+    rows = []
+    for i in range(250):
+        w = list(words)
+        for at in rng.sample(range(4, 146), rng.randrange(2, 5)):
+            w[at] = f"edit{i}x{at}"
+        rows.append((1000 + i, " ".join(w)))
+    found = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(make_docs(rows)).collect()}
+    truth = brute.near_components(rows)
+    assert found == {i: c for i, (_, c) in truth.items()}
+
+
 def test_credentials_base(docs, rows):
     fields = ("n_assign", "n_access", "n_hex", "base_sha256")
     found = credentials.credential_digest(docs).collect()

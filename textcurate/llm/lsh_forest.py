@@ -12,12 +12,18 @@ common, fills a task). Candidates:
 * hubs: within a region (equal first ``least`` labels) the class whose whole
   signatures are shared most often is compared with every other one. In a large
   group of copies that is the text they were made from, so a group costs a number of
-  comparisons linear in its size, not all its pairs.
+  comparisons linear in its size, not all its pairs;
+* the rest: classes that are still not connected with the hub of a region are
+  compared with all others of the region that lie in another component, as far as
+  their set sizes allow the similarity.
 
 Hub pairs are confirmed on the full shingle sets first and components are formed;
-then neighbour pairs that lie in different components are confirmed. Only texts of
-candidate classes are shuffled. For similarity 0.8, 16 trees and 3 labels a pair
-shares no region with probability (1 - 0.8**3)**16, about 1e-5.
+then neighbour pairs that lie in different components are confirmed, then the rest.
+So every pair that shares a region is compared or connected otherwise, and the
+components do not depend on hubs, neighbours or partitions: those only save
+comparisons. A region of many classes that are not similar to each other costs all
+its pairs. Only texts of candidate classes are shuffled. For similarity 0.8, 16 trees
+and 3 labels a pair shares no region with probability (1 - 0.8**3)**16, about 1e-5.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing;
 texts of fewer words than a shingle are one shingle; rows with equal doc_id are one
@@ -113,7 +119,7 @@ def sketch(docs: DataFrame, size: int = 4, trees: int = TREES, depth: int = DEPT
 
 def _neighbours(batches: Iterator[pa.RecordBatch], depth: int, least: int, near: int) -> Iterator[pa.RecordBatch]:
     """Walks one partition of the sorted order: the neighbours of every entry (-1:
-    none)."""
+    none). Those across partition bounds are left to the rest."""
     tail = np.empty((0, depth + 2), np.int64)
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -133,10 +139,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch], depth: int, least: int, near:
 
 
 def forest(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """One row per class and tree: tree, l1 .. l<depth>, id."""
+    """One row per class and tree: tree, l1 .. l<depth>, id, n_shingles."""
     at = F.col("tree") * depth
-    return classes.select("id", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
-        "tree", *[F.get("labels", at + j).alias(f"l{j + 1}") for j in range(depth)], "id")
+    return classes.select("id", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
+        "tree", *[F.get("labels", at + j).alias(f"l{j + 1}") for j in range(depth)], "id", "n_shingles")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -165,6 +171,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return both.mapInArrow(partial(_confirm, size=size, percent=percent), "a long, b long")
 
 
+def rest_of_regions(entries: DataFrame, hubs: DataFrame, formed: DataFrame, region: list[str], percent: int) -> DataFrame:
+    """The (a, b) pairs of regions that lie in different components, are not both in
+    the hub's, and whose set sizes allow the similarity."""
+    of = formed.select("node", "component")
+    named = written(entries.join(of, F.col("id") == F.col("node"), "left").select(
+        *region, "id", "n_shingles", F.coalesce("component", "id").alias("component")), "regions")
+    hub = named.join(hubs.select(*region, (-F.col("hub.minus")).alias("h")), region).filter("id = h").select(
+        *region, F.col("component").alias("ch"))
+    away = written(named.join(hub, region).filter("component <> ch").select(
+        *region, F.col("id").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx")), "away")
+    # both are tables, so the join is one of two plain exchanges, which can be split
+    near = (100 * F.least("nx", "n_shingles") >= percent * F.greatest("nx", "n_shingles"))
+    return away.join(named, region).filter((F.col("cx") != F.col("component")) & near).select(
+        F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: int = TREES, depth: int = DEPTH,
                     least: int = LEAST, near: int = NEAR) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
@@ -174,7 +196,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: in
     named = members.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(
         F.min("doc_id").alias("id"))
     classes = sketched.join(named.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(
-        F.col("doc_id").cast("long").alias("id"), "labels").dropDuplicates(["id"])
+        F.col("doc_id").cast("long").alias("id"), "n_shingles", "labels").dropDuplicates(["id"])
     entries = forest(classes, trees, depth)
     region = ["tree", *[f"l{j + 1}" for j in range(least)]]
     order = ["tree", *[f"l{j + 1}" for j in range(depth)], "id"]
@@ -200,7 +222,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: in
     apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left").filter(
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = cut_lineage(confirm(apart, docs, size, percent))
-    joined = connected_components(links.unionByName(more))
+    links = links.unionByName(more)
+    compared = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(apart)
+    rest = rest_of_regions(entries, hubs, connected_components(links), region, percent).join(compared, ["a", "b"], "left_anti")
+    joined = connected_components(links.unionByName(cut_lineage(confirm(rest, docs, size, percent))))
     of_class = named.join(joined, named["id"] == joined["node"], "left").select(
         F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("cn"),
         F.coalesce("component", "id").alias("component_id"))
