@@ -173,6 +173,23 @@ def test_credentials_of_made_up_secrets(make_docs):
     assert [text[int(a):int(b)] for _, a, b in spans] == ["user = someone", "aB3dE6gH9jK2mN5pQ8sT1vW4"]
 
 
+MATCHES = ["password=abcdef", "Api_Key : abcdef", "AKIA" + "A1" * 8, "0123456789abcdef" * 2, "client_id=abcd", "accesskeyid: abcd",
+           "access_key_id=abcd", "account_id = abcd", "username: alice42", "user_name=alice42", '"username": "alice42"', "USERNAME   =   alice42",
+           "user = alice42", "login  :  alice42", "ASIA" + "A" * 16, "AROA" + "B" * 16, "AIDA" + "C" * 16, "aB3dE6gH9jK2mN5pQ8sT1vW4",
+           "https://host.example/x", "host: db.example", "HostName = db.example:5432", "endpoint=db.example", "server: db.example"]
+
+
+def test_credential_gates_follow_from_their_patterns(make_docs):
+    from pyspark.sql import functions as F
+
+    texts = make_docs(list(enumerate(MATCHES)), parts=1)
+    for p in credentials.PATTERNS:
+        matched = texts.filter(F.col("text").rlike(p.regex)).select("text", F.col("text").rlike(p.gate).alias("gate")).collect()
+        assert matched and [r["text"] for r in matched if not r["gate"]] == [], p.kind
+    rows = [(i, f"{t} has aB3dE6gH9jK2mN5pQ8sT1vW4") for i, t in enumerate(MATCHES) if "user" in t.lower()]
+    assert {r["n_linked"] for r in credentials.credential_digest(make_docs(rows)).collect()} == {2}
+
+
 def test_language_model(spark, make_docs, prose):
     rows = [(i, prose(i, 120, 60)) for i in range(150)] + [(1000, None), (1001, ""), (None, "w1 w2 unseen"), (1003, "w1 w1"), (1003, "w1 w1")]
     docs = with_clashes(make_docs(rows))

@@ -46,7 +46,7 @@ PATTERNS = [
     Pattern("hex", r"[0-9a-f]{24,}", "secret", False, r"[0-9a-f]{24}"),
     Pattern("link_id", r"""(?i:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""
             r"""|(?<![A-Z0-9])(?:ASIA|AROA|AIDA)[A-Z0-9]{16,}""",
-            "identifier", True, r"(?i:_?id|user|login)[^:=\n]{0,3}\x20*[:=]|ASIA|AROA|AIDA"),
+            "identifier", True, r"(?i:client_?id|access_?key_?id|account_?id|user|login)|ASIA|AROA|AIDA"),
     Pattern("link_secret", r"""(?<![A-Za-z0-9+/=_-])(?=[a-zA-Z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])""",
             "secret", True, r"[A-Za-z0-9+/_-]{20}"),
     Pattern("link_endpoint", r"""(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?i:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]{2,5})?""",
