@@ -72,6 +72,16 @@ def test_frequent_lines_removed(make_docs, prose):
     assert got[201]["n_removed_words"] == 0
 
 
+def test_frequent_lines_of_large_and_small_hosts(make_docs, prose):
+    """A line in a small share of a large host goes, one in a large share of a small
+    host too, and one in a few texts of it stays."""
+    rows = [(i, prose(i, 60) + ("\nall rights are reserved here" if i < 25 else ""), "en", "large") for i in range(500)]
+    rows += [(1000 + i, prose(1000 + i, 60) + ("\nthe footer of ours" if i < 8 else ""), "en", "small") for i in range(12)]
+    rows += [(2000 + i, prose(2000 + i, 60) + ("\nsaid by a few" if i < 4 else ""), "en", "tiny") for i in range(12)]
+    got = {r["doc_id"]: r["n_removed_words"] for r in quality.line_frequency_rules(make_docs(rows)).collect()}
+    assert {i for i, n in got.items() if n} == {*range(25), *range(1000, 1008)}
+
+
 def test_token_counts(docs, rows):
     import sentencepiece
 

@@ -3,8 +3,9 @@
 Lines are normalised (lower case, white space collapsed) and hashed to 96 bits.
 For each host the distinct documents that hold a line are counted (copies of one
 text count once, so a copied document does not make its own lines boilerplate). A
-line held by more documents than the limits allow, both an absolute number and a
-share of the host's documents, is removed. A document that loses too large a
+line held by more of them than an absolute limit, however large the host, is removed;
+so is one held by more than a share of the host's, from a floor on, in small hosts.
+A document that loses too large a
 share of its words is depleted and rejected; so is one that fails the base rules.
 
 Counting is a two-level distinct aggregation, so a line in a third of all rows is
@@ -92,23 +93,23 @@ def line_rows(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, host: str = "source", least_docs: int = 20,
-                   host_share: float = 0.10) -> DataFrame:
+                   host_share: float = 0.10, floor_docs: int = 5) -> DataFrame:
     """(host, h1, h2) of the lines held by more than ``least_docs`` distinct texts
-    of the host and by more than ``host_share`` of them."""
+    of the host, or by more than ``host_share`` of them and ``floor_docs``."""
     held = lines.groupBy("host", "h1", "h2").agg(F.countDistinct("text_key").alias("n_docs")).filter(
-        F.col("n_docs") > least_docs)
+        F.col("n_docs") > min(least_docs, floor_docs))
     hosts = docs.select(F.col(host).cast("string").alias("o_host"), text_key(whole_text()).alias("o_key")).groupBy(
         "o_host").agg(F.countDistinct("o_key").alias("host_docs"))
     return held.join(hosts, held["host"].eqNullSafe(hosts["o_host"])).filter(
-        F.col("n_docs") > host_share * F.col("host_docs")).select("host", "h1", "h2")
+        (F.col("n_docs") > least_docs) | ((F.col("n_docs") > floor_docs) & (F.col("n_docs") > host_share * F.col("host_docs")))).select("host", "h1", "h2")
 
 
 def line_frequency_rules(docs: DataFrame, host: str = "source", least_words: int = 50, most_repeat_pct: int = 50,
-                         least_docs: int = 20, host_share: float = 0.10, depleted_share: float = 0.5) -> DataFrame:
+                         least_docs: int = 20, host_share: float = 0.10, depleted_share: float = 0.5, floor_docs: int = 5) -> DataFrame:
     """Per row: doc_id, text_key, the base statistics, n_removed_words,
     removed (the hashes of its removed lines), depleted and kept."""
     lines = line_rows(docs, host)
-    often = frequent_lines(lines, docs, host, least_docs, host_share).select(
+    often = frequent_lines(lines, docs, host, least_docs, host_share, floor_docs).select(
         F.col("host").alias("o_host"), F.col("h1").alias("o1"), F.col("h2").alias("o2"))
     gone = lines.join(often, lines["host"].eqNullSafe(often["o_host"]) & (lines["h1"] == often["o1"]) & (
         lines["h2"] == often["o2"]), "left_semi")
