@@ -123,10 +123,57 @@ SELECT doc_id, license, round(dice, 9) AS dice, CAST(coalesce(n_units, 0) AS BIG
 FROM d LEFT JOIN z USING (doc_id)"""
 
 
+def _vectors_sql(scale: int, columns: str) -> str:
+    return rf"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, {columns}, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(CAST(e AS DOUBLE)))) = 64)"""
+
+
+# the floor of s / n for a positive n
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _squared(a: str, b: str, dims: int) -> str:
+    return f"CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))) AS BIGINT)"
+
+
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """k-means unrolled into one assignment and one mean per round."""
+    parts = [_vectors_sql(256, "vec_id"),
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS k, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k}))"]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT r, k, {_squared('v.x', 'c.x', 64)} AS d FROM v, c{i} c) GROUP BY r)")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT k, list({_FLOOR} ORDER BY i) AS x FROM
+  (SELECT k, i, sum(x[i]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(i) GROUP BY k, i) GROUP BY k) m USING (k))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.k = a.k"""
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Codebooks of four parts, one assignment and one mean per round."""
+    parts = [_vectors_sql(1024, "vec_id, label"),
+             "p AS MATERIALIZED (SELECT r, p, x[16 * p + 1:16 * p + 16] AS x FROM v, range(4) t(p))",
+             """b0 AS MATERIALIZED (SELECT p, e, p.x FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM
+  (SELECT r, vec_id, x FROM v ORDER BY vec_id NULLS LAST, x LIMIT 256)) USING (r))"""]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, p, e, {_squared('p.x', 'b.x', 16)} AS d FROM p JOIN b{i} b USING (p)) GROUP BY r, p)")
+        if i < rounds:
+            parts.append(f"""b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (SELECT p, e, list({_FLOOR} ORDER BY i) AS x FROM
+  (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM a{i} JOIN p USING (r, p), range(1, 17) t(i) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    return "WITH " + ",\n".join(parts) + f""",
+o AS (SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o JOIN v USING (r), h"""
+
+
 ORACLE: dict[str, str] = {
     "op1_line_frequency": OP1,
     "op4_lsh_forest": OP4,
     "op6_proportional_fitting": fitting_sql(),
     "op7_license_dice": license_sql(),
     "op10_winnowing": OP10,
+    "op12_walsh_kmeans": clusters_sql(),
+    "op13_value_dictionaries": codes_sql(),
 }
