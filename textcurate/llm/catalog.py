@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, lbl, licenses, line_dedup, lsh_forest, mixing, quality, suffix_dedup, token_counts, value_tables, walsh_kmeans, winnow
+from . import credentials, langid, lbl, licenses, line_dedup, lsh_forest, mixing, quality, suffix_dedup, token_counts, value_tables, walsh_kmeans, winnow
 from .common import read_table
 from .sql import ORACLE
 
@@ -62,6 +62,11 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination_digest(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
 def op12_walsh_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walsh_kmeans.cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
 
@@ -72,5 +77,5 @@ def op13_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_fuzzy_lines, op3_token_counts, op4_lsh_forest, op5_credential_parts, op6_proportional_fitting,
-    op7_license_dice, op8_log_bilinear, op9_suffix_dedup, op10_winnowing, op12_walsh_kmeans, op13_value_dictionaries)}
+    op7_license_dice, op8_log_bilinear, op9_suffix_dedup, op10_winnowing, op11_language_id, op12_walsh_kmeans, op13_value_dictionaries)}
 __all__ = ["ORACLE", "QUERIES"]
