@@ -26,7 +26,7 @@ n AS (SELECT doc_id, source, text, line, len({WORDS.format(t="line")}) AS n_word
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
 often AS (SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT text) AS held FROM n GROUP BY source, norm) f
-          JOIN hosts h ON h.source IS NOT DISTINCT FROM f.source WHERE held > 20 AND held > 0.10 * docs),
+          JOIN hosts h ON h.source IS NOT DISTINCT FROM f.source WHERE held > 20 OR (held > 5 AND held > 0.10 * docs)),
 gone AS (SELECT n.doc_id, sum(n.n_words) AS n FROM n JOIN often o ON o.source IS NOT DISTINCT FROM n.source AND o.norm = n.norm
          GROUP BY n.doc_id),
 s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
