@@ -113,6 +113,40 @@ def test_bad_envelopes_raise(spark, tmp_path):
     assert check["has_domain"] and not check["has_generated_data"] and not check["valid"]
 
 
+def test_mixed_folder_gives_all_good_envelopes(spark, tmp_path):
+    """Lines, pretty documents (one, several, a list), blank lines and torn records in one folder."""
+    def made(d):
+        return ENVELOPE | {"domain": d}
+
+    torn = '{"domain": "torn", "generated_da'
+    (tmp_path / "lines.json").write_text("\n".join([json.dumps(made("a")), torn, "", json.dumps(made("b")), "no json", json.dumps(made("c"))]))
+    (tmp_path / "pretty.json").write_text(json.dumps(made("d"), indent=4))
+    (tmp_path / "several.json").write_text("\n".join(json.dumps(made(d), indent=i) for i, d in enumerate("efg")))
+    (tmp_path / "list.json").write_text(json.dumps([made("h"), made("i")], indent=2))
+    (tmp_path / "half.json").write_text(json.dumps(made("j"), indent=2)[:90])
+    (tmp_path / "part.json").write_text(json.dumps({"domain": "k"}, indent=2))
+    (tmp_path / "empty.json").write_text("\n \n")
+    records = envelope.envelope_records(spark, str(tmp_path))
+    good = envelope.review_rows(records)
+    assert {r["domain"]: r["n"] for r in good.groupBy("domain").agg(F.count("*").alias("n")).collect()} == dict.fromkeys("abcdefghi", 2)
+    bad = sorted((os.path.basename(r["file"]), r["reason"]) for r in envelope.bad_records(records).collect())
+    assert bad == [("half.json", "not JSON of an envelope"), ("lines.json", "not JSON of an envelope"), ("lines.json", "not JSON of an envelope"),
+                   ("part.json", "generated_data is missing")]
+    assert torn in {r["raw"] for r in envelope.bad_records(records).collect()}
+
+
+def test_lines_of_a_file_in_many_blocks_stay_in_order(spark, tmp_path):
+    """A pretty document read in blocks of a few hundred bytes by several tasks."""
+    many = ENVELOPE | {"generated_data": [{"id": i, "text": f"text {i} }} {{ [", "sentiment": "neutral"} for i in range(300)]}
+    (tmp_path / "a.json").write_text(json.dumps(many, indent=2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = envelope.read_envelopes(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["pos"], r["id"]) for r in rows) == [(i, i) for i in range(300)]
+
+
 def test_trainer_states(spark, tmp_path):
     for run, at, metric in (("20250107_131545", 10, 0.5), ("20250108_090000", 20, 0.75)):
         d = tmp_path / run / f"checkpoint-{at}"

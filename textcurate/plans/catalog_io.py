@@ -59,6 +59,39 @@ def src_envelope(spark, sf):
     return E.read_envelopes(spark, path).drop("file")
 
 
+_TORN = '{"domain": "%s", "generated_data": [{"id": %s, "text": "torn'
+
+
+@register("src_mixed_envelopes", f"""WITH {S.REVIEWS},
+s AS (SELECT *, coalesce(CAST(regexp_extract(domain, '(\\d+)$', 1) AS BIGINT) % 3, 0) AS k FROM reviews),
+b AS (SELECT domain, k, pos // {ENVELOPE_ROWS} AS blk, min(id) AS first FROM s GROUP BY ALL)
+SELECT domain, id, text, sentiment, row_number() OVER (PARTITION BY domain, pos // {ENVELOPE_ROWS} ORDER BY id) - 1 AS pos,
+       CAST(NULL AS VARCHAR) AS raw FROM s
+UNION ALL SELECT NULL, first, NULL, NULL, -1, '{{"domain": "' || domain || '", "generated_data": [{{"id": ' || first || ', "text": "torn'
+FROM b WHERE k <> 1""")
+def src_mixed_envelopes(spark, sf):
+    """SRC-01: one folder with files of lines, of documents that span lines, and of both
+    kinds with torn records among them. All good envelopes are read, and one row for each torn record (with the id in it)."""
+    path = scratch_path(spark, "mixed-envelopes")
+    k = F.coalesce(F.regexp_extract("domain", r"(\d+)$", 1).try_cast("long") % 3, F.lit(0))
+    env = cut_lineage(envelopes(spark, sf).withColumn("k", k))
+    torn = env.where("k <> 1").select("k", "domain", F.format_string(_TORN, "domain", F.element_at("generated_data", 1)["id"].cast("string")).alias("value"))
+    good = F.struct("domain", "generated_data", "summary")
+    lines = env.where("k = 0").select("domain", F.to_json(good).alias("value")).unionByName(torn.where("k = 0").drop("k"))
+    pretty = env.where("k <> 0").select("domain", F.to_json(good, {"pretty": "true"}).alias("value"))
+    lines.repartition("domain").select("value").write.mode("append").text(path)
+    pretty.repartition("domain").select("value").write.mode("append").text(path)
+    torn.where("k = 2").repartition("domain").select("value").write.mode("append").text(path)
+    records = E.envelope_records(spark, path)
+    rows = E.review_rows(records).select("domain", "id", "text", "sentiment", "pos", F.lit(None).cast("string").alias("raw"))
+    # documents torn after each other in one file are one bad text: it is listed by its records
+    raw = F.explode(F.split("raw", r"\n(?=\{)"))
+    bad = E.bad_records(records).select(raw.alias("raw")).select(
+        F.lit(None).cast("string").alias("domain"), F.regexp_extract("raw", r'"id": (\d+)', 1).cast("long").alias("id"),
+        F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("sentiment"), F.lit(-1).cast("long").alias("pos"), "raw")
+    return rows.unionByName(bad)
+
+
 @register("val_envelope", """
 WITH e AS (SELECT source, doc_id // 1000 AS blk, count(*) AS n FROM documents GROUP BY ALL),
 s AS (SELECT source, CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) % 4 AS k, n FROM e)

@@ -2,14 +2,15 @@
 (SRC-01..04, SRC-07).
 
 An envelope is {"domain": ..., "generated_data": [{id, text, sentiment}, ...],
-"summary": {...}}. Files hold either one pretty-printed envelope (one task per file)
-or one envelope per line (split across tasks, which is what large inputs should use).
-Records that are not JSON, or lack the two required fields, are an error.
+"summary": {...}}. A file holds either pretty-printed envelopes (one task per file)
+or one envelope per line (split across tasks, which is what large inputs should use);
+a folder may hold both. Records that are not JSON, or lack the two required fields, are
+rows of their own or an error, as the caller asks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,21 +41,66 @@ LOG_ENTRY = T.StructType([
 
 
 BAD = "_bad_record"
+RECORD = T.StructType([*ENVELOPE.fields, T.StructField(BAD, T.StringType())])
+# A file above this many bytes without a line that is an envelope is read by line: it
+# cannot be one document (no row holds that much), so its lines come back as bad records.
+WHOLE_FILE_BYTES = 256 << 20
 
 
-def envelope_records(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """The envelopes as stored: domain, generated_data, summary, file, and the raw
-    text of a record that does not parse (else null). The layout is found by
-    reading lines first: if a line is no JSON, files are read whole."""
-    schema = T.StructType([*ENVELOPE.fields, T.StructField(BAD, T.StringType())])
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines with their file and their order in it: a large file is read in
+    blocks by several tasks, each numbering its lines upwards."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    return lines.where(F.col("value").rlike(r"\S"))
+
+
+def _is_envelope_line(value: Column) -> Column:
+    """One whole JSON object with a field of an envelope. No line inside a document that
+    spans several lines is one: reviews have other fields."""
+    keys = F.json_object_keys(value)
+    return F.coalesce(F.arrays_overlap(keys, F.array(F.lit("domain"), F.lit("generated_data"))), F.lit(False))
 
-    def read(whole: bool) -> DataFrame:
-        return spark.read.schema(schema).json(path, multiLine=whole, columnNameOfCorruptRecord=BAD).withColumn(
-            "file", F.col("_metadata.file_path"))
 
-    if multi_line is None:
-        multi_line = bool(read(False).select("domain", BAD).where(F.col(BAD).isNotNull()).limit(1).collect())
-    return read(multi_line)
+def _parsed(texts: DataFrame) -> DataFrame:
+    """``value``, one JSON document each, as records. A list gives a record per item. What does not parse is
+    one bad record with its text."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    value = F.col("value")
+    items = F.from_json(value, T.ArrayType(ENVELOPE), {"mode": "PERMISSIVE"})
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in ENVELOPE.fields]
+    from_list = F.transform(items, lambda e: F.struct(*[e[f.name].alias(f.name) for f in ENVELOPE.fields], F.lit(None).cast("string").alias(BAD)))
+    one = F.when(value.rlike(r"^\s*\["), F.coalesce(from_list, F.array(F.struct(*empty, value.alias(BAD))))) \
+           .otherwise(F.array(F.from_json(value, RECORD, options)))
+    return texts.select("file", F.explode(one).alias("e")).select("e.*", "file")
+
+
+def envelope_records(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """The envelopes as stored: domain, generated_data, summary, the raw text of a record
+    that does not parse (else null), file.
+
+    Every file has the layout that it shows itself: if any of its lines is an envelope,
+    its records are its lines, and a line that is none is one bad record. Otherwise the file
+    holds documents that span lines, one or several after each other; only such files are
+    put together, one task each. So one bad record costs nothing but itself.
+    ``multi_line`` states one layout for all files."""
+    lines = _file_lines(spark, path)
+    if multi_line is False:
+        return _parsed(lines)
+    if multi_line:
+        by_line, whole = None, lines
+    else:
+        layout = lines.groupBy("file").agg((F.bool_or(_is_envelope_line(F.col("value"))) | (F.max("bytes") > WHOLE_FILE_BYTES))
+                                           .alias("by_line"))
+        known = lines.join(layout, "file")
+        by_line, whole = known.where("by_line"), known.where("not by_line")
+    texts = whole.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("l")).select(
+        "file", F.array_join(F.col("l.value"), "\n").alias("text"))
+    # strings hold no line break and members are parted by commas, so a brace that closes
+    # before a line break and one that opens after it are two documents
+    documents = texts.select("file", F.explode(F.split("text", r"(?<=\})[ \t\r]*\n\s*(?=\{)")).alias("value"))
+    return _parsed(documents) if by_line is None else _parsed(by_line.select("file", "value").unionByName(documents))
 
 
 def envelope_checks(records: DataFrame) -> DataFrame:
@@ -67,15 +113,33 @@ def envelope_checks(records: DataFrame) -> DataFrame:
                           (F.col(BAD).isNull() & has_domain & has_data & (n > 0)).alias("valid"))
 
 
+def _is_bad() -> Column:
+    return F.col("domain").isNull() | F.col("generated_data").isNull() | F.col(BAD).isNotNull()
+
+
+def review_rows(records: DataFrame) -> DataFrame:
+    """One row per review of the good envelopes: domain, id, text, sentiment, file, pos."""
+    rows = records.where(~_is_bad()).select("domain", "file", F.posexplode("generated_data").alias("pos", "r"))
+    return rows.select("domain", "r.id", "r.text", "r.sentiment", "file", F.col("pos").cast("long").alias("pos"))
+
+
+def bad_records(records: DataFrame) -> DataFrame:
+    """The records that are no envelope: file, domain if any, reason, and the raw text
+    where it does not parse."""
+    reason = (F.when(F.col(BAD).isNotNull(), "not JSON of an envelope").when(F.col("domain").isNull(), "domain is missing")
+              .otherwise("generated_data is missing"))
+    return records.where(_is_bad()).select("file", "domain", reason.alias("reason"), F.col(BAD).alias("raw"))
+
+
 def read_envelopes(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """SRC-01: one row per review with its position in its envelope -> columns
-    domain, id, text, sentiment, file, pos. A record that is no envelope raises."""
+    domain, id, text, sentiment, file, pos. A record that is no envelope raises
+    (``review_rows`` and ``bad_records`` of ``envelope_records`` part them instead)."""
     env = envelope_records(spark, path, multi_line)
-    missing = F.col("domain").isNull() | F.col("generated_data").isNull() | F.col(BAD).isNotNull()
     told = F.concat(F.lit("not an envelope: "), F.col("file"), F.lit(": "), F.substring(F.coalesce(F.col(BAD), F.lit("a field is missing")), 1, 200))
     # in the exploded column itself: the plan may drop null arrays before the explode,
     # but not without computing this
-    env = env.withColumn("generated_data", F.when(missing, F.raise_error(told)).otherwise(F.col("generated_data")))
+    env = env.withColumn("generated_data", F.when(_is_bad(), F.raise_error(told)).otherwise(F.col("generated_data")))
     rows = env.select("domain", "file", F.posexplode("generated_data").alias("pos", "r"))
     return rows.select("domain", "r.id", "r.text", "r.sentiment", "file",
                        F.col("pos").cast("long").alias("pos"))
