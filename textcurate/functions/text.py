@@ -18,6 +18,19 @@ PERMISSIVE_DROP = r"[^\p{L}\p{N}_" + WS[1:-1] + r".,!?'" + '"' + r"-]"
 MIN_WORDS = 5
 MAX_WORDS = 150
 
+# Fixed values of the preprocessing before similarity: contractions as (pattern, words),
+# applied in this order to lower-cased text, and words without content.
+CONTRACTIONS = [
+    ("won't", "will not"), ("can't", "can not"), ("shan't", "shall not"), ("n't", " not"), ("let's", "let us"),
+    ("'re", " are"), ("'ve", " have"), ("'ll", " will"), ("'d", " would"), ("'m", " am"), ("'s", ""),
+]
+STOPWORDS = """a about above after again against all am an and any are as at be because been before being below between
+both but by can could did do does doing down during each few for from further had has have having he her here hers
+herself him himself his how i if in into is it its itself just me more most my myself nor now of off on once only or
+other our ours ourselves out over own same she should so some such than that the their theirs them themselves then
+there these they this those through to too under until up very was we were what when where which while who whom why
+will with would you your yours yourself yourselves""".split()
+
 _BIG = 2147483647
 
 
@@ -86,6 +99,17 @@ def clean_dup_key(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(_col(c)), " {2,}", " "))
 
 
+def similarity_words(c) -> Column:
+    """The words that similarity of texts looks at: lower-cased, contractions written out,
+    special characters gone, words without content dropped ("not" and "no" stay)."""
+    t = F.translate(F.lower(_col(c)), "\u2018\u2019\u02bc`", "\'\'\'\'")
+    for short, full in CONTRACTIONS:
+        t = F.regexp_replace(t, rf"{short}([^\p{{L}}\p{{N}}]|\z)", f"{full}$1")
+    t = F.regexp_replace(F.replace(t, F.lit("\'"), F.lit("")), r"[^\p{L}\p{N}]+", " ")
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    return F.filter(F.split(t, " ", -1), lambda w: (w != F.lit("")) & ~F.array_contains(stop, w))
+
+
 def word_count(c) -> Column:
     """TXT-04. Null text counts 0 words (and is length-filtered)."""
     return F.coalesce(F.size(words(c)).cast("long"), F.lit(0).cast("long"))

@@ -11,13 +11,13 @@ on the unique row position, never on the hot key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcurate.functions import text as T
-from textcurate.operators import rank, simjoin
+from textcurate.operators import rank, setjoin, simjoin
 from textcurate.session import cut_lineage
 
 # Fixed values of the duplicate detector.
@@ -28,6 +28,7 @@ CHUNK_ROWS = 100               # comparison chunk (length-filtered rows)
 # Declared two-stage detector: word-bigram Jaccard, then cosine.
 TWO_STAGE_JACCARD = 0.3
 TWO_STAGE_COSINE = 0.8
+CHAR_GRAM_JACCARD = 0.5        # the earlier design: character 3-grams alone
 # Declared domain multipliers on the near threshold; unknown -> general.
 DOMAIN_MULTIPLIER = {"general": 1.0, "technology": 0.9, "service": 1.1}
 
@@ -135,6 +136,43 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
     return res.drop("_first_key", "_first_vec", "_near_first")
 
 
+def set_similar(kept: DataFrame, words: Column, grams: Callable[[Column], Column], threshold: float,
+                cosine: float | None = None) -> DataFrame:
+    """Positions of rows with an earlier row whose gram set has Jaccard >= threshold and,
+    if asked, whose words have cosine >= ``cosine``. Rows with the same words are one
+    node; rows without words are similar to nothing."""
+    keyed = kept.select("pos", words.alias("_w")).where(F.size("_w") > 0)
+    keyed = cut_lineage(keyed.withColumn("sid", F.md5(F.array_join("_w", " "))))
+    nodes = keyed.groupBy("sid").agg(F.min("pos").alias("pos"), F.first("_w").alias("_w"))
+    firsts = nodes.select("pos")
+    nodes, payload, also = nodes.withColumn("grams", grams(F.col("_w"))), [], None
+    if cosine is not None:
+        nodes = nodes.join(setjoin.tf_levels(nodes.select("sid", "_w"), "_w"), "sid")
+        payload = ["levels", "n2"]
+
+        def also(a: str, b: str) -> Column:
+            return setjoin.level_cosine(*[F.col(f"{c}{side}") for side in (a, b) for c in payload]) >= cosine
+    found = setjoin.earlier_overlap(nodes, threshold, payload=payload, also=also)
+    return keyed.select("pos").join(firsts, "pos", "left_anti").unionByName(found)
+
+
+def two_stage(rows: DataFrame, chars: bool = False) -> DataFrame:
+    """DUP-06 on prepared rows that still have their text: ``exact`` by key, else
+    ``similar`` by the words of ``similarity_words``: word-bigram Jaccard and then cosine,
+    or (``chars``) character 3-gram Jaccard alone."""
+    kept = rows.where("keep_len")
+    words = T.similarity_words("text")
+    if chars:
+        near = set_similar(kept, words, lambda w: setjoin.char_grams(F.array_join(w, " ")), CHAR_GRAM_JACCARD)
+    else:
+        near = set_similar(kept, words, setjoin.word_grams, TWO_STAGE_JACCARD, TWO_STAGE_COSINE)
+    flags = exact_firsts(kept, []).select("pos", F.lit(1).alias("_k"), F.lit(0).alias("_n")).unionByName(
+        near.select("pos", F.lit(0).alias("_k"), F.lit(1).alias("_n")))
+    flags = flags.groupBy("pos").agg(F.max("_k").alias("_k"), F.max("_n").alias("_n"))
+    out = kept.drop("text").join(flags, "pos", "left")
+    return out.withColumn("dup_type", F.when(F.coalesce("_k", F.lit(0)) == 0, "exact").when(F.col("_n") == 1, "similar")).drop("_k", "_n")
+
+
 def domain_threshold(domain_col: Column, threshold: float = NEAR_THRESHOLD) -> Column:
     """DUP-07: threshold x multiplier of the detector domain; unknown -> general.
     A product above 1 means that only exact copies count there. The three-entry dimension is a map literal, so no join is needed."""
