@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import register
+from textcurate.session import scratch_path
+from textcurate.sources.tables import table
 from textcurate.streaming import stream as ST
 
 
@@ -32,6 +34,22 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(ST.run_available(s, "stream-dedup"))
 
 
+@register("stream_first_copies", f"""
+WITH c AS (SELECT doc_id AS id, source AS domain, {S.clean_strict('text')} AS clean_text FROM documents),
+w AS (SELECT id, domain, clean_text, {S.word_count('clean_text')} AS word_count, {S.dup_key('clean_text')} AS dup_key FROM c)
+SELECT id, domain, clean_text, word_count FROM w WHERE word_count BETWEEN 5 AND 150
+QUALIFY row_number() OVER (PARTITION BY dup_key ORDER BY id) = 1""")
+def stream_first_copies(spark, sf):
+    """STR-02: the first copy of every text, as whole rows. The documents arrive in files
+    of any order, some a trigger, so later copies often come first."""
+    docs = table(spark, sf, "documents")
+    path = scratch_path(spark, "arrivals")
+    docs.repartition(6, F.xxhash64("doc_id")).write.parquet(path)
+    arrivals = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    s = ST.first_copies_stream(ST.as_reviews(arrivals))
+    return ST.first_copies(spark, ST.run_counters(s, "stream-first-copies")).select("id", "domain", "clean_text", "word_count")
+
+
 @register("stream_summary", f"""
 WITH c AS (SELECT doc_id, source AS domain, {S.word_count(S.clean_strict('text'))} AS wc FROM documents),
 g AS (SELECT domain, (doc_id // 100) * 100 AS window_start, count(*) AS processed,

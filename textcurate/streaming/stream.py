@@ -15,8 +15,9 @@ from textcurate.functions import text as T
 from textcurate.session import scratch_path
 
 # Event time of a review in the stream: its input position, in seconds.
-# Watermark delay large enough to cover any input order in these runs.
-WATERMARK = "36500 days"
+# How far rows may arrive out of order, and for how long copies are looked for.
+WATERMARK = "30 days"
+COPY_SPAN = "1 day"
 SUMMARY_WINDOW = "100 seconds"
 
 
@@ -31,7 +32,10 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str,
 
 
 def review_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table_stream(spark, sf_dir, "documents")
+    return as_reviews(read_table_stream(spark, sf_dir, "documents"))
+
+
+def as_reviews(d: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text",
                     F.col("source").alias("domain"),
                     F.timestamp_seconds(F.col("doc_id")).alias("event_time"))
@@ -48,10 +52,11 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append") ->
     return out
 
 
-def run_counters(stream: DataFrame, name: str) -> str:
-    """Update mode into a table of running counters: every micro-batch writes the
+def run_counters(stream: DataFrame, name: str, progress: list | None = None) -> str:
+    """Update mode into a table of running results: every micro-batch writes the
     rows that changed under its own batch number, replacing what an interrupted
-    attempt left, so replays change nothing. ``latest_counters`` reads it."""
+    attempt left, so replays change nothing. ``latest_counters`` and ``first_copies``
+    read it. ``progress`` receives the progress reports of the run."""
     out = scratch_path(stream.sparkSession, name)
 
     def put(changed: DataFrame, batch: int) -> None:
@@ -60,6 +65,8 @@ def run_counters(stream: DataFrame, name: str) -> str:
     q = (stream.writeStream.outputMode("update").foreachBatch(put)
          .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return out
 
 
@@ -78,11 +85,36 @@ def clean_stream(reviews: DataFrame) -> DataFrame:
 
 
 def dedup_stream(reviews: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """STR-02: exact duplicates dropped within ``watermark``, the span of event time in
-    which copies are looked for. State holds a 128-bit hash of each key for that
-    long; the result equals batch when the span covers the input."""
-    c = clean_stream(reviews).withColumn("dup_key", T.dup_key("clean_text")).withColumn("key_hash", F.md5("dup_key"))
-    return c.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["key_hash"]).drop("key_hash")
+    """STR-02, one row per key as it comes: exact duplicates dropped within ``watermark``,
+    the span of event time in which copies are looked for. State holds a 128-bit hash of
+    each key for that long. Which copy a micro-batch keeps is not defined."""
+    return _keyed(reviews).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["key_hash"]).drop("key_hash")
+
+
+def _keyed(reviews: DataFrame) -> DataFrame:
+    return clean_stream(reviews).withColumn("dup_key", T.dup_key("clean_text")).withColumn("key_hash", F.md5("dup_key"))
+
+
+def first_copies_stream(reviews: DataFrame, span: str = COPY_SPAN, watermark: str = WATERMARK) -> DataFrame:
+    """STR-02, first copy wins: whole rows, per key and ``span`` of event time the one of
+    the smallest position so far; a row is sent again whenever an earlier copy of it turns up.
+
+    State is one row per key and span, and goes when the watermark passes the span's end.
+    Copies of one key combine before the shuffle, so a hot key costs a task one row per
+    micro-batch and task. For ``run_counters``; ``first_copies`` settles the spans of a key
+    against each other. So the result is that of batch for files in any order, as
+    long as no row is later than ``watermark``."""
+    c = _keyed(reviews)
+    rest = [x for x in c.columns if x != "key_hash"]
+    return (c.withWatermark("event_time", watermark).groupBy(F.window("event_time", span).alias("w"), "key_hash")
+            .agg(F.min_by(F.struct(*rest), F.struct("pos", "id")).alias("r")).select("key_hash", "r.*"))
+
+
+def first_copies(spark: SparkSession, path: str) -> DataFrame:
+    """The first copy of every key in a table that ``first_copies_stream`` filled."""
+    rows = spark.read.parquet(path)
+    rest = [x for x in rows.columns if x not in ("key_hash", "batch")]
+    return rows.groupBy("key_hash").agg(F.min_by(F.struct(*rest), F.struct("pos", "id")).alias("r")).select("r.*")
 
 
 def summary_stream(reviews: DataFrame) -> DataFrame:
