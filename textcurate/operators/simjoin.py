@@ -17,12 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textcurate.session import cut_lineage
 
@@ -45,19 +41,23 @@ def vector_id(tokens: Column) -> Column:
 
 
 def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
-    """One row per distinct vector: (vid, toks, tfs, n2, l1, mx, prefix).
-
-    ``toks``/``tfs`` the term-frequency vector, ``n2`` the squared norm,
-    ``l1``/``mx`` the sum and largest term frequency (for the length bound) and
-    ``prefix`` the vector's prefix tokens for cosine >= threshold. Term
-    frequencies and document frequencies are partial aggregates (a hot token
-    or a hot vector combines on the map side); everything else is per-vector
-    array work on one document's vocabulary.
+    """One row per distinct vector: (vid, levels, large, n2, l1, mx, prefix).
+
+    ``levels`` is the term-frequency vector, its tokens by frequency, ``large`` the level
+    of most tokens; ``n2`` the squared
+    norm, ``l1``/``mx`` the sum and largest term frequency (for the length bound) and
+    ``prefix`` the vector's prefix tokens for cosine >= threshold, each with the share of
+    the squared norm that it and what follows have. Tokens are numbers of a
+    written dictionary, so texts are not shuffled further. Term and document
+    frequencies are partial aggregates (a hot token or a hot vector combines on the map
+    side); the rest is work on one document's vocabulary, in one shuffle by vector.
     """
     vec = nodes.select("vid", "canon").dropDuplicates(["vid"])
-    post = (vec.select("vid", F.explode("canon").alias("token"))
-            .groupBy("vid", "token").agg(F.count(F.lit(1)).cast("long").alias("tf")))
-    dfreq = post.groupBy("token").agg(F.count(F.lit(1)).cast("long").alias("dfreq"))
+    post = (vec.select("vid", F.explode("canon").alias("word"))
+            .groupBy("vid", "word").agg(F.count(F.lit(1)).cast("long").alias("tf")))
+    dfreq = post.groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("dfreq"))
+    # numbers are drawn once and kept: a retried task must not draw them again
+    numbered = cut_lineage(dfreq.withColumn("token", F.monotonically_increasing_id()))
     # suffix norm of each token in (dfreq, token) order: a window over one
     # vector's distinct tokens (bounded by one document's vocabulary)
     t = max(threshold - PREFIX_SLACK, 0.0)
@@ -65,27 +65,27 @@ def vector_table(nodes: DataFrame, threshold: float) -> DataFrame:
                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     w_vec = Window.partitionBy("vid")
     sq = F.col("tf") * F.col("tf")
-    staged = post.join(dfreq, "token").select(
+    staged = post.join(numbered, "word").select(
         "vid", "token", "tf", F.sum(sq).over(w_suffix).alias("suffix2"),
         F.sum(sq).over(w_vec).alias("n2"))
     in_prefix = F.col("suffix2").cast("double") >= F.lit(t * t) * F.col("n2").cast("double")
-    return staged.groupBy("vid").agg(
-        F.first("n2").cast("long").alias("n2"), F.sum("tf").cast("long").alias("l1"),
-        F.max("tf").cast("long").alias("mx"), F.collect_list("token").alias("toks"),
-        F.collect_list("tf").alias("tfs"),
-        F.collect_list(F.when(in_prefix, F.col("token"))).alias("prefix"))
+    level = staged.groupBy("vid", "tf").agg(
+        F.first("n2").cast("long").alias("n2"), F.collect_list("token").alias("t"),
+        F.collect_list(F.when(in_prefix, F.struct("token", (F.col("suffix2") / F.col("n2")).alias("rest")))).alias("p"))
+    return level.groupBy("vid").agg(
+        F.first("n2").alias("n2"), F.sum(F.col("tf") * F.size("t")).cast("long").alias("l1"),
+        F.max("tf").cast("long").alias("mx"), F.collect_list(F.struct("tf", "t")).alias("levels"),
+        F.max_by(F.struct("tf", "t"), F.struct(F.size("t"), "tf")).alias("large"),
+        F.flatten(F.collect_list("p")).alias("prefix"))
 
 
-@F.pandas_udf(T.LongType())
-def sparse_dot(toks_a: pd.Series, tfs_a: pd.Series, toks_b: pd.Series, tfs_b: pd.Series) -> pd.Series:
-    """Exact integer dot product of two sparse term-frequency vectors, one
-    Arrow batch of pairs at a time (a hash lookup per token of one side).
-    Interpreted array lambdas cost far more per element on long documents."""
-    out = np.empty(len(toks_a), dtype=np.int64)
-    for i in range(len(toks_a)):
-        a = dict(zip(toks_a.iat[i], tfs_a.iat[i]))
-        out[i] = sum(a.get(t, 0) * int(f) for t, f in zip(toks_b.iat[i], tfs_b.iat[i]))
-    return pd.Series(out)
+def level_dot(levels_a: Column, levels_b: Column) -> Column:
+    """Exact dot product of two term-frequency vectors given by levels: over pairs of
+    levels, frequency times frequency times the tokens in both. A text of L words
+    has fewer than sqrt(2 L) levels, most have a few."""
+    zero = F.lit(0).cast("long")
+    return F.aggregate(levels_a, zero, lambda s, x: s + F.aggregate(
+        levels_b, zero, lambda r, y: r + x["tf"] * y["tf"] * F.size(F.array_intersect(x["t"], y["t"]))))
 
 
 def sim_expr(dot: Column, n2_a: Column, n2_b: Column) -> Column:
@@ -95,25 +95,39 @@ def sim_expr(dot: Column, n2_a: Column, n2_b: Column) -> Column:
 
 def _prefix_postings(nodes: DataFrame, vecs: DataFrame, cols: list[str]) -> DataFrame:
     return nodes.select(*cols, "vid").join(
-        vecs.select("vid", "n2", "l1", "mx", F.explode("prefix").alias("token")), "vid")
+        vecs.select("vid", "n2", "l1", "mx", F.explode("prefix").alias("_p")), "vid").select(
+            *cols, "vid", "n2", "l1", "mx", "_p.token", "_p.rest")
+
 
+BOUNDS = ["n2", "l1", "mx", "rest"]  # columns of a posting that the bounds look at
 
-def _length_bound(a: str, b: str) -> Column:
-    """x.y <= min(|x|_1 max(y), |y|_1 max(x)): an exact upper bound of the
-    cosine, used to drop candidate pairs that cannot qualify."""
+
+def _bounded(a: str, b: str, least: float) -> Column:
+    """Whether a posting pair can belong to vectors of cosine >= ``least``: by length,
+    x.y <= min(|x|_1 max(y), |y|_1 max(x)); and, at the first token that both prefixes hold,
+    by what is left from it on (Cauchy-Schwarz). Later shared tokens may fail the second
+    test, the first one passes it for every pair that qualifies."""
     d = lambda c: F.col(c).cast("double")
-    return F.least(d(f"{a}l1") * d(f"{b}mx"), d(f"{b}l1") * d(f"{a}mx")) / F.sqrt(d(f"{a}n2") * d(f"{b}n2"))
+    length = F.least(d(f"{a}l1") * d(f"{b}mx"), d(f"{b}l1") * d(f"{a}mx")) / F.sqrt(d(f"{a}n2") * d(f"{b}n2"))
+    return (length >= F.lit(least)) & (d(f"{a}rest") * d(f"{b}rest") >= F.lit(least * least))
+
 
+def verify(vecs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (with vid_a, vid_b) and their exact cosine, ``sim``, where it can reach the
+    threshold; else 0. If tokens of x that y lacks have more than 1 - t * t of x's squared
+    norm, the cosine is below t; this is tested on one level first, with one intersection."""
+    least = max(threshold - PREFIX_SLACK, 0.0)
 
-def verify(vecs: DataFrame, vp: DataFrame) -> DataFrame:
-    """Exact cosine of distinct (vid_a, vid_b) pairs."""
-    va = vecs.select(F.col("vid").alias("vid_a"), F.col("toks").alias("toks_a"),
-                     F.col("tfs").alias("tfs_a"), F.col("n2").alias("n2_a"))
-    vb = vecs.select(F.col("vid").alias("vid_b"), F.col("toks").alias("toks_b"),
-                     F.col("tfs").alias("tfs_b"), F.col("n2").alias("n2_b"))
-    dot = sparse_dot("toks_a", "tfs_a", "toks_b", "tfs_b")
-    return vp.join(va, "vid_a").join(vb, "vid_b").select(
-        "vid_a", "vid_b", sim_expr(dot, F.col("n2_a"), F.col("n2_b")).alias("sim"))
+    def sided(s: str) -> DataFrame:
+        return vecs.select(*[F.col(c).alias(f"{c}_{s}") for c in ("vid", "levels", "large", "n2")], F.flatten("levels.t").alias(f"all_{s}"))
+
+    def enough(x: str, y: str) -> Column:
+        lacks = F.size(f"large_{x}.t") - F.size(F.array_intersect(F.col(f"large_{x}.t"), F.col(f"all_{y}")))
+        return F.col(f"large_{x}.tf") * F.col(f"large_{x}.tf") * lacks <= F.lit(1.0 - least * least) * F.col(f"n2_{x}")
+
+    sim = sim_expr(level_dot(F.col("levels_a"), F.col("levels_b")), F.col("n2_a"), F.col("n2_b"))
+    sim = F.when(enough("a", "b") & enough("b", "a"), sim).otherwise(F.lit(0.0))
+    return pairs.join(sided("a"), "vid_a").join(sided("b"), "vid_b").select(*pairs.columns, sim.alias("sim"))
 
 
 def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
@@ -144,15 +158,13 @@ def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
     cond = F.col("a.token") == F.col("b.token")
     for c in on:
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    cond = cond & (_length_bound("a.", "b.") >= F.lit(max(threshold - PREFIX_SLACK, 0.0)))
+    cond = cond & _bounded("a.", "b.", max(threshold - PREFIX_SLACK, 0.0))
     j = a.join(b, cond).select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in cols + ["vid"]],
                                *[F.col(f"b.{c}").alias(f"{c}_b") for c in cols + ["vid"]])
     if condition is not None:
         j = j.where(condition)
-    cand = j.dropDuplicates()
-    sims = verify(vecs, cand.select("vid_a", "vid_b").dropDuplicates())
     keep = F.col("sim") > threshold if strict else F.col("sim") >= threshold
-    return cand.join(sims.where(keep), ["vid_a", "vid_b"])
+    return verify(vecs, j.dropDuplicates(), threshold).where(keep)
 
 
 # Work bounds of the existence search (exact either way; these only decide
@@ -181,41 +193,33 @@ def earlier_similar(nodes: DataFrame, scope: Sequence[str], threshold: float,
     vecs = cut_lineage(vector_table(nodes, threshold))
     np_ = _prefix_postings(nodes, vecs, cols)
     thr = F.col(f"{thr_col}_b") if thr_col else F.lit(threshold)
-    slack = F.lit(max(threshold - PREFIX_SLACK, 0.0))
+    least = max(threshold - PREFIX_SLACK, 0.0)
 
     def flagged(pairs: DataFrame) -> DataFrame:
-        sims = verify(vecs, pairs.select("vid_a", "vid_b").dropDuplicates())
-        ok = pairs.join(sims, ["vid_a", "vid_b"]).where(F.col("sim") >= thr)
+        asked = ["vid_a", "vid_b", f"{order_col}_b", *([f"{thr_col}_b"] if thr_col else [])]
+        ok = verify(vecs, pairs.select(*asked).dropDuplicates(), threshold).where(F.col("sim") >= thr)
         return ok.select(F.col(f"{order_col}_b").alias(order_col)).distinct()
 
+    def sided(s: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{s}") for c in [*cols, "vid"]] + [F.col(c).alias(f"{s}_{c}") for c in BOUNDS]
+
     # pass 1: bounded neighbours in position blocks
     w = (Window.partitionBy(*scope, "token", F.floor(F.col(order_col) / block))
          .orderBy(order_col).rowsBetween(-neighbours, -1))
-    prev = F.collect_list(F.struct(F.col("vid").alias("vid"), F.col("n2").alias("n2"),
-                                   F.col("l1").alias("l1"), F.col("mx").alias("mx"))).over(w)
-    near1 = np_.select(*[F.col(c).alias(f"{c}_b") for c in cols + ["vid", "n2", "l1", "mx"]],
-                       prev.alias("_prev"))
-    near1 = near1.select(*[f"{c}_b" for c in cols + ["vid", "n2", "l1", "mx"]],
-                         F.explode("_prev").alias("a"))
-    near1 = near1.select("*", F.col("a.vid").alias("vid_a"), F.col("a.n2").alias("a_n2"),
-                         F.col("a.l1").alias("a_l1"), F.col("a.mx").alias("a_mx"))
-    near1 = near1.withColumnsRenamed({"n2_b": "b_n2", "l1_b": "b_l1", "mx_b": "b_mx"})
-    near1 = near1.where(_length_bound("a_", "b_") >= slack)
-    first = cut_lineage(flagged(near1))
+    near1 = np_.select(*sided("b"), F.collect_list(F.struct("vid", *BOUNDS)).over(w).alias("_prev"))
+    near1 = near1.withColumn("_a", F.explode("_prev")).drop("_prev")
+    near1 = near1.select("*", F.col("_a.vid").alias("vid_a"), *[F.col(f"_a.{c}").alias(f"a_{c}") for c in BOUNDS])
+    first = cut_lineage(flagged(near1.where(_bounded("a_", "b_", least))))
 
     # pass 2: every earlier entry, for the undecided nodes only
     undecided = np_.join(first, order_col, "left_anti")
-    a = np_.select(*[F.col(c).alias(f"{c}_a") for c in cols + ["vid"]], "token",
-                   F.col("n2").alias("a_n2"), F.col("l1").alias("a_l1"), F.col("mx").alias("a_mx"))
-    b = undecided.select(*[F.col(c).alias(f"{c}_b") for c in cols + ["vid"]], "token",
-                         F.col("n2").alias("b_n2"), F.col("l1").alias("b_l1"), F.col("mx").alias("b_mx"))
+    a, b = np_.select("token", *sided("a")), undecided.select("token", *sided("b"))
     keys = ["token"]
     for c in scope:
         a = a.withColumnRenamed(f"{c}_a", c)
         b = b.withColumnRenamed(f"{c}_b", c)
         keys.append(c)
-    rest = a.join(b, keys).where((F.col(f"{order_col}_a") < F.col(f"{order_col}_b"))
-                                 & (_length_bound("a_", "b_") >= slack))
+    rest = a.join(b, keys).where((F.col(f"{order_col}_a") < F.col(f"{order_col}_b")) & _bounded("a_", "b_", least))
     return first.unionByName(flagged(rest)).distinct()
 
 
