@@ -1,5 +1,8 @@
 """Augmentation on its own fixture (the driver texts contain no synonym keys)."""
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from textcurate.operators import augment as A
@@ -20,7 +23,8 @@ def test_synonyms_replace_whole_tokens(spark):
 def test_inject_adds_one_phrase_anywhere(spark):
     rows = [(i, "a b c") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, text string")
-    out = df.select(A.inject_phrase(F.col("text"), F.col("id"), A.FALLBACK_PHRASES).alias("t")).collect()
+    df = A.with_phrase(df, "id", A.phrase_table(spark))
+    out = df.select(A.inject_phrase(F.col("text"), F.col("id"), F.col("_phrase")).alias("t")).collect()
     positions = set()
     for r in out:
         ws = r["t"].split(" ")
@@ -32,6 +36,29 @@ def test_inject_adds_one_phrase_anywhere(spark):
 
 def test_augmented_rows_double(spark):
     df = spark.createDataFrame([(7, "x y z", "positive")], "id long, text string, sentiment string")
-    rows = A.augmented_rows(df, "id", "text", "sentiment", A.FALLBACK_PHRASES).collect()
+    rows = A.augmented_rows(df, "id", "text", "sentiment", A.phrase_table(spark)).collect()
     assert sorted(r["id"] for r in rows) == ["7_aug", "7_orig"]
     assert {r["sentiment"] for r in rows} == {"positive"}
+
+
+def test_phrase_file(spark, tmp_path):
+    """262 phrases of a pretty-printed file: numbered by hash, each row gets one, all occur."""
+    phrases = [f"and perhaps {i}," for i in range(260)] + ["twice,", "twice,"]
+    (tmp_path / "p.json").write_text(json.dumps({"ambiguous_phrases": phrases}, indent=2))
+    got = A.phrase_table(spark, str(tmp_path / "p.json"))
+    rows = got.orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == list(range(262))
+    assert [r["phrase"] for r in rows] == sorted(phrases, key=lambda p: (hashlib.md5(p.encode()).hexdigest(), p))
+    picked = A.with_phrase(spark.range(6000), "id", got)
+    assert picked.count() == 6000 and picked.select("_phrase").distinct().count() == 261
+    again = A.with_phrase(spark.range(6000).repartition(7), "id", A.phrase_table(spark, str(tmp_path)))
+    assert again.exceptAll(picked).count() == 0
+
+
+def test_phrase_fallback_and_empty_file(spark, tmp_path):
+    gone = A.phrase_table(spark, str(tmp_path / "missing.json"))
+    assert [r["phrase"] for r in gone.orderBy("idx").collect()] == A.FALLBACK_PHRASES
+    (tmp_path / "p.json").write_text('{"other": []}')
+    none = A.phrase_table(spark, str(tmp_path / "p.json"))
+    rows = A.augmented_rows(spark.createDataFrame([(7, "x y", "neutral")], "id long, text string, sentiment string"), "id", "text", "sentiment", none)
+    assert {r["text"] for r in rows.collect()} == {"x y"}

@@ -113,3 +113,28 @@ def test_existence_search_matches_pairs(spark):
     pairs = simjoin.similar_pairs(nodes, ["first_pos"], 0.92,
                                   condition=F.col("first_pos_a") < F.col("first_pos_b"))
     assert found == {r["first_pos_b"] for r in pairs.collect()}
+
+
+def test_cross_split_members_and_links(spark):
+    """A dense group of copies is members, not pairs; both expand to all row pairs."""
+    from textcurate.operators import leakage
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base, ("train", "test", "validation")[i % 3]) for i in range(90)]
+    rows += [(100 + i, f"{base} one{i}", "train") for i in range(5)] + [(200, "", "train"), (201, "", "test"), (202, "alone here", "test")]
+    df = spark.createDataFrame(rows, "id long, clean_text string, split string")
+    links, members = leakage.cross_split_links(df)
+    found = {(r["id_a"], r["id_b"]) for r in leakage.row_pairs(links, members).collect()}
+    order = ["train", "validation", "test"]
+
+    def cos(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return sum(a[t] * b[t] for t in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()) or 1)
+    brute = {(x[0], y[0]) for x in rows for y in rows if order.index(x[2]) < order.index(y[2]) and round(cos(x[1], y[1]), 9) > 0.98}
+    assert found == brute and len(brute) > 2000
+    # train-only texts link with the base, not with each other
+    assert links.count() == 1 + 5 and members.count() == 95
+    reps = leakage.representative_pairs(links, members)
+    assert reps.agg(F.sum("n_pairs")).first()[0] == len(brute)
+    (r,) = leakage.with_texts(reps.where("id_a = 100"), df, "clean_text").where("pair = 'train-test'").collect()
+    assert (r["id_b"], r["text_a"], r["text_b"], r["n_pairs"]) == (1, f"{base} one0", base, 30)

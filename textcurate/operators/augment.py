@@ -6,16 +6,18 @@ reproducible per row, independent of partitioning and of task retries.
 
 from __future__ import annotations
 
-import json
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcurate.functions import text as T
 from textcurate.functions.labels import hex_prefix_int
 from textcurate.operators import rank
 from textcurate.operators.splits import SEED, idiv, with_scalars
+from textcurate.session import cut_lineage
+from textcurate.sources.envelope import DOCUMENT_BREAK
 
 # The synonym map (key -> replacements, in order) and the
 # three-phrase fallback used when no phrase file is configured.
@@ -36,17 +38,25 @@ ORIG_SUFFIX = "_orig"
 AUG_SUFFIX = "_aug"
 
 
-def load_phrases(spark, path: str | None = None) -> list[str]:
-    """SRC-05: phrase dictionary from a JSON file {"ambiguous_phrases": [...]};
-    missing file -> the three fallback phrases. The list is configuration of
-    bounded size, so it is read once on the driver and inlined as a literal."""
-    if path is None:
-        return list(FALLBACK_PHRASES)
-    try:
-        with open(path, encoding="utf-8") as f:
-            return list(json.load(f).get("ambiguous_phrases", []))
-    except FileNotFoundError:
-        return list(FALLBACK_PHRASES)
+def phrase_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """SRC-05: the phrase dimension (idx 0..n-1, phrase), read by Spark from JSON files
+    {"ambiguous_phrases": [...]}, one or several to a file, on one line each or not. idx is the exact rank by the phrase's
+    hash (K-RANK), so it depends neither on files nor on tasks; a phrase listed twice has
+    two numbers. A missing file gives the three fallback phrases; a file without phrases
+    gives none, and then texts stay as they are."""
+    listed = None
+    if path is not None:
+        try:
+            text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", DOCUMENT_BREAK)).alias("value"))
+            listed = text.select(F.explode(F.from_json("value", "ambiguous_phrases array<string>")["ambiguous_phrases"]).alias("phrase"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if listed is None:
+        return spark.createDataFrame(list(enumerate(FALLBACK_PHRASES)), "idx long, phrase string")
+    hashed = listed.where("phrase is not null").select("phrase", F.md5("phrase").alias("_h"))
+    ranked = rank.row_number_exact(hashed, [F.col("_h"), F.col("phrase")], rank.hex_bucket(F.col("_h")), out="idx")
+    return cut_lineage(ranked.select((F.col("idx") - 1).alias("idx"), "phrase"))
 
 
 def choice(seed, key: Column, salt: str, n) -> Column:
@@ -76,12 +86,19 @@ def _synonym_words(words: Column, key: Column, seed: int) -> Column:
     return F.flatten(F.transform(words, sub))
 
 
-def _inject_words(words: Column, key: Column, phrases: list[str], seed: int) -> Column:
-    """Insert one phrase at a seeded position 0..len of the word list."""
+def with_phrase(df: DataFrame, key: str, phrases: DataFrame, seed: int = SEED, out: str = "_phrase") -> DataFrame:
+    """Each row with its seeded phrase: an equi-join on the phrase's number. Rows are spread
+    evenly over the numbers; a small dimension is broadcast by its size at runtime. Without phrases it is null."""
+    n = phrases.agg(F.count(F.lit(1)).alias("_n_phrases"))
+    pick = F.when(F.col("_n_phrases") > 0, choice(seed, F.col(key), "phrase", F.greatest("_n_phrases", F.lit(1))))
+    picked = with_scalars(df, n).withColumn("_idx", pick).drop("_n_phrases")
+    return picked.join(phrases.select(F.col("idx").alias("_idx"), F.col("phrase").alias(out)), "_idx", "left").drop("_idx")
+
+
+def _inject_words(words: Column, key: Column, phrase: Column, seed: int) -> Column:
+    """Insert the phrase at a seeded position 0..len of the word list; null inserts nothing."""
     pos = choice(seed, key, "pos", F.size(words) + 1).cast("int")
-    ph = F.element_at(F.array(*[F.lit(p) for p in phrases]),
-                      (choice(seed, key, "phrase", F.lit(len(phrases))) + 1).cast("int"))
-    return F.array_insert(words, pos + 1, ph)
+    return F.when(phrase.isNull(), words).otherwise(F.array_insert(words, pos + 1, phrase))
 
 
 def replace_synonyms(text: Column, key: Column, seed: int = SEED) -> Column:
@@ -90,22 +107,22 @@ def replace_synonyms(text: Column, key: Column, seed: int = SEED) -> Column:
     return F.array_join(_synonym_words(T.words(text), key, seed), " ")
 
 
-def inject_phrase(text: Column, key: Column, phrases: list[str], seed: int = SEED) -> Column:
-    """AUG-02: insert one phrase at a seeded position 0..len (inclusive)."""
-    return F.array_join(_inject_words(T.words(text), key, phrases, seed), " ")
+def inject_phrase(text: Column, key: Column, phrase: Column, seed: int = SEED) -> Column:
+    """AUG-02: insert the phrase (see ``with_phrase``) at a seeded position 0..len (inclusive)."""
+    return F.array_join(_inject_words(T.words(text), key, phrase, seed), " ")
 
 
-def augment_text(text: Column, key: Column, phrases: list[str], seed: int = SEED) -> Column:
-    """AUG-03: synonyms, then one injected phrase (one word split in total)."""
-    return F.array_join(_inject_words(_synonym_words(T.words(text), key, seed), key, phrases, seed),
-                        " ")
+def augment_text(text: Column, key: Column, phrase: Column, seed: int = SEED) -> Column:
+    """AUG-03: synonyms, then the injected phrase (one word split in total)."""
+    return F.array_join(_inject_words(_synonym_words(T.words(text), key, seed), key, phrase, seed), " ")
 
 
 def augmented_rows(df: DataFrame, id_col: str, text: str, label: str,
-                   phrases: list[str], seed: int = SEED) -> DataFrame:
+                   phrases: DataFrame, seed: int = SEED) -> DataFrame:
     """AUG-04: each row -> '<id>_orig' (text as is) and '<id>_aug' (augmented),
-    same label. A narrow explode: no shuffle."""
-    aug = augment_text(F.col(text), F.col(id_col), phrases, seed)
+    same label. A narrow explode after the phrase join."""
+    df = with_phrase(df.select(id_col, text, label), id_col, phrases, seed)
+    aug = augment_text(F.col(text), F.col(id_col), F.col("_phrase"), seed)
     pair = F.array(
         F.struct(F.concat(F.col(id_col).cast("string"), F.lit(ORIG_SUFFIX)).alias("id"),
                  F.col(text).alias("text"), F.col(id_col).alias("source_id")),

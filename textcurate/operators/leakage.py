@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textcurate.functions import text as T
 from textcurate.operators import simjoin
+from textcurate.session import cut_lineage
 
 # Split names in order and the three pairs compared.
 SPLITS = ["train", "validation", "test"]
@@ -98,16 +99,57 @@ def id_overlap(spark, df: DataFrame, idc: str = "id", split: str = "split") -> D
     return _all_pairs(spark, c).select("pair", ov.alias("overlap"), (ov == 0).alias("ok"))
 
 
-def cross_split_similar(df: DataFrame, text: str = "clean_text", split: str = "split",
-                        threshold: float = 0.98) -> DataFrame:
-    """DUP-08: vector pairs between splits with cosine > threshold (strict).
-    Copies collapse: a node is (split, vector) with its row count, and the
-    result lists each similar vector pair once with n_pairs = n_a * n_b."""
-    v = simjoin.vector_columns(df, T.words(T.dup_key(text)))
-    nodes = v.groupBy(split, "vid").agg(F.count(F.lit(1)).alias("n"), F.first("canon").alias("canon"))
-    if split != "split":
-        nodes = nodes.withColumnRenamed(split, "split")
-    pairs = simjoin.similar_pairs(nodes, ["split", "n"], threshold, strict=True,
-                                  condition=split_rank(F.col("split_a")) < split_rank(F.col("split_b")))
-    return pairs.select(F.concat_ws("-", "split_a", "split_b").alias("pair"), "vid_a", "vid_b",
-                        "sim", (F.col("n_a") * F.col("n_b")).cast("long").alias("n_pairs"))
+def cross_split_links(df: DataFrame, text: str = "clean_text", split: str = "split", idc: str = "id",
+                      threshold: float = 0.98) -> tuple[DataFrame, DataFrame]:
+    """DUP-08: (links, members). A link is an unordered pair of word bags (vid_a <= vid_b)
+    with cosine > threshold (strict) that occur in different splits; members are the rows
+    (id, split, vid) of linked bags. Copies of a text are members, not links, and bags of one
+    split alone are not even candidates; so a dense group costs its members and the links
+    between its distinct texts. ``representative_pairs`` and ``row_pairs`` read the two.
+    Rows without a word are similar to nothing."""
+    v = simjoin.vector_columns(df.select(F.col(idc).alias("id"), F.col(split).alias("split"), text), T.words(T.dup_key(text)))
+    v = cut_lineage(v.where(F.size("canon") > 0).select("id", "split", "vid", "canon"))
+    bags = v.groupBy("vid").agg(F.collect_set("split").alias("splits"), F.first("canon").alias("canon"))
+    pairs = simjoin.similar_pairs(bags, ["splits"], threshold, strict=True,
+                                  condition=(F.col("vid_a") < F.col("vid_b")) & (F.size(F.array_union("splits_a", "splits_b")) > 1))
+    links = pairs.select("vid_a", "vid_b", "sim")
+    if threshold < 1.0:  # copies in two splits
+        same = bags.where(F.size("splits") > 1)
+        links = links.unionByName(same.select(F.col("vid").alias("vid_a"), F.col("vid").alias("vid_b"), F.lit(1.0).alias("sim")))
+    links = cut_lineage(links)
+    linked = links.select(F.explode(F.array("vid_a", "vid_b")).alias("vid")).distinct()
+    return links, v.select("id", "split", "vid").join(linked, "vid", "left_semi")
+
+
+def _in_split_order(links: DataFrame, sides: DataFrame, columns: list[str]) -> DataFrame:
+    """Links with both sides' ``columns`` where the splits differ, the earlier split first."""
+    def side(s: str) -> DataFrame:
+        return sides.select(F.col("vid").alias(f"v{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("split", *columns)])
+
+    # each link both ways round, so that every pair of splits meets its earlier side first
+    ways = F.array(F.struct(F.col("vid_a").alias("va"), F.col("vid_b").alias("vb")), F.struct(F.col("vid_b").alias("va"), F.col("vid_a").alias("vb")))
+    both = links.select("sim", F.explode(F.array_distinct(ways)).alias("w")).select("sim", "w.*")
+    return both.join(side("a"), "va").join(side("b"), "vb").where(
+        (split_rank(F.col("split_a")) < split_rank(F.col("split_b")))
+        | ((split_rank(F.col("split_a")) == split_rank(F.col("split_b"))) & (F.col("split_a") < F.col("split_b"))))
+
+
+def representative_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """pair, vid_a, vid_b, sim, n_pairs (row pairs that it stands for), id_a, id_b (the
+    smallest id of either side)."""
+    sides = members.groupBy("vid", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    return _in_split_order(links, sides, ["n", "id"]).select(
+        F.concat_ws("-", "split_a", "split_b").alias("pair"), F.col("va").alias("vid_a"), F.col("vb").alias("vid_b"), "sim",
+        (F.col("n_a") * F.col("n_b")).cast("long").alias("n_pairs"), "id_a", "id_b")
+
+
+def row_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """All similar row pairs: pair, id_a, id_b, sim. As many rows as there are pairs."""
+    return _in_split_order(links, members, ["id"]).select(F.concat_ws("-", "split_a", "split_b").alias("pair"), "id_a", "id_b", "sim")
+
+
+def with_texts(pairs: DataFrame, rows: DataFrame, text: str = "text", idc: str = "id") -> DataFrame:
+    """The texts of id_a and id_b added."""
+    for s in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col(idc).alias(f"id_{s}"), F.col(text).alias(f"text_{s}")), f"id_{s}")
+    return pairs

@@ -17,8 +17,7 @@ from textcurate.plans.registry import normalise, register
 from textcurate.session import cut_lineage, scratch_path
 from textcurate.sources import envelope as E
 from textcurate.sources import sinks
-from textcurate.sources.tables import (doc_positions, labelled_reviews, predictions, reviews,
-                                       table, training_logs)
+from textcurate.sources.tables import doc_positions, predictions, reviews, table, training_logs, whole_reviews
 
 # Fixed value: envelopes hold at most this many reviews (bounded groups).
 ENVELOPE_ROWS = 1000
@@ -135,9 +134,9 @@ def dataset_id(spark, sf):
 
 
 def _split_frame(spark, sf):
-    """Labelled reviews split 70/15/15, in dataset layout: text, labels, id
+    """All reviews split 70/15/15, in dataset layout: text, labels, id
     (local 0..N-1 in input order), original_id (document id), split."""
-    lab = labelled_reviews(spark, sf).select("id", "pos", "text", "sentiment")
+    lab = whole_reviews(spark, sf).select("id", "pos", "text", "sentiment")
     lab = splits.renumber(lab, "pos", out="_lid", bounds_from=doc_positions(spark, sf))
     lab = lab.select((F.col("_lid") - 1).alias("lid"), F.col("id").alias("original_id"),
                      "text", "sentiment")
@@ -146,8 +145,8 @@ def _split_frame(spark, sf):
                      "original_id", "split")
 
 
-_SPLIT_FRAME_SQL = f"""WITH {S.LABELLED},
-lab2 AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS lid, id AS original_id, text, sentiment FROM labelled),
+_SPLIT_FRAME_SQL = f"""WITH {S.WHOLE},
+lab2 AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS lid, id AS original_id, text, sentiment FROM whole),
 {S.stratified('lab2', idc='lid')},
 frame AS (SELECT text, sentiment AS labels, lid AS id, original_id, split FROM split_rows)"""
 

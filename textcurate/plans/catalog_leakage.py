@@ -1,5 +1,5 @@
 """Leakage and cross-split similarity (LEK-*, DUP-08) over the stratified
-splits of the labelled reviews (texts as they are, copies included)."""
+splits of all reviews (texts as they are, copies included)."""
 
 from __future__ import annotations
 
@@ -9,16 +9,17 @@ from textcurate.functions import text as T
 from textcurate.operators import leakage, splits
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import normalise, register
-from textcurate.sources.tables import labelled_reviews
+from textcurate.session import cut_lineage
+from textcurate.sources.tables import whole_reviews
 
-_SPLIT_SQL = f"WITH {S.LABELLED},\n{S.stratified('labelled')}"
+_SPLIT_SQL = f"WITH {S.WHOLE},\n{S.stratified('whole')}"
 _RANK = "list_position(['train', 'validation', 'test'], {})"
 _DIM = """dim(pair, split_a, split_b) AS (VALUES ('train-validation', 'train', 'validation'),
   ('train-test', 'train', 'test'), ('validation-test', 'validation', 'test'))"""
 
 
 def split_reviews(spark, sf, clean: bool = False):
-    lab = labelled_reviews(spark, sf).select("id", "text", "sentiment")
+    lab = whole_reviews(spark, sf).select("id", "text", "sentiment")
     if clean:
         # clean while the rows are still spread over all tasks, before the
         # split's shuffles
@@ -72,15 +73,43 @@ def id_overlap(spark, sf):
     return leakage.id_overlap(spark, split_reviews(spark, sf))
 
 
-@register("cross_split_similar", f"""{_SPLIT_SQL},
+_SIMS_SQL = f"""{_SPLIT_SQL},
 cs AS (SELECT *, {S.clean_strict('text')} AS ct FROM split_rows),
 cs2 AS (SELECT *, {S.dup_key('ct')} AS dup_key, true AS keep_len FROM cs),
-{S.vectors('cs2')},
-nodes AS (SELECT split, vid, count(*) AS n FROM vrows2 GROUP BY split, vid)
+{S.vectors('cs2')}"""
+_ROW_PAIRS = f"""FROM vrows2 a JOIN sims s ON s.va = a.vid AND s.sim > 0.98
+JOIN vrows2 b ON b.vid = s.vb AND {_RANK.format('a.split')} < {_RANK.format('b.split')}"""
+
+
+def _similar(spark, sf):
+    rows = cut_lineage(split_reviews(spark, sf, clean=True).select("id", "split", "clean_text"))
+    return rows, *leakage.cross_split_links(rows)
+
+
+@register("cross_split_similar", f"""{_SIMS_SQL},
+nodes AS (SELECT split, vid, count(*) AS n, min(id) AS first FROM vrows2 GROUP BY split, vid)
 SELECT a.split || '-' || b.split AS pair, a.vid AS vid_a, b.vid AS vid_b, {S.r('s.sim')} AS sim,
-       CAST(a.n * b.n AS BIGINT) AS n_pairs
+       CAST(a.n * b.n AS BIGINT) AS n_pairs, a.first AS id_a, b.first AS id_b, x.ct AS text_a, y.ct AS text_b
 FROM nodes a JOIN nodes b ON {_RANK.format('a.split')} < {_RANK.format('b.split')}
-JOIN sims s ON s.va = a.vid AND s.vb = b.vid WHERE s.sim > 0.98""")
+JOIN sims s ON s.va = a.vid AND s.vb = b.vid JOIN cs x ON x.id = a.first JOIN cs y ON y.id = b.first WHERE s.sim > 0.98""")
 def cross_split_similar(spark, sf):
-    """DUP-08: near-identical texts across splits (cosine > 0.98), exact join."""
-    return normalise(leakage.cross_split_similar(split_reviews(spark, sf, clean=True)))
+    """DUP-08: near-identical texts across splits (cosine > 0.98), exact: per pair of splits
+    and pair of word bags the number of row pairs and one row of either side with its text."""
+    rows, links, members = _similar(spark, sf)
+    return normalise(leakage.with_texts(leakage.representative_pairs(links, members), rows, "clean_text"))
+
+
+@register("cross_split_members", f"""{_SIMS_SQL}
+SELECT DISTINCT r.id, r.split, r.vid FROM vrows2 r JOIN
+  (SELECT a.vid AS va, b.vid AS vb {_ROW_PAIRS}) p ON r.vid = p.va OR r.vid = p.vb""")
+def cross_split_members(spark, sf):
+    """DUP-08: the rows of the word bags that are linked across splits."""
+    return _similar(spark, sf)[2]
+
+
+@register("cross_split_rows", f"""{_SIMS_SQL}
+SELECT a.split || '-' || b.split AS pair, a.id AS id_a, b.id AS id_b, {S.r('s.sim')} AS sim {_ROW_PAIRS}""")
+def cross_split_rows(spark, sf):
+    """DUP-08: links and members joined again give every pair of similar rows."""
+    _, links, members = _similar(spark, sf)
+    return normalise(leakage.row_pairs(links, members))

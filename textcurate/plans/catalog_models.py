@@ -1,7 +1,6 @@
 """Model-backed queries (UDF-01/02, ML-01, AUG-05/06). The hashed encoder and
 the naive Bayes scorer are restated in SQL (same md5 term buckets, same
-smoothing); only the iteratively trained logistic regression (ML-01) is
-rows-only."""
+smoothing), and so is the softmax regression (ML-01), a step per CTE."""
 
 from __future__ import annotations
 
@@ -12,8 +11,10 @@ from textcurate.functions import text as T
 from textcurate.operators import augment as A
 from textcurate.operators import profile, scoring, splits
 from textcurate.plans import sqlparts as S
+from textcurate.plans.catalog_augment import _FALLBACK as PHRASES
 from textcurate.plans.catalog_augment import _aug_sql as AUG_SQL
 from textcurate.plans.registry import normalise, register
+from textcurate.session import cut_lineage
 from textcurate.sources.tables import labelled_reviews, table
 
 
@@ -21,6 +22,36 @@ def _bucket(t: str, dim: int) -> str:
     return f"CAST(('0x' || substr(md5({t}), 1, 8))::UBIGINT % {dim} AS BIGINT)"
 
 
+_CLASS_WEIGHTS = {"healthcare": (0.15, 0.25, 0.60)}  # fixed values: the published shares of the classes
+_STEPS, _RATE, _L2 = 30, 4.0, 0.0005
+
+
+def _softmax_sql() -> str:
+    """CTEs ending in probs(id, y, c, p): softmax regression by full-batch gradient steps
+    on the labelled partition, every step a CTE of weights."""
+    dim = scoring.SCORER_DIM
+    shares = ", ".join(f"({c}, {s})" for c, s in enumerate(_CLASS_WEIGHTS["healthcare"]))
+    parts = [S.LABELLED, f"lab AS (SELECT id, {S.clean_strict('text')} AS ct, {S.LABEL_IDX} AS y FROM labelled)",
+             "n AS (SELECT count(*) AS n FROM lab)",
+             f"part AS (SELECT lab.*, row_number() OVER (ORDER BY {S.shuffle_key('id')}, id) AS rk FROM lab)",
+             f"sh(c, share) AS (VALUES {shares})", "cw AS (SELECT c, 3 * (1 / (CAST(share AS DOUBLE) + 1e-5)) / (SELECT sum(1 / (CAST(share AS DOUBLE) + 1e-5)) FROM sh) AS cw FROM sh)",
+             "docs AS MATERIALIZED (SELECT part.id, part.y, cw.cw, rk <= CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) AS train, ct FROM part, n LEFT JOIN cw ON cw.c = part.y)",
+             f"tf AS (SELECT id, {_bucket('tok', dim)} AS b, count(*) AS n FROM (SELECT id, {_TOKS} AS tok FROM docs) GROUP BY ALL)",
+             "x AS MATERIALIZED (SELECT id, b, CAST(n AS DOUBLE) / sqrt(sum(CAST(n * n AS DOUBLE)) OVER (PARTITION BY id)) AS x FROM tf UNION ALL SELECT id, -1, 1.0 FROM docs)",
+             "w0 AS MATERIALIZED (SELECT b, c, CAST(0 AS DOUBLE) AS w FROM (SELECT DISTINCT b FROM x), range(3) t(c))",
+             "total AS (SELECT sum(cw) AS total FROM docs WHERE train)"]
+
+    def probs(k: int, rows: str) -> str:
+        return f"""(SELECT id, c, e / sum(e) OVER (PARTITION BY id) AS p FROM (SELECT id, c, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM
+  (SELECT x.id, w.c, sum(x.x * w.w) AS s FROM x JOIN docs USING (id) JOIN w{k} w USING (b) WHERE {rows} GROUP BY x.id, w.c)))"""
+    for k in range(_STEPS):
+        parts.append(f"r{k} AS MATERIALIZED (SELECT d.id, q.c, cw * (p - CASE WHEN y = q.c THEN 1 ELSE 0 END) AS r FROM {probs(k, 'train')} q JOIN docs d USING (id))")
+        parts.append(f"g{k} AS (SELECT b, c, sum(x * r) AS g FROM x JOIN r{k} USING (id) GROUP BY b, c)")
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT b, c, w - {_RATE} * (coalesce(g, 0) / total + CASE WHEN b < 0 THEN 0 ELSE {_L2} END * w) AS w FROM total, w{k} LEFT JOIN g{k} USING (b, c))")
+    parts.append(f"probs AS MATERIALIZED (SELECT id, CASE WHEN train THEN y ELSE -1 END AS y, q.c, p FROM {probs(_STEPS, 'true')} q JOIN docs USING (id))")
+    return ",\n".join(parts)
+
+
 _TOKS = "unnest(regexp_extract_all(lower(ct), '[a-z0-9]+'))"
 
 _EMBED_SQL = f"""
@@ -69,10 +100,8 @@ def _partitioned(spark, sf):
     return part.withColumn("label_idx", L.encode_label("sentiment"))
 
 
-def _nb_factory(spark, sf):
-    part = _partitioned(spark, sf)
-    nb = scoring.train_naive_bayes(part.where("is_labeled"), "text", "label_idx")
-    return lambda: nb
+def _naive_bayes(part):
+    return scoring.train_naive_bayes(part.where("is_labeled"), "text", "label_idx")
 
 
 @register("embed", _EMBED_SQL)
@@ -95,24 +124,25 @@ def score(spark, sf):
     trained on the labelled partition, plus the argmax label."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
                                              T.clean_strict("text").alias("text"))
-    s = scoring.score(d, "text", _nb_factory(spark, sf))
+    s = scoring.score(d, "text", _naive_bayes(_partitioned(spark, sf)))
     return normalise(s.select("id", *[F.element_at("scores", k + 1).alias(f"p{k}") for k in range(3)],
                               L.argmax("scores").alias("label")))
 
 
-@register("train_score")
+@register("train_score", f"""WITH {_softmax_sql()}
+SELECT id, CAST(any_value(y) AS BIGINT) AS label_idx, CAST(arg_max(c, (p, -c)) AS BIGINT) AS pred,
+  round(max(p) FILTER (c = 0), 6) AS p0, round(max(p) FILTER (c = 1), 6) AS p1, round(max(p) FILTER (c = 2), 6) AS p2 FROM probs GROUP BY id""")
 def train_score(spark, sf):
-    """ML-01: class-weighted logistic regression (weights from the healthcare
-    mix, AGG-07) trained on the labelled partition; scores every labelled review."""
-    part = _partitioned(spark, sf)
+    """ML-01: class-weighted softmax regression (weights from the healthcare
+    mix, AGG-07) trained on the labelled partition; scores every labelled review, those
+    whose label is hidden (label_idx -1) too."""
+    part = cut_lineage(_partitioned(spark, sf))
     dom = spark.createDataFrame([("healthcare",)], "domain string")
-    w = profile.class_weights(spark, dom, "domain").select(
-        F.col("label_idx").cast("int").alias("label_idx"), "weight")
-    train = part.where("is_labeled").join(F.broadcast(w), "label_idx")
-    model = scoring.train_classifier(train.withColumn("label_idx", F.col("label_idx").cast("double")),
-                                     "text", "label_idx", "weight")
-    return scoring.apply_classifier(model, part.select("id", "text", "label_idx")) \
-                  .select("id", "label_idx", "pred", "probs")
+    weights = {r["label_idx"]: r["weight"] for r in profile.class_weights(spark, dom, "domain").collect()}
+    model = scoring.train_softmax(part.where("is_labeled"), "text", "label_idx", weights, steps=_STEPS, rate=_RATE, l2=_L2)
+    s = scoring.score(part, "text", model)
+    return normalise(s.select("id", F.coalesce("label_idx", F.lit(-1)).alias("label_idx"), L.argmax("scores").alias("pred"),
+                              *[F.element_at("scores", k + 1).alias(f"p{k}") for k in range(3)]))
 
 
 @register("relabel", f"""WITH {_nb_sql('rest')}
@@ -120,12 +150,12 @@ SELECT r.id, r.ct AS text, ['negative', 'neutral', 'positive'][p.label + 1] AS s
 FROM rest r JOIN probs p ON p.id = r.id""")
 def relabel(spark, sf):
     """AUG-05: re-label the unlabelled partition with the batch scorer."""
-    part = _partitioned(spark, sf)
-    return scoring.relabel(part.where(~F.col("is_labeled")).select("id", "text"), "text",
-                           _nb_factory(spark, sf))
+    part = cut_lineage(_partitioned(spark, sf))
+    return scoring.relabel(part.where(~F.col("is_labeled")).select("id", "text"), "text", _naive_bayes(part))
 
 
 @register("augment_e2e", f"""WITH {_nb_sql('rest')},
+ph AS (SELECT {PHRASES} AS phrases),
 comb AS (SELECT id, ct, ['negative', 'neutral', 'positive'][y + 1] AS sentiment FROM train
          UNION ALL
          SELECT r.id, r.ct, ['negative', 'neutral', 'positive'][p.label + 1] FROM rest r JOIN probs p ON p.id = r.id),
@@ -149,12 +179,12 @@ def augment_e2e(spark, sf):
 
 
 def augment_pipeline(spark, sf, group_by_source: bool = False):
-    part = _partitioned(spark, sf)
+    # read by the training, the scoring and the output: partitioned once
+    part = cut_lineage(_partitioned(spark, sf))
     labelled = part.where("is_labeled").select("id", "text", "sentiment")
-    relabelled = scoring.relabel(part.where(~F.col("is_labeled")).select("id", "text"), "text",
-                                 _nb_factory(spark, sf))
+    relabelled = scoring.relabel(part.where(~F.col("is_labeled")).select("id", "text"), "text", _naive_bayes(part))
     combined = labelled.unionByName(relabelled)
-    rows = A.augmented_rows(combined, "id", "text", "sentiment", A.load_phrases(spark))
+    rows = A.augmented_rows(combined, "id", "text", "sentiment", A.phrase_table(spark))
     key = "source_id" if group_by_source else "id"
     if group_by_source:
         sp = splits.sequential_split(rows.select("source_id").distinct(), "source_id")

@@ -10,7 +10,7 @@ from textcurate.plans import curate as C
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import normalise, register
 from textcurate.session import cut_lineage
-from textcurate.sources.tables import attach_sentiment, doc_positions, documents, labelled_reviews
+from textcurate.sources.tables import attach_sentiment, doc_positions, documents, labelled_reviews, whole_reviews
 
 
 def _verdicts(spark, sf):
@@ -135,14 +135,14 @@ def class_weights(spark, sf):
     return normalise(profile.class_weights(spark, lab, "domain"))
 
 
-@register("dataset_fingerprint", f"""WITH {S.LABELLED},
-f AS (SELECT CAST(id AS VARCHAR) AS a, text AS b, sentiment AS c FROM labelled),
+@register("dataset_fingerprint", f"""WITH {S.WHOLE},
+f AS (SELECT CAST(id AS VARCHAR) AS a, text AS b, sentiment AS c FROM whole),
 h AS (SELECT md5(coalesce(len(a) || ':' || a, '-') || '|' || coalesce(len(b) || ':' || b, '-') || '|' || coalesce(len(c) || ':' || c, '-')) AS h FROM f)
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(coalesce(sum(('0x' || substr(h, 1, 16))::UBIGINT), 0) AS VARCHAR) AS content_sum,
   CAST(coalesce(sum(('0x' || substr(h, 17, 16))::UBIGINT), 0) AS VARCHAR) AS content_sum2 FROM h""")
 def dataset_fingerprint(spark, sf):
-    """AGG-08: order-free fingerprint of the labelled dataset (all rows)."""
-    return profile.fingerprint(labelled_reviews(spark, sf), ["id", "text", "sentiment"])
+    """AGG-08: order-free fingerprint of the dataset (all rows)."""
+    return profile.fingerprint(whole_reviews(spark, sf), ["id", "text", "sentiment"])
 
 
 @register("dataset_card", f"""WITH {S.LABELLED}

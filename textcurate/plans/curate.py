@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 
 from textcurate.operators import dedup, profile, splits
 from textcurate.session import cut_lineage
-from textcurate.sources.tables import attach_sentiment, doc_positions, documents
-
-UNLABELLED = "unlabelled"
+from textcurate.sources.tables import UNLABELLED, attach_sentiment, doc_positions, documents
 
 
 def curated_rows(verdicts: DataFrame, bounds_from: DataFrame | None = None) -> DataFrame:

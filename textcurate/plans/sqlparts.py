@@ -57,6 +57,9 @@ REVIEWS = f"""reviews AS (
          CASE WHEN l.doc_id IS NULL THEN NULL ELSE {sentiment('l.quality', 'l.toxic')} END AS sentiment
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
+WHOLE = f"""{REVIEWS},
+whole AS (SELECT * REPLACE (coalesce(sentiment, 'unlabelled') AS sentiment) FROM reviews)"""
+
 LABELLED = f"""labelled AS (
   SELECT d.doc_id AS id, d.doc_id AS pos, d.text, d.source AS domain,
          {sentiment('l.quality', 'l.toxic')} AS sentiment

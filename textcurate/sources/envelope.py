@@ -47,6 +47,11 @@ RECORD = T.StructType([*ENVELOPE.fields, T.StructField(BAD, T.StringType())])
 WHOLE_FILE_BYTES = 256 << 20
 
 
+# JSON strings hold no line break and members are parted by commas, so a brace that closes
+# before a line break and one that opens after it belong to two documents.
+DOCUMENT_BREAK = r"(?<=\})[ \t\r]*\n\s*(?=\{)"
+
+
 def _file_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with their file and their order in it: a large file is read in
     blocks by several tasks, each numbering its lines upwards."""
@@ -97,9 +102,7 @@ def envelope_records(spark: SparkSession, path: str, multi_line: bool | None = N
         by_line, whole = known.where("by_line"), known.where("not by_line")
     texts = whole.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("l")).select(
         "file", F.array_join(F.col("l.value"), "\n").alias("text"))
-    # strings hold no line break and members are parted by commas, so a brace that closes
-    # before a line break and one that opens after it are two documents
-    documents = texts.select("file", F.explode(F.split("text", r"(?<=\})[ \t\r]*\n\s*(?=\{)")).alias("value"))
+    documents = texts.select("file", F.explode(F.split("text", DOCUMENT_BREAK)).alias("value"))
     return _parsed(documents) if by_line is None else _parsed(by_line.select("file", "value").unionByName(documents))
 
 

@@ -77,6 +77,15 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_sentiment(documents(spark, sf_dir), spark, sf_dir)
 
 
+UNLABELLED = "unlabelled"
+
+
+def whole_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reviews; those without a label are a stratum of their own. For everything in
+    which the label is a payload, not the subject."""
+    return reviews(spark, sf_dir).withColumn("sentiment", F.coalesce("sentiment", F.lit(UNLABELLED)))
+
+
 def labelled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews that carry a label (inner join)."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
