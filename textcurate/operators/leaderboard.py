@@ -34,12 +34,25 @@ TABLE_DECIMALS = 4
 def model_metrics(pred: DataFrame) -> DataFrame:
     """Per model: accuracy, macro precision / recall / F1, MCC, balanced
     accuracy and the combined metric (0.5 accuracy + 0.5 macro-F1)."""
-    cnt = M.counters(pred, ["model"])
+    return metrics_of(M.counters(pred, ["model"]))
+
+
+def metrics_of(cnt: DataFrame, classes: Sequence[int] = M.CLASSES) -> DataFrame:
     return cnt.select(
-        "model", M.accuracy().alias("accuracy"), M.macro(M.precision).alias("precision"),
-        M.macro(M.recall).alias("recall"), M.macro(M.f1).alias("f1"), M.mcc().alias("mcc"),
-        M.balanced_accuracy().alias("balanced_accuracy"),
-        (0.5 * M.accuracy() + 0.5 * M.macro(M.f1)).alias("combined"))
+        "model", M.accuracy().alias("accuracy"), M.macro(M.precision, classes).alias("precision"),
+        M.macro(M.recall, classes).alias("recall"), M.macro(M.f1, classes).alias("f1"), M.mcc(classes).alias("mcc"),
+        M.balanced_accuracy(classes).alias("balanced_accuracy"),
+        (0.5 * M.accuracy() + 0.5 * M.macro(M.f1, classes)).alias("combined"))
+
+
+def checked_models(pred: DataFrame, classes: Sequence[int] = M.CLASSES) -> tuple[DataFrame, DataFrame]:
+    """(metrics of the sound models, report of the failing ones). A model with a label
+    outside the classes fails: it is left out and reported (model, n_rows, n_bad,
+    message), and the others are ranked as if it were not there."""
+    cnt = M.counters(pred, ["model"], classes=classes, count_unknown=True)
+    failed = cnt.where("bad > 0").select("model", (F.col("s") + F.col("bad")).alias("n_rows"), F.col("bad").alias("n_bad"),
+                                         F.concat(F.lit("label outside the classes: "), F.col("first_bad")).alias("message"))
+    return metrics_of(cnt.where("bad = 0"), classes), failed
 
 
 def leaderboard(mm: DataFrame) -> DataFrame:
@@ -123,29 +136,47 @@ def loss_gap(logs: DataFrame) -> DataFrame:
     return g.withColumn("gap", F.abs(F.col("train_loss") - F.col("eval_loss")))
 
 
-def anomalies(mm: DataFrame, majority_share: DataFrame) -> DataFrame:
-    """ANO-01..08: one row per (model, rule) that fires.
-
-    Rule 5 compares each of a model's five metrics with their own mean
-    (population std); with five values z can reach 2 but not exceed it, so at
-    the default threshold it stays silent -- kept as specified.
-    """
+def metric_outliers(mm: DataFrame, across: str = "metrics", threshold: float = ANOMALY_STD) -> DataFrame:
+    """ANO-05: (model, metric, value, mean, std, z) of the metrics with z > threshold.
+
+    ``across="metrics"`` compares each of a model's five metrics with their own mean and
+    population std, as specified; of five values none can have z above 2, so at the default
+    threshold it stays silent. ``across="models"`` compares a model's metric with the same
+    metric of all other models (leave one out), so one odd model among few stands
+    out; it needs two others. A metric that all the others share exactly is an outlier, with a null z, if it differs."""
+    long = mm.unpivot("model", ANOMALY_METRICS, "metric", "value").where("value is not null")
+    x = F.col("value")
+    if across == "metrics":
+        w = Window.partitionBy("model")
+        t = long.withColumn("mean", F.avg(x).over(w))
+        t = t.withColumn("std", F.sqrt(F.avg((x - F.col("mean")) * (x - F.col("mean"))).over(w)))
+        t = t.where("std > 0")
+    elif across == "models":
+        w = Window.partitionBy("metric")  # a row per model
+        # centred first: sums of squares of nearly equal values would cancel
+        t = long.withColumn("_c", x - F.avg(x).over(w)).withColumn("_n", F.count(F.lit(1)).over(w) - 1)
+        t = t.withColumn("_m", (F.sum("_c").over(w) - F.col("_c")) / F.col("_n"))
+        others = (F.sum(F.col("_c") * F.col("_c")).over(w) - F.col("_c") * F.col("_c")) / F.col("_n") - F.col("_m") * F.col("_m")
+        t = t.withColumn("mean", x - F.col("_c") + F.col("_m")).withColumn("std", F.sqrt(F.when(others > 1e-18, others).otherwise(0.0)))
+        t = t.where("_n >= 2")
+    else:
+        raise ValueError(f"across is 'metrics' or 'models', not {across!r}")
+    off = F.abs(x - F.col("mean"))
+    t = t.withColumn("z", F.when(F.col("std") > 0, off / F.col("std")))
+    return t.where((F.col("z") > threshold) | ((F.col("std") == 0) & (off > 1e-9))).select("model", "metric", "value", "mean", "std", "z")
+
+
+def anomalies(mm: DataFrame, majority_share: DataFrame, across: str = "metrics") -> DataFrame:
+    """ANO-01..08: one row per (model, rule) that fires; rule 5 (``metric_outlier``) by
+    ``metric_outliers`` within a model's metrics or across models."""
     j = mm.withColumn("_k", F.lit(0)).join(
         F.broadcast(majority_share.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    vals = F.array(*[F.col(m) for m in ANOMALY_METRICS])
-    n = float(len(ANOMALY_METRICS))
-    mean = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x) / n
-    j = j.withColumn("_mean", mean)
-    var = F.aggregate(vals, F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
-    j = j.withColumn("_std", F.sqrt(var))
-    zmax = F.array_max(F.transform(vals, lambda x: F.abs(x - F.col("_mean")) / F.col("_std")))
     acc, mcc, f1 = F.col("accuracy"), F.col("mcc"), F.col("f1")
     rules: list[tuple[str, Column]] = [
         ("low_mcc", F.abs(mcc) < MIN_MCC),
         ("accuracy_mcc_mismatch", (acc > HIGH_ACCURACY) & (mcc < HIGH_ACCURACY_MCC)),
         ("low_accuracy", acc < MIN_METRIC),
         ("low_f1", f1 < MIN_METRIC),
-        ("metric_outlier", (F.col("_std") > 0) & (zmax > ANOMALY_STD)),
         ("suspicious_accuracy", acc > SUSPICIOUS_ACCURACY),
         ("majority_class", (F.abs(acc - F.col("majority_share")) < MAJORITY_GAP)
          & (mcc < MAJORITY_MCC) & (f1 < MAJORITY_F1)),
@@ -153,7 +184,8 @@ def anomalies(mm: DataFrame, majority_share: DataFrame) -> DataFrame:
     ]
     fired = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules]),
                      lambda x: x.isNotNull())
-    return j.select("model", F.explode(fired).alias("rule"))
+    outliers = metric_outliers(mm, across).select("model", F.lit("metric_outlier").alias("rule")).distinct()
+    return j.select("model", F.explode(fired).alias("rule")).unionByName(outliers)
 
 
 def majority_share(pred_one_model: DataFrame) -> DataFrame:

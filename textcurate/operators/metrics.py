@@ -47,21 +47,39 @@ def classes_of(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred")
     return sorted(int(r["k"]) for r in seen)
 
 
-def counters(pred: DataFrame, keys: Sequence[str], y_true: str = "y_true",
-             y_pred: str = "y_pred", classes: Sequence[int] = CLASSES) -> DataFrame:
-    """One pass: per group s (rows), c (correct rows), tp_k, t_k, p_k for each class."""
+def _among(x: str, classes: Sequence[int]) -> Column:
     known = [F.lit(k) for k in classes]
-    t, p = ((F.when(F.col(x).isin(*known) if known else F.lit(False), F.col(x)).otherwise(F.raise_error(F.concat(
-        F.lit("label outside the classes: "), F.coalesce(F.col(x).cast("string"), F.lit("null")))))) for x in (y_true, y_pred))
-    pred = pred.select(*keys, t.alias("_t"), p.alias("_p"))
-    t, p = F.col("_t"), F.col("_p")
-    aggs = [F.count(F.lit(1)).alias("s"), F.count_if(t == p).alias("c")]
+    return F.coalesce(F.col(x).isin(*known), F.lit(False)) if known else F.lit(False)
+
+
+def _known(x: str, classes: Sequence[int]) -> Column:
+    """The label; one outside the classes is an error."""
+    told = F.concat(F.lit("label outside the classes: "), F.coalesce(F.col(x).cast("string"), F.lit("null")))
+    return F.when(_among(x, classes), F.col(x)).otherwise(F.raise_error(told))
+
+
+def counters(pred: DataFrame, keys: Sequence[str], y_true: str = "y_true",
+             y_pred: str = "y_pred", classes: Sequence[int] = CLASSES, count_unknown: bool = False) -> DataFrame:
+    """One pass: per group s (rows), c (correct rows), tp_k, t_k, p_k for each class.
+
+    With ``count_unknown`` a row with another label is no error but is counted
+    beside the others: bad (how many) and first_bad (the smallest such label, as text), so
+    that one failing group does not take the rest with it."""
+    if count_unknown:
+        bad = [F.when(~_among(x, classes), F.coalesce(F.col(x).cast("string"), F.lit("null"))) for x in (y_true, y_pred)]
+        pred = pred.select(*keys, F.col(y_true).alias("_t"), F.col(y_pred).alias("_p"), F.coalesce(*bad).alias("_bad"))
+    else:
+        pred = pred.select(*keys, *[_known(x, classes).alias(a) for x, a in ((y_true, "_t"), (y_pred, "_p"))], F.lit(None).cast("string").alias("_bad"))
+    good = F.col("_bad").isNull()
+    t, p = F.when(good, F.col("_t")), F.when(good, F.col("_p"))
+    aggs = [F.count_if(good).alias("s"), F.count_if(t == p).alias("c")]
     for k in classes:
         aggs += [F.count_if((t == k) & (p == k)).alias(f"tp{k}"),
                  F.count_if(t == k).alias(f"t{k}"), F.count_if(p == k).alias(f"p{k}")]
     g = pred.groupBy(*keys) if keys else pred.groupBy()
-    out = g.agg(*aggs)
-    return out.select(*keys, *[F.col(c).cast("long").alias(c) for c in out.columns if c not in keys])
+    found = [F.count("_bad").alias("bad"), F.min("_bad").alias("first_bad")] if count_unknown else []
+    out = g.agg(*aggs, *found)
+    return out.select(*keys, *[F.col(c).cast("string" if c == "first_bad" else "long").alias(c) for c in out.columns if c not in keys])
 
 
 def confusion(pred: DataFrame, keys: Sequence[str], classes: Sequence[int] = CLASSES) -> DataFrame:
@@ -199,50 +217,62 @@ def per_class(cnt: DataFrame, keys: Sequence[str], classes: Sequence[int] = CLAS
     return cnt.select(*keys, rows).select(*keys, "_r.*")
 
 
-def prob_metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+def class_scores(classes: Sequence[int], scores: str | None) -> list[Column]:
+    """Score of each class, in the order of the classes: columns p<class>, or the items of
+    an array column, null where the array is null or shorter."""
+    return [F.get(F.col(scores), i) if scores else F.col(f"p{k}") for i, k in enumerate(classes)]
+
+
+def prob_metrics(pred: DataFrame, keys: Sequence[str], classes: Sequence[int] = CLASSES, scores: str | None = None) -> DataFrame:
     """MET-09/10: Brier (mean over classes of one-vs-rest Brier) and
-    calibration error (mean |p(predicted) - correct|)."""
-    sq = [F.pow(F.col(f"p{k}") - F.when(F.col("y_true") == k, 1.0).otherwise(0.0), 2)
-          for k in CLASSES]
-    p_pred = F.element_at(F.array(*[F.col(f"p{k}") for k in CLASSES]),
-                          (F.col("y_pred") + 1).cast("int"))
-    correct = F.when(F.col("y_true") == F.col("y_pred"), 1.0).otherwise(0.0)
+    calibration error (mean |p(predicted) - correct|). Without scores both are 0; a label
+    outside the classes is an error."""
+    p = class_scores(classes, scores)
+    pred = pred.select(*keys, _known("y_true", classes).alias("_t"), _known("y_pred", classes).alias("_p"),
+                       *[c.alias(f"_s{i}") for i, c in enumerate(p)])
+    sq = [F.pow(F.col(f"_s{i}") - F.when(F.col("_t") == k, 1.0).otherwise(0.0), 2) for i, k in enumerate(classes)]
+    p_pred = F.coalesce(*[F.when(F.col("_p") == k, F.col(f"_s{i}")) for i, k in enumerate(classes)])
+    correct = F.when(F.col("_t") == F.col("_p"), 1.0).otherwise(0.0)
     g = pred.groupBy(*keys) if keys else pred.groupBy()
-    out = g.agg(*[F.avg(x).alias(f"_b{k}") for k, x in zip(CLASSES, sq)],
-                F.avg(F.abs(p_pred - correct)).alias("calibration_error"))
-    return out.select(*keys, (_total([F.col(f"_b{k}") for k in CLASSES]) / len(CLASSES)).alias("brier"),
+    out = g.agg(*[F.coalesce(F.avg(x), F.lit(0.0)).alias(f"_b{i}") for i, x in enumerate(sq)],
+                F.coalesce(F.avg(F.abs(p_pred - correct)), F.lit(0.0)).alias("calibration_error"))
+    return out.select(*keys, (_total([F.col(f"_b{i}") for i in range(len(classes))]) / len(classes)).alias("brier"),
                       "calibration_error")
 
 
-def auroc(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+def auroc(pred: DataFrame, keys: Sequence[str], classes: Sequence[int] = CLASSES, scores: str | None = None) -> DataFrame:
     """MET-08: one-vs-rest AUROC per (keys, class), exact with ties:
     sum over distinct scores of pos * (neg below + neg equal / 2) / (P * N);
-    a class absent from (or filling) the truth gives 0.5.
+    a class absent from (or filling) the truth gives 0.5. A group without scores for a
+    class gives 0 there, so models of any score shape stand in one table; rows without a
+    score do not count. A true label outside the classes is an error.
 
     Distinct scores per (group, class) are first aggregated (map-side
     combine), then "negatives below" is a prefix sum computed as
     bucket offsets (small table) + a window inside one (group, class, bucket).
     """
     keys = list(keys)
-    ex = pred.select(*keys, F.col("y_true"), F.explode(F.array(*[
-        F.struct(F.lit(k).cast("long").alias("label"), F.col(f"p{k}").alias("score"))
-        for k in CLASSES])).alias("_e")).select(*keys, "y_true", "_e.label", "_e.score")
+    ex = pred.select(*keys, _known("y_true", classes).alias("y_true"), F.explode(F.array(*[
+        F.struct(F.lit(k).cast("long").alias("label"), c.cast("double").alias("score"))
+        for k, c in zip(classes, class_scores(classes, scores), strict=True)])).alias("_e")).select(*keys, "y_true", "_e.label", "_e.score")
     pos = F.col("y_true") == F.col("label")
+    # a class without scores keeps one row, of the null score
     dist = ex.groupBy(*keys, "label", "score").agg(
         F.count_if(pos).cast("long").alias("np"), F.count_if(~pos).cast("long").alias("nn"))
     # bounds from the raw scores: a scan, no shuffle; the aggregation runs once
-    b = rank.range_bucket(dist, "score", out="_sb", bounds_from=ex.select("score"))
+    b = rank.range_bucket(dist, "score", out="_sb", bounds_from=ex.select("score").where("score is not null"))
+    b = b.withColumns({c: F.when(F.col("score").isNotNull(), F.col(c)).otherwise(0) for c in ("np", "nn")})
     part = keys + ["label"]
     tot = b.groupBy(*part, "_sb").agg(F.sum("nn").alias("_bn"))
     w_off = Window.partitionBy(*part).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, "_sb", F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"))
-    j = b.join(off, part + ["_sb"])
+    j = rank.join_null_safe(b, off, part + ["_sb"])
     w_in = Window.partitionBy(*part, "_sb").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     j = j.withColumn("nb", F.col("_off") + F.coalesce(F.sum("nn").over(w_in), F.lit(0)))
     num = F.col("np").cast("decimal(38,0)") * (2 * F.col("nb").cast("decimal(38,0)") + F.col("nn"))
     agg = j.groupBy(*part).agg(F.sum(num).alias("_num"), F.sum("np").alias("P"),
                                F.sum("nn").alias("N"))
-    val = F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(0.5)).otherwise(
+    val = F.when((F.col("P") == 0) & (F.col("N") == 0), F.lit(0.0)).when((F.col("P") == 0) | (F.col("N") == 0), F.lit(0.5)).otherwise(
         F.col("_num").cast("double") / (2.0 * _d("P") * _d("N")))
     return agg.select(*part, val.alias("auroc"))
 

@@ -30,6 +30,37 @@ def leaderboard(spark, sf):
     return normalise(LB.leaderboard(_mm(spark, sf)))
 
 
+# One more model for the queries on failing models: on every 13th row it gives a class that
+# does not exist.
+_ODD_SQL = f"""WITH {pred_sql().replace('pred AS', 'pred0 AS', 1)},
+pred AS (SELECT * FROM pred0 UNION ALL SELECT 'odd' AS model, domain, row_id, y_true, CASE WHEN row_id % 13 = 0 THEN 7 ELSE y_pred END, p0, p1, p2
+         FROM pred0 WHERE model = 'm5')"""
+
+
+def _with_odd_model(spark, sf):
+    pred = predictions(spark, sf)
+    odd = pred.where("model = 'm5'").withColumn("model", F.lit("odd")).withColumn(
+        "y_pred", F.when(F.col("row_id") % 13 == 0, 7).otherwise(F.col("y_pred")).cast("long"))
+    return pred.unionByName(odd)
+
+
+@register("leaderboard_of_sound", f"""{_MM_SQL}
+SELECT row_number() OVER (ORDER BY combined DESC, model) AS rank, model, {r6('combined')} AS combined,
+       {r6('accuracy')} AS accuracy, {r6('f1')} AS macro_f1 FROM mm""")
+def leaderboard_of_sound(spark, sf):
+    """LDB-01: a model with unknown labels is left out, the others are ranked as without it."""
+    return normalise(LB.leaderboard(LB.checked_models(_with_odd_model(spark, sf))[0]))
+
+
+@register("leaderboard_failures", f"""{_ODD_SQL}
+SELECT model, count(*) AS n_rows, count(*) FILTER (y_pred NOT IN (0, 1, 2)) AS n_bad,
+       'label outside the classes: ' || min(CAST(y_pred AS VARCHAR)) FILTER (y_pred NOT IN (0, 1, 2)) AS message
+FROM pred GROUP BY model HAVING count(*) FILTER (y_pred NOT IN (0, 1, 2)) > 0""")
+def leaderboard_failures(spark, sf):
+    """LDB-01: the models left out, with what is wrong."""
+    return LB.checked_models(_with_odd_model(spark, sf))[1]
+
+
 @register("research_table", f"""{_MM_SQL},
 t AS (SELECT model, {', '.join(f'round(coalesce({m}, 0.0), 4) AS {m}' for m in TABLE_METRICS)} FROM mm)
 SELECT *, row_number() OVER (ORDER BY combined DESC, model) AS position FROM t""")
@@ -122,3 +153,32 @@ def anomalies(spark, sf):
     pred = predictions(spark, sf)
     share = LB.majority_share(pred.where(F.col("model") == "m3"))
     return LB.anomalies(LB.model_metrics(pred), share)
+
+
+_METRICS = ["accuracy", "precision", "recall", "f1", "mcc"]
+_ACROSS_SQL = f"""{_MM_SQL},
+l AS (UNPIVOT (SELECT model, {', '.join(_METRICS)} FROM mm) ON {', '.join(_METRICS)} INTO NAME metric VALUE value),
+o AS (SELECT a.model, a.metric, a.value, avg(b.value) AS mean, stddev_pop(b.value) AS std
+      FROM l a JOIN l b ON b.metric = a.metric AND b.model <> a.model GROUP BY ALL HAVING count(*) >= 2),
+out AS (SELECT *, abs(value - mean) / std AS z FROM o WHERE abs(value - mean) > 2 * std)"""
+
+
+@register("metric_outliers", f"""{_ACROSS_SQL}
+SELECT model, metric, {r6('value')} AS value, {r6('mean')} AS mean, {r6('z')} AS z FROM out""")
+def metric_outliers(spark, sf):
+    """ANO-05 across models: metrics that lie more than two standard deviations of the
+    other models' values off their mean."""
+    return normalise(LB.metric_outliers(_mm(spark, sf), across="models").drop("std"))
+
+
+@register("anomalies_across", f"""{_ACROSS_SQL},
+ms AS (SELECT CAST(max(n) AS DOUBLE) / sum(n) AS majority_share
+       FROM (SELECT y_true, count(*) AS n FROM pred WHERE model = 'm3' GROUP BY y_true)),
+j2 AS (SELECT mm.*, ms.majority_share FROM mm, ms)
+{' UNION ALL '.join(f"SELECT model, '{name}' AS rule FROM j2 WHERE {cond}" for name, cond in _RULES if name != 'metric_outlier')}
+UNION ALL SELECT DISTINCT model, 'metric_outlier' FROM out""")
+def anomalies_across(spark, sf):
+    """ANO-01..08 with rule 5 across models."""
+    pred = predictions(spark, sf)
+    share = LB.majority_share(pred.where(F.col("model") == "m3"))
+    return LB.anomalies(LB.model_metrics(pred), share, across="models")

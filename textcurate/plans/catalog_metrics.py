@@ -190,6 +190,22 @@ def auroc_ovr(spark, sf):
     return normalise(M.auroc(_pred(spark, sf, "events"), ["model"]))
 
 
+_SHAPES_SQL = f"""WITH {pred_sql().replace('pred AS', 'pred0 AS', 1)},
+pred AS (SELECT model, domain, row_id, y_true, y_pred, CASE WHEN model <> 'm7' THEN p0 END AS p0, CASE WHEN model <> 'm7' THEN p1 END AS p1,
+         CASE WHEN model NOT IN ('m7', 'm11') THEN p2 END AS p2 FROM pred0)"""
+
+
+@register("auroc_any_shape", f"""{_SHAPES_SQL},
+{auroc_sql('model')}
+SELECT model, label, {r6("CASE WHEN model = 'm7' OR model = 'm11' AND label = 2 THEN 0 ELSE auroc END")} AS auroc FROM au""")
+def auroc_any_shape(spark, sf):
+    """MET-08 on score vectors: one model has none, one lacks the last class; they give 0 there."""
+    pred = _pred(spark, sf)
+    vector = F.array("p0", "p1", "p2")
+    shaped = F.when(F.col("model") == "m7", F.lit(None)).when(F.col("model") == "m11", F.slice(vector, 1, 2)).otherwise(vector)
+    return normalise(M.auroc(pred.select("model", "y_true", shaped.alias("scores")), ["model"], scores="scores"))
+
+
 @register("brier", f"""WITH {pred_sql()},
 {prob_sql('model')}
 SELECT model, {r6('brier')} AS brier FROM pm""")
