@@ -167,7 +167,7 @@ def test_metrics_are_per_domain_and_reruns_replace(spark, tmp_path):
     assert spark.read.parquet(paths["data_path"]).count() == 3
     found = {r["domain"]: r["summary"]["total_processed"] for r in spark.read.parquet(paths["metrics_path"]).collect()}
     assert found == {"a": 4, "b": 1, "c": 9}
-    one = envelope.dataset_metrics(spark, paths["metrics_path"], "a_2_20250101_000000").first()
+    one = envelope.dataset_metrics(spark, str(tmp_path), "a_2_20250101_000000").first()
     assert one["domain"] == "a"
 
 

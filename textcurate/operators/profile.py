@@ -41,14 +41,27 @@ def expand_classes(keys: DataFrame, classes: DataFrame) -> DataFrame:
             .join(F.broadcast(classes.withColumn("_k", F.lit(0))), "_k").drop("_k"))
 
 
+def run_counters() -> list[Column]:
+    """The four counters of a run over verdict rows, for ``agg`` or ``observe``."""
+    return [F.count(F.lit(1)).alias("total_processed"),
+            F.count_if(~F.col("keep_len")).alias("length_filtered"),
+            F.count_if(F.col("dup_type") == "exact").alias("exact_duplicates"),
+            F.count_if(F.col("dup_type") == "similar").alias("near_duplicates")]
+
+
+def with_totals(c: dict) -> dict:
+    """The summary of observed counters, as ``filter_summary`` has it."""
+    dups = c["exact_duplicates"] + c["near_duplicates"]
+    removed = c["length_filtered"] + dups
+    return {"total_processed": c["total_processed"], "length_filtered": c["length_filtered"], "duplicates_removed": dups,
+            "exact_duplicates": c["exact_duplicates"], "near_duplicates": c["near_duplicates"], "total_removed": removed,
+            "total_accepted": c["total_processed"] - removed}
+
+
 def filter_summary(verdicts: DataFrame, by: str | None = None) -> DataFrame:
     """AGG-01: one row of counters (or one per value of ``by``); total_removed =
     length-filtered + duplicates."""
-    agg = (verdicts.groupBy(by) if by else verdicts.groupBy()).agg(
-        F.count(F.lit(1)).alias("total_processed"),
-        F.count_if(~F.col("keep_len")).alias("length_filtered"),
-        F.count_if(F.col("dup_type") == "exact").alias("exact_duplicates"),
-        F.count_if(F.col("dup_type") == "similar").alias("near_duplicates"))
+    agg = (verdicts.groupBy(by) if by else verdicts.groupBy()).agg(*run_counters())
     keys = [by] if by else []
     agg = agg.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in agg.columns if c not in keys])
     dups = F.col("exact_duplicates") + F.col("near_duplicates")

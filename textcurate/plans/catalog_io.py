@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textcurate.operators import leaderboard as LB
+from textcurate.operators import metrics as M
 from textcurate.operators import splits
 from textcurate.plans import sqlparts as S
 from textcurate.plans.catalog_leaderboard import _LOGS_SQL, _MM_SQL
@@ -17,7 +18,7 @@ from textcurate.plans.registry import normalise, register
 from textcurate.session import cut_lineage, scratch_path
 from textcurate.sources import envelope as E
 from textcurate.sources import sinks
-from textcurate.sources.tables import doc_positions, predictions, reviews, table, training_logs, whole_reviews
+from textcurate.sources.tables import doc_positions, documents, predictions, reviews, table, training_logs, whole_reviews
 
 # Fixed value: envelopes hold at most this many reviews (bounded groups).
 ENVELOPE_ROWS = 1000
@@ -220,18 +221,48 @@ cur2 AS (SELECT *, pid - 1 AS lid, coalesce(sentiment, 'unlabelled') AS stratum
 {S.stratified('cur2', label='stratum', idc='lid')},
 ids AS (SELECT domain, domain || '_' || {_SIZE_SQL} || '_20250101_000000_synthetic' AS dataset_id
         FROM (SELECT domain, count(*) AS n FROM split_rows GROUP BY domain))
-SELECT lid AS id, pid AS original_id, pos AS doc_id, clean_text, sentiment, split, r.domain, ids.dataset_id
+SELECT lid AS id, pid AS original_id, pos AS doc_id, clean_text, sentiment, split, r.domain, ids.dataset_id,
+       'documents.parquet' AS original_file, '20250101_000000' AS processing_timestamp
 FROM split_rows r JOIN ids ON ids.domain = r.domain""")
 def snk_curated(spark, sf):
-    """SNK-01 + AGG-10: full curation run writing rows under (domain,
+    """SNK-01: full curation run publishing rows under (domain,
     dataset_id) and a metrics document per domain; returns the rows read back."""
+    return sinks.published(spark, _curated(spark, sf), "processed")
+
+
+def _curated(spark, sf) -> str:
     from textcurate.plans.curate import run_curation
 
     base = scratch_path(spark, "curated")
     res = run_curation(spark, sf, sink_dir=base, dataset_tag="synthetic")
     if res["status"] != "success":
         raise RuntimeError(res.get("message"))
-    return spark.read.parquet(res["storage"]["data_path"])
+    return base
+
+
+@register("snk_metrics", f"""WITH {S.VERDICTS},
+c AS (SELECT domain, count(*) AS total_processed, count(*) FILTER (WHERE NOT keep_len) AS length_filtered,
+      count(*) FILTER (WHERE dup_type = 'exact') AS exact_duplicates, count(*) FILTER (WHERE dup_type = 'similar') AS near_duplicates,
+      count(*) FILTER (WHERE keep_len AND dup_type IS NULL) AS n FROM verdict_all GROUP BY domain)
+SELECT domain || '_' || {_SIZE_SQL} || '_20250101_000000_synthetic' AS dataset_id, domain, '20250101_000000' AS timestamp,
+       total_processed, length_filtered, exact_duplicates, near_duplicates, n AS total_accepted FROM c""")
+def snk_metrics(spark, sf):
+    """SNK-01: the metrics documents that the same run publishes."""
+    m = sinks.published(spark, _curated(spark, sf), "metrics")
+    return normalise(m.select("dataset_id", "domain", "timestamp", *[F.col(f"summary.{c}").alias(c) for c in (
+        "total_processed", "length_filtered", "exact_duplicates", "near_duplicates", "total_accepted")]))
+
+
+@register("run_record", f"""WITH {S.VERDICTS}, s AS ({S.summary('verdict_all')})
+SELECT '20250101_000000_synthetic' AS run, 'success' AS status, s.*, true AS timed, CAST(6 AS BIGINT) AS stages_ok FROM s""")
+def run_record(spark, sf):
+    """AGG-10 + PIP-01: the published record of a run: counters observed while the verdicts
+    were written, wall clock not negative and divided by the reviews, every stage's outcome."""
+    r = sinks.published(spark, _curated(spark, sf), "runs")
+    per = F.abs(F.col("seconds_per_review") * F.col("total_processed") - F.col("seconds")) < 1e-6
+    counters = [c for c in r.columns if c.startswith(("total_", "length_", "duplicates_", "exact_", "near_"))]
+    return normalise(r.select("run", "status", *counters, ((F.col("seconds") >= 0) & per).alias("timed"),
+                              F.size(F.filter("stages", lambda s: s["outcome"] == "ok")).alias("stages_ok")))
 
 
 def _processed(rows):
@@ -250,8 +281,8 @@ def src_dataset(spark, sf):
     base = scratch_path(spark, "curated")
     rows = reviews(spark, sf).select("id", "text", "sentiment", "domain")
     sinks.write_curated(rows, base, _processed(rows))
-    ids = spark.read.parquet(f"{base}/metrics").orderBy("dataset_id").limit(1).collect()
-    return E.load_dataset(spark, f"{base}/processed", ids[0]["dataset_id"])
+    ids = sinks.published(spark, base, "metrics").orderBy("dataset_id").limit(1).collect()
+    return E.load_dataset(spark, base, ids[0]["dataset_id"]).drop("original_file", "processing_timestamp")
 
 
 @register("metrics_history", f"""WITH {S.REVIEWS},
@@ -260,26 +291,35 @@ st(stamp) AS (VALUES ('20250101_000000'), ('20250102_000000'))
 SELECT 'src1_' || {_SIZE_SQL} || '_' || stamp AS dataset_id, 'src1' AS domain, stamp AS timestamp,
        CAST(n AS BIGINT) AS total_processed FROM n, st""")
 def metrics_history(spark, sf):
-    """SRC-04: metrics documents of one domain, oldest first (two runs written)."""
+    """SRC-04: metrics documents of one domain, oldest first (two runs, each repeated)."""
     base = scratch_path(spark, "curated")
-    rows = reviews(spark, sf).select("id", "text", "sentiment", "domain")
-    for stamp in ["20250101_000000", "20250102_000000"]:
-        sinks.write_curated(rows, base, _processed(rows), stamp=stamp)
-        sinks.write_curated(rows, base, _processed(rows), stamp=stamp)  # a second run replaces the first
-    h = E.metrics_history(spark, f"{base}/metrics", "src1")
+    counted = cut_lineage(_processed(documents(spark, sf)))
+    for stamp in ["20250102_000000", "20250101_000000"] * 2:  # a repeated run replaces itself
+        sinks.write_metrics(counted.withColumnRenamed("total_processed", "n"), base, counted, stamp=stamp)
+    h = E.metrics_history(spark, base, "src1")
     return h.select("dataset_id", "domain", "timestamp",
                     F.col("summary.total_processed").cast("long").alias("total_processed"))
 
 
-@register("snk_eval", f"""{_MM_SQL}
-SELECT model, metric, round(CAST(value AS DOUBLE), 6) AS value, 'embeddings' AS dataset
-FROM (UNPIVOT mm ON accuracy, precision, recall, f1, mcc, balanced_accuracy, combined
-      INTO NAME metric VALUE value)""")
+@register("snk_eval", f"""{_MM_SQL},
+runs(dataset, stamp) AS (VALUES ('embeddings', '20250101_000000'), ('embeddings', '20250102_000000')),
+l AS (SELECT model, metric, CAST(value AS DOUBLE) AS value
+      FROM (UNPIVOT mm ON accuracy, precision, recall, f1, mcc, balanced_accuracy, combined INTO NAME metric VALUE value)
+      UNION ALL SELECT m.model, 'confusion_' || t || '_' || p, CAST(count(pred.model) AS DOUBLE)
+      FROM (SELECT DISTINCT model FROM pred) m CROSS JOIN range(3) a(t) CROSS JOIN range(3) b(p)
+      LEFT JOIN pred ON pred.model = m.model AND y_true = t AND y_pred = p GROUP BY m.model, t, p)
+SELECT model, metric, round(value, 6) AS value, dataset, stamp FROM l, runs""")
 def snk_eval(spark, sf):
-    """SNK-03: per-model metrics appended as (model, dataset, metric, value)."""
-    mm = LB.model_metrics(predictions(spark, sf))
-    path = sinks.append_evaluations(mm, scratch_path(spark, "evaluations"), ["model"], "embeddings")
-    return normalise(spark.read.parquet(path))
+    """SNK-03: per-model metrics and confusion cells as (model, dataset, metric, value) of
+    two runs. The first is written twice, and a third was killed before it was published:
+    every run shows once."""
+    pred = predictions(spark, sf)
+    mm, cells = cut_lineage(LB.model_metrics(pred)), cut_lineage(M.confusion(pred, ["model"]))
+    base = scratch_path(spark, "evaluations")
+    for stamp in ("20250101_000000", "20250102_000000", "20250101_000000"):
+        sinks.write_evaluations(mm, base, ["model"], "embeddings", stamp, cells)
+    sinks.stage({"evaluations": (sinks.evaluation_rows(mm, ["model"], "embeddings", "20250103_000000"), [])}, base)
+    return normalise(sinks.published(spark, base, "evaluations"))
 
 
 @register("src_training_logs", f"""WITH {_LOGS_SQL}

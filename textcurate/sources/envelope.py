@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textcurate.functions.labels import encode_label_lenient
+from textcurate.sources import sinks
 
 REVIEW = T.StructType([
     T.StructField("id", T.LongType()),
@@ -155,9 +156,9 @@ def eval_rows(df: DataFrame, text: str = "text", sentiment: str = "sentiment") -
 
 
 def load_dataset(spark: SparkSession, base: str, dataset_id: str) -> DataFrame:
-    """SRC-03: curated rows of one dataset id (partition pruning on the
-    dataset_id directory); a missing id is an error."""
-    df = spark.read.parquet(base).where(F.col("dataset_id") == dataset_id)
+    """SRC-03: curated rows of one dataset id published below ``base`` (partition pruning on
+    the dataset_id directory); a missing id is an error."""
+    df = sinks.published(spark, base, "processed").where(F.col("dataset_id") == dataset_id)
     if df.limit(1).count() == 0:
         raise FileNotFoundError(f"dataset {dataset_id!r} is not stored below {base}")
     return df
@@ -188,12 +189,12 @@ def check_splits(spark: SparkSession, path: str, required: list[str],
 def metrics_history(spark: SparkSession, base: str, domain: str) -> DataFrame:
     """SRC-04: metrics documents of one domain, oldest first. Filtering the
     domain column (not a file-name prefix) keeps 'a' from matching 'a_b'."""
-    return spark.read.parquet(base).where(F.col("domain") == domain).orderBy("dataset_id")
+    return sinks.published(spark, base, "metrics").where(F.col("domain") == domain).orderBy("dataset_id")
 
 
 def dataset_metrics(spark: SparkSession, base: str, dataset_id: str) -> DataFrame:
     """SRC-04: the metrics document of one dataset, its domain among its columns."""
-    return spark.read.parquet(base).where(F.col("dataset_id") == dataset_id)
+    return sinks.published(spark, base, "metrics").where(F.col("dataset_id") == dataset_id)
 
 
 def read_training_logs(spark: SparkSession, glob: str) -> DataFrame:
