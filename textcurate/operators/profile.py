@@ -145,9 +145,10 @@ def imbalance(rows: DataFrame, label: str) -> DataFrame:
                     ratio.alias("imbalance_ratio"), (ratio > IMBALANCE_LIMIT).alias("imbalanced"))
 
 
-def domain_drift(spark, rows: DataFrame, domain: str, label_idx: str) -> DataFrame:
+def domain_drift(spark, rows: DataFrame, domain: str, label_idx: str, mix: DataFrame | None = None) -> DataFrame:
     """AGG-06: per domain and class: actual share, expected share, difference;
-    a domain without a published mix keeps only the actual share, with a warning."""
+    a domain without a published mix keeps only the actual share, with a warning.
+    ``mix``: other published mixes than the built-in ones, see ``read_mix``."""
     c = rows.groupBy(domain, label_idx).agg(F.count(F.lit(1)).alias("n"))
     # all three classes per observed domain (bincount with minlength 3)
     doms = c.select(domain).distinct()
@@ -156,8 +157,8 @@ def domain_drift(spark, rows: DataFrame, domain: str, label_idx: str) -> DataFra
     full = grid.join(c, [domain, label_idx], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     actual = F.col("n") / F.sum("n").over(Window.partitionBy(domain))
     full = full.withColumn("actual", actual)
-    mix = F.broadcast(mix_table(spark).select(F.col("domain").alias(domain),
-                                              F.col("label_idx").alias(label_idx), "expected"))
+    published = F.broadcast(mix_table(spark)) if mix is None else mix
+    mix = published.select(F.col("domain").alias(domain), F.col("label_idx").alias(label_idx), "expected")
     out = full.join(mix, [domain, label_idx], "left")
     return out.select(domain, F.col(label_idx).cast("long").alias(label_idx), "actual", "expected",
                       (F.col("actual") - F.col("expected")).alias("difference"),

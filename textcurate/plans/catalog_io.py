@@ -165,6 +165,22 @@ def reformat(spark, sf):
     return reformat_for(_split_frame(spark, sf), "roberta")
 
 
+@register("reformat_sequence", f"""{_SPLIT_FRAME_SQL}
+SELECT split, text, labels AS label, id, original_id FROM frame""")
+def reformat_sequence(spark, sf):
+    """TXT-12 for 'sequence_classification': labels -> label."""
+    return reformat_for(_split_frame(spark, sf), "sequence_classification")
+
+
+@register("reformat_as_is", f"""{_SPLIT_FRAME_SQL}
+SELECT split, text, labels, id, original_id, fmt FROM frame, (VALUES ('bert'), ('sentiment_classification')) f(fmt)""")
+def reformat_as_is(spark, sf):
+    """TXT-12 for the two formats that keep all names."""
+    frame = cut_lineage(_split_frame(spark, sf))
+    one, two = (reformat_for(frame, fmt).withColumn("fmt", F.lit(fmt)) for fmt in ("bert", "sentiment_classification"))
+    return one.unionByName(two)
+
+
 def reformat_for(frame, fmt: str):
     if fmt not in FORMATS:
         raise ValueError(f"no such split format: {fmt!r}; known: {', '.join(sorted(FORMATS))}")

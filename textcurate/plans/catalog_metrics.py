@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textcurate.operators import metrics as M
 from textcurate.plans.registry import normalise, register
+from textcurate.session import cut_lineage
 from textcurate.sources.tables import predictions
 
 # ---------------------------------------------------------------- SQL pieces
@@ -266,7 +267,8 @@ def derived_scores(spark, sf):
 
 
 def domain_report_df(spark, sf):
-    pred = _pred(spark, sf)
+    # the counters, the rank sums and their bounds and the Brier scores all read it: cut once
+    pred = cut_lineage(_pred(spark, sf))
     keys = ["model", "domain"]
     cnt = M.counters(pred, keys)
     base = cnt.select(*keys, M.accuracy().alias("accuracy"), M.macro(M.f1).alias("macro_f1"),

@@ -10,6 +10,7 @@ from textcurate.plans import curate as C
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import normalise, register
 from textcurate.session import cut_lineage
+from textcurate.session import scratch_path
 from textcurate.sources.tables import attach_sentiment, doc_positions, documents, labelled_reviews, whole_reviews
 
 
@@ -121,6 +122,31 @@ def domain_drift(spark, sf):
     return normalise(profile.domain_drift(spark, lab, "domain", "label_idx"))
 
 
+@register("domain_drift_file", f"""WITH {S.LABELLED},
+r AS (SELECT domain AS source, {S.research_domain('domain')} AS research, {S.LABEL_IDX} AS label_idx FROM labelled),
+sh AS (SELECT research, label_idx, count(*) / sum(count(*)) OVER (PARTITION BY research) AS expected FROM r GROUP BY research, label_idx),
+mix AS (SELECT DISTINCT r.source, k.label_idx, coalesce(sh.expected, 0) AS expected FROM r CROSS JOIN range(3) k(label_idx)
+        LEFT JOIN sh ON sh.research = r.research AND sh.label_idx = k.label_idx WHERE r.research <> 'retail'),
+c AS (SELECT source, label_idx, count(*) AS n FROM r GROUP BY ALL),
+act AS (SELECT g.source, k.label_idx, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY g.source) AS actual
+        FROM (SELECT DISTINCT source FROM c) g CROSS JOIN range(3) k(label_idx) LEFT JOIN c ON c.source = g.source AND c.label_idx = k.label_idx)
+SELECT a.source AS domain, CAST(a.label_idx AS BIGINT) AS label_idx, {S.r('a.actual')} AS actual, {S.r('m.expected')} AS expected,
+       {S.r('a.actual - m.expected')} AS difference,
+       CASE WHEN m.expected IS NULL THEN 'No research distribution available for comparison' END AS warning
+FROM act a LEFT JOIN mix m ON m.source = a.source AND m.label_idx = a.label_idx""")
+def domain_drift_file(spark, sf):
+    """SRC-06 + AGG-06: a mix file with an entry for most sources (the shares of their
+    research domain), written, read and compared with the label mix of every source."""
+    lab = labelled_reviews(spark, sf).select("domain", profile.research_domain(F.col("domain")).alias("research"),
+                                             L.encode_label("sentiment").alias("label_idx"))
+    shares = lab.groupBy("research").agg(F.array(*[F.count_if(F.col("label_idx") == i) / F.count(F.lit(1)) for i in range(3)]).alias("distribution"))
+    entries = lab.select("domain", "research").distinct().join(shares.where("research <> 'retail'"), "research")
+    path = scratch_path(spark, "mix")
+    document = F.map_from_entries(F.collect_list(F.struct("domain", F.struct("distribution"))))
+    entries.agg(F.to_json(document).alias("value")).write.text(path)  # an entry per source
+    return normalise(profile.domain_drift(spark, lab, "domain", "label_idx", profile.read_mix(spark, path)))
+
+
 @register("class_weights", f"""{_DRIFT_BASE},
 {S.MIX},
 w AS (SELECT domain, label_idx, 1.0 / (expected + CAST(1e-5 AS DOUBLE)) AS raw FROM mix),
