@@ -42,33 +42,35 @@ def prepare(reviews: DataFrame) -> DataFrame:
     return out.withColumn("dup_key", T.clean_dup_key("clean_text"))
 
 
-def with_scope(rows: DataFrame, scope: str) -> tuple[DataFrame, list[str]]:
-    """Attach scope columns. ``global``: none. ``windowed`` (DUP-04): batch of
+def scopes(rows: DataFrame, scope: str) -> tuple[DataFrame | None, list[str]]:
+    """Scope columns per position. ``global``: none. ``windowed`` (DUP-04): batch of
     1000 input rows, then chunks of 100 length-filtered rows inside a batch.
-    Batches are bounded groups, so the chunk window is bounded too."""
+    Batches are bounded groups, so the chunk window is bounded too. Only positions and
+    length flags are ranked, once: the result is written and joined by position."""
     if scope == "global":
-        return rows, []
+        return None, []
     if scope != "windowed":
         raise ValueError(f"unknown scope {scope!r}")
-    bucketed = rank.range_bucket(rows, "pos", out="_pb")
+    bucketed = rank.range_bucket(rows.select("pos", "keep_len"), "pos", out="_pb")
     ranked = rank.row_number_exact(bucketed, [F.col("pos")], F.col("_pb"), out="_seq").drop("_pb")
     ranked = ranked.withColumn("batch", F.floor((F.col("_seq") - 1) / BATCH_ROWS).cast("long"))
     w = Window.partitionBy("batch", "keep_len").orderBy("pos")
     ranked = ranked.withColumn(
         "chunk", F.when(F.col("keep_len"),
                         F.floor((F.row_number().over(w) - 1) / CHUNK_ROWS).cast("long")))
-    return ranked.drop("_seq"), ["batch", "chunk"]
+    return cut_lineage(ranked.select("pos", "batch", "chunk")), ["batch", "chunk"]
 
 
 def exact_firsts(kept: DataFrame, scope: Sequence[str], key: str = "dup_key") -> DataFrame:
-    """Positions that are the first of their key in scope (partial aggregate)."""
-    return (kept.groupBy(*scope, key).agg(F.min("pos").alias("pos"))
+    """Positions that are the first of their key in scope: a partial aggregate by the
+    key's 128-bit hash, so keys are not shuffled."""
+    return (kept.groupBy(*scope, F.md5(key).alias("_h")).agg(F.min("pos").alias("pos"))
             .select("pos", F.lit(True).alias("_first_key")))
 
 
 def near_nodes(kept: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Distinct vectors per scope with their first position and token list."""
-    v = simjoin.vector_columns(kept, T.clean_words("dup_key"))
+    v = simjoin.vector_columns(kept.select("pos", *scope, "dup_key"), T.clean_words("dup_key"))
     return v.groupBy(*scope, "vid").agg(F.min("pos").alias("first_pos"),
                                         F.first("canon").alias("canon"))
 
@@ -96,10 +98,13 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
     rows = reviews if prepared else prepare(reviews).drop("text")
     if checkpoint and not prepared:
         # the cleaned rows feed four branches (output, key firsts, vector
-        # nodes, postings): cut lineage once instead of re-running the regexes
-        rows = cut_lineage(rows)
-    rows, scope_cols = with_scope(rows, scope)
+        # nodes, postings): cut lineage once instead of re-running the regexes. The key is
+        # the clean text in lower case: it is derived again, not stored beside it
+        rows = cut_lineage(rows.drop("dup_key")).withColumn("dup_key", T.clean_dup_key("clean_text"))
+    scoped, scope_cols = scopes(rows, scope)
     kept = rows.where("keep_len")
+    if scoped is not None:
+        kept = kept.join(scoped, "pos")
     # every per-position flag is gathered into one table first, so the wide
     # rows (with their text) are shuffled for a single join on the position
     flags = exact_firsts(kept, scope_cols).select(
@@ -120,7 +125,7 @@ def verdicts(reviews: DataFrame, scope: str = "global", threshold: float = NEAR_
         flags = flags.unionByName(firsts).unionByName(nf)
     flags = flags.groupBy("pos").agg(F.max("_k").alias("_first_key"), F.max("_v").alias("_first_vec"),
                                      F.max("_n").alias("_near_first"))
-    out = rows.join(flags, "pos", "left")
+    out = rows.join(flags if scoped is None else scoped.join(flags, "pos", "left"), "pos", "left")
     is_exact = F.col("keep_len") & (F.coalesce(F.col("_first_key"), F.lit(0)) == 0)
     if near:
         later_copy = F.coalesce(F.col("_first_vec"), F.lit(0)) == 0
