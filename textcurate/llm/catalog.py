@@ -34,7 +34,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_duplicates(_docs(spark, sf_dir), size=4, percent=80)
+    return lsh_forest.near_duplicates(_docs(spark, sf_dir), size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_credential_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,11 @@ def _matched(docs: DataFrame, found: DataFrame, columns: list[str], how: str) ->
     return both, {c: F.col(f"{free}{c}") for c in columns}
 
 
+def _all(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _free_name(docs: DataFrame) -> str:
     free = "_r_"
     while any(c.startswith(free) for c in docs.columns):
@@ -57,22 +62,25 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of smallest doc_id.
-    Of repeated rows with that id one stays; rows without an id all stay."""
-    kept = lsh_forest.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    """One document of each near-duplicate group stays, the one of smallest doc_id (of
+    different texts with that id the one of smallest text key); of repeated rows of it one
+    stays. Rows without an id all stay."""
+    found = lsh_forest.near_duplicates(docs).filter("first and doc_id is not null")
+    both, _ = _matched(docs, found, [], "left_semi")
+    stay = both.withColumn(f"{_free_name(docs)}key", text_key(whole_text())).dropDuplicates(["doc_id", f"{_free_name(docs)}key"])
+    return stay.select(_all(docs)).unionByName(docs.filter(F.col("doc_id").isNull()).select(_all(docs)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     found = winnow.find_contamination(docs, read_table(spark, sf_dir, "benchmark")).filter(winnow.is_contaminated())
     both, _ = _matched(docs, found, [], "left_anti")
-    return both.select(docs.columns)
+    return both.select(_all(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled documents, with mix_weight and mix_probability added."""
+    """The sampled documents, with mix_weight and mix_probability added (columns of these
+    names are replaced)."""
     rows = mixing.measured(docs)
     mixed = mixing.mix_to_targets(rows).filter("kept")
     free = _free_name(docs)
@@ -86,4 +94,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on = cell["doc_id"].eqNullSafe(chosen[f"{free}id"])
     for c in names:
         on = on & cell[f"{free}{c}"].eqNullSafe(chosen[f"{free}c_{c}"])
-    return cell.join(chosen, on).select(*docs.columns, F.col(f"{free}w").alias("mix_weight"), F.col(f"{free}p").alias("mix_probability"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_weight", "mix_probability")]
+    return cell.join(chosen, on).select(*kept, F.col(f"{free}w").alias("mix_weight"), F.col(f"{free}p").alias("mix_probability"))
