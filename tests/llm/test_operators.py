@@ -379,6 +379,10 @@ def test_mixing_reaches_targets(make_docs, prose):
     assert abs(kept / (0.5 * total) - 1) < 0.2
     plain = mixing.mix_to_targets(docs, {"source": 0.5, "lang": 0.0, "topic": 1.0}, rounds=30, broadcast_cells=0).collect()
     assert sorted((r["doc_id"], r["kept"]) for r in plain) == sorted((r["doc_id"], r["kept"]) for r in mixed)
+    # many cells are grouped and joined: the same weights
+    joined = mixing.mix_to_targets(docs, {"source": 0.5, "lang": 0.0, "topic": 1.0}, rounds=30, cells_per_task=4).collect()
+    ratios = {r["doc_id"]: r["ratio"] for r in mixed}
+    assert all(abs(r["ratio"] - ratios[r["doc_id"]]) < 1e-9 for r in joined)
 
 
 def test_licenses(make_docs, prose):

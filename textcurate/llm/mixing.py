@@ -8,9 +8,10 @@ a hash of its id, and carries the weight by which an over-subscribed cell's
 documents count more than once.
 
 The cell table has one row per combination that occurs, built with map-side
-partial sums, so a source with a third of all rows costs nothing. Raking is
-grouping and joining on that table, in a number of partitions that follows its counted
-rows, cut by checkpoint() after each round. It is broadcast to the documents only if its counted rows are below ``broadcast_cells``;
+partial sums, so a source with a third of all rows costs nothing. Up to
+``cells_per_task`` counted cells are one partition, and a scaling is a window sum in it: no
+exchange, no join, lineage cut every few rounds. More cells are grouped and joined in a
+number of partitions that follows their count, cut after each round. The cell table is broadcast to the documents only if its counted rows are below ``broadcast_cells``;
 beyond that the join is left to Spark.
 
 Topic: the tables have none; ``topic_of`` derives a coarse one from the form of a
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcurate.session import cut_lineage
@@ -85,6 +86,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, part
     return fitted
 
 
+def rake_in_place(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, cut_every: int = 4) -> DataFrame:
+    """``rake`` for cells that are few by count: one partition, every scaling a window."""
+    fitted = cells.withColumn("fit", F.col("share"))
+    for dim, aim in targets.items():
+        named = aim.select(F.col("value").alias(f"v_{dim}"), F.col("target").alias(f"t_{dim}"))
+        fitted = fitted.join(named, fitted[dim].eqNullSafe(named[f"v_{dim}"])).drop(f"v_{dim}")
+    fitted = cut_lineage(fitted).coalesce(1)
+    for i in range(1, rounds + 1):
+        for dim in targets:
+            now = F.sum("fit").over(Window.partitionBy(dim))
+            fitted = fitted.withColumn("fit", F.col("fit") * F.col(f"t_{dim}") / now)
+        if i % cut_every == 0 and i < rounds:
+            fitted = cut_lineage(fitted).coalesce(1)
+    return cut_lineage(fitted.drop(*[f"t_{d}" for d in targets])).coalesce(1)
+
+
 def uniform(doc_id: Column) -> Column:
     """A number in [0, 1) from the md5 of the id: 52 bits."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -103,7 +120,8 @@ def mix_to_targets(docs: DataFrame, temperatures: dict[str, float] | None = None
     parts = max(1, -(-n_cells // cells_per_task))
     cells = cells.select(*dims, "tokens", (F.col("tokens") / F.lit(total or 1)).alias("share")).coalesce(parts)
     targets = {d: cut_lineage(target_marginal(cells, d, temperatures[d])).coalesce(parts) for d in dims}
-    fitted = rake(cells, targets, rounds, parts).select(*[F.col(d).alias(f"c_{d}") for d in dims],
+    raked = rake_in_place(cells, targets, rounds) if parts == 1 else rake(cells, targets, rounds, parts)
+    fitted = raked.select(*[F.col(d).alias(f"c_{d}") for d in dims],
                                                         (F.col("fit") / F.col("share")).alias("c_ratio"))
     if n_cells <= broadcast_cells:
         fitted = F.broadcast(fitted)
