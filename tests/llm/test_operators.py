@@ -106,6 +106,22 @@ def test_token_counts_of_random_strings():
         assert token_counts.count_text(t, memo, pattern) == len(sp.encode(t)), t
 
 
+def test_two_vocabularies_in_one_worker():
+    """Two vocabularies of one size: a worker that met the first counts by the second."""
+    import pyarrow as pa
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    s = token_counts.SPACE
+    first, second = ({c: 9 for c in (s, "a", "b")} | {pair: 1} for pair in ("ab", s + "b"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["ab"]), pa.array([2])], ["doc_id", "text", "n_bytes"])
+    got = [next(token_counts._count_batches(iter([batch]), Shared(r), token_counts.vocabulary_key(r), None, 100)).column(2)[0].as_py()
+           for r in (first, second, first)]
+    assert got == [2, 3, 2]
+
+
 def test_near_duplicates(make_docs, rows):
     named = [r for r in rows if r[0] is not None and r[0] != 16] + [(16, rows[15][1])]
     found = lsh_forest.near_duplicates(with_clashes(make_docs([*named, (None, "a b c d e")]))).collect()

@@ -20,6 +20,7 @@ ignored whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -116,7 +117,15 @@ class ChunkCounts(dict):
         return n
 
 
-_MEMO: dict[int, ChunkCounts] = {}  # of this Python worker, by vocabulary size
+_MEMO: dict[tuple[str, int], ChunkCounts] = {}  # of this Python worker, by vocabulary and size
+
+
+def vocabulary_key(ranks: dict[str, int]) -> str:
+    """Names a vocabulary by its content."""
+    h = hashlib.sha256()
+    for piece, rank in ranks.items():
+        h.update(f"{len(piece)}:{piece}{rank};".encode("utf-8", "surrogatepass"))
+    return h.hexdigest()
 
 
 def count_text(text: str, memo: ChunkCounts, pattern: re.Pattern | None) -> int:
@@ -126,9 +135,11 @@ def count_text(text: str, memo: ChunkCounts, pattern: re.Pattern | None) -> int:
     return sum(map(memo.__getitem__, chunks))
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], ranks, pattern, memo_size: int) -> Iterator[pa.RecordBatch]:
-    ranks = ranks.value
-    memo = _MEMO.setdefault(len(ranks), ChunkCounts(ranks, memo_size))
+def _count_batches(batches: Iterator[pa.RecordBatch], ranks, key: str, pattern, memo_size: int) -> Iterator[pa.RecordBatch]:
+    memo = _MEMO.get((key, memo_size))
+    if memo is None:
+        _MEMO.clear()  # a worker keeps the words of one vocabulary
+        memo = _MEMO[key, memo_size] = ChunkCounts(ranks.value, memo_size)
     for batch in batches:
         counts = [count_text(t.as_py(), memo, pattern) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())],
@@ -145,5 +156,5 @@ def token_counts(docs: DataFrame, model_file: str, memo_size: int = 600_000) ->
     text = whole_text()
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_count_batches, ranks=shared, pattern=pattern, memo_size=memo_size),
+    return rows.mapInArrow(partial(_count_batches, ranks=shared, key=vocabulary_key(ranks), pattern=pattern, memo_size=memo_size),
                            f"doc_id {kind}, n_bytes long, n_tokens long")
