@@ -328,9 +328,14 @@ def least_frequent(counts: DataFrame, most: int) -> int:
     return least
 
 
+TOKENS_PER_TASK = 2_000_000
+
+
 def train(docs: DataFrame, counts: DataFrame, symbols: int = SYMBOLS, groups: int = GROUPS, dim: int = DIM,
-          frequent: int = FREQUENT, rounds: int = 1, rate: float = 0.05) -> Scorer:
-    """Trains on every document that is not held out; ``counts`` is its ``word_counts``."""
+          frequent: int = FREQUENT, rounds: int = 1, rate: float = 0.05, tokens_per_task: int = TOKENS_PER_TASK) -> Scorer:
+    """Trains on every document that is not held out; ``counts`` is its ``word_counts``.
+    Partitions are merged (not split) until a task has about ``tokens_per_task`` tokens, so
+    the model does not depend on how finely the table is dealt out."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -358,7 +363,10 @@ def train(docs: DataFrame, counts: DataFrame, symbols: int = SYMBOLS, groups: in
     vocabulary = Vocabulary(chosen, unigram, groups)
     model = LogBilinear(unigram, dim)
     flat = model.flat()
-    texts = docs.filter(~held_out(F.col("doc_id"))).select(whole_text().alias("text"))
+    # each task's model is moved by what it reads and the models are averaged: tasks that
+    # read little would leave the mean near its start, however much text there is in all
+    tasks = max(1, -(-int(totals[0]) // tokens_per_task))
+    texts = docs.filter(~held_out(F.col("doc_id"))).select(whole_text().alias("text")).coalesce(tasks)
     size = len(flat)
     for i in range(rounds if totals[0] else 0):
         shared = sc.broadcast((vocabulary, flat))
