@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import same_row, text_key, whole_text
+from .common import same_row, text_key, whole_text, written
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,8 @@ def link_parts(spans: DataFrame, reach: int = 200) -> DataFrame:
 def scan_credentials(docs: DataFrame, reach: int = 200) -> DataFrame:
     """One row per document: doc_id, and ``found``, an array of
     (start, kind index, end) in reporting order; empty when nothing is found."""
-    spans = find_spans(docs)
+    # the strong spans and both sides of the interval join read them: texts are scanned once
+    spans = written(find_spans(docs), "spans")
     strong = [ORDER[p.kind] for p in PATTERNS if not p.weak]
     reported = spans.filter(F.col("kind").isin(strong)).select("doc_id", "text_key", "kind", "start", "end").unionByName(
         link_parts(spans, reach))
