@@ -4,8 +4,9 @@ regex library), so agreement is evidence of correctness."""
 
 from __future__ import annotations
 
-from textcurate.functions.text import WS
-
+# Fixed values, stated apart from the library's: whitespace as Python sees it, and the
+# decimals that results are rounded to.
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ROUND = 6
 
 
