@@ -436,6 +436,18 @@ def test_licenses(make_docs, prose):
     assert got == {1: ("MIT", "MIT"), 2: ("Apache-2.0", "Apache-2.0"), 3: ("MIT", "MIT"), 4: (None, ""), 5: (None, ""), 6: (None, ""), 7: ("MIT", "MIT")}
 
 
+def test_related_licenses_are_told_apart(make_docs, prose):
+    """Each notice and tag, alone and in a text, gives its own licence only."""
+    rows, want = [], {}
+    for i, ((name, _), text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        rows.append((i, f"{prose(i, 30)}\n// {text.replace('. ', '.  ')}\n{prose(i + 500, 30)}"))
+        want[i] = (name, name)
+    rows.append((900, "SPDX is a standard\nthe license identifier is missing\n" + prose(1, 40)))
+    want[900] = (None, "")
+    got = {r["doc_id"]: (r["license"], r["licenses"]) for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert got == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")

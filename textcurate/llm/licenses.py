@@ -58,7 +58,52 @@ TEMPLATES = {
     ("MPL-2.0", "notice"):
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ("AGPL-3.0", "notice"):
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU Affero General Public License for more details.",
+    ("BSD-2-Clause", "conditions"):
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution.",
+    ("BSD-3-Clause", "conditions"):
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission.",
+    ("CC0-1.0", "notice"):
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ("GPL-2.0", "notice"):
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details.",
+    ("LGPL-2.1", "notice"):
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU Lesser General Public License for more details.",
+    ("Unlicense", "notice"):
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+}
+# Identifiers of the one-line form, by the licence that they name.
+SPDX = {
+    "AGPL-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "Apache-2.0": ["Apache-2.0"], "BSD-2-Clause": ["BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD-3-Clause"], "CC0-1.0": ["CC0-1.0"], "GPL-2.0": ["GPL-2.0-only", "GPL-2.0-or-later"],
+    "GPL-3.0": ["GPL-3.0-only", "GPL-3.0-or-later"], "ISC": ["ISC"], "LGPL-2.1": ["LGPL-2.1-only", "LGPL-2.1-or-later"],
+    "MIT": ["MIT"], "MPL-2.0": ["MPL-2.0"], "Unlicense": ["Unlicense"],
 }
+TEMPLATES |= {(name, f"tag {i}"): f"SPDX-License-Identifier: {i}" for name, ids in SPDX.items() for i in ids}
 
 
 def bigrams(normalised: Column) -> Column:
@@ -112,11 +157,13 @@ def scan_units(docs: DataFrame, threshold: float = 0.8, templates: dict | None =
 
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, license (best coefficient, then name; null: none),
-    dice, n_units (units that match any template), licenses (all, comma-joined)."""
-    found = scan_units(docs, threshold, templates).groupBy("doc_id", "text_key").agg(
-        F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"),
-        F.countDistinct("unit").alias("n_units"),
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
+    dice, n_units (units that match any template), licenses (comma-joined). A unit speaks
+    for its best template alone: notices of related licences differ in a word or two."""
+    units = scan_units(docs, threshold, templates).groupBy("doc_id", "text_key", "unit").agg(
+        F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
+    found = units.groupBy("doc_id", "text_key").agg(
+        F.min("best").alias("best"), F.count(F.lit(1)).alias("n_units"),
+        F.array_join(F.array_sort(F.collect_set("best.license")), ",").alias("licenses"))
     rows = docs.select("doc_id", text_key(whole_text()).alias("text_key"))
     return rows.join(found, same_row(rows, found), "left").select(
         rows["doc_id"], F.col("best.license").alias("license"), F.round(-F.col("best.d"), 9).alias("dice"),

@@ -117,8 +117,9 @@ g AS (SELECT DISTINCT doc_id, unit, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT
 n AS (SELECT doc_id, unit, count(*) AS n FROM g GROUP BY ALL),
 x AS (SELECT doc_id, unit, k, count(*) AS common FROM g JOIN t USING (g) GROUP BY ALL),
 y AS (SELECT doc_id, unit, license, 2 * common / (n + m) AS dice FROM x JOIN n USING (doc_id, unit) JOIN m USING (k)),
-z AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, count(DISTINCT unit) AS n_units,
-             array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses FROM y WHERE dice >= {threshold} GROUP BY doc_id)
+b AS (SELECT doc_id, unit, arg_min(license, (-dice, license)) AS license, max(dice) AS dice FROM y WHERE dice >= {threshold} GROUP BY doc_id, unit),
+z AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, count(*) AS n_units,
+             array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses FROM b GROUP BY doc_id)
 SELECT doc_id, license, round(dice, 9) AS dice, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(licenses, '') AS licenses
 FROM d LEFT JOIN z USING (doc_id)"""
 
