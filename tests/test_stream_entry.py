@@ -21,6 +21,20 @@ def test_stream_clean_equals_batch(spark):
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("name", ["stream_clean", "stream_dedup", "stream_summary"])
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, name):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text of its own number "), (F.col("id") % 50).cast("string")).alias("text"),
+                                  F.lit("d").alias("source"))
+    docs.repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (part,) = (tmp_path / "part").glob("part-*.parquet")
+    (tmp_path / "one").mkdir()
+    part.rename(tmp_path / "one/documents.parquet")
+    many, one = (E.queries()[name](spark, str(tmp_path / d)) for d in ("many", "one"))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+    assert many.count() == {"stream_clean": 60, "stream_dedup": 50, "stream_summary": 1}[name]
+
+
 def test_stream_dedup_keeps_one_row_per_key(spark):
     s = ST.dedup_stream(ST.review_stream(spark, SF001)).select("id", "dup_key")
     got = spark.read.parquet(ST.run_available(s, "t-stream-dedup"))

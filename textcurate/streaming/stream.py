@@ -23,12 +23,13 @@ SUMMARY_WINDOW = "100 seconds"
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str,
                       max_files: int | None = None) -> DataFrame:
-    """File-source stream over one table's parquet file(s) in ``sf_dir``."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """File-source stream over one table in ``sf_dir``, a parquet file or a folder of them.
+    A stream takes a folder or a pattern, so the path is a pattern that only the table fits."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return r.parquet(path[:-1] + "[t]")
 
 
 def review_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
