@@ -127,3 +127,11 @@ def test_scores_of_any_shape(spark):
             fn(bad, ["model"], scores="scores").collect()
     wide = M.auroc(bad, ["model"], classes=[0, 1, 2, 3], scores="scores").where("model = 'full'").collect()
     assert {r["label"]: r["auroc"] for r in wide} == {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.0}
+
+
+def test_empty_summary_cleans_every_text_once(spark):
+    """The branches of the verdicts read the short rows that were written, not the documents."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["empty_summary"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in plan and "RDD" in plan

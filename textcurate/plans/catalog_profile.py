@@ -43,7 +43,8 @@ def empty_summary(spark, sf):
     """AGG-11: the batch where nothing survives -- the reviews whose cleaned text
     is under five words all fail the length filter; counters stay consistent
     (removed = processed, accepted = 0)."""
-    rows = dedup.prepare(documents(spark, sf)).where(F.col("word_count") < 5)
+    # every text is cleaned once: the short ones are read by each branch of the verdicts
+    rows = cut_lineage(dedup.prepare(documents(spark, sf)).drop("text").where(F.col("word_count") < 5))
     return profile.filter_summary(dedup.verdicts(rows, prepared=True))
 
 
