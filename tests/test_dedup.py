@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -138,3 +139,21 @@ def test_cross_split_members_and_links(spark):
     assert reps.agg(F.sum("n_pairs")).first()[0] == len(brute)
     (r,) = leakage.with_texts(reps.where("id_a = 100"), df, "clean_text").where("pair = 'train-test'").collect()
     assert (r["id_b"], r["text_a"], r["text_b"], r["n_pairs"]) == (1, f"{base} one0", base, 30)
+
+
+def test_signatures_settle_pairs_that_share_rare_tokens_only(spark):
+    """Bags of 12 of 60 words share words of their prefixes, yet are far apart: their signatures
+    tell, so few of them are joined with their vectors. No similar pair is lost."""
+    rng = random.Random(3)
+    bags = [sorted(rng.sample([f"w{k}" for k in range(60)], 12)) for _ in range(200)]
+    bags += [sorted([*b[1:], b[1]]) for b in bags[:20]]
+    nodes = spark.createDataFrame([(f"v{i}", b) for i, b in enumerate(bags)], "vid string, canon array<string>")
+    tf = {(r["vid"], r["word"]): r["tf"] for r in simjoin.term_frequencies(nodes).collect()}
+    assert tf == {(f"v{i}", w): n for i, b in enumerate(bags) for w, n in Counter(b).items()}
+    post = simjoin._prefix_postings(nodes, simjoin.vector_table(nodes, 0.8), [])
+    side = lambda s: post.select("token", *[F.col(c).alias(f"{s}{c}") for c in ["vid", *simjoin.BOUNDS]])
+    meet = side("a_").join(side("b_"), "token").where("a_vid < b_vid")
+    found = {(r[0], r[1]) for r in meet.where(simjoin._bounded("a_", "b_", 0.8)).select("a_vid", "b_vid").distinct().collect()}
+    true = {(a, b) for (a, x), (b, y) in itertools.permutations([(f"v{i}", Counter(b)) for i, b in enumerate(bags)], 2) if a < b and _cos(x, y) >= 0.8}
+    assert true and true <= found
+    assert len(found) < 0.05 * meet.select("a_vid", "b_vid").distinct().count()
