@@ -103,18 +103,21 @@ def cross_split_links(df: DataFrame, text: str = "clean_text", split: str = "spl
                       threshold: float = 0.98) -> tuple[DataFrame, DataFrame]:
     """DUP-08: (links, members). A link is an unordered pair of word bags (vid_a <= vid_b)
     with cosine > threshold (strict) that occur in different splits; members are the rows
-    (id, split, vid) of linked bags. Copies of a text are members, not links, and bags of one
-    split alone are not even candidates; so a dense group costs its members and the links
+    (id, split, vid) of linked bags. Copies of a text are members, not links; so a dense group costs its members and the links
     between its distinct texts. ``representative_pairs`` and ``row_pairs`` read the two.
     Rows without a word are similar to nothing."""
     v = simjoin.vector_columns(df.select(F.col(idc).alias("id"), F.col(split).alias("split"), text), T.words(T.dup_key(text)))
-    v = cut_lineage(v.where(F.size("canon") > 0).select("id", "split", "vid", "canon"))
-    bags = v.groupBy("vid").agg(F.collect_set("split").alias("splits"), F.first("canon").alias("canon"))
-    pairs = simjoin.similar_pairs(bags, ["splits"], threshold, strict=True,
-                                  condition=(F.col("vid_a") < F.col("vid_b")) & (F.size(F.array_union("splits_a", "splits_b")) > 1))
-    links = pairs.select("vid_a", "vid_b", "sim")
+    v = v.where(F.size("canon") > 0)
+    # one text per bag, not stored; rows and splits of bags are
+    bags = v.groupBy("vid").agg(F.first(F.array_join("canon", " ")).alias("_t")).select("vid", F.split("_t", " ", -1).alias("canon"))
+    v = cut_lineage(v.select("id", "split", "vid"))
+    splits = v.groupBy("vid").agg(F.collect_set("split").alias("splits"))
+    side = lambda x: splits.select(F.col("vid").alias(f"vid_{x}"), F.col("splits").alias(f"splits_{x}"))
+    pairs = simjoin.similar_vectors(bags, threshold, strict=True, n_bytes=simjoin.size_of(text, df))
+    links = pairs.join(side("a"), "vid_a").join(side("b"), "vid_b").where(
+        F.size(F.array_union("splits_a", "splits_b")) > 1).select("vid_a", "vid_b", "sim")
     if threshold < 1.0:  # copies in two splits
-        same = bags.where(F.size("splits") > 1)
+        same = splits.where(F.size("splits") > 1)
         links = links.unionByName(same.select(F.col("vid").alias("vid_a"), F.col("vid").alias("vid_b"), F.lit(1.0).alias("sim")))
     links = cut_lineage(links)
     linked = links.select(F.explode(F.array("vid_a", "vid_b")).alias("vid")).distinct()

@@ -11,6 +11,10 @@ least the threshold t. If cos(x, y) >= t the two prefixes share a token
 (Cauchy-Schwarz on the suffix after the earlier prefix end), so joining prefix
 postings on token finds every qualifying pair. Candidates are verified with an
 exact integer dot product of the two sparse term-frequency vectors.
+
+Postings serve comparisons inside scopes. Over a whole table the pairs that they make grow
+with the square of a token's frequency, so there vectors meet by blocks (``blockjoin``),
+exactly too.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textcurate.operators import blockjoin
 from textcurate.session import cut_lineage
 
 # Similarities are rounded to this many decimals before any threshold test, in
@@ -160,6 +165,22 @@ def verify(vecs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(sided("a"), "vid_a").join(sided("b"), "vid_b").select(*pairs.columns, sim.alias("sim"))
 
 
+def size_of(column: str, rows: DataFrame) -> int:
+    """Bytes of a text column."""
+    return rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def similar_vectors(vecs: DataFrame, threshold: float, strict: bool = False, n_bytes: int | None = None) -> DataFrame:
+    """(vid_a, vid_b, sim), vid_a < vid_b, of vectors (``vid``, unique, and ``canon``) with cosine
+    >= threshold (> if strict)."""
+    words = vecs.where(F.size("canon") > 0).select(F.col("vid").alias("key"), F.array_join("canon", " ").alias("terms"))
+    n_bytes = size_of("terms", words) if n_bytes is None else n_bytes
+    near = blockjoin.similar(words.withColumn("thr", F.lit(float(threshold))), n_bytes, unit=True, earlier=False)
+    sim = sim_expr(F.col("dot"), F.col("n2_a"), F.col("n2_b"))
+    pairs = near.select(F.least("key_a", "key_b").alias("vid_a"), F.greatest("key_a", "key_b").alias("vid_b"), sim.alias("sim"))
+    return pairs.where(F.col("sim") > threshold if strict else F.col("sim") >= threshold)
+
+
 def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
                   strict: bool = False, on: Sequence[str] = (), condition=None,
                   prefix_threshold: float | None = None, materialise: bool = True) -> DataFrame:
@@ -171,15 +192,25 @@ def similar_pairs(nodes: DataFrame, node_cols: Sequence[str], threshold: float,
     written on suffixed names (``first_pos_a < first_pos_b``). Returns
     ``<col>_a``, ``vid_a``, ``<col>_b``, ``vid_b``, ``sim``.
 
-    Candidates come from a self-join of prefix postings on token (no cross
-    join), then each distinct vector pair is verified exactly. This lists
-    every qualifying pair, which is the output itself; for "does an earlier
-    similar node exist" use ``earlier_similar``, which bounds the work on
-    dense clusters.
+    Without ``on``, the distinct vectors meet by blocks. Else candidates come
+    from a self-join of prefix postings on token (no cross join), then each
+    distinct vector pair is verified exactly. This lists every qualifying pair,
+    which is the output itself; for "does an earlier similar node exist" use
+    ``earlier_similar``, which bounds the work on dense clusters.
     """
     cols = list(dict.fromkeys(list(on) + list(node_cols)))
     if materialise:
         nodes = cut_lineage(nodes.select(*cols, "vid", "canon"))
+    if not on:
+        links = similar_vectors(nodes.select("vid", "canon").dropDuplicates(["vid"]), threshold, strict)
+        own = nodes.where(F.size("canon") > 0).select(F.col("vid").alias("vid_a"), F.col("vid").alias("vid_b"), F.lit(1.0).alias("sim")).distinct()
+        own = own.where(F.col("sim") > threshold if strict else F.col("sim") >= threshold)
+        ways = F.array(F.struct("vid_a", "vid_b"), F.struct(F.col("vid_b").alias("vid_a"), F.col("vid_a").alias("vid_b")))
+        links = links.select(F.explode(ways).alias("w"), "sim").select("w.*", "sim").unionByName(own)
+        side = lambda x: nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in [*cols, "vid"]]).dropDuplicates()
+        j = links.join(side("a"), "vid_a").join(side("b"), "vid_b")
+        return (j if condition is None else j.where(condition)).select(
+            *[f"{c}_a" for c in [*cols, "vid"]], *[f"{c}_b" for c in [*cols, "vid"]], "sim")
     vecs = vector_table(nodes, prefix_threshold if prefix_threshold is not None else threshold)
     if materialise:
         vecs = cut_lineage(vecs)
@@ -205,11 +236,12 @@ POSITION_BLOCK = 4096   # first-pass windows cover this many positions
 
 def earlier_similar(nodes: DataFrame, scope: Sequence[str], threshold: float,
                     thr_col: str | None = None, order_col: str = "first_pos",
-                    neighbours: int = NEIGHBOURS, block: int = POSITION_BLOCK) -> DataFrame:
+                    neighbours: int = NEIGHBOURS, block: int = POSITION_BLOCK, n_bytes: int | None = None) -> DataFrame:
     """Positions (``order_col``) of nodes that have an earlier node in the same
     scope with cosine >= threshold (``thr_col``: the later node's own one).
 
-    Exact, without listing all pairs of a dense cluster:
+    Exact, without listing all pairs of a dense cluster. Without a scope the nodes meet by
+    blocks (``n_bytes``: about the size of their words, if known). In a scope:
     1. each prefix posting is compared with the ``neighbours`` entries just
        before it in its (scope, token, position block) window -- inside a
        cluster of near-copies the previous copy usually settles it;
@@ -217,6 +249,14 @@ def earlier_similar(nodes: DataFrame, scope: Sequence[str], threshold: float,
        their prefix tokens (the complete candidate set for them).
     """
     cols = list(dict.fromkeys(list(scope) + [order_col] + ([thr_col] if thr_col else [])))
+    if not scope:
+        thr = F.col(thr_col) if thr_col else F.lit(float(threshold))
+        words = nodes.where(F.col(order_col).isNotNull() & (F.size("canon") > 0)).select(
+            F.col(order_col).alias("key"), F.col(order_col).cast("long").alias("pos"), F.array_join("canon", " ").alias("terms"), thr.cast("double").alias("thr"))
+        n_bytes = size_of("terms", words) if n_bytes is None else n_bytes
+        near = blockjoin.similar(words, n_bytes, unit=True, earlier=True)
+        ok = near.where(sim_expr(F.col("dot"), F.col("n2_a"), F.col("n2_b")) >= F.col("thr"))
+        return ok.select(F.col("key_b").alias(order_col)).distinct()
     # nodes are one aggregation over already materialised rows: recomputing
     # them is cheaper than writing them; the vector table is materialised
     nodes = nodes.select(*cols, "vid", "canon")
