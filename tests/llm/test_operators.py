@@ -397,6 +397,48 @@ def edit_similarity(a, b):
     return 1 - row[-1] / max(len(a), len(b), 1)
 
 
+def test_line_pairs_lose_their_common_ends(spark):
+    """Of a pair only the middle is measured, and the verdict is that of the whole lines."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    pairs = [("", ""), ("a", ""), ("aaaa", "aaa"), ("abab", "ababab"), ("xay", "xby"), ("x" * 70_000 + "a", "x" * 70_000 + "b"), ("größe äö", "größe öä")]
+    for n in (5, 20, 60, 200):
+        for k in range(12):
+            a = [rng.choice("abcé漢😀 ") for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randrange(0, 1 + n // 4)):
+                at = rng.randrange(len(b))
+                b[at:at + rng.randrange(0, 2)] = [rng.choice("abcxyz")] * rng.randrange(0, 2)
+            pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    pair = F.struct("a", "b", F.lit(1).alias("most"))
+    middle = line_dedup.once(pair, lambda p: line_dedup.once(line_dedup.apart(p), line_dedup.apart))
+    for r in df.select("i", "a", "b", line_dedup.similar(F.col("a"), F.col("b"), 0.85).alias("found"), middle.alias("m")).collect():
+        a, b = r["a"], r["b"]
+        if len(a) < 1000:
+            assert r["found"] == (edit_similarity(a, b) >= 0.85 - 1e-9), (a, b)
+            p = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            a, b = a[p:], b[p:]
+            q = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+            assert (r["m"]["a"], r["m"]["b"]) == (a[:len(a) - q], b[:len(b) - q])
+        else:  # a start beyond 2**16 - 1 characters is not taken off whole
+            assert r["found"] and len(r["m"]["a"]) < 70_001
+
+
+def test_lone_lines_take_no_further_step(make_docs, prose):
+    """Only lines that occur again or share a block go on from their hashes."""
+    a, b = prose(1, 400), prose(2, 40)
+    near = " ".join([*a.split(" ")[:399], "changed"])
+    docs = make_docs([(1, a), (2, near), (3, b), (4, b), (None, b), *[(10 + i, prose(50 + i, 30)) for i in range(8)]])
+    hashes = line_dedup.line_hashes(docs)
+    classes = line_dedup.line_classes(hashes)
+    known = line_dedup.known_classes(classes, line_dedup.shared_blocks(classes))
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in line_dedup.occurrences(hashes, known).collect()) == [
+        (False, 1), (False, 2), (False, 3), (False, 4), (True, None)]
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(docs).filter("n_removed > 0").collect()} == {2: [0], 4: [0], None: [0]}
+
+
 def test_simhash_bits(make_docs):
     """The packed votes equal a plain count of each bit."""
     docs = make_docs([(1, " ".join(f"a{i % 7} b{i % 3}" for i in range(40)))])
