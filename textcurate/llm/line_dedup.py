@@ -15,7 +15,9 @@ its class of equal lines and a 64-bit SimHash of its words; no text is shuffled:
   finds all those, and many that differ more.
 
 Candidates are verified by edit similarity, 1 - distance / longer length, with
-Spark's bounded Levenshtein distance; only their texts are read again. Within a
+Spark's bounded Levenshtein distance of what lies between their common start and end;
+only their texts are read again, and only lines that occur again or share a block take
+part in any step after the hashes. Within a
 value of a pair of blocks every line is compared with one leader; lines that are then
 not connected with it are compared with all others of the value that lie in another
 component, so no link between candidates is lost while a large group of variants
