@@ -108,12 +108,18 @@ def cross_split_links(df: DataFrame, text: str = "clean_text", split: str = "spl
     Rows without a word are similar to nothing."""
     v = simjoin.vector_columns(df.select(F.col(idc).alias("id"), F.col(split).alias("split"), text), T.words(T.dup_key(text)))
     v = v.where(F.size("canon") > 0)
+    return linked_bags(v.select("id", "split", "vid"), v.select("vid", F.array_join("canon", " ").alias("terms")), threshold, simjoin.size_of(text, df))
+
+
+def linked_bags(rows: DataFrame, words: DataFrame, threshold: float, n_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``cross_split_links`` of rows (id, split, vid) and the words of their bags (vid, terms:
+    sorted, joined by spaces; a bag may come several times), of about ``n_bytes``."""
     # one text per bag, not stored; rows and splits of bags are
-    bags = v.groupBy("vid").agg(F.first(F.array_join("canon", " ")).alias("_t")).select("vid", F.split("_t", " ", -1).alias("canon"))
-    v = cut_lineage(v.select("id", "split", "vid"))
+    bags = words.groupBy("vid").agg(F.first("terms").alias("terms"))
+    v = cut_lineage(rows)
     splits = v.groupBy("vid").agg(F.collect_set("split").alias("splits"))
     side = lambda x: splits.select(F.col("vid").alias(f"vid_{x}"), F.col("splits").alias(f"splits_{x}"))
-    pairs = simjoin.similar_vectors(bags, threshold, strict=True, n_bytes=simjoin.size_of(text, df))
+    pairs = simjoin.similar_texts(bags, threshold, True, n_bytes)
     links = pairs.join(side("a"), "vid_a").join(side("b"), "vid_b").where(
         F.size(F.array_union("splits_a", "splits_b")) > 1).select("vid_a", "vid_b", "sim")
     if threshold < 1.0:  # copies in two splits

@@ -174,9 +174,13 @@ def size_of(column: str, rows: DataFrame) -> int:
 def similar_vectors(vecs: DataFrame, threshold: float, strict: bool = False, n_bytes: int | None = None) -> DataFrame:
     """(vid_a, vid_b, sim), vid_a < vid_b, of vectors (``vid``, unique, and ``canon``) with cosine
     >= threshold (> if strict)."""
-    words = vecs.where(F.size("canon") > 0).select(F.col("vid").alias("key"), F.array_join("canon", " ").alias("terms"))
-    n_bytes = size_of("terms", words) if n_bytes is None else n_bytes
-    near = blockjoin.similar(words.withColumn("thr", F.lit(float(threshold))), n_bytes, unit=True, earlier=False)
+    words = vecs.where(F.size("canon") > 0).select("vid", F.array_join("canon", " ").alias("terms"))
+    return similar_texts(words, threshold, strict, size_of("terms", words) if n_bytes is None else n_bytes)
+
+
+def similar_texts(words: DataFrame, threshold: float, strict: bool, n_bytes: int) -> DataFrame:
+    """``similar_vectors`` of ``vid`` and ``terms`` (words joined by spaces), ``n_bytes`` of them in all."""
+    near = blockjoin.similar_bags(words.withColumnRenamed("vid", "key"), n_bytes, threshold)
     sim = sim_expr(F.col("dot"), F.col("n2_a"), F.col("n2_b"))
     pairs = near.select(F.least("key_a", "key_b").alias("vid_a"), F.greatest("key_a", "key_b").alias("vid_b"), sim.alias("sim"))
     return pairs.where(F.col("sim") > threshold if strict else F.col("sim") >= threshold)

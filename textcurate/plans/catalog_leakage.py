@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textcurate.functions import text as T
-from textcurate.operators import leakage, splits
+from textcurate.operators import dedup, leakage, simjoin, splits
 from textcurate.plans import sqlparts as S
 from textcurate.plans.registry import normalise, register
-from textcurate.session import cut_lineage
-from textcurate.sources.tables import whole_reviews
+from textcurate.session import cut_lineage, scratch_path
+from textcurate.sources.tables import UNLABELLED, attach_sentiment, documents, whole_reviews
 
 _SPLIT_SQL = f"WITH {S.WHOLE},\n{S.stratified('whole')}"
 _RANK = "list_position(['train', 'validation', 'test'], {})"
@@ -82,8 +82,20 @@ JOIN vrows2 b ON b.vid = s.vb AND {_RANK.format('a.split')} < {_RANK.format('b.s
 
 
 def _similar(spark, sf):
-    rows = cut_lineage(split_reviews(spark, sf, clean=True).select("id", "split", "clean_text"))
-    return rows, *leakage.cross_split_links(rows)
+    """Links and members. The texts are cleaned once and written as bags of words; what is
+    shuffled for the splits are ids alone."""
+    path = scratch_path(spark, "words")
+    bagged = simjoin.vector_columns(documents(spark, sf).select("id", T.clean_strict("text").alias("clean_text")),
+                                    T.clean_words(T.clean_dup_key("clean_text")))
+    some = F.size("canon") > 0
+    bagged = bagged.select("id", F.when(some, F.col("vid")).alias("vid"), F.when(some, F.array_join("canon", " ")).alias("terms"))
+    bagged.write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(bagged.schema).parquet(path)
+    lab = attach_sentiment(stored.select("id", "vid"), spark, sf).withColumn("sentiment", F.coalesce("sentiment", F.lit(UNLABELLED)))
+    rows = splits.stratified_split(lab, "sentiment", "id").where(F.col("vid").isNotNull())
+    words = stored.where(F.col("vid").isNotNull())
+    n_bytes = words.groupBy("vid").agg(F.first(F.octet_length("terms")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return leakage.linked_bags(rows.select("id", "split", "vid"), words.select("vid", "terms"), dedup.CROSS_SPLIT_THRESHOLD, n_bytes)
 
 
 @register("cross_split_similar", f"""{_SIMS_SQL},
@@ -95,8 +107,10 @@ JOIN sims s ON s.va = a.vid AND s.vb = b.vid JOIN cs x ON x.id = a.first JOIN cs
 def cross_split_similar(spark, sf):
     """DUP-08: near-identical texts across splits (cosine > 0.98), exact: per pair of splits
     and pair of word bags the number of row pairs and one row of either side with its text."""
-    rows, links, members = _similar(spark, sf)
-    return normalise(leakage.with_texts(leakage.representative_pairs(links, members), rows, "clean_text"))
+    pairs = cut_lineage(leakage.representative_pairs(*_similar(spark, sf)))
+    asked = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    rows = whole_reviews(spark, sf).select("id", "text").join(asked, "id", "left_semi").select("id", T.clean_strict("text").alias("clean_text"))
+    return normalise(leakage.with_texts(pairs, rows, "clean_text"))
 
 
 @register("cross_split_members", f"""{_SIMS_SQL}
@@ -104,12 +118,11 @@ SELECT DISTINCT r.id, r.split, r.vid FROM vrows2 r JOIN
   (SELECT a.vid AS va, b.vid AS vb {_ROW_PAIRS}) p ON r.vid = p.va OR r.vid = p.vb""")
 def cross_split_members(spark, sf):
     """DUP-08: the rows of the word bags that are linked across splits."""
-    return _similar(spark, sf)[2]
+    return _similar(spark, sf)[1]
 
 
 @register("cross_split_rows", f"""{_SIMS_SQL}
 SELECT a.split || '-' || b.split AS pair, a.id AS id_a, b.id AS id_b, {S.r('s.sim')} AS sim {_ROW_PAIRS}""")
 def cross_split_rows(spark, sf):
     """DUP-08: links and members joined again give every pair of similar rows."""
-    _, links, members = _similar(spark, sf)
-    return normalise(leakage.row_pairs(links, members))
+    return normalise(leakage.row_pairs(*_similar(spark, sf)))
