@@ -109,3 +109,21 @@ def test_word_order_fails_the_first_stage(spark):
     """Cosine 1, but no bigram in common."""
     texts = ["alpha beta gamma delta epsilon", "epsilon delta gamma beta alpha"]
     assert two_stage(spark, texts) == [None, None]
+
+
+def test_trigrams_of_texts_in_tasks(spark, monkeypatch):
+    """Texts travel, not their grams: short and empty texts, letters beyond 16 bits, several pieces."""
+    from textcurate.operators import blockjoin
+
+    rng = random.Random(6)
+    texts = ["", "a", "a", "ab", "ab", "abc", "\U00010400\U00010401", "\U00010400\U00010401", "aaaaaa", "aaa"]
+    texts += [" ".join(rng.choice(["lorem", "ipsum", "dolor", "gr\u00fcn", "\U00010400x", "amet"]) for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    sets = [{t[i:i + 3] for i in range(max(len(t) - 2, 1))} if t else set() for t in texts]
+    want = {j for j, y in enumerate(sets) if y and any(x and jac(x, y) >= 0.5 for x in sets[:j])}
+    df = spark.createDataFrame(list(enumerate(texts)), "pos long, text string")
+    monkeypatch.setattr(blockjoin, "LEAST_BYTES", 100)
+    for chars in (50, 1 << 20):
+        monkeypatch.setattr(blockjoin, "GRAM_CHARS", chars)
+        assert {r["pos"] for r in setjoin.trigrams_by_blocks(df, 0.5, 4000).collect()} == want
+        n, codes = blockjoin._trigrams(__import__("pyarrow").array([*texts, None]))
+        assert n.tolist() == [max(len(t) - 2, 1) if t else 0 for t in texts] + [0] and len(codes.dictionary) == len(set().union(*sets))
